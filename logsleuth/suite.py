@@ -169,3 +169,112 @@ def q_series_rolling_events(spark, sf):
     out = S.windowed_modified_z_scores(ev, "value", ["user_id"], ["ts", "event_id"], window_size=5,
                                        segment=time_segment("ts", DAY_S))
     return out.select("event_id", "user_id", r6("score").alias("score"))
+
+
+# --------------------------------------------------------------------------
+# entities (F1–F4, PF5, PF7, T5–T7, A5)
+# --------------------------------------------------------------------------
+from .functions import entities as FE  # noqa: E402
+from .operators import entities as OE  # noqa: E402
+
+# A text per customer that carries every entity shape, built with SQL that
+# Spark and DuckDB evaluate identically (ids derived from the row's keys).
+CUSTOMER_TEXT_SQL = (
+    "concat('User arn:aws:iam::', lpad(CAST(c_custkey AS STRING), 12, '0'), ':user/u', "
+    "CAST(c_custkey AS STRING), ' from ', CAST(c_custkey % 256 AS STRING), '.', "
+    "CAST(c_nationkey AS STRING), '.', CAST((c_custkey * 7) % 300 AS STRING), '.', "
+    "CAST(c_custkey % 97 AS STRING), ' assumed arn:aws:sts::', "
+    "lpad(CAST(c_nationkey AS STRING), 12, '0'), ':assumed-role/R', CAST(c_nationkey AS STRING), "
+    "'/s', CAST(c_custkey AS STRING), ' in vpc-', printf('%08x', c_custkey * 40503), "
+    "' subnet-', printf('%010x', c_custkey * 7919), ' eni-', printf('%08x', c_custkey + 305419896), "
+    "' sg-', printf('%09x', c_custkey * 31), ' key arn:aws:kms:us-east-1:', "
+    "lpad(CAST(c_custkey AS STRING), 12, '0'), ':key/', printf('%08x', c_custkey), '-1234-abcd-9876-', "
+    "printf('%012x', c_custkey * 65537), ' bucket s3://logs-', lower(c_mktsegment), "
+    "' again ', CAST(c_custkey % 256 AS STRING), '.1.2.3 ', c_name)")
+
+
+def _duck_entity_sql(src_sql: str, threshold: float = 0.7) -> str:
+    """DuckDB formulation of text extraction (RE2, ASCII classes) for ``src(rid, text)``."""
+    sel = []
+    for ti, t in enumerate(FE.ENTITY_TYPES):
+        for pi, p in enumerate(FE.ENTITY_PATTERNS[t]):
+            rp = "(?i)" + p.replace("'", "''")
+            sel.append(f"SELECT rid, text, '{t}' AS entity_type, {ti} AS ti, {pi} AS pi, "
+                       f"regexp_extract_all(text, '{rp}') AS ms, "
+                       f"string_split_regex(text, '{rp}') AS segs FROM src")
+    union = "\n UNION ALL ".join(sel)
+    return f"""
+WITH src AS ({src_sql}),
+m AS ({union}),
+x AS (SELECT *, unnest(range(len(ms))) AS i FROM m WHERE len(ms) > 0),
+p AS (SELECT rid, text, entity_type, ti, pi, i, ms[i + 1] AS entity_id,
+             (coalesce(list_sum(list_transform(segs[1:i + 1], lambda s: length(s))), 0)
+             + coalesce(list_sum(list_transform(ms[1:i], lambda s: length(s))), 0))::BIGINT AS st
+      FROM x),
+q AS (SELECT *, st + length(entity_id) AS en,
+             CASE WHEN entity_type = 'iam_role_arn' AND starts_with(entity_id, 'arn:aws:') THEN 0.95
+                  WHEN entity_type = 'vpc_id' AND starts_with(entity_id, 'vpc-') THEN 0.9
+                  WHEN entity_type = 's3_bucket' AND length(entity_id) >= 3 THEN 0.85
+                  WHEN entity_type = 'kms_key_id' AND length(entity_id) = 36 THEN 0.9
+                  WHEN entity_type = 'ec2_instance_id' AND starts_with(entity_id, 'i-') THEN 0.9
+                  WHEN entity_type = 'ip_address' AND len(string_split(entity_id, '.')) = 4
+                       AND list_bool_and(list_transform(string_split(entity_id, '.'),
+                             lambda s: coalesce(TRY_CAST(s AS INTEGER) BETWEEN 0 AND 255, false)))
+                       THEN 0.95
+                  ELSE 0.7 END AS b0
+      FROM p),
+r AS (SELECT *, CASE WHEN length(entity_id) < 3 THEN b0 * 0.5 ELSE b0 END AS b1,
+             lower(substring(text, greatest(st - 50, 0) + 1, en + 50 - greatest(st - 50, 0))) AS ctx
+      FROM q),
+s AS (SELECT *, round(CASE
+          WHEN entity_type = 'iam_role_arn' AND (ctx LIKE '%role%' OR ctx LIKE '%user%'
+               OR ctx LIKE '%policy%' OR ctx LIKE '%arn%') THEN least(1.0, b1 + 0.05)
+          WHEN entity_type = 'ip_address' AND (ctx LIKE '%ip%' OR ctx LIKE '%address%'
+               OR ctx LIKE '%source%' OR ctx LIKE '%destination%') THEN least(1.0, b1 + 0.05)
+          ELSE b1 END, 3)::DOUBLE AS confidence,
+          substring(text, greatest(st - 20, 0) + 1, en + 20 - greatest(st - 20, 0)) AS context,
+          row_number() OVER (PARTITION BY rid, entity_type, entity_id ORDER BY ti, pi, i) AS occ
+      FROM r),
+k AS (SELECT * FROM s WHERE occ = 1 AND confidence >= {threshold})
+SELECT rid, entity_type, entity_id, confidence, context,
+       (row_number() OVER (PARTITION BY rid ORDER BY ti, pi, i) - 1)::INTEGER AS ord
+FROM k"""
+
+
+def _customer_texts(spark, sf):
+    return table(spark, sf, "customer").selectExpr("c_custkey AS rid", f"{CUSTOMER_TEXT_SQL} AS text")
+
+
+_CUST_SRC = f"SELECT c_custkey AS rid, {CUSTOMER_TEXT_SQL} AS text FROM customer"
+_DOC_SRC = "SELECT doc_id AS rid, text FROM documents"
+
+
+@register("entities_customer_text", _duck_entity_sql(_CUST_SRC))
+def q_entities_customer_text(spark, sf):
+    ents = OE.text_entities(_customer_texts(spark, sf), "text", keep=["rid"])
+    return ents.select("rid", "entity_type", "entity_id", "confidence", "context", "ord")
+
+
+@register("entities_documents_text", _duck_entity_sql(_DOC_SRC))
+def q_entities_documents_text(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("rid"), "text")
+    ents = OE.text_entities(docs, "text", keep=["rid"])
+    return ents.select("rid", "entity_type", "entity_id", "confidence", "context", "ord")
+
+
+@register("entities_customer_low_threshold", _duck_entity_sql(_CUST_SRC, 0.0))
+def q_entities_customer_low_threshold(spark, sf):
+    ents = OE.text_entities(_customer_texts(spark, sf), "text", keep=["rid"], confidence_threshold=0.0)
+    return ents.select("rid", "entity_type", "entity_id", "confidence", "context", "ord")
+
+
+@register("entities_batch_dedupe", f"""
+WITH e AS ({_duck_entity_sql(_CUST_SRC, 0.0)}),
+b AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id
+                                   ORDER BY confidence DESC, rid, ord) AS k FROM e)
+SELECT entity_type, entity_id, confidence, rid AS first_rid FROM b WHERE k = 1
+""")
+def q_entities_batch_dedupe(spark, sf):
+    ents = OE.text_entities(_customer_texts(spark, sf), "text", keep=["rid"], confidence_threshold=0.0)
+    best = OE.batch_dedupe(ents, order_cols=("rid", "ord"))
+    return best.select("entity_type", "entity_id", "confidence", F.col("rid").alias("first_rid"))
