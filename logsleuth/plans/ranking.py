@@ -66,6 +66,27 @@ def row_index(df: DataFrame, keys, order, segment: Column, name: str = "_rn",
     return out.drop("_seg", "_lrn", "_off")
 
 
+def running_total(df: DataFrame, keys, order, segment: Column, weight: Column, name: str,
+                  inclusive: bool = True) -> DataFrame:
+    """Running sum of ``weight`` per key under a total ``order`` (inclusive of
+    the current row unless ``inclusive=False``), same two-level plan as
+    :func:`row_index`: local window per (key, segment) + prefix over blocks."""
+    keys = list(keys)
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    seg = df.withColumn("_seg", segment).withColumn("_w", weight.cast("long"))
+    frame = (Window.partitionBy(*keys, "_seg").orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    local = seg.withColumn("_lsum", F.coalesce(F.sum("_w").over(frame), F.lit(0)))
+    blocks = seg.groupBy(*keys, "_seg").agg(F.sum("_w").alias("_bs"))
+    w = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
+    blocks = blocks.withColumn(
+        "_off",
+        F.coalesce(F.sum("_bs").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = join_on(local, blocks.drop("_bs"), keys + ["_seg"])
+    out = out.withColumn(name, F.col("_off") + F.col("_lsum"))
+    return out.drop("_seg", "_w", "_lsum", "_off")
+
+
 def running_count(df: DataFrame, keys, order, segment: Column, name: str) -> DataFrame:
     """Inclusive running count of rows per key under a total ``order``."""
     tmp = f"__{name}_rn"

@@ -278,3 +278,217 @@ def q_entities_batch_dedupe(spark, sf):
     ents = OE.text_entities(_customer_texts(spark, sf), "text", keep=["rid"], confidence_threshold=0.0)
     best = OE.batch_dedupe(ents, order_cols=("rid", "ord"))
     return best.select("entity_type", "entity_id", "confidence", F.col("rid").alias("first_rid"))
+
+
+# --------------------------------------------------------------------------
+# behavioural engine (A3, A4, A8, A9, W3–W6, J2, J3, J5–J7, U1, PF21)
+# --------------------------------------------------------------------------
+from .operators import behavior as B  # noqa: E402
+
+# Role mapping of the driver events: entity = user, action = event_type,
+# source = props.k, region = k % 4.  Escalation patterns over event types
+# (parameters of the operator; the audit-log defaults are in behavior.py).
+EVENT_PATTERNS = {
+    "signup_to_purchase": (["signup", "purchase"], 8.0),
+    "error_then_purchase": (["error", "click", "purchase"], 9.0),
+    "browse_and_buy": (["view", "click", "purchase"], 7.5),
+}
+
+
+def events_as_audit(spark, sf):
+    ev = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    uid = F.col("user_id").cast("string")
+    return ev.select(
+        "event_id", "ts", F.col("event_type").alias("action"), k.alias("source"),
+        (k.cast("long") % 4).cast("string").alias("region"), uid.alias("user_key"),
+        F.array(F.struct(F.lit("user").alias("entity_type"), uid.alias("entity_id"))).alias("entities"))
+
+
+def events_entity_rows(spark, sf):
+    a = events_as_audit(spark, sf)
+    return a.select("event_id", "ts", "action", "source", "region", F.lit(0).alias("ent_ord"),
+                    F.lit("user").alias("entity_type"), F.col("user_key").alias("entity_id"))
+
+
+_EE_SQL = """ee AS (SELECT event_id, ts, 'user' AS entity_type, CAST(user_id AS VARCHAR) AS entity_id,
+                 event_type AS action, json_extract_string(props, '$.k') AS source,
+                 CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS VARCHAR) AS region,
+                 hour(ts) AS hr FROM events)"""
+
+
+def _hist_str(m):
+    return F.concat_ws(",", F.transform(F.map_entries(m), lambda e: F.concat_ws(
+        ":", e["key"].cast("string"), e["value"].cast("string"))))
+
+
+@register("behavior_profiles_events", f"""
+WITH {_EE_SQL},
+b AS (SELECT entity_type, entity_id, count(*) AS total_events, min(ts) AS first_seen, max(ts) AS last_seen,
+             string_agg(DISTINCT action, ',' ORDER BY action) AS actions,
+             count(DISTINCT source) AS n_sources FROM ee GROUP BY ALL),
+h AS (SELECT entity_id, string_agg(hr || ':' || c, ',' ORDER BY hr) AS hours
+      FROM (SELECT entity_id, hr, count(*) AS c FROM ee GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT entity_id, string_agg(region || ':' || c, ',' ORDER BY region) AS regions
+      FROM (SELECT entity_id, region, count(*) AS c FROM ee GROUP BY ALL) GROUP BY ALL)
+SELECT * FROM b JOIN h USING (entity_id) JOIN g USING (entity_id)
+""")
+def q_behavior_profiles_events(spark, sf):
+    p = B.entity_profiles(events_entity_rows(spark, sf))
+    return p.select("entity_type", "entity_id", "total_events", "first_seen", "last_seen",
+                    F.concat_ws(",", "unique_actions").alias("actions"), "n_sources",
+                    _hist_str(F.col("time_patterns")).alias("hours"),
+                    _hist_str(F.col("geo_patterns")).alias("regions"))
+
+
+def _duck_behavior(mode: str, min_events: int = 10) -> str:
+    if mode == "parity":
+        n, hc = "n_incl", "h_incl"
+        extra = ""
+    else:
+        n, hc = "(n_incl - 1)", "(h_incl - 1)"
+        extra = f"""
+UNION ALL
+SELECT event_id, entity_id, 'behavioral_deviation' AS anomaly_type,
+       CASE WHEN action IN ({",".join("'" + a + "'" for a in B.HIGH_RISK_ACTIONS)}) THEN 9.0
+            WHEN action IN ({",".join("'" + a + "'" for a in B.MEDIUM_RISK_ACTIONS)}) THEN 6.0
+            ELSE 4.0 END AS score, 0.7 AS confidence,
+       'New action: ' || action || ' | No historical precedent' AS factors
+FROM c WHERE {n} >= {min_events} AND a_incl = 1
+UNION ALL
+SELECT event_id, entity_id, 'behavioral_deviation', 6.0, 0.6,
+       'New source IP: ' || source || ' | No historical precedent'
+FROM c WHERE {n} >= {min_events} AND source IS NOT NULL AND source <> '' AND s_incl = 1"""
+    return f"""
+WITH {_EE_SQL},
+c AS (SELECT *,
+        count(*) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_incl,
+        count(*) OVER (PARTITION BY entity_id, hr ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS h_incl,
+        count(*) OVER (PARTITION BY entity_id, action ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a_incl,
+        count(*) OVER (PARTITION BY entity_id, source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s_incl
+      FROM ee),
+r AS (
+SELECT event_id, entity_id, 'time_pattern_anomaly' AS anomaly_type,
+       least(8.0 - 100.0 * {hc} / {n}, 10.0) AS score, 0.8 AS confidence,
+       printf('Unusual activity hour: %02d:00', hr) || ' | ' ||
+       printf('Historical frequency: %.1f%%', 100.0 * {hc} / {n}) AS factors
+FROM c WHERE {n} >= {min_events} AND {n} > 0 AND {hc} * 1.0 / {n} < 0.05 AND {hc} < 2{extra})
+SELECT event_id, entity_id, anomaly_type, round(score, 6) AS score, confidence, factors FROM r"""
+
+
+def _behavior_q(mode):
+    def q(spark, sf):
+        a = B.behavioral_anomalies(events_entity_rows(spark, sf), mode=mode)
+        return a.select("event_id", "entity_id", "anomaly_type", r6("score").alias("score"),
+                        "confidence", F.concat_ws(" | ", "factors").alias("factors"))
+    return q
+
+
+register("behavior_parity_events", _duck_behavior("parity"))(_behavior_q("parity"))
+register("behavior_prior_events", _duck_behavior("prior"))(_behavior_q("prior"))
+
+
+def orders_with_part_entities(spark, sf):
+    """Events = orders; entities = distinct (brand, part) of its lines in line order."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    pt = table(spark, sf, "part").select("p_partkey", "p_brand")
+    lp = li.join(pt, li.l_partkey == pt.p_partkey)
+    ent = lp.groupBy("l_orderkey", "p_brand", "l_partkey").agg(F.min("l_linenumber").alias("ln"))
+    per = ent.groupBy("l_orderkey").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("ln", "p_brand", "l_partkey"))),
+        lambda s: F.struct(s["p_brand"].alias("entity_type"),
+                           s["l_partkey"].cast("string").alias("entity_id"))).alias("entities"))
+    od = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"),
+                                           F.col("o_orderdate").alias("ts"),
+                                           F.col("o_orderpriority").alias("action"))
+    return od.join(per, od.event_id == per.l_orderkey, "left").drop("l_orderkey").withColumn(
+        "entities", F.coalesce("entities", F.array().cast(
+            "array<struct<entity_type:string,entity_id:string>>")))
+
+
+_ORDER_PAIRS_SQL = """
+li AS (SELECT l_orderkey, p_brand AS t, CAST(l_partkey AS VARCHAR) AS id, min(l_linenumber) AS ln
+       FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+en AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln) AS pos FROM li),
+ne AS (SELECT l_orderkey, count(*) AS k FROM en GROUP BY ALL),
+ev AS (SELECT o_orderkey AS event_id, o_orderdate AS ts, coalesce(k, 0) AS k,
+              sum(CASE WHEN coalesce(k, 0) >= 2 THEN 1 ELSE 0 END)
+                OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS total
+       FROM orders LEFT JOIN ne ON l_orderkey = o_orderkey),
+pr AS (SELECT a.l_orderkey AS event_id, least(a.t, b.t) AS t1, greatest(a.t, b.t) AS t2, count(*) AS m
+       FROM en a JOIN en b ON a.l_orderkey = b.l_orderkey AND a.pos < b.pos GROUP BY ALL),
+pc AS (SELECT pr.*, ev.ts, ev.total,
+              sum(m) OVER (PARTITION BY t1, t2 ORDER BY ev.ts, pr.event_id ROWS UNBOUNDED PRECEDING) AS cnt
+       FROM pr JOIN ev USING (event_id))"""
+
+
+@register("behavior_rare_pairs_orders", f"""
+WITH {_ORDER_PAIRS_SQL},
+hit AS (SELECT *, cnt * 1.0 / total AS f FROM pc WHERE total >= 100 AND cnt * 1.0 / total < 0.01)
+SELECT event_id, t1 || '+' || t2 AS entity_id, round(least(10.0 * (1 - f / 0.01), 10.0), 6) AS score,
+       round(1 - f, 6) AS baseline_deviation,
+       printf('Frequency: %.4f', f) AS freq_factor
+FROM hit, range(m)
+""")
+def q_behavior_rare_pairs_orders(spark, sf):
+    ev = orders_with_part_entities(spark, sf)
+    r = B.rare_combinations(ev)
+    return r.select("event_id", "entity_id", r6("score").alias("score"),
+                    r6("baseline_deviation").alias("baseline_deviation"),
+                    F.col("factors")[1].alias("freq_factor"))
+
+
+@register("behavior_combination_counts_orders", """
+WITH li AS (SELECT l_orderkey, p_brand AS t, CAST(l_partkey AS VARCHAR) AS id, min(l_linenumber) AS ln
+            FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+en AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln) AS pos,
+              count(*) OVER (PARTITION BY l_orderkey) AS k FROM li),
+ev AS (SELECT en.*, o_orderpriority AS a FROM en JOIN orders ON o_orderkey = l_orderkey WHERE k >= 2),
+fam AS (
+  SELECT 'types' AS family, printf('(''%s'', ''%s'')', least(x.t, y.t), greatest(x.t, y.t)) AS key
+  FROM ev x JOIN ev y ON x.l_orderkey = y.l_orderkey AND x.pos < y.pos
+  UNION ALL SELECT 'action', t || ':' || a FROM ev
+  UNION ALL SELECT 'entity_action', id || ':' || a FROM ev)
+SELECT family, key, count(*) AS count FROM fam GROUP BY ALL
+""")
+def q_behavior_combination_counts_orders(spark, sf):
+    return B.combination_counts(orders_with_part_entities(spark, sf))
+
+
+def _duck_escalation(lookback_minutes: int) -> str:
+    look = lookback_minutes * 60 * 1_000_000
+    pats = []
+    for rank, (name, (acts, base)) in enumerate(EVENT_PATTERNS.items()):
+        lst = ", ".join(f"'{a}'" for a in acts)
+        pats.append(f"SELECT {rank} AS prank, '{name}' AS pname, [{lst}] AS pacts, {base} AS base")
+    return f"""
+WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_type AS act, epoch_us(ts) AS t FROM events),
+w AS (SELECT a.event_id, a.u, a.t,
+             list(b.act ORDER BY b.t, b.event_id) AS acts
+      FROM e a JOIN e b ON a.u = b.u AND b.t > a.t - {look}
+           AND (b.t < a.t OR (b.t = a.t AND b.event_id <= a.event_id))
+      GROUP BY ALL),
+p AS ({" UNION ALL ".join(pats)})
+SELECT w.event_id, w.u AS entity_id, pname,
+       least(base + CASE WHEN len(acts) >= 3 THEN 1.0 ELSE 0.0 END, 10.0) AS score,
+       'Recent actions: [' || array_to_string(list_transform(
+           acts[greatest(len(acts) - 4, 1):len(acts)], lambda x: '''' || x || ''''), ', ') || ']'
+         AS recent
+FROM w, p WHERE list_has_all(acts, pacts)
+"""
+
+
+def _escalation_q(lookback_minutes):
+    def q(spark, sf):
+        a = events_as_audit(spark, sf)
+        r = B.privilege_escalation(a, "user_key", "action", EVENT_PATTERNS, lookback_minutes)
+        return r.select("event_id", "entity_id",
+                        F.regexp_replace(F.col("factors")[0], "^Privilege escalation pattern: ", ""
+                                         ).alias("pname"),
+                        "score", F.regexp_replace(F.col("factors")[1], "^Recent actions: ", "Recent actions: "
+                                                  ).alias("recent"))
+    return q
+
+
+register("behavior_escalation_events_24h", _duck_escalation(1440))(_escalation_q(1440))
+register("behavior_escalation_events_30m", _duck_escalation(30))(_escalation_q(30))
