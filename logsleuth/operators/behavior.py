@@ -322,11 +322,13 @@ def weighted_scores(anomalies: DataFrame, threshold: float = 5.0,
     """J3 + PF21: weight by anomaly type (literal map, default 1.0), clamp to
     10, flag ``weighted >= threshold``."""
     w = _lit_map(DETECTOR_WEIGHTS if weights is None else weights)
-    weighted = F.col("score") * F.coalesce(F.element_at(w, F.col("anomaly_type")), F.lit(1.0))
-    return (anomalies.withColumn("raw_score", F.col("score"))
-                     .withColumn("score", F.least(weighted, F.lit(10.0)))
+    weighted = F.col("raw_score") * F.coalesce(F.element_at(w, F.col("anomaly_type")), F.lit(1.0))
+    return (anomalies.withColumnRenamed("score", "raw_score")
+                     .withColumn("_wt", weighted)
+                     .withColumn("score", F.least(F.col("_wt"), F.lit(10.0)))
                      .withColumn("threshold", F.lit(float(threshold)))
-                     .withColumn("is_anomaly", weighted >= F.lit(float(threshold))))
+                     .withColumn("is_anomaly", F.col("_wt") >= F.lit(float(threshold)))
+                     .drop("_wt"))
 
 
 def aggregate_scores(events: DataFrame, scored: DataFrame, id_col: str = "event_id") -> DataFrame:
@@ -342,8 +344,13 @@ def aggregate_scores(events: DataFrame, scored: DataFrame, id_col: str = "event_
                                s["anomaly_type"].alias("anomaly_type"))).alias("anomaly_scores"))
     mult = F.when(F.col("n_anomalies") > 1, F.lit(1.0) + (F.col("n_anomalies") - 1) * 0.2).otherwise(1.0)
     out = events.join(per, id_col, "left")
+    empty = F.array().cast("array<struct<score:double,factors:array<string>,threshold:double,"
+                           "is_anomaly:boolean,anomaly_type:string>>")
+    # least() skips NULLs, so "no scores" must be tested explicitly
     return (out.withColumn("aggregate_score",
-                           F.coalesce(F.least(F.col("_max") * mult, F.lit(10.0)), F.lit(0.0)))
+                           F.when(F.col("_max").isNull(), F.lit(0.0))
+                            .otherwise(F.least(F.col("_max") * mult, F.lit(10.0))))
+               .withColumn("anomaly_scores", F.coalesce("anomaly_scores", empty))
                .withColumn("n_anomalies", F.coalesce("n_anomalies", F.lit(0)))
                .withColumn("n_scores", F.coalesce("n_scores", F.lit(0)))
                .drop("_max"))

@@ -39,11 +39,13 @@ def value_bucket(v: Column) -> Column:
              .otherwise(-mag.cast("long")))
 
 
-def exact_median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
-    """One row per key with the interpolating median of non-null ``value``.
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
+    """One row per key with exact linearly interpolated quantiles of non-null
+    ``value``: ``probs`` maps output column -> probability in [0, 1].
 
-    Even counts average the two middle values ((a + b) / 2, as numpy does).
-    NaN ranks above every number, as in Spark and numpy.
+    Quantile p sits at 0-based position p (n - 1); the two neighbouring order
+    statistics are located through the bucket histogram and interpolated
+    as ``lo + (hi - lo) * frac`` (the median, frac = 0.5, as ``(lo + hi) / 2``).
     """
     keys = list(keys)
     base = (df.select(*keys, F.col(value).cast("double").alias("_v"))
@@ -55,12 +57,17 @@ def exact_median(df: DataFrame, keys, value: str, name: str = "median") -> DataF
     hist = (hist.withColumn("_n", F.sum("_c").over(wk))
                 .withColumn("_cum", F.sum("_c").over(wc.rowsBetween(Window.unboundedPreceding, 0))))
     hist = hist.withColumn("_before", F.col("_cum") - F.col("_c"))
-    # middle ranks (0-based): lo = (n-1) div 2, hi = n div 2
-    targets = None
-    for tag, rank in (("lo", F.floor((F.col("_n") - 1) / 2)), ("hi", F.floor(F.col("_n") / 2))):
-        t = (hist.where((F.col("_before") <= rank) & (rank < F.col("_cum")))
-                 .select(*keys, "_b", (rank - F.col("_before")).alias("_r"), F.lit(tag).alias("_t")))
-        targets = t if targets is None else targets.unionByName(t)
+    specs = []
+    for qi, (name, p) in enumerate(probs.items()):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            specs.append(F.struct(F.lit(f"{qi}_{side}").alias("_t"), rank.cast("long").alias("_rank"),
+                                  (pos - F.floor(pos)).alias("_frac")))
+    # one pass over the histogram: every (quantile, side) as an exploded spec
+    targets = (hist.select(*keys, "_b", "_before", "_cum", F.explode(F.array(*specs)).alias("_s"))
+                   .select(*keys, "_b", "_before", "_cum", "_s.*")
+                   .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
+                   .select(*keys, "_b", (F.col("_rank") - F.col("_before")).alias("_r"), "_t", "_frac"))
     tb = targets.select(*keys, "_b").distinct()
     cand = join_on(base, tb, keys + ["_b"])
     dist = cand.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_k"))
@@ -69,9 +76,25 @@ def exact_median(df: DataFrame, keys, value: str, name: str = "median") -> DataF
     dist = dist.withColumn("_lo", F.col("_hi") - F.col("_k"))
     picked = join_on(dist, targets, keys + ["_b"]).where(
         (F.col("_lo") <= F.col("_r")) & (F.col("_r") < F.col("_hi")))
-    return picked.groupBy(*keys).agg(
-        ((F.max(F.when(F.col("_t") == "lo", F.col("_v")))
-          + F.max(F.when(F.col("_t") == "hi", F.col("_v")))) / 2).alias(name))
+    aggs = []
+    for qi, (name, p) in enumerate(probs.items()):
+        lo = F.max(F.when(F.col("_t") == f"{qi}_lo", F.col("_v")))
+        hi = F.max(F.when(F.col("_t") == f"{qi}_hi", F.col("_v")))
+        frac = F.max(F.when(F.col("_t") == f"{qi}_lo", F.col("_frac")))
+        if float(p) == 0.5:
+            aggs.append(((lo + hi) / 2).alias(name))
+        else:
+            aggs.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(name))
+    return picked.groupBy(*keys).agg(*aggs)
+
+
+def exact_median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
+    """One row per key with the interpolating median of non-null ``value``.
+
+    Even counts average the two middle values ((a + b) / 2, as numpy does).
+    NaN ranks above every number, as in Spark and numpy.
+    """
+    return exact_quantiles(df, keys, value, {name: 0.5})
 
 
 def median_col_from_sorted_array(arr: Column) -> Column:

@@ -31,7 +31,9 @@ def get_spark(master: str | None = None, app: str = "logsleuth",
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = (builder.config("spark.ui.enabled", "false")
+                      .config("spark.ui.showConsoleProgress", "false")
+                      .config("spark.driver.memory", os.environ.get("LOGSLEUTH_DRIVER_MEMORY", "16g")))
     for k, v in (extra_conf or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

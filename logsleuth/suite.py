@@ -492,3 +492,311 @@ def _escalation_q(lookback_minutes):
 
 register("behavior_escalation_events_24h", _duck_escalation(1440))(_escalation_q(1440))
 register("behavior_escalation_events_30m", _duck_escalation(30))(_escalation_q(30))
+
+
+# --------------------------------------------------------------------------
+# engine + analyst reports (U1, J3, PF21, A8, A9, PF12–PF15, A11–A16, A21,
+# A25, A26, SL1–SL3, J11, J14) — the events table scored in "prior" mode
+# --------------------------------------------------------------------------
+from .operators import analysis as AN  # noqa: E402
+
+ENGINE_THRESHOLD = 2.5
+ENGINE_LOOKBACK_MIN = 1440
+
+
+def scored_events(spark, sf):
+    a = events_as_audit(spark, sf)
+    sc = B.score_events(a, mode="prior", threshold=ENGINE_THRESHOLD, patterns=EVENT_PATTERNS,
+                        lookback_minutes=ENGINE_LOOKBACK_MIN)
+    base = a.select("event_id", "ts", F.col("user_key").alias("user"), "action",
+                    F.col("source").alias("source_ip"), "region", "entities",
+                    F.lit(None).cast("string").alias("user_arn"),
+                    F.lit(None).cast("string").alias("user_agent"))
+    return B.aggregate_scores(base, sc)
+
+
+def _duck_engine_ctes() -> str:
+    hi = ",".join("'" + a + "'" for a in B.HIGH_RISK_ACTIONS)
+    md = ",".join("'" + a + "'" for a in B.MEDIUM_RISK_ACTIONS)
+    look = ENGINE_LOOKBACK_MIN * 60 * 1_000_000
+    pats = " UNION ALL ".join(
+        f"SELECT {r} AS prank, '{n}' AS pname, [{', '.join(repr(a) for a in acts)}] AS pacts, {b} AS base"
+        for r, (n, (acts, b)) in enumerate(EVENT_PATTERNS.items()))
+    return f"""{_EE_SQL},
+c AS (SELECT *,
+        count(*) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS n,
+        count(*) OVER (PARTITION BY entity_id, hr ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS hc,
+        count(*) OVER (PARTITION BY entity_id, action ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a_incl,
+        count(*) OVER (PARTITION BY entity_id, source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s_incl
+      FROM ee),
+beh AS (
+  SELECT event_id, 'time_pattern_anomaly' AS anomaly_type, least(8.0 - 100.0 * hc / n, 10.0) AS score,
+         0 AS det_rank, 0 AS sub_rank,
+         [printf('Unusual activity hour: %02d:00', hr),
+          'Historical frequency: ' || printf('%.1f', 100.0 * hc / n) || '%'] AS factors
+  FROM c WHERE n >= 10 AND hc * 1.0 / n < 0.05 AND hc < 2
+  UNION ALL
+  SELECT event_id, 'behavioral_deviation',
+         CASE WHEN action IN ({hi}) THEN 9.0 WHEN action IN ({md}) THEN 6.0 ELSE 4.0 END, 0, 1,
+         ['New action: ' || action, 'No historical precedent']
+  FROM c WHERE n >= 10 AND a_incl = 1
+  UNION ALL
+  SELECT event_id, 'behavioral_deviation', 6.0, 0, 2, ['New source IP: ' || source, 'No historical precedent']
+  FROM c WHERE n >= 10 AND source IS NOT NULL AND source <> '' AND s_incl = 1),
+e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_type AS act, epoch_us(ts) AS t FROM events),
+w AS (SELECT a.event_id, list(b.act ORDER BY b.t, b.event_id) AS acts
+      FROM e a JOIN e b ON a.u = b.u AND b.t > a.t - {look}
+           AND (b.t < a.t OR (b.t = a.t AND b.event_id <= a.event_id))
+      GROUP BY ALL),
+p AS ({pats}),
+esc AS (SELECT w.event_id, 'privilege_escalation' AS anomaly_type,
+               least(base + CASE WHEN len(acts) >= 3 THEN 1.0 ELSE 0.0 END, 10.0) AS score,
+               2 AS det_rank, prank AS sub_rank,
+               ['Privilege escalation pattern: ' || pname,
+                'Recent actions: [' || array_to_string(list_transform(
+                    acts[greatest(len(acts) - 4, 1):len(acts)], lambda x: '''' || x || ''''), ', ') || ']']
+                 AS factors
+        FROM w, p WHERE list_has_all(acts, pacts)),
+allr AS (SELECT * FROM beh UNION ALL SELECT * FROM esc),
+sw AS (SELECT *, least(wt, 10.0) AS score_w, wt >= {ENGINE_THRESHOLD} AS is_anom
+       FROM (SELECT *, score * CASE anomaly_type WHEN 'behavioral_deviation' THEN 0.3
+                                   WHEN 'time_pattern_anomaly' THEN 0.2
+                                   WHEN 'privilege_escalation' THEN 0.4 ELSE 1.0 END AS wt FROM allr)),
+agg AS (SELECT ev.event_id, ev.ts, CAST(ev.user_id AS VARCHAR) AS "user", ev.event_type AS action,
+               json_extract_string(ev.props, '$.k') AS source_ip,
+               CASE WHEN max(score_w) IS NULL THEN 0.0
+                    ELSE least(max(score_w) * CASE WHEN count_if(is_anom) > 1
+                                                   THEN 1 + 0.2 * (count_if(is_anom) - 1) ELSE 1 END, 10.0)
+               END AS aggregate_score,
+               coalesce(count_if(is_anom), 0) AS n_anomalies, count(sw.event_id) AS n_scores,
+               max(CASE WHEN is_anom THEN score_w END) AS max_flagged,
+               coalesce(flatten(list(factors ORDER BY det_rank, sub_rank) FILTER (WHERE is_anom)), [])
+                 AS flagged_factors,
+               coalesce(flatten(list(factors ORDER BY det_rank, sub_rank) FILTER (WHERE sw.event_id IS NOT NULL)), [])
+                 AS all_factors
+        FROM events ev LEFT JOIN sw USING (event_id) GROUP BY ev.event_id, ev.ts, ev.user_id,
+             ev.event_type, ev.props),
+an AS (SELECT * FROM agg WHERE aggregate_score >= {ENGINE_THRESHOLD})"""
+
+
+def _dq(select_sql: str) -> str:
+    return f"WITH {_duck_engine_ctes()}\n{select_sql}"
+
+
+@register("engine_aggregate_events", _dq(
+    "SELECT event_id, round(aggregate_score, 6) AS aggregate_score, n_anomalies, n_scores FROM agg"))
+def q_engine_aggregate_events(spark, sf):
+    s = scored_events(spark, sf)
+    return s.select("event_id", r6("aggregate_score").alias("aggregate_score"), "n_anomalies", "n_scores")
+
+
+@register("engine_weighted_scores_events", _dq("""
+SELECT event_id, anomaly_type, round(score_w, 6) AS score, is_anom AS is_anomaly,
+       array_to_string(factors, ' | ') AS factors FROM sw"""))
+def q_engine_weighted_scores_events(spark, sf):
+    a = events_as_audit(spark, sf)
+    sc = B.score_events(a, mode="prior", threshold=ENGINE_THRESHOLD, patterns=EVENT_PATTERNS,
+                        lookback_minutes=ENGINE_LOOKBACK_MIN)
+    return sc.select("event_id", "anomaly_type", r6("score").alias("score"), "is_anomaly",
+                     F.concat_ws(" | ", "factors").alias("factors"))
+
+
+@register("engine_summary_orders", f"""
+WITH {_ORDER_PAIRS_SQL},
+fam AS (SELECT 'types' AS f, t1 || t2 AS k FROM pr
+        UNION ALL SELECT 'action', en.t || ':' || o_orderpriority FROM en JOIN ne USING (l_orderkey)
+             JOIN orders ON o_orderkey = en.l_orderkey WHERE ne.k >= 2
+        UNION ALL SELECT 'entity_action', en.id || ':' || o_orderpriority FROM en JOIN ne USING (l_orderkey)
+             JOIN orders ON o_orderkey = en.l_orderkey WHERE ne.k >= 2)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT t, id FROM en)) AS total_entity_profiles,
+       (SELECT count(*) FROM ev WHERE k >= 2) AS total_combinations_observed,
+       (SELECT count(DISTINCT o_custkey) FROM orders) AS active_users_tracked,
+       (SELECT count(*) FROM (SELECT DISTINCT f, k FROM fam)) AS unique_combinations
+""")
+def q_engine_summary_orders(spark, sf):
+    ev = orders_with_part_entities(spark, sf)
+    od = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"),
+                                           F.col("o_custkey").cast("string").alias("user_key"))
+    ev = ev.join(od, "event_id")
+    return B.scoring_summary(ev)
+
+
+@register("analysis_anomaly_summary_events", _dq("""
+SELECT event_id, "user", action, round(aggregate_score, 6) AS aggregate_score,
+       round(greatest(0.0, coalesce(max_flagged, 0.0)), 6) AS max_individual_score,
+       len(flagged_factors) AS num_anomaly_factors,
+       CASE WHEN len(flagged_factors) > 0 THEN array_to_string(flagged_factors[1:3], '; ')
+            ELSE 'Unknown' END AS factors,
+       hour(ts) AS hour, dayname(ts) AS day_of_week
+FROM an"""))
+def q_analysis_anomaly_summary_events(spark, sf):
+    s = AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD)
+    return s.select("event_id", "user", "action", r6("aggregate_score").alias("aggregate_score"),
+                    r6("max_individual_score").alias("max_individual_score"), "num_anomaly_factors",
+                    "factors", "hour", "day_of_week")
+
+
+@register("analysis_by_user_events", _dq("""
+SELECT "user", count(*) AS count, round(avg(aggregate_score), 2) AS avg_score FROM an GROUP BY ALL"""))
+def q_analysis_by_user_events(spark, sf):
+    return AN.anomalies_by(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), "user")
+
+
+@register("analysis_by_hour_events", _dq("""
+SELECT hour(ts) AS hour, count(*) AS count, round(avg(aggregate_score), 2) AS avg_score FROM an GROUP BY ALL"""))
+def q_analysis_by_hour_events(spark, sf):
+    return AN.anomalies_by(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), "hour")
+
+
+@register("analysis_top_actions_events", _dq("""
+SELECT action, count(*) AS count FROM an GROUP BY ALL ORDER BY count DESC, action LIMIT 10"""))
+def q_analysis_top_actions_events(spark, sf):
+    return AN.top_counts(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), "action", 10)
+
+
+@register("analysis_top_sources_events", _dq("""
+SELECT source_ip, count(*) AS count FROM an GROUP BY ALL ORDER BY count DESC, source_ip LIMIT 10"""))
+def q_analysis_top_sources_events(spark, sf):
+    return AN.top_counts(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), "source_ip", 10)
+
+
+@register("analysis_top_anomalies_events", _dq("""
+SELECT event_id, "user", round(aggregate_score, 6) AS aggregate_score FROM an
+ORDER BY aggregate_score DESC, ts, event_id LIMIT 10"""))
+def q_analysis_top_anomalies_events(spark, sf):
+    t = AN.top_anomalies(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), 10)
+    return t.select("event_id", "user", r6("aggregate_score").alias("aggregate_score"))
+
+
+@register("analysis_histogram_events", _dq("""
+SELECT * FROM (
+  WITH r AS (SELECT CASE WHEN min(aggregate_score) = max(aggregate_score) THEN min(aggregate_score) - 0.5
+                         ELSE min(aggregate_score) END AS l,
+                    CASE WHEN min(aggregate_score) = max(aggregate_score) THEN max(aggregate_score) + 0.5
+                         ELSE max(aggregate_score) END AS h FROM an),
+  b AS (SELECT least(floor((aggregate_score - l) / ((h - l) / 20)), 19)::INTEGER AS bin FROM an, r),
+  bins AS (SELECT range::INTEGER AS bin FROM range(20))
+  SELECT bins.bin, round(l + bins.bin * (h - l) / 20, 6) AS bin_start,
+         round(l + (bins.bin + 1) * (h - l) / 20, 6) AS bin_end, count(b.bin) AS count
+  FROM bins CROSS JOIN r LEFT JOIN b ON b.bin = bins.bin GROUP BY ALL)"""))
+def q_analysis_histogram_events(spark, sf):
+    h = AN.score_histogram(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), 20)
+    return h.select("bin", r6("bin_start").alias("bin_start"), r6("bin_end").alias("bin_end"), "count")
+
+
+@register("analysis_metrics_events", _dq(f"""
+SELECT count(*) AS total_events, count_if(aggregate_score >= {ENGINE_THRESHOLD}) AS detected_anomalies,
+       round(count_if(aggregate_score >= {ENGINE_THRESHOLD}) / count(*), 6) AS detection_rate,
+       round(avg(aggregate_score), 6) AS mean_score, round(stddev_pop(aggregate_score), 6) AS std_score,
+       round(median(aggregate_score), 6) AS median_score, round(max(aggregate_score), 6) AS max_score,
+       round(min(aggregate_score), 6) AS min_score,
+       count_if(aggregate_score >= {ENGINE_THRESHOLD}) AS scores_above_threshold,
+       round(quantile_cont(aggregate_score, 0.95), 6) AS score_95th_percentile,
+       round(quantile_cont(aggregate_score, 0.99), 6) AS score_99th_percentile,
+       CASE WHEN count_if(aggregate_score >= {ENGINE_THRESHOLD}) / count(*) > 0.10 THEN 'raise_threshold'
+            WHEN count_if(aggregate_score >= {ENGINE_THRESHOLD}) / count(*) < 0.01 THEN 'lower_threshold'
+            ELSE 'well_calibrated' END AS rate_verdict,
+       CASE WHEN stddev_pop(aggregate_score) < 1.0 THEN 'low_variance' ELSE 'good_variance' END
+         AS variance_verdict
+FROM agg"""))
+def q_analysis_metrics_events(spark, sf):
+    m = AN.detection_metrics(scored_events(spark, sf), ENGINE_THRESHOLD)
+    dbl = ["detection_rate", "mean_score", "std_score", "median_score", "max_score", "min_score",
+           "score_95th_percentile", "score_99th_percentile"]
+    return m.select("total_events", "detected_anomalies", "scores_above_threshold",
+                    *[r6(c).alias(c) for c in dbl], "rate_verdict", "variance_verdict")
+
+
+@register("analysis_threshold_sweep_events", _dq("""
+SELECT * FROM (
+  WITH th AS (SELECT (1.0 + 0.5 * range)::DOUBLE AS threshold FROM range(18))
+  SELECT threshold, count_if(aggregate_score >= threshold) AS anomaly_count,
+         round(count_if(aggregate_score >= threshold) / count(*), 6) AS anomaly_rate,
+         round(avg(aggregate_score), 6) AS avg_score
+  FROM th CROSS JOIN agg GROUP BY threshold)"""))
+def q_analysis_threshold_sweep_events(spark, sf):
+    s = AN.threshold_sweep(scored_events(spark, sf))
+    return s.select("threshold", "anomaly_count", r6("anomaly_rate").alias("anomaly_rate"),
+                    r6("avg_score").alias("avg_score"))
+
+
+@register("analysis_threshold_recommendation_events", _dq("""
+SELECT * FROM (
+  WITH th AS (SELECT (1.0 + 0.5 * range)::DOUBLE AS threshold FROM range(18)),
+  s AS (SELECT threshold, count_if(aggregate_score >= threshold) AS anomaly_count,
+               count_if(aggregate_score >= threshold) / count(*) AS anomaly_rate
+        FROM th CROSS JOIN agg GROUP BY threshold)
+  SELECT arg_min(threshold, (abs(anomaly_rate - 0.02), threshold)) AS recommended_threshold,
+         round(arg_min(anomaly_rate, (abs(anomaly_rate - 0.02), threshold)), 6) AS recommended_rate,
+         round(arg_min(anomaly_rate, (abs(threshold - 5.0), threshold)), 6) AS current_rate,
+         arg_min(anomaly_count, (abs(threshold - 5.0), threshold)) AS current_count
+  FROM s)"""))
+def q_analysis_threshold_recommendation_events(spark, sf):
+    r = AN.recommend_threshold(AN.threshold_sweep(scored_events(spark, sf)), current=5.0)
+    return r.select("recommended_threshold", r6("recommended_rate").alias("recommended_rate"),
+                    r6("current_rate").alias("current_rate"), "current_count")
+
+
+@register("analysis_running_rate_events", _dq("""
+SELECT * FROM (
+  WITH o AS (SELECT event_id, ts, n_anomalies > 0 AS f,
+                    row_number() OVER (ORDER BY ts, event_id) AS processed_events FROM agg),
+  fs AS (SELECT "user", arg_min(event_id, (ts, event_id)) AS first_event FROM agg GROUP BY ALL),
+  nw AS (SELECT first_event AS event_id, count(*) AS k FROM fs GROUP BY ALL),
+  r AS (SELECT processed_events,
+               sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (ORDER BY processed_events) AS a,
+               sum(coalesce(k, 0)) OVER (ORDER BY processed_events) AS total_profiles
+        FROM o LEFT JOIN nw USING (event_id))
+  SELECT processed_events, round(a / processed_events, 6) AS anomaly_rate, total_profiles
+  FROM r WHERE processed_events % 100 = 0)"""))
+def q_analysis_running_rate_events(spark, sf):
+    r = AN.running_anomaly_rate(scored_events(spark, sf), every=100)
+    return r.select("processed_events", r6("anomaly_rate").alias("anomaly_rate"), "total_profiles")
+
+
+@register("analysis_mode_events", _dq("""
+SELECT (SELECT arg_min("user", (-n, "user")) FROM (SELECT "user", count(*) n FROM an GROUP BY ALL))
+         AS most_anomalous_user,
+       (SELECT arg_min(action, (-n, action)) FROM (SELECT action, count(*) n FROM an GROUP BY ALL))
+         AS most_anomalous_action,
+       (SELECT round(avg(aggregate_score), 6) FROM an) AS mean_score,
+       (SELECT round(median(aggregate_score), 6) FROM an) AS median_score,
+       (SELECT round(max(aggregate_score), 6) FROM an) AS max_score"""))
+def q_analysis_mode_events(spark, sf):
+    s = AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD)
+    u = AN.mode_of(s, "user").withColumnRenamed("user", "most_anomalous_user")
+    a = AN.mode_of(s, "action").withColumnRenamed("action", "most_anomalous_action")
+    st = AN.summary_stats(s)
+    return u.crossJoin(a).crossJoin(st).select(
+        "most_anomalous_user", "most_anomalous_action", r6("mean_score").alias("mean_score"),
+        r6("median_score").alias("median_score"), r6("max_score").alias("max_score"))
+
+
+@register("analysis_investigation_context_events", _dq("""
+SELECT event_id, count(*) OVER (PARTITION BY "user") AS user_anomalies,
+       count(*) OVER (PARTITION BY action) AS action_anomalies,
+       hour(ts) < 6 OR hour(ts) > 20 AS off_hours, hour(ts) BETWEEN 8 AND 18 AS business_hours,
+       isodow(ts) >= 6 AS is_weekend,
+       CASE WHEN aggregate_score > 8.0 THEN 'HIGH' WHEN aggregate_score > 6.0 THEN 'MEDIUM' ELSE 'LOW' END
+         AS priority
+FROM an"""))
+def q_analysis_investigation_context_events(spark, sf):
+    s = AN.investigation_context(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD))
+    return s.select("event_id", "user_anomalies", "action_anomalies", "off_hours", "business_hours",
+                    "is_weekend", "priority")
+
+
+@register("analysis_analyst_rows_events", _dq("""
+SELECT row_number() OVER (ORDER BY ts, event_id) AS anomaly_id,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, "user" AS user_name, action AS event_name,
+       source_ip, round(aggregate_score, 6) AS aggregate_score,
+       len(all_factors) AS num_scoring_factors, array_to_string(all_factors, '; ') AS scoring_factors,
+       'user:' || "user" AS entities_detected, hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week,
+       isodow(ts) >= 6 AS is_weekend, hour(ts) BETWEEN 8 AND 18 AS is_business_hours
+FROM an"""))
+def q_analysis_analyst_rows_events(spark, sf):
+    r = AN.analyst_rows(scored_events(spark, sf), ENGINE_THRESHOLD)
+    return r.select("anomaly_id", "timestamp", "user_name", "event_name", "source_ip",
+                    r6("aggregate_score").alias("aggregate_score"), "num_scoring_factors",
+                    "scoring_factors", "entities_detected", "hour_of_day", "day_of_week",
+                    "is_weekend", "is_business_hours")
