@@ -283,13 +283,15 @@ def privilege_escalation(events: DataFrame, user_col: str = "user_key", action_c
     part = Window.partitionBy("_u", "_g")
     run = part.orderBy("_t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     actions = sorted({a for acts, _ in patterns.values() for a in acts})
-    for i, a in enumerate(actions):
-        ev = ev.withColumn(f"_last{i}", F.max(F.when(F.col("_act") == a, F.col("_t"))).over(run))
-    ev = (ev.withColumn("_upto", F.count(F.lit(1)).over(run))
-            .withColumn("_old", F.count(F.lit(1)).over(
-                part.orderBy("_t").rangeBetween(Window.unboundedPreceding, -look_us)))
-            .withColumn("_recent", F.collect_list(F.struct("_t", "_act")).over(
-                part.orderBy("_t", "event_id").rowsBetween(-4, 0))))
+    ev = ev.select(
+        "*",
+        *[F.max(F.when(F.col("_act") == a, F.col("_t"))).over(run).alias(f"_last{i}")
+          for i, a in enumerate(actions)],
+        F.count(F.lit(1)).over(run).alias("_upto"),
+        F.count(F.lit(1)).over(
+            part.orderBy("_t").rangeBetween(Window.unboundedPreceding, -look_us)).alias("_old"),
+        F.collect_list(F.struct("_t", "_act")).over(
+            part.orderBy("_t", "event_id").rowsBetween(-4, 0)).alias("_recent"))
     ev = ev.where(F.col("_own"))
     cutoff = F.col("_t") - F.lit(look_us)
     n_win = F.col("_upto") - F.col("_old")

@@ -20,14 +20,12 @@ def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Data
     keys = list(keys)
     if not keys:
         return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
-    r = right
     ren = {k: f"__r_{k}" for k in keys}
-    for k, v in ren.items():
-        r = r.withColumnRenamed(k, v)
+    r = right.select(*[F.col(c).alias(ren[c]) if c in ren else F.col(c) for c in right.columns])
     cond = reduce(lambda a, b: a & b,
                   [left[k].eqNullSafe(r[ren[k]]) for k in keys])
     out = left.join(r, cond, how)
-    return out.drop(*ren.values())
+    return out.select(*[c for c in out.columns if c not in ren.values()])
 
 
 def attach_global(df: DataFrame, one_row: DataFrame) -> DataFrame:

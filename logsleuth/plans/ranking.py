@@ -51,8 +51,8 @@ def row_index(df: DataFrame, keys, order, segment: Column, name: str = "_rn",
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     seg = df.withColumn("_seg", segment)
-    local = seg.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)) - 1)
+    local = seg.select("*", (F.row_number().over(
+        Window.partitionBy(*keys, "_seg").orderBy(*order)) - 1).alias("_lrn"))
     blocks = seg.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
     blocks = blocks.withColumn(
@@ -62,8 +62,8 @@ def row_index(df: DataFrame, keys, order, segment: Column, name: str = "_rn",
         wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
         blocks = blocks.withColumn(size_name, F.sum("_bn").over(wk))
     out = join_on(local, blocks.drop("_bn"), keys + ["_seg"])
-    out = out.withColumn(name, F.col("_off") + F.col("_lrn"))
-    return out.drop("_seg", "_lrn", "_off")
+    keep = [c for c in out.columns if c not in ("_seg", "_lrn", "_off")]
+    return out.select(*keep, (F.col("_off") + F.col("_lrn")).alias(name))
 
 
 def running_total(df: DataFrame, keys, order, segment: Column, weight: Column, name: str,
@@ -73,22 +73,20 @@ def running_total(df: DataFrame, keys, order, segment: Column, weight: Column, n
     :func:`row_index`: local window per (key, segment) + prefix over blocks."""
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    seg = df.withColumn("_seg", segment).withColumn("_w", weight.cast("long"))
+    seg = df.select("*", segment.alias("_seg"), weight.cast("long").alias("_w"))
     frame = (Window.partitionBy(*keys, "_seg").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = seg.withColumn("_lsum", F.coalesce(F.sum("_w").over(frame), F.lit(0)))
+    local = seg.select("*", F.coalesce(F.sum("_w").over(frame), F.lit(0)).alias("_lsum"))
     blocks = seg.groupBy(*keys, "_seg").agg(F.sum("_w").alias("_bs"))
     w = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
     blocks = blocks.withColumn(
         "_off",
         F.coalesce(F.sum("_bs").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = join_on(local, blocks.drop("_bs"), keys + ["_seg"])
-    out = out.withColumn(name, F.col("_off") + F.col("_lsum"))
-    return out.drop("_seg", "_w", "_lsum", "_off")
+    keep = [c for c in out.columns if c not in ("_seg", "_w", "_lsum", "_off")]
+    return out.select(*keep, (F.col("_off") + F.col("_lsum")).alias(name))
 
 
 def running_count(df: DataFrame, keys, order, segment: Column, name: str) -> DataFrame:
     """Inclusive running count of rows per key under a total ``order``."""
-    tmp = f"__{name}_rn"
-    return row_index(df, keys, order, segment, name=tmp).withColumn(
-        name, F.col(tmp) + 1).drop(tmp)
+    return running_total(df, keys, order, segment, F.lit(1), name)
