@@ -800,3 +800,107 @@ def q_analysis_analyst_rows_events(spark, sf):
                     r6("aggregate_score").alias("aggregate_score"), "num_scoring_factors",
                     "scoring_factors", "entities_detected", "hour_of_day", "day_of_week",
                     "is_weekend", "is_business_hours")
+
+
+# --------------------------------------------------------------------------
+# audit events derived from the driver events + enrichment (F5, F6, A6, J4,
+# A7, PF18–PF20)
+# --------------------------------------------------------------------------
+from .operators import enrich as EN  # noqa: E402
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+_AUDIT_ARN = ("CASE WHEN user_id % 3 = 0 THEN concat('arn:aws:iam::', lpad(CAST(user_id AS STRING), 12, '0'), "
+              "':user/u', CAST(user_id AS STRING)) "
+              "WHEN user_id % 3 = 1 THEN concat('arn:aws:sts::', lpad(CAST(user_id AS STRING), 12, '0'), "
+              "':assumed-role/R', CAST(user_id % 7 AS STRING), '/s', CAST(event_id AS STRING)) "
+              "ELSE concat('arn:aws:iam::', lpad(CAST(user_id AS STRING), 12, '0'), ':root') END")
+_AUDIT_USER = "CASE WHEN user_id % 3 = 0 THEN concat('u', CAST(user_id AS STRING)) END"
+_AUDIT_IP = ("concat('10.', CAST({k} % 256 AS STRING), '.', CAST(user_id % 256 AS STRING), '.', "
+             "CAST(event_id % 300 AS STRING))")
+_AUDIT_BUCKET = "concat('s3://bucket-', CAST({k} AS STRING))"
+_AUDIT_ROLE = "concat('arn:aws:iam::', lpad(CAST({k} AS STRING), 12, '0'), ':role/Role', CAST({k} AS STRING))"
+_AUDIT_INSTANCE = "concat('i-', printf('%08x', event_id))"
+
+
+def audit_events_from_driver(spark, sf):
+    """Audit-event rows (parsed schema) derived from the driver events."""
+    ev = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    kk = "k"
+    req = ("parse_json(concat('{\"bucketName\": \"', " + _AUDIT_BUCKET.format(k=kk) + ", '\", \"count\": ', "
+           "CAST(k AS STRING), CASE WHEN event_type = 'signup' THEN concat(', \"roleArn\": \"', "
+           + _AUDIT_ROLE.format(k=kk) + ", '\"') ELSE '' END, '}'))")
+    resp = ("CASE WHEN event_type = 'purchase' THEN parse_json(concat('{\"instanceId\": \"', "
+            + _AUDIT_INSTANCE + ", '\"}')) END")
+    return ev.selectExpr(
+        "CAST(event_id AS STRING) AS eventID", "CAST(ts AS TIMESTAMP) AS eventTime",
+        "event_type AS eventName", "'app.example' AS eventSource",
+        f"named_struct('type', 'IAMUser', 'arn', {_AUDIT_ARN}, 'userName', {_AUDIT_USER}) AS userIdentity",
+        f"{_AUDIT_IP.format(k=kk)} AS sourceIPAddress",
+        f"{req} AS requestParameters", f"{resp} AS responseElements")
+
+
+def _duck_audit_entities() -> str:
+    k = _K
+    fields = f"""
+  SELECT event_id, 0 AS fno, {_AUDIT_ARN} AS text FROM events
+  UNION ALL SELECT event_id, 1, {_AUDIT_USER} FROM events WHERE user_id % 3 = 0
+  UNION ALL SELECT event_id, 2, {_AUDIT_IP.format(k=k)} FROM events
+  UNION ALL SELECT event_id, 3, {_AUDIT_BUCKET.format(k=k)} FROM events
+  UNION ALL SELECT event_id, 5, {_AUDIT_ROLE.format(k=k)} FROM events WHERE event_type = 'signup'
+  UNION ALL SELECT event_id, 6, {_AUDIT_INSTANCE} FROM events WHERE event_type = 'purchase'"""
+    return f"""
+fld AS ({fields}),
+ex AS ({_duck_entity_sql("SELECT event_id * 10 + fno AS rid, text FROM fld")}),
+fe AS (SELECT f.event_id, f.fno, f.text, ex.entity_type, ex.entity_id,
+              CASE WHEN f.fno = 0 THEN least(0.95, ex.confidence + 0.1) ELSE ex.confidence END AS confidence
+       FROM ex JOIN fld f ON ex.rid = f.event_id * 10 + f.fno
+       WHERE (f.fno = 0 AND ex.entity_type = CASE WHEN contains(f.text, ':user/') THEN 'iam_user_arn'
+                                               WHEN contains(f.text, ':role/') OR contains(f.text, ':assumed-role/')
+                                               THEN 'iam_role_arn' ELSE ex.entity_type END
+              AND ex.entity_type IN ('iam_role_arn', 'iam_user_arn'))
+          OR (f.fno = 1 AND ex.entity_type = 'iam_user_arn')
+          OR (f.fno = 2 AND ex.entity_type = 'ip_address')
+          OR f.fno >= 3),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, entity_type, entity_id
+                                                   ORDER BY confidence DESC, fno) AS k FROM fe) WHERE k = 1)"""
+
+
+@register("entities_audit_events", f"""
+WITH {_duck_audit_entities()}
+SELECT CAST(event_id AS VARCHAR) AS log_id, entity_type, entity_id, round(confidence, 6) AS confidence,
+       CASE fno WHEN 0 THEN 'userIdentity.arn' WHEN 1 THEN 'userIdentity.userName'
+                WHEN 2 THEN 'sourceIPAddress' WHEN 3 THEN 'requestParameters.bucketName'
+                WHEN 5 THEN 'requestParameters.roleArn' ELSE 'responseElements.instanceId' END AS source_field
+FROM dd""")
+def q_entities_audit_events(spark, sf):
+    ents = OE.cloudtrail_entities(audit_events_from_driver(spark, sf))
+    x = OE.explode_entities(ents.withColumnRenamed("eventID", "log_id"), "entities", keep=["log_id"])
+    return x.select("log_id", "entity_type", "entity_id", r6("confidence").alias("confidence"),
+                    "source_field")
+
+
+@register("enrich_audit_events", f"""
+WITH {_duck_audit_entities()},
+sc AS (SELECT event_id, entity_type,
+              CASE entity_type WHEN 'ip_address' THEN 0.4 WHEN 'vpc_id' THEN 0.2 ELSE 0.5 END AS score FROM dd),
+agg AS (SELECT e.event_id, count(sc.event_id) AS n_entities, max(score) AS mx, avg(score) AS mean,
+               bool_or(entity_type IN ('iam_role_arn', 'iam_user_arn')) AS has_iam,
+               bool_or(entity_type = 'ip_address') AS has_ip, bool_or(score >= 0.7) AS has_high,
+               bool_or(score >= 7.0) AS attention
+        FROM events e LEFT JOIN sc USING (event_id) GROUP BY e.event_id)
+SELECT CAST(event_id AS VARCHAR) AS log_id, n_entities, round(coalesce(mx, 0.0), 6) AS risk_score,
+       CASE WHEN n_entities = 0 THEN 'low' WHEN mx >= 8 OR mean >= 6 THEN 'high'
+            WHEN mx >= 6 OR mean >= 4 THEN 'medium' ELSE 'low' END AS risk_level,
+       CASE WHEN coalesce(has_high, false) OR coalesce(has_iam, false) OR coalesce(has_ip, false)
+            THEN concat_ws(' | ',
+                   CASE WHEN has_high THEN '{EN.REC_HIGH_RISK}' END,
+                   CASE WHEN has_iam THEN '{EN.REC_IAM}' END,
+                   CASE WHEN has_ip THEN '{EN.REC_IP}' END)
+            ELSE '{EN.REC_NONE}' END AS recommendations,
+       coalesce(attention, false) AS requires_attention
+FROM agg""")
+def q_enrich_audit_events(spark, sf):
+    out = EN.enrich_cloudtrail(audit_events_from_driver(spark, sf))
+    return out.select("log_id", F.size("entities").alias("n_entities"), r6("risk_score").alias("risk_score"),
+                      "risk_level", F.concat_ws(" | ", "recommendations").alias("recommendations"),
+                      "requires_attention")
