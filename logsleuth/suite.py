@@ -904,3 +904,175 @@ def q_enrich_audit_events(spark, sf):
     return out.select("log_id", F.size("entities").alias("n_entities"), r6("risk_score").alias("risk_score"),
                       "risk_level", F.concat_ws(" | ", "recommendations").alias("recommendations"),
                       "requires_attention")
+
+
+# --------------------------------------------------------------------------
+# labelling
+# --------------------------------------------------------------------------
+from .operators import labels as LB  # noqa: E402
+
+_RE2_TOKEN = r"[\p{L}\p{N}@._:-]+|\S"
+
+
+def labelled_documents(spark, sf):
+    """documents → tokens, suggestions, auto BIO labels (one row per doc)."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = d.withColumn("tokens", LB.tokenize(F.col("text")))
+    d = d.withColumn("suggestions", LB.suggest_labels(F.col("text")))
+    return d.withColumn("labels", LB.auto_labels(F.col("tokens"), F.col("suggestions")))
+
+
+@register("labels_tokens_documents", f"""
+SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, chr(31))) AS tokens_md5
+FROM (SELECT doc_id, regexp_extract_all(text, '{_RE2_TOKEN}') AS t FROM documents)""")
+def q_labels_tokens_documents(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", LB.tokenize(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"),
+                    F.md5(F.concat_ws("\u001f", "t")).alias("tokens_md5"))
+
+
+@register("labels_tokens_conversations", f"""
+SELECT conv_id, turn, len(t) AS n_tokens, md5(array_to_string(t, chr(31))) AS tokens_md5
+FROM (SELECT conv_id, turn, regexp_extract_all(text, '{_RE2_TOKEN}') AS t FROM conversations)""")
+def q_labels_tokens_conversations(spark, sf):
+    d = table(spark, sf, "conversations").select("conv_id", "turn", LB.tokenize(F.col("text")).alias("t"))
+    return d.select("conv_id", "turn", F.size("t").alias("n_tokens"),
+                    F.md5(F.concat_ws("\u001f", "t")).alias("tokens_md5"))
+
+
+def _duck_suggestions() -> str:
+    parts = []
+    for ti, t in enumerate(LB.LABEL_TYPES):
+        for pi, p in enumerate(LB.SUGGESTION_PATTERNS[t]):
+            rp = p.replace("'", "''")
+            parts.append(f"SELECT doc_id, {ti} AS ti, {pi} AS pi, '{t}' AS etype, "
+                         f"regexp_extract_all(text, '{rp}') AS ms FROM documents")
+    return f"""
+sg0 AS ({" UNION ALL ".join(parts)}),
+sg1 AS (SELECT doc_id, ti, pi, etype, unnest(ms) AS entity, unnest(range(len(ms))) AS mi FROM sg0),
+sg AS (SELECT doc_id, etype, entity,
+              (row_number() OVER (PARTITION BY doc_id ORDER BY ti, pi, mi) - 1)::INTEGER AS sidx FROM sg1)"""
+
+
+@register("labels_suggestions_documents", f"""
+WITH {_duck_suggestions()}
+SELECT doc_id, sidx, entity, etype FROM sg""")
+def q_labels_suggestions_documents(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", LB.suggest_labels(F.col("text")).alias("s"))
+    x = d.select("doc_id", F.posexplode("s").alias("sidx", "e"))
+    return x.select("doc_id", "sidx", "e.entity", "e.etype")
+
+
+def _duck_auto_labels() -> str:
+    return f"""{_duck_suggestions()},
+dt AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '{_RE2_TOKEN}') AS toks FROM documents),
+tk AS MATERIALIZED (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS j FROM dt),
+se AS (SELECT sg.*, regexp_extract_all(entity, '{_RE2_TOKEN}') AS et FROM sg),
+cand AS (SELECT se.doc_id, se.sidx, se.etype, se.et, len(se.et) AS n, tk.j AS st
+         FROM se JOIN tk ON tk.doc_id = se.doc_id AND tk.tok = se.et[1] WHERE len(se.et) > 0),
+ck0 AS (SELECT *, unnest(range(n)) AS k FROM cand),
+ck AS (SELECT c.doc_id, c.sidx, c.etype, c.n, c.st, count(t2.j) AS ok
+       FROM ck0 c LEFT JOIN tk t2 ON t2.doc_id = c.doc_id AND t2.j = c.st + c.k AND t2.tok = c.et[c.k + 1]
+       GROUP BY c.doc_id, c.sidx, c.etype, c.n, c.st),
+fm AS (SELECT doc_id, sidx, etype, n, min(st) AS at FROM ck WHERE ok = n GROUP BY ALL),
+lb AS (SELECT tk.doc_id, tk.j, tk.tok,
+              coalesce(arg_max(CASE WHEN tk.j = fm.at THEN 'B-' ELSE 'I-' END || fm.etype, fm.sidx), 'O') AS label
+       FROM tk LEFT JOIN fm ON fm.doc_id = tk.doc_id AND tk.j >= fm.at AND tk.j < fm.at + fm.n
+       GROUP BY tk.doc_id, tk.j, tk.tok),
+dl0 AS (SELECT doc_id, list(label ORDER BY j) AS labels, list(tok ORDER BY j) AS toks FROM lb GROUP BY doc_id),
+dl AS (SELECT d.doc_id, coalesce(dl0.labels, []) AS labels, coalesce(dl0.toks, []) AS toks
+       FROM documents d LEFT JOIN dl0 USING (doc_id))"""
+
+
+@register("labels_auto_bio_documents", f"""
+WITH {_duck_auto_labels()}
+SELECT doc_id, len(labels) AS n_labels, len(list_filter(labels, lambda l: l <> 'O')) AS n_entity_tokens,
+       md5(array_to_string(labels, ',')) AS labels_md5
+FROM dl""")
+def q_labels_auto_bio_documents(spark, sf):
+    d = labelled_documents(spark, sf)
+    return d.select("doc_id", F.size("labels").alias("n_labels"),
+                    F.size(F.filter("labels", lambda lab: lab != "O")).alias("n_entity_tokens"),
+                    F.md5(F.concat_ws(",", "labels")).alias("labels_md5"))
+
+
+@register("labels_distribution_documents", f"""
+WITH {_duck_auto_labels()},
+ex AS (SELECT unnest(labels) AS label FROM dl)
+SELECT label, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM ex), 6) AS pct
+FROM ex GROUP BY ALL""")
+def q_labels_distribution_documents(spark, sf):
+    dist = LB.label_distribution(labelled_documents(spark, sf))
+    return dist.select("label", "count", r6("pct").alias("pct"))
+
+
+@register("labels_quality_documents", f"""
+WITH {_duck_auto_labels()},
+lx AS (SELECT doc_id, unnest(labels) AS l, unnest(range(len(labels))) AS j FROM dl),
+pv AS (SELECT doc_id, j, l, coalesce(lag(l) OVER (PARTITION BY doc_id ORDER BY j), 'O') AS p FROM lx),
+bad AS (SELECT doc_id, count(*) FILTER (WHERE l LIKE 'I-%' AND p <> 'B-' || l[3:] AND NOT starts_with(p, 'I-' || l[3:])) AS bad_i,
+               count(*) FILTER (WHERE l NOT IN ({", ".join("'" + t + "'" for t in LB.BIO_TAGS)})) AS unknown
+        FROM pv GROUP BY ALL),
+runs AS (SELECT doc_id, j, l, sum(CASE WHEN NOT starts_with(l, 'I-') THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY doc_id ORDER BY j) AS grp FROM lx),
+rl AS (SELECT doc_id, j, l, grp, first_value(l) OVER (PARTITION BY doc_id, grp ORDER BY j) AS head,
+              row_number() OVER (PARTITION BY doc_id, grp ORDER BY j) AS pos FROM runs),
+lw AS (SELECT doc_id, count(*) FILTER (WHERE starts_with(head, 'B-') AND starts_with(l, 'I-') AND pos > 10) AS long_w
+       FROM rl GROUP BY ALL),
+per AS (SELECT dl.doc_id, coalesce(bad_i, 0) + coalesce(unknown, 0) AS issues,
+               coalesce(long_w, 0) + CASE WHEN len(list_filter(labels, lambda l: l <> 'O')) = 0 THEN 1 ELSE 0 END
+                 AS warnings
+        FROM dl LEFT JOIN bad USING (doc_id) LEFT JOIN lw USING (doc_id))
+SELECT count(*) AS total_examples, sum(issues) AS issues, sum(warnings) AS warnings,
+       greatest(0, 100 - sum(issues) * 10 - sum(warnings) * 2) AS quality_score FROM per""")
+def q_labels_quality_documents(spark, sf):
+    q = LB.quality_report(labelled_documents(spark, sf))
+    return q.select("total_examples", "issues", "warnings", "quality_score")
+
+
+@register("labels_spans_documents", f"""
+WITH {_duck_auto_labels()},
+lx AS (SELECT doc_id, unnest(labels) AS l, unnest(toks) AS t, unnest(range(len(labels))) AS j FROM dl),
+g AS (SELECT *, sum(CASE WHEN starts_with(l, 'B-') OR NOT starts_with(l, 'I-') THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY doc_id ORDER BY j) AS grp FROM lx),
+h AS (SELECT *, first_value(l) OVER (PARTITION BY doc_id, grp ORDER BY j) AS head FROM g)
+SELECT doc_id, head[3:] AS etype, string_agg(t, ' ' ORDER BY j) AS text
+FROM h WHERE starts_with(head, 'B-') GROUP BY doc_id, grp, head""")
+def q_labels_spans_documents(spark, sf):
+    d = labelled_documents(spark, sf)
+    x = d.select("doc_id", F.explode(LB.bio_spans(F.col("tokens"), F.col("labels"))).alias("s"))
+    return x.select("doc_id", "s.etype", "s.text")
+
+
+# quality label predicted by a length rule, compared with the labels table
+@register("labels_metrics_quality", """
+WITH p AS (SELECT CAST(l.quality AS VARCHAR) AS y,
+                  CASE WHEN d.n_chars >= 2000 THEN '1' ELSE '0' END AS yhat
+           FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT y, yhat, count(*) AS n FROM p GROUP BY ALL),
+cls AS (SELECT y AS cls FROM c UNION SELECT yhat FROM c),
+per AS (SELECT cls,
+               coalesce((SELECT sum(n) FROM c WHERE y = cls), 0) AS support,
+               coalesce((SELECT sum(n) FROM c WHERE yhat = cls), 0) AS predicted,
+               coalesce((SELECT sum(n) FROM c WHERE y = cls AND yhat = cls), 0) AS tp FROM cls),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr,
+             CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rc FROM per),
+f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM m)
+SELECT round(sum(pr * support) / sum(support), 6) AS precision, round(sum(rc * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1, round(sum(tp) / sum(support), 6) AS accuracy FROM f""")
+def q_labels_metrics_quality(spark, sf):
+    lab = table(spark, sf, "labels")
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars")
+    pairs = lab.join(doc, "doc_id").select(
+        F.col("quality").cast("string").alias("label"),
+        F.when(F.col("n_chars") >= 2000, "1").otherwise("0").alias("predicted"))
+    m = LB.token_metrics(pairs)
+    return m.select(*[r6(c).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@register("labels_split_documents", """
+SELECT doc_id, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT doc_id, ((doc_id % 1000003) * 7919 + 42 * 104729) % 100 AS h FROM documents)""")
+def q_labels_split_documents(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return d.select("doc_id", LB.split_assign(F.col("doc_id"), seed=42).alias("split"))
