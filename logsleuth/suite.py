@@ -1076,3 +1076,203 @@ FROM (SELECT doc_id, ((doc_id % 1000003) * 7919 + 42 * 104729) % 100 AS h FROM d
 def q_labels_split_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     return d.select("doc_id", LB.split_assign(F.col("doc_id"), seed=42).alias("split"))
+
+
+# --------------------------------------------------------------------------
+# governance (J9, J10, J12, J16, A17, A18, A24, PF16) on objects derived
+# from orders: bucket from priority, object age from the order date
+# --------------------------------------------------------------------------
+from .operators import govern as GV  # noqa: E402
+
+AS_OF_DATE = "1999-01-01"
+_BUCKET_SQL = ("concat('sec-', CASE o_orderpriority WHEN '1-URGENT' THEN 'logs' WHEN '2-HIGH' THEN 'compliance' "
+               "WHEN '3-MEDIUM' THEN 'models' ELSE 'misc' END, '-', lower(o_orderstatus))")
+_AGE_SQL = f"datediff(DATE '{AS_OF_DATE}', CAST(o_orderdate AS DATE))"
+
+
+def object_inventory(spark, sf):
+    o = table(spark, sf, "orders")
+    inv = o.selectExpr(f"{_BUCKET_SQL} AS bucket", "concat('obj/', CAST(o_orderkey AS STRING)) AS key",
+                       "CAST(floor(o_totalprice * 1000) AS BIGINT) AS size", "o_orderdate AS last_modified",
+                       f"{_AGE_SQL} AS age_days")
+    inv = inv.withColumn("tier", GV.bucket_tier(F.col("bucket")))
+    pol = GV.policy_table(spark)
+    x = GV._attach_policy(inv, pol)
+    return x.withColumn("storage_class", GV.storage_class_for_age(F.col("age_days"),
+                                                                  F.col("lifecycle_transitions")))
+
+
+def _duck_tier(col):
+    return (f"CASE WHEN contains({col}, 'logs') THEN 'raw_security_logs' WHEN contains({col}, 'compliance') "
+            f"THEN 'compliance_outputs' WHEN contains({col}, 'models') THEN 'model_artifacts' "
+            f"ELSE 'raw_security_logs' END")
+
+
+_DUCK_INV = f"""
+inv AS (SELECT {_BUCKET_SQL.replace("lower(", "lower(")} AS bucket, o_orderkey,
+               CAST(floor(o_totalprice * 1000) AS BIGINT) AS size,
+               date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF_DATE}') AS age_days FROM orders),
+it AS (SELECT *, {_duck_tier("bucket")} AS tier FROM inv),
+ic AS (SELECT *, CASE tier
+          WHEN 'raw_security_logs' THEN CASE WHEN age_days >= 1095 THEN 'DEEP_ARCHIVE' WHEN age_days >= 365 THEN 'GLACIER'
+                                             WHEN age_days >= 30 THEN 'STANDARD_IA' ELSE 'STANDARD' END
+          WHEN 'compliance_outputs' THEN CASE WHEN age_days >= 730 THEN 'GLACIER' WHEN age_days >= 90 THEN 'STANDARD_IA'
+                                              ELSE 'STANDARD' END
+          WHEN 'model_artifacts' THEN CASE WHEN age_days >= 90 THEN 'GLACIER' WHEN age_days >= 30 THEN 'STANDARD_IA'
+                                           ELSE 'STANDARD' END
+          ELSE 'STANDARD' END AS storage_class FROM it)"""
+
+
+@register("govern_storage_classes_orders", f"""
+WITH {_DUCK_INV}
+SELECT bucket, tier, storage_class, count(*) AS n_objects, sum(size) AS total_bytes FROM ic GROUP BY ALL""")
+def q_govern_storage_classes_orders(spark, sf):
+    inv = object_inventory(spark, sf)
+    return inv.groupBy("bucket", "tier", "storage_class").agg(
+        F.count(F.lit(1)).alias("n_objects"), F.sum("size").alias("total_bytes"))
+
+
+@register("govern_storage_metrics_orders", f"""
+WITH {_DUCK_INV}
+SELECT bucket, count(*) AS total_objects, sum(size) AS total_size_bytes,
+       round(sum(size) / 1073741824.0 * 0.023, 6) AS cost_estimate_monthly FROM ic GROUP BY ALL""")
+def q_govern_storage_metrics_orders(spark, sf):
+    m = GV.storage_metrics(object_inventory(spark, sf))
+    return m.select("bucket", "total_objects", "total_size_bytes",
+                    r6("cost_estimate_monthly").alias("cost_estimate_monthly"))
+
+
+def bucket_configs(spark, sf):
+    """Declared configuration per bucket, derived from its inventory."""
+    inv = object_inventory(spark, sf)
+    agg = inv.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("age_days").alias("max_age"),
+                                    F.count_distinct("storage_class").alias("n_classes"))
+    return agg.select(
+        "bucket",
+        F.when(F.col("n") % 7 == 0, F.lit(None).cast("int"))
+         .otherwise((F.col("max_age") % 3000).cast("int")).alias("expiration_days"),
+        F.when(F.col("n") % 7 == 0, F.array().cast(GV.TRANSITIONS_T)).otherwise(F.slice(F.array(
+            F.struct(F.lit(30).alias("days"), F.lit("STANDARD_IA").alias("storage_class")),
+            F.struct(F.lit(365).alias("days"), F.lit("GLACIER").alias("storage_class")),
+            F.struct(F.lit(1095).alias("days"), F.lit("DEEP_ARCHIVE").alias("storage_class"))),
+            1, F.col("n_classes").cast("int"))).alias("transitions"),
+        (F.col("n") % 2 == 0).alias("lock_enabled"), (F.col("n") % 9).cast("int").alias("lock_years"),
+        F.when(F.col("n") % 3 == 0, F.lit(None)).when(F.col("n") % 3 == 1, F.lit("aws:kms"))
+         .otherwise(F.lit("AES256")).alias("sse_algorithm"))
+
+
+_DUCK_CFG = f"""{_DUCK_INV},
+cfg0 AS (SELECT bucket, count(*) AS n, max(age_days) AS max_age, count(DISTINCT storage_class) AS n_classes
+         FROM ic GROUP BY ALL),
+cfg AS (SELECT bucket, {_duck_tier("bucket")} AS tier,
+               CASE WHEN n % 7 = 0 THEN NULL ELSE max_age % 3000 END AS expiration_days,
+               CASE WHEN n % 7 = 0 THEN 0 ELSE least(n_classes, 3) END AS n_trans,
+               n % 2 = 0 AS lock_enabled, n % 9 AS lock_years,
+               CASE WHEN n % 3 = 0 THEN NULL WHEN n % 3 = 1 THEN 'aws:kms' ELSE 'AES256' END AS sse_algorithm
+        FROM cfg0),
+pol AS (SELECT * FROM (VALUES ('raw_security_logs', 7, true, 3), ('compliance_outputs', 5, true, 2),
+                              ('model_artifacts', 3, false, 2)) t(ptier, years, immutable, n_expected)),
+v AS (SELECT c.*, coalesce(years, 7) AS years, coalesce(immutable, false) AS immutable,
+             coalesce(n_expected, 0) AS n_expected FROM cfg c LEFT JOIN pol ON ptier = tier),
+vi AS (SELECT bucket, tier, list_filter([
+          CASE WHEN expiration_days IS NULL AND n_trans = 0 THEN 'No lifecycle rules configured' END,
+          CASE WHEN NOT (expiration_days IS NULL AND n_trans = 0) AND expiration_days < years * 365
+               THEN printf('Retention period %d days is less than required %d days', expiration_days, years * 365) END,
+          CASE WHEN NOT (expiration_days IS NULL AND n_trans = 0) AND n_expected > 0 AND n_trans < n_expected
+               THEN 'Missing expected lifecycle transitions' END], lambda x: x IS NOT NULL) AS life,
+        CASE WHEN immutable THEN list_filter([
+          CASE WHEN NOT coalesce(lock_enabled, false) THEN 'Object Lock not enabled' END,
+          CASE WHEN lock_years < years THEN printf('Object Lock retention %d years is less than required %d years',
+                                                   lock_years, years) END], lambda x: x IS NOT NULL)
+             ELSE [] END AS lck,
+        list_filter([CASE WHEN sse_algorithm IS NULL THEN 'No encryption configuration found'
+                          WHEN sse_algorithm <> 'aws:kms' THEN 'KMS encryption not configured' END],
+                    lambda x: x IS NOT NULL) AS enc
+       FROM v)"""
+
+
+@register("govern_bucket_validation_orders", f"""
+WITH {_DUCK_CFG}
+SELECT bucket, tier, len(life) = 0 AS lifecycle_compliant, len(lck) = 0 AS object_lock_compliant,
+       len(enc) = 0 AS encryption_compliant, array_to_string(list_concat(life, lck, enc), ' | ') AS issues,
+       len(list_concat(life, lck, enc)) = 0 AS compliant FROM vi""")
+def q_govern_bucket_validation_orders(spark, sf):
+    v = GV.validate_buckets(bucket_configs(spark, sf), GV.policy_table(spark))
+    return v.select("bucket", "tier", "lifecycle_compliant", "object_lock_compliant", "encryption_compliant",
+                    F.concat_ws(" | ", "issues").alias("issues"), "compliant")
+
+
+@register("govern_compliance_report_orders", f"""
+WITH {_DUCK_CFG},
+m AS (SELECT bucket, sum(size) AS b FROM ic GROUP BY ALL),
+r AS (SELECT vi.bucket, list_concat(life, lck, enc) AS issues, len(list_concat(life, lck, enc)) = 0 AS compliant,
+             coalesce(m.b, 0) AS b FROM vi LEFT JOIN m USING (bucket)),
+ci AS (SELECT count(*) AS n FROM (SELECT unnest(issues) AS i FROM r WHERE NOT compliant)
+       WHERE lower(i) SIMILAR TO '.*(encryption|retention|object lock).*')
+SELECT count(*) AS total_buckets, count_if(compliant) AS compliant_buckets,
+       round(count_if(compliant) / count(*), 6) AS compliance_rate,
+       round(sum(b) / 1073741824.0 * 0.023, 6) AS total_cost_monthly,
+       round(sum(b / 1099511627776.0), 6) AS total_size_tb,
+       (SELECT n FROM ci) AS n_critical_issues,
+       array_to_string(list_filter([CASE WHEN count_if(compliant) < count(*) THEN '{GV.REC_REVIEW}' END,
+                                    CASE WHEN sum(b) / 1073741824.0 * 0.023 > 1000 THEN '{GV.REC_COST}' END],
+                                   lambda x: x IS NOT NULL), ' | ') AS recommendations
+FROM r""")
+def q_govern_compliance_report_orders(spark, sf):
+    v = GV.validate_buckets(bucket_configs(spark, sf), GV.policy_table(spark))
+    m = GV.storage_metrics(object_inventory(spark, sf))
+    rep = GV.compliance_report(v, m)
+    return rep.select("total_buckets", "compliant_buckets", r6("compliance_rate").alias("compliance_rate"),
+                      r6("total_cost_monthly").alias("total_cost_monthly"),
+                      r6("total_size_tb").alias("total_size_tb"),
+                      F.size("critical_issues").alias("n_critical_issues"),
+                      F.concat_ws(" | ", "recommendations").alias("recommendations"))
+
+
+def audit_from_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(
+        F.concat(F.lit("rec-"), F.col("o_orderkey").cast("string")).alias("recommendation_id"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("boolean"))
+         .otherwise(F.col("o_orderkey") % 2 == 0).alias("applied"),
+        F.when(F.col("o_orderstatus") == "O", "RECOMMENDED").when(F.col("o_orderstatus") == "F", "RECONCILED")
+         .otherwise("DISMISSED").alias("status"),
+        F.lit(None).cast("timestamp").alias("reconciled_at"))
+
+
+_DUCK_AUDIT = """
+au AS (SELECT 'rec-' || CAST(o_orderkey AS VARCHAR) AS recommendation_id,
+              CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS applied,
+              CASE o_orderstatus WHEN 'O' THEN 'RECOMMENDED' WHEN 'F' THEN 'RECONCILED' ELSE 'DISMISSED' END AS status
+       FROM orders)"""
+
+
+@register("govern_reconcile_summary_orders", f"""
+WITH {_DUCK_AUDIT}
+SELECT count_if(status = 'RECOMMENDED') AS scanned,
+       count_if(status = 'RECOMMENDED' AND coalesce(applied, false)) AS reconciled,
+       count_if(status = 'RECOMMENDED') - count_if(status = 'RECOMMENDED' AND coalesce(applied, false)) AS missing
+FROM au""")
+def q_govern_reconcile_summary_orders(spark, sf):
+    _, summary = GV.reconcile(audit_from_orders(spark, sf))
+    return summary
+
+
+@register("govern_reconciled_table_orders", f"""
+WITH {_DUCK_AUDIT}
+SELECT CASE WHEN status = 'RECOMMENDED' AND coalesce(applied, false) THEN 'RECONCILED' ELSE status END AS status,
+       count(*) AS n, count_if(status = 'RECOMMENDED' AND coalesce(applied, false)) AS n_stamped
+FROM au GROUP BY 1""")
+def q_govern_reconciled_table_orders(spark, sf):
+    updated, _ = GV.reconcile(audit_from_orders(spark, sf), F.lit("2025-10-09 00:00:00").cast("timestamp"))
+    return updated.groupBy("status").agg(F.count(F.lit(1)).alias("n"),
+                                         F.count("reconciled_at").alias("n_stamped"))
+
+
+@register("govern_open_recommendations_orders", f"""
+WITH {_DUCK_AUDIT}
+SELECT recommendation_id, coalesce(applied, false) AS applied_flag FROM au WHERE status = 'RECOMMENDED'""")
+def q_govern_open_recommendations_orders(spark, sf):
+    au = audit_from_orders(spark, sf)
+    op = GV.open_recommendations(au)
+    return op.select("recommendation_id", GV.action_applied(op).alias("applied_flag"))
