@@ -1276,3 +1276,52 @@ def q_govern_open_recommendations_orders(spark, sf):
     au = audit_from_orders(spark, sf)
     op = GV.open_recommendations(au)
     return op.select("recommendation_id", GV.action_applied(op).alias("applied_flag"))
+
+
+# --------------------------------------------------------------------------
+# streaming (ST2, ST3, ST5) — the stream runs over the driver events table
+# with an availableNow trigger; ST5 also as its batch formulation
+# --------------------------------------------------------------------------
+from .streaming import detectors as SD  # noqa: E402
+from .streaming.runner import run_available_now, stream_files  # noqa: E402
+
+_EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _events_stream(spark, sf):
+    s = stream_files(spark, sf, _EVENTS_SCHEMA, glob="events.parquet")
+    k = F.get_json_object("props", "$.k")
+    return s.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                    F.col("event_type").alias("action"), k.alias("source"),
+                    F.col("user_id").cast("string").alias("user_key"))
+
+
+@register("stream_error_alarm_events", """
+SELECT time_bucket(INTERVAL 1 minute, ts) AS period_start,
+       time_bucket(INTERVAL 1 minute, ts) + INTERVAL 1 minute AS period_end,
+       sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS value,
+       sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 1 AS alarm
+FROM events GROUP BY ALL""")
+def q_stream_error_alarm_events(spark, sf):
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = SD.tumbling_alarm(ev, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0), "1 minute")
+    return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"),
+                      F.col("period_end").cast("timestamp_ntz").alias("period_end"),
+                      F.col("value").cast("bigint").alias("value"), "alarm")
+
+
+@register("stream_profile_prior_events", _duck_behavior("prior"))
+def q_stream_profile_prior_events(spark, sf):
+    s = _events_stream(spark, sf).select("event_id", "ts", F.lit("user").alias("entity_type"),
+                                         F.col("user_key").alias("entity_id"), "action", "source")
+    out = run_available_now(SD.profile_detector_stream(s, mode="prior"), "profile_prior")
+    return out.select("event_id", "entity_id", "anomaly_type", r6("score").alias("score"), "confidence",
+                      F.concat_ws(" | ", "factors").alias("factors"))
+
+
+@register("stream_escalation_events_24h", _duck_escalation(1440))
+def q_stream_escalation_events_24h(spark, sf):
+    out = run_available_now(SD.escalation_stream(_events_stream(spark, sf), patterns=EVENT_PATTERNS,
+                                                 lookback_minutes=1440), "escalation_24h")
+    return out.select("event_id", "entity_id", F.col("pattern").alias("pname"), "score",
+                      F.col("factors")[1].alias("recent"))
