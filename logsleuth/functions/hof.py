@@ -14,3 +14,16 @@ from pyspark.sql import functions as F
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and return ``body(v)``."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def explode_rows(df, array_col, alias: str = "_x", keep=(), with_pos: str | None = None):
+    """Explode a computed array without the inferred ``size(array) > 0``
+    pre-filter: that filter is pushed below the projection and would inline
+    (and so re-evaluate) the whole array expression.  ``explode_outer`` gets
+    no inferred filter; empty arrays are dropped on the generated column."""
+    keep = list(keep)
+    if with_pos:
+        out = df.select(*keep, F.posexplode_outer(array_col).alias(with_pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(array_col).alias(alias))
+    return out.where(F.col(alias).isNotNull())

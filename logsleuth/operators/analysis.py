@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hof import explode_rows
 from ..plans.keys import attach_global
 from ..plans.quantiles import exact_quantiles
 from ..plans.ranking import row_index, running_total, time_segment
@@ -163,7 +164,7 @@ def running_anomaly_rate(scored: DataFrame, every: int = 100,
     order = ["ts", "event_id"]
     flag = F.coalesce(F.exists("anomaly_scores", lambda s: s["is_anomaly"]), F.lit(False))
     ev = scored.select("event_id", "ts", flag.alias("_f"), "entities")
-    ents = ev.select("event_id", "ts", F.explode("entities").alias("e")).select(
+    ents = explode_rows(ev, "entities", "e", keep=["event_id", "ts"]).select(
         "event_id", "ts", "e.entity_type", "e.entity_id")
     first = ents.groupBy("entity_type", "entity_id").agg(
         F.min(F.struct("ts", "event_id")).alias("m")).select("m.*")

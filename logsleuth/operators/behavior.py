@@ -30,6 +30,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hof import explode_rows
 from ..plans.ranking import running_count, running_total, time_segment
 
 # Action risk classes for new actions (default 4.0).
@@ -209,10 +210,10 @@ def combination_counts(events: DataFrame, entities_col: str = "entities",
     One row per (family, key)."""
     ev = events.where(F.size(entities_col) >= 2)
     types = F.transform(F.col(entities_col), lambda e: e["entity_type"])
-    pairs = ev.select(F.explode(_pair_list(types)).alias("p")).select(
+    pairs = explode_rows(ev, _pair_list(types), "p").select(
         F.lit("types").alias("family"),
         F.format_string("('%s', '%s')", F.col("p")[0], F.col("p")[1]).alias("key"))
-    acts = ev.select(F.explode(F.col(entities_col)).alias("e"), F.col(action_col).alias("a"))
+    acts = explode_rows(ev.withColumn("a", F.col(action_col)), entities_col, "e", keep=["a"])
     by_type = acts.select(F.lit("action").alias("family"),
                           F.concat_ws(":", F.col("e.entity_type"), F.col("a")).alias("key"))
     by_id = acts.select(F.lit("entity_action").alias("family"),
@@ -235,13 +236,12 @@ def rare_combinations(events: DataFrame, entities_col: str = "entities",
                        (F.size(entities_col) >= 2).alias("_multi"))
     ev = running_total(ev, [], order, seg, F.col("_multi").cast("int"), "_total")
     # one row per (event, distinct pair) with its multiplicity inside the event
-    ep = ev.where(F.col("_multi") & (F.col("_total") >= min_observations)).select(
-        "event_id", "ts", "_total", "_pairs",
-        F.explode(F.array_distinct("_pairs")).alias("_p"))
+    ep = explode_rows(ev.where(F.col("_multi") & (F.col("_total") >= min_observations)),
+                      F.array_distinct("_pairs"), "_p", keep=["event_id", "ts", "_total", "_pairs"])
     ep = ep.withColumn("_m", F.size(F.filter("_pairs", lambda q: q == F.col("_p")))).drop("_pairs")
     # pair counts must include every multi-entity event, also those before the gate
-    allp = ev.where(F.col("_multi")).select(
-        "event_id", "ts", F.explode(F.array_distinct("_pairs")).alias("_p"), "_pairs")
+    allp = explode_rows(ev.where(F.col("_multi")), F.array_distinct("_pairs"), "_p",
+                        keep=["event_id", "ts", "_pairs"])
     allp = allp.withColumn("_m", F.size(F.filter("_pairs", lambda q: q == F.col("_p")))).drop("_pairs")
     allp = allp.withColumn("_t1", F.col("_p")[0]).withColumn("_t2", F.col("_p")[1])
     cnt = running_total(allp, ["_t1", "_t2"], order, seg, F.col("_m"), "_count")
@@ -365,9 +365,10 @@ def score_events(events: DataFrame, entities_col: str = "entities", action_col:
                  patterns: dict | None = None, lookback_minutes: int = 30) -> DataFrame:
     """All detectors over an event table (event_id, ts, entities array,
     action, source, region, user key) → weighted anomaly rows."""
-    ee = (events.select("event_id", "ts", F.col(action_col).alias("action"),
-                        F.col(source_col).alias("source"), F.col(region_col).alias("region"),
-                        F.posexplode(entities_col).alias("ent_ord", "_e"))
+    base = events.select("event_id", "ts", F.col(action_col).alias("action"),
+                         F.col(source_col).alias("source"), F.col(region_col).alias("region"), entities_col)
+    ee = (explode_rows(base, entities_col, "_e", keep=["event_id", "ts", "action", "source", "region"],
+                       with_pos="ent_ord")
                 .select("event_id", "ts", "action", "source", "region", "ent_ord",
                         F.col("_e.entity_type").alias("entity_type"),
                         F.col("_e.entity_id").alias("entity_id")))
@@ -385,7 +386,7 @@ def score_events(events: DataFrame, entities_col: str = "entities", action_col:
 def scoring_summary(events: DataFrame, entities_col: str = "entities",
                     action_col: str = "action", user_col: str = "user_key") -> DataFrame:
     """Profiles, multi-entity events, distinct combination keys, users."""
-    ents = events.select(F.explode(entities_col).alias("e")).select("e.entity_type", "e.entity_id")
+    ents = explode_rows(events, entities_col, "e").select("e.entity_type", "e.entity_id")
     profiles = ents.distinct().agg(F.count(F.lit(1)).alias("total_entity_profiles"))
     multi = events.agg(F.count_if(F.size(entities_col) >= 2).alias("total_combinations_observed"),
                        F.count_distinct(F.col(user_col)).alias("active_users_tracked"))

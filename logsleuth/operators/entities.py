@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entities as FE
+from ..functions.hof import explode_rows
 
 ENTITY_COLS = ["entity_type", "entity_id", "confidence", "context", "source_field"]
 
 
 def explode_entities(df: DataFrame, col: str = "entities", keep=()) -> DataFrame:
     """One row per entity: ``keep`` columns + entity fields (+ ``ord``)."""
-    return (df.select(*keep, F.posexplode(col).alias("_pos", "_e"))
-              .select(*keep, "_e.*").drop("_pos"))
+    return explode_rows(df, col, "_e", keep, with_pos="_pos").select(*keep, "_e.*")
 
 
 def text_entities(df: DataFrame, text_col: str = "text", keep=(), entity_types=None,

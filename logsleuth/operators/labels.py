@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hof import let
+from ..functions.hof import explode_rows, let
 
 # Label suggestion patterns (case-sensitive) by type, in order.
 LABEL_TYPES = ["USER", "ROLE", "RESOURCE", "IP"]
@@ -169,7 +169,7 @@ def bio_spans(tokens: Column, labels: Column) -> Column:
 
 def label_distribution(examples: DataFrame, labels_col: str = "labels") -> DataFrame:
     """Count and percent of every label over all tokens."""
-    x = examples.select(F.explode(labels_col).alias("label"))
+    x = explode_rows(examples, labels_col, "label")
     c = x.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
     tot = x.agg(F.count(F.lit(1)).alias("_tot"))
     return c.crossJoin(F.broadcast(tot)).select(
@@ -239,7 +239,7 @@ def label_ids(labels: Column, vocabulary=None) -> Column:
 
 def vocabulary(examples: DataFrame, labels_col: str = "labels") -> DataFrame:
     """sorted distinct labels with dense ids (``label_to_id``)."""
-    d = examples.select(F.explode(labels_col).alias("label")).distinct()
+    d = explode_rows(examples, labels_col, "label").distinct()
     return d.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("id"))
 
 

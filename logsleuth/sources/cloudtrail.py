@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hof import explode_rows
+
 # Required / optional string fields of an audit event.
 REQUIRED_STRINGS = ["eventVersion", "eventSource", "eventName", "awsRegion", "requestID",
                     "eventID", "eventType", "recipientAccountId"]
@@ -114,8 +116,8 @@ def parse_cloudtrail_text(raw: DataFrame, text_col: str = "value", lines: bool =
     bad = docs.where(F.col("_recs").isNull()).select(
         *keep, F.lit(None).cast("int").alias("record_index"), F.lit(None).cast("variant").alias("record"),
         F.array(F.lit("Invalid JSON in CloudTrail log")).alias("_file_errors"))
-    good = docs.where(F.col("_recs").isNotNull()).select(
-        *keep, "_ln", F.posexplode("_recs").alias("_i", "record"))
+    good = explode_rows(docs.where(F.col("_recs").isNotNull()), "_recs", "record",
+                        keep=keep + ["_ln"], with_pos="_i")
     good = good.select(*keep, (F.col("_ln") * 1_000_000 + F.col("_i")).cast("int").alias("record_index"),
                        "record", F.array().cast("array<string>").alias("_file_errors"))
     parsed = parse_records(good.unionByName(bad), "record")

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.hof import explode_rows
 from .plans.ranking import time_segment
 from .tables import table
 
@@ -959,7 +960,7 @@ WITH {_duck_suggestions()}
 SELECT doc_id, sidx, entity, etype FROM sg""")
 def q_labels_suggestions_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", LB.suggest_labels(F.col("text")).alias("s"))
-    x = d.select("doc_id", F.posexplode("s").alias("sidx", "e"))
+    x = explode_rows(d, "s", "e", keep=["doc_id"], with_pos="sidx")
     return x.select("doc_id", "sidx", "e.entity", "e.etype")
 
 
@@ -1040,7 +1041,7 @@ SELECT doc_id, head[3:] AS etype, string_agg(t, ' ' ORDER BY j) AS text
 FROM h WHERE starts_with(head, 'B-') GROUP BY doc_id, grp, head""")
 def q_labels_spans_documents(spark, sf):
     d = labelled_documents(spark, sf)
-    x = d.select("doc_id", F.explode(LB.bio_spans(F.col("tokens"), F.col("labels"))).alias("s"))
+    x = explode_rows(d, LB.bio_spans(F.col("tokens"), F.col("labels")), "s", keep=["doc_id"])
     return x.select("doc_id", "s.etype", "s.text")
 
 
