@@ -51,10 +51,19 @@ def anomaly_summary(scored: DataFrame, threshold: float) -> DataFrame:
         F.hour("ts").alias("hour"), F.date_format("ts", "EEEE").alias("day_of_week"))
 
 
+def round_like_pandas(c, digits: int = 2):
+    """``DataFrame.round``: rint(x * 10^d) / 10^d on the binary value
+    (Spark's ``round``/``bround`` work on the decimal string instead).
+    Summation order makes a mean differ in its last bits between engines,
+    so that noise is removed first (round to 1e-9)."""
+    scale = float(10 ** digits)
+    return F.rint(F.round(c, 9) * scale) / scale
+
+
 def anomalies_by(summary: DataFrame, col: str) -> DataFrame:
     """Anomalies per ``col`` with count and mean score rounded to 2."""
     return summary.groupBy(col).agg(F.count(F.lit(1)).alias("count"),
-                                    F.round(F.avg("aggregate_score"), 2).alias("avg_score"))
+                                    round_like_pandas(F.avg("aggregate_score"), 2).alias("avg_score"))
 
 
 def top_counts(summary: DataFrame, col: str, k: int = 10) -> DataFrame:
@@ -212,3 +221,21 @@ def analyst_rows(scored: DataFrame, threshold: float) -> DataFrame:
         F.hour("ts").alias("hour_of_day"), F.weekday("ts").alias("day_of_week"),
         (F.weekday("ts") >= 5).alias("is_weekend"),
         ((F.hour("ts") >= 8) & (F.hour("ts") <= 18)).alias("is_business_hours"))
+
+
+def latest_datapoint(history: DataFrame, keys, ts_col: str = "ts", value_col: str = "value") -> DataFrame:
+    """SL8: the latest value per key (``max_by``, a partial aggregate)."""
+    keys = list(keys)
+    return history.groupBy(*keys).agg(F.max_by(value_col, ts_col).alias(value_col),
+                                      F.max(ts_col).alias(ts_col))
+
+
+def export_analysis(summary: DataFrame, detailed: DataFrame, metrics: DataFrame, out_dir: str,
+                    config: dict | None = None) -> None:
+    """SC16: summary CSV, detailed CSV, and metrics (+ config) as JSON."""
+    summary.write.mode("overwrite").option("header", True).csv(f"{out_dir}/anomaly_summary")
+    detailed.write.mode("overwrite").option("header", True).csv(f"{out_dir}/detailed_anomalies")
+    m = metrics
+    for k, v in (config or {}).items():
+        m = m.withColumn(f"config_{k}", F.lit(v))
+    m.write.mode("overwrite").json(f"{out_dir}/metrics")

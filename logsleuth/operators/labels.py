@@ -300,3 +300,40 @@ def export_csv(examples: DataFrame, path: str, tokens_col: str = "tokens",
 def export_json(examples: DataFrame, path: str) -> None:
     """SC15: JSON lines."""
     examples.write.mode("overwrite").json(path)
+
+
+def top_suggestions(suggestions: Column, k: int = 10) -> Column:
+    """SL6: the first ``k`` suggestions of a text."""
+    return F.slice(suggestions, 1, k)
+
+
+def validation_messages(examples: DataFrame, labels_col: str = "labels", tokens_col: str = "tokens",
+                        index_col: str = "index", k: int = 10) -> DataFrame:
+    """SL7 + W9: the first ``k`` issue and warning texts (by example, token)
+    in the wording of the original report, plus their totals."""
+    lab = F.col(labels_col)
+    prev = F.concat(F.array(F.lit("O")), F.slice(lab, 1, F.greatest(F.size(lab) - 1, F.lit(0))))
+    z = F.arrays_zip(lab.alias("l"), prev.alias("p"), F.sequence(F.lit(1), F.greatest(F.size(lab), F.lit(1)))
+                     .alias("j"))
+    ex = F.col(index_col) + 1
+    bad_i = F.transform(F.filter(z, lambda x: x["l"].startswith("I-") & (
+        x["p"] != F.concat(F.lit("B-"), F.substring(x["l"], 3, 1 << 20)))
+        & ~x["p"].startswith(F.concat(F.lit("I-"), F.substring(x["l"], 3, 1 << 20)))),
+        lambda x: F.format_string("Example %d, Token %d: Invalid I- tag without preceding B- tag", ex, x["j"]))
+    unknown = F.transform(F.filter(z, lambda x: ~x["l"].isin(*BIO_TAGS)),
+                          lambda x: F.format_string("Example %d, Token %d: Unrecognized label '%s'", ex,
+                                                    x["j"], x["l"]))
+    mism = F.when(F.size(tokens_col) != F.size(lab), F.array(F.format_string(
+        "Example %d: Token count (%d) != Label count (%d)", ex, F.size(tokens_col), F.size(lab)))).otherwise(
+        F.array().cast("array<string>"))
+    allo = F.when(F.forall(lab, lambda x: x == "O"), F.array(F.format_string(
+        "Example %d: No entities labeled (all O tags)", ex))).otherwise(F.array().cast("array<string>"))
+    per = examples.select(index_col, F.concat(mism, bad_i, unknown).alias("iss"), allo.alias("warn"))
+    msgs = (explode_rows(per, "iss", "message", keep=[index_col], with_pos="_p")
+            .withColumn("kind", F.lit("issue"))
+            .unionByName(explode_rows(per, "warn", "message", keep=[index_col], with_pos="_p")
+                         .withColumn("kind", F.lit("warning"))))
+    # top-k per kind with TakeOrderedAndProject: partial top-k per partition, bounded merge
+    first = [msgs.where(F.col("kind") == kind).orderBy(index_col, "_p").limit(k)
+             for kind in ("issue", "warning")]
+    return first[0].unionByName(first[1]).drop("_p")

@@ -19,12 +19,12 @@ def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
                  bucket: str | None = None, max_files: int | None = None):
     """SC6/SC8 over many files at once.
 
-    Returns ``(events, flows, manifest)``: valid audit events, valid flow
-    records (both with ``path``), and one manifest row per file with
+    Returns ``(events, flows, manifest, errors)``: valid audit events, valid
+    flow records (both with ``path``), one manifest row per file with
     ``batch_id`` (``s3-<bucket>-<key with / → ->`` when ``bucket`` is given,
     else ``local-<stem>``), ``event_source``, ``log_count``, ``size_bytes``
     (UTF-8 bytes of the decompressed text for object-store reads, bytes on
-    disk for local reads) and the file's error strings.
+    disk for local reads) and its error count, and the error texts as rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if max_files is not None:
@@ -37,16 +37,10 @@ def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
     ct = CT.parse_cloudtrail_text(raw.where(F.col("event_source") == "cloudtrail")
                                      .select("path", "value"))
     fl = FL.parse_flow_text(raw.where(F.col("event_source") == "vpc_flow").select("path", "value"))
-    ct_counts = ct.groupBy("path").agg(
-        F.count_if(F.size("errors") == 0).alias("log_count"),
-        F.filter(F.collect_list(F.when(F.size("errors") > 0, F.concat_ws("; ", "errors"))),
-                 lambda e: e.isNotNull()).alias("errors"))
-    fl_counts = fl.groupBy("path").agg(
-        F.count_if(F.col("error").isNull()).alias("log_count"),
-        F.filter(F.collect_list(F.when(F.col("error").isNotNull(),
-                                       F.concat(F.lit("Line "), F.col("line_number").cast("string"),
-                                                F.lit(": "), F.col("error")))),
-                 lambda e: e.isNotNull()).alias("errors"))
+    ct_counts = ct.groupBy("path").agg(F.count_if(F.size("errors") == 0).alias("log_count"),
+                                       F.count_if(F.size("errors") > 0).alias("error_count"))
+    fl_counts = fl.groupBy("path").agg(F.count_if(F.col("error").isNull()).alias("log_count"),
+                                       F.count_if(F.col("error").isNotNull()).alias("error_count"))
     counts = ct_counts.unionByName(fl_counts)
     files = raw.select("path", "event_source", F.octet_length("value").alias("text_bytes"), "file_size")
     man = files.join(counts, "path", "left")
@@ -60,18 +54,28 @@ def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
     manifest = man.select(batch_id.alias("batch_id"), F.col("path").alias("source_key"),
                           "event_source", F.coalesce("log_count", F.lit(0)).alias("log_count"),
                           size.alias("size_bytes"),
-                          F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+                          F.coalesce("error_count", F.lit(0)).alias("error_count"),
                           F.current_timestamp().alias("created_at"))
-    return CT.valid(ct), FL.valid(fl), manifest
+    # error texts stay a long table (one row per rejected record / line), never a list per file
+    errors = (ct.where(F.size("errors") > 0)
+                .select("path", F.col("record_index").cast("long").alias("position"),
+                        F.concat_ws("; ", "errors").alias("error"))
+                .unionByName(fl.where(F.col("error").isNotNull())
+                               .select("path", F.col("line_number").cast("long").alias("position"),
+                                       F.concat(F.lit("Line "), F.col("line_number").cast("string"),
+                                                F.lit(": "), F.col("error")).alias("error"))))
+    return CT.valid(ct), FL.valid(fl), manifest, errors
 
 
 def batch_summary(manifest: DataFrame) -> DataFrame:
-    """SC7 / A10: totals over a manifest: files, events, failed files, errors."""
+    """SC7 / A10: totals over a manifest: files, events, files with errors,
+    rejected records (the error texts are the long table from
+    :func:`ingest_files`)."""
     return manifest.agg(
         F.count(F.lit(1)).alias("files_processed"),
         F.sum("log_count").alias("total_events"),
-        F.count_if(F.size("errors") > 0).alias("files_with_errors"),
-        F.flatten(F.collect_list("errors")).alias("errors"))
+        F.count_if(F.col("error_count") > 0).alias("files_with_errors"),
+        F.sum("error_count").alias("rejected_records"))
 
 
 def write_events(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "overwrite") -> None:

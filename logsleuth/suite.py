@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.hof import explode_rows
 from .plans.ranking import time_segment
+from .session import cut_lineage
 from .tables import table
 
 DAY_S = 86_400
@@ -638,13 +639,13 @@ def q_analysis_anomaly_summary_events(spark, sf):
 
 
 @register("analysis_by_user_events", _dq("""
-SELECT "user", count(*) AS count, round(avg(aggregate_score), 2) AS avg_score FROM an GROUP BY ALL"""))
+SELECT "user", count(*) AS count, round_even(round(avg(aggregate_score), 9), 2) AS avg_score FROM an GROUP BY ALL"""))
 def q_analysis_by_user_events(spark, sf):
     return AN.anomalies_by(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), "user")
 
 
 @register("analysis_by_hour_events", _dq("""
-SELECT hour(ts) AS hour, count(*) AS count, round(avg(aggregate_score), 2) AS avg_score FROM an GROUP BY ALL"""))
+SELECT hour(ts) AS hour, count(*) AS count, round_even(round(avg(aggregate_score), 9), 2) AS avg_score FROM an GROUP BY ALL"""))
 def q_analysis_by_hour_events(spark, sf):
     return AN.anomalies_by(AN.anomaly_summary(scored_events(spark, sf), ENGINE_THRESHOLD), "hour")
 
@@ -1326,3 +1327,40 @@ def q_stream_escalation_events_24h(spark, sf):
                                                  lookback_minutes=1440), "escalation_24h")
     return out.select("event_id", "entity_id", F.col("pattern").alias("pname"), "score",
                       F.col("factors")[1].alias("recent"))
+
+
+@register("stream_reconcile_alarm_orders", """
+SELECT time_bucket(INTERVAL 60 minute, o_orderdate) AS period_start,
+       sum(CASE WHEN o_orderstatus = 'O' AND NOT coalesce(CASE WHEN o_orderkey % 5 = 0 THEN NULL
+                                                             ELSE o_orderkey % 2 = 0 END, false)
+                THEN 1 ELSE 0 END) AS value,
+       sum(CASE WHEN o_orderstatus = 'O' AND NOT coalesce(CASE WHEN o_orderkey % 5 = 0 THEN NULL
+                                                             ELSE o_orderkey % 2 = 0 END, false)
+                THEN 1 ELSE 0 END) >= 1 AS alarm
+FROM orders GROUP BY ALL""")
+def q_stream_reconcile_alarm_orders(spark, sf):
+    """ST6: missing reconciliations (open and not applied) per 60 minutes."""
+    au = audit_from_orders(spark, sf)
+    od = table(spark, sf, "orders").select(
+        F.concat(F.lit("rec-"), F.col("o_orderkey").cast("string")).alias("recommendation_id"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"))
+    x = au.join(od, "recommendation_id")
+    missing = ((F.col("status") == "RECOMMENDED") & ~GV.action_applied(x)).cast("int")
+    out = SD.tumbling_alarm(x, "ts", missing, "60 minutes")
+    return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"),
+                      F.col("value").cast("bigint").alias("value"), "alarm")
+
+
+# --------------------------------------------------------------------------
+# end to end: derived audit events → F6 entities → all detectors → A8
+# (composite of operators checked above; rows-only check)
+# --------------------------------------------------------------------------
+@register("engine_audit_events_end_to_end")
+def q_engine_audit_events_end_to_end(spark, sf):
+    ev = OE.cloudtrail_entities(audit_events_from_driver(spark, sf).withColumn("awsRegion", F.lit("us-east-1")))
+    # the extraction feeds four detector branches: materialise it once in the
+    # shared checkpoint folder instead of recomputing it per branch
+    det = cut_lineage(B.audit_detector_input(ev))
+    sc = B.score_events(det, mode="prior", threshold=2.5)
+    agg = B.aggregate_scores(det.select("event_id", "ts"), sc)
+    return agg.select("event_id", r6("aggregate_score").alias("aggregate_score"), "n_anomalies", "n_scores")

@@ -100,11 +100,12 @@ def test_format_detection(spark, files):
 def test_ingest_manifest(spark, files):
     paths = [str(files / "cloudtrail" / n) for n in ("records.json", "broken.json")] + \
             [str(files / "flows" / "vpc-flow.log")]
-    ev, fl, man = ingest_files(spark, paths, bucket="b")
+    ev, fl, man, errs = ingest_files(spark, paths, bucket="b")
     rows = {r.source_key.rsplit("/", 1)[-1]: r for r in man.collect()}
     assert rows["records.json"].log_count == 2
     assert rows["records.json"].batch_id.startswith("s3-b-") and "/" not in rows["records.json"].batch_id
-    assert rows["broken.json"].log_count == 0 and rows["broken.json"].errors
+    assert rows["broken.json"].log_count == 0 and rows["broken.json"].error_count == 1
+    assert any("Invalid JSON" in r.error for r in errs.collect())
     assert rows["vpc-flow.log"].log_count == 2
     assert rows["records.json"].size_bytes == len((files / "cloudtrail" / "records.json").read_bytes())
     s = batch_summary(man).collect()[0]
