@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hof import explode_rows
 from ..plans.keys import attach_global
+from ..session import cut_lineage
 from ..plans.quantiles import exact_quantiles
 from ..plans.ranking import row_index, running_total, time_segment
 
@@ -85,6 +86,7 @@ def mode_of(summary: DataFrame, col: str) -> DataFrame:
 
 def summary_stats(summary: DataFrame) -> DataFrame:
     """Mean, median, max aggregate score of the anomalies."""
+    summary = cut_lineage(summary.select("aggregate_score"))
     mean_max = summary.agg(F.avg("aggregate_score").alias("mean_score"),
                            F.max("aggregate_score").alias("max_score"))
     med = exact_quantiles(summary, [], "aggregate_score", {"median_score": 0.5})
@@ -112,6 +114,9 @@ def score_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:
 def detection_metrics(scored: DataFrame, threshold: float) -> DataFrame:
     """One row of distribution metrics and the quality verdicts."""
     t = F.lit(float(threshold))
+    # the scores come from a deep pipeline and feed several aggregates:
+    # materialise the one-column projection once (shared checkpoint folder)
+    scored = cut_lineage(scored.select("aggregate_score"))
     base = scored.agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(F.col("aggregate_score") >= t).alias("detected_anomalies"),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.keys import join_on
+from ..session import cut_lineage
 from ..plans.quantiles import exact_median, median_col_from_sorted_array
 from ..plans.ranking import ordinal_segment, row_index
 
@@ -49,7 +50,9 @@ def series_stats(df: DataFrame, value: str = "value", by=()) -> DataFrame:
         F.stddev_pop("_x").alias("std_pop"),
         F.stddev_samp("_x").alias("std_samp"),
     )
-    med = exact_median(base, by, "_x", "median")
+    # the per-series medians are a tiny table (one row per series); cutting
+    # lineage there keeps the MAD pass from re-planning the median pass
+    med = cut_lineage(exact_median(base, by, "_x", "median"))
     dev = join_on(base, med, by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, by, "_d", "mad")
     stats = join_on(join_on(moments, med, by, "left"), mad, by, "left")

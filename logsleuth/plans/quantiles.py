@@ -9,11 +9,12 @@ one task; a hot series would not fit.  Instead:
    histogram per key;
 2. a prefix sum over the (small) histogram finds the bucket holding each
    middle rank and the rank's offset inside it;
-3. only rows of those one or two buckets per key are kept, duplicates are
-   pre-aggregated with ``groupBy(key, bucket, value).count()``, and a prefix
-   sum over those distinct values picks the exact value.
+3. only rows of those one or two buckets per key are kept and split again
+   linearly between the bucket's own min and max; a prefix sum over that
+   second histogram narrows to one sub-bucket, whose distinct values
+   (duplicates pre-aggregated) give the exact value.
 
-Two scans, no global sort, no sampling; results are deterministic.
+Three scans, no global sort, no sampling; results are deterministic.
 """
 
 from __future__ import annotations
@@ -39,47 +40,76 @@ def value_bucket(v: Column) -> Column:
              .otherwise(-mag.cast("long")))
 
 
+def _locate(hist: DataFrame, part_keys, order_col: str, ranks: DataFrame, rank_col: str) -> DataFrame:
+    """Prefix-sum ``hist`` (one row per bucket with ``_c``) within
+    ``part_keys`` in ``order_col`` order and keep, for every wanted rank of
+    ``ranks``, the bucket holding it and the rank inside that bucket."""
+    w = Window.partitionBy(*part_keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
+    j = join_on(h, ranks, part_keys)
+    return (j.where((F.col("_before") <= F.col(rank_col)) & (F.col(rank_col) < F.col("_cum")))
+             .withColumn(rank_col, F.col(rank_col) - F.col("_before"))
+             .drop("_cum", "_before", "_c"))
+
+
+SUB_BUCKETS = 4096
+
+
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     """One row per key with exact linearly interpolated quantiles of non-null
     ``value``: ``probs`` maps output column -> probability in [0, 1].
 
-    Quantile p sits at 0-based position p (n - 1); the two neighbouring order
-    statistics are located through the bucket histogram and interpolated
-    as ``lo + (hi - lo) * frac`` (the median, frac = 0.5, as ``(lo + hi) / 2``).
+    Quantile p sits at 0-based position p (n - 1); its two neighbouring order
+    statistics are located in three narrowing steps, each a partial
+    aggregate (a hot key is pre-combined on every executor):
+
+    1. (key, bucket) counts, min and max with the order-preserving bucket;
+    2. inside each wanted bucket, (key, bucket, sub-bucket) counts with a
+       linear split of the bucket's own [min, max] into 4096 parts (a bucket
+       whose min equals its max is resolved right away);
+    3. inside each wanted sub-bucket, the distinct values with their counts.
+
+    Interpolation is ``lo + (hi - lo) * frac`` (the median as ``(lo + hi) / 2``).
     """
     keys = list(keys)
     base = (df.select(*keys, F.col(value).cast("double").alias("_v"))
               .where(F.col("_v").isNotNull())
               .withColumn("_b", value_bucket(F.col("_v"))))
-    hist = base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    hist = base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
+                                         F.max("_v").alias("_bmax"))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    wc = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b")
-    hist = (hist.withColumn("_n", F.sum("_c").over(wk))
-                .withColumn("_cum", F.sum("_c").over(wc.rowsBetween(Window.unboundedPreceding, 0))))
-    hist = hist.withColumn("_before", F.col("_cum") - F.col("_c"))
+    n = hist.select(*keys, F.sum("_c").over(wk).alias("_n")).distinct()
     specs = []
     for qi, (name, p) in enumerate(probs.items()):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            specs.append(F.struct(F.lit(f"{qi}_{side}").alias("_t"), rank.cast("long").alias("_rank"),
+            specs.append(F.struct(F.lit(f"{qi}_{side}").alias("_t"), rank.cast("long").alias("_r"),
                                   (pos - F.floor(pos)).alias("_frac")))
-    # one pass over the histogram: every (quantile, side) as an exploded spec
-    targets = (hist.select(*keys, "_b", "_before", "_cum", F.explode(F.array(*specs)).alias("_s"))
-                   .select(*keys, "_b", "_before", "_cum", "_s.*")
-                   .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
-                   .select(*keys, "_b", (F.col("_rank") - F.col("_before")).alias("_r"), "_t", "_frac"))
-    tb = targets.select(*keys, "_b").distinct()
-    cand = join_on(base, tb, keys + ["_b"])
-    dist = cand.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    wd = Window.partitionBy(*keys, "_b").orderBy("_v")
-    dist = dist.withColumn("_hi", F.sum("_k").over(wd.rowsBetween(Window.unboundedPreceding, 0)))
-    dist = dist.withColumn("_lo", F.col("_hi") - F.col("_k"))
-    picked = join_on(dist, targets, keys + ["_b"]).where(
-        (F.col("_lo") <= F.col("_r")) & (F.col("_r") < F.col("_hi")))
+    ranks = n.select(*keys, F.explode(F.array(*specs)).alias("_s")).select(*keys, "_s.*")
+    t1 = _locate(hist, keys, "_b", ranks, "_r")          # keys, _b, _bmin, _bmax, _t, _r, _frac
+    done1 = t1.where(F.col("_bmin") == F.col("_bmax")).select(*keys, "_t", "_frac",
+                                                            F.col("_bmin").alias("_val"))
+    open1 = t1.where(F.col("_bmin") < F.col("_bmax"))
+    span = F.col("_bmax") - F.col("_bmin")
+    sub = F.least(F.floor((F.col("_v") - F.col("_bmin")) / span * SUB_BUCKETS),
+                  F.lit(SUB_BUCKETS - 1)).cast("long")
+    wanted = open1.select(*keys, "_b", "_bmin", "_bmax").distinct()
+    rows2 = join_on(base, wanted, keys + ["_b"]).withColumn("_sb", sub)
+    hist2 = rows2.groupBy(*keys, "_b", "_sb").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_smin"),
+                                                  F.max("_v").alias("_smax"))
+    t2 = _locate(hist2, keys + ["_b"], "_sb", open1.drop("_bmin", "_bmax"), "_r")
+    done2 = t2.where(F.col("_smin") == F.col("_smax")).select(*keys, "_t", "_frac",
+                                                            F.col("_smin").alias("_val"))
+    open2 = t2.where(F.col("_smin") < F.col("_smax"))
+    rows3 = join_on(rows2, open2.select(*keys, "_b", "_sb").distinct(), keys + ["_b", "_sb"])
+    dist = rows3.groupBy(*keys, "_b", "_sb", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    t3 = _locate(dist, keys + ["_b", "_sb"], "_v", open2.drop("_smin", "_smax"), "_r")
+    done3 = t3.select(*keys, "_t", "_frac", F.col("_v").alias("_val"))
+    picked = done1.unionByName(done2).unionByName(done3)
     aggs = []
     for qi, (name, p) in enumerate(probs.items()):
-        lo = F.max(F.when(F.col("_t") == f"{qi}_lo", F.col("_v")))
-        hi = F.max(F.when(F.col("_t") == f"{qi}_hi", F.col("_v")))
+        lo = F.max(F.when(F.col("_t") == f"{qi}_lo", F.col("_val")))
+        hi = F.max(F.when(F.col("_t") == f"{qi}_hi", F.col("_val")))
         frac = F.max(F.when(F.col("_t") == f"{qi}_lo", F.col("_frac")))
         if float(p) == 0.5:
             aggs.append(((lo + hi) / 2).alias(name))

@@ -122,3 +122,20 @@ def test_row_index_positions(spark):
         sub = sorted([r for r in rows if r[0] == k], key=lambda r: (r[2], r[1]))
         for pos, r in enumerate(sub):
             assert got[(k, r[1])] == (pos, len(sub))
+
+
+def test_exact_quantiles_concentrated_values(spark):
+    import numpy as np
+    from logsleuth.plans.quantiles import exact_quantiles
+    # most values packed into a tiny range inside one bucket, plus spread outliers and duplicates
+    vals = [1000.0 + i * 1e-9 for i in range(300)] + [1000.2, 5.0, -3.5, 0.0, 1000.0, 1000.0] + \
+           [float(i) for i in range(50)]
+    df = spark.createDataFrame([("k", v) for v in vals] + [("j", 2.0)] * 5, "k string, v double")
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95, "p10": 0.1}).collect()}
+    a = np.array(vals)
+    assert got["k"].p50 == np.median(a)
+    assert got["k"].p95 == pytest.approx(np.percentile(a, 95), rel=1e-12)
+    assert got["k"].p10 == pytest.approx(np.percentile(a, 10), rel=1e-12)
+    assert got["j"].p50 == 2.0
+    g = exact_quantiles(df.where("k = 'k'"), [], "v", {"p99": 0.99}).collect()[0]
+    assert g.p99 == pytest.approx(np.percentile(a, 99), rel=1e-12)
