@@ -69,6 +69,28 @@ CONTEXT_CHARS = 50
 
 JAVA_FLAGS = "(?iU)"
 
+# Literal every match of a pattern contains (lower case); used only as a
+# guard before running the regex on long texts.
+REQUIRED_LITERALS = {
+    ENTITY_PATTERNS["iam_role_arn"][0]: "arn:aws:iam::",
+    ENTITY_PATTERNS["iam_role_arn"][1]: "arn:aws:sts::",
+    ENTITY_PATTERNS["iam_user_arn"][0]: "arn:aws:iam::",
+    ENTITY_PATTERNS["ip_address"][0]: ".",
+    ENTITY_PATTERNS["ip_address"][1]: ":",
+    ENTITY_PATTERNS["vpc_id"][0]: "vpc-",
+    ENTITY_PATTERNS["subnet_id"][0]: "subnet-",
+    ENTITY_PATTERNS["kms_key_id"][0]: "arn:aws:kms:",
+    ENTITY_PATTERNS["kms_key_id"][1]: "-",
+    ENTITY_PATTERNS["s3_bucket"][0]: "arn:aws:s3:::",
+    ENTITY_PATTERNS["s3_bucket"][1]: ".s3.amazonaws.com",
+    ENTITY_PATTERNS["s3_bucket"][2]: "s3://",
+    ENTITY_PATTERNS["ec2_instance_id"][0]: "i-",
+    ENTITY_PATTERNS["security_group_id"][0]: "sg-",
+}
+# Non-ASCII characters that match ASCII letters under Unicode case folding.
+CASE_FOLD_FROM = "\u017f\u0131\u0130\u212a"
+CASE_FOLD_TO = "siik"
+
 ENTITY_STRUCT = ("struct<entity_type:string,entity_id:string,confidence:double,"
                  "context:string,source_field:string,ord:int>")
 
@@ -203,9 +225,16 @@ def add_text_entities(df, text_col: str, out_col: str = "entities", entity_types
     text = F.col(text_col)
     pats = [(t, p) for t in types for p in ENTITY_PATTERNS[t]]
     tmp = [f"__ms{i}" for i in range(len(pats))]
-    out = df
+    # a pattern can only match where its literal occurs (case-insensitively):
+    # lower-case once, after mapping the characters that case-fold onto ASCII
+    out = df.withColumn("__guard", F.lower(F.translate(text, CASE_FOLD_FROM, CASE_FOLD_TO)))
+    empty = F.array().cast("array<string>")
     for name, (_, p) in zip(tmp, pats):
-        out = out.withColumn(name, F.regexp_extract_all(text, F.lit(JAVA_FLAGS + p), 0))
+        rx = F.regexp_extract_all(text, F.lit(JAVA_FLAGS + p), 0)
+        lit = REQUIRED_LITERALS.get(p)
+        out = out.withColumn(name, rx if lit is None else
+                             F.when(F.col("__guard").contains(lit), rx).otherwise(empty))
+    out = out.drop("__guard")
     parts = []
     for name, (t, p) in zip(tmp, pats):
         ms = F.col(name)
