@@ -18,6 +18,14 @@ _REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Bounded status history: a long-lived driver running many large plans
+# should not keep every finished execution in memory.
+_DRIVER_CONF = {
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "10000",
+}
 
 
 def get_spark(master: str | None = None, app: str = "logsleuth",
@@ -34,7 +42,7 @@ def get_spark(master: str | None = None, app: str = "logsleuth",
     builder = (builder.config("spark.ui.enabled", "false")
                       .config("spark.ui.showConsoleProgress", "false")
                       .config("spark.driver.memory", os.environ.get("LOGSLEUTH_DRIVER_MEMORY", "16g")))
-    for k, v in (extra_conf or {}).items():
+    for k, v in {**_DRIVER_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
