@@ -216,8 +216,8 @@ def spans_to_bio(text: Column, spans: Column, single_space: bool = False) -> Col
 def weak_spans(text: Column, arn: Column, ip: Column) -> Column:
     """first occurrence of the identity ARN (role if it contains
     'role', else user) and of the source IP inside ``text``."""
-    a_pos = F.locate(F.coalesce(arn, F.lit("\u0000")), text) - 1
-    i_pos = F.locate(F.coalesce(ip, F.lit("\u0000")), text) - 1
+    a_pos = F.position(F.coalesce(arn, F.lit("\u0000")), text) - 1
+    i_pos = F.position(F.coalesce(ip, F.lit("\u0000")), text) - 1
     arn_span = F.when(arn.isNotNull() & (arn != "") & (a_pos >= 0), F.struct(
         a_pos.alias("start"), (a_pos + F.length(arn)).alias("end"),
         F.when(arn.contains("role"), "IAM_ROLE_ARN").otherwise("IAM_USER_ARN").alias("label")))
