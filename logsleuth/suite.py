@@ -1364,3 +1364,35 @@ def q_engine_audit_events_end_to_end(spark, sf):
     sc = B.score_events(det, mode="prior", threshold=2.5)
     agg = B.aggregate_scores(det.select("event_id", "ts"), sc)
     return agg.select("event_id", r6("aggregate_score").alias("aggregate_score"), "n_anomalies", "n_scores")
+
+
+# --------------------------------------------------------------------------
+# Oracle output types: DuckDB returns DECIMAL for decimal literals and
+# HUGEINT for integer sums / count_if; Spark returns DOUBLE / BIGINT.  The
+# oracle results are cast to the Spark types (values unchanged).
+# --------------------------------------------------------------------------
+_ORACLE_CASTS = {
+    "behavior_parity_events": {"confidence": "DOUBLE"},
+    "behavior_prior_events": {"confidence": "DOUBLE"},
+    "stream_profile_prior_events": {"confidence": "DOUBLE"},
+    "behavior_escalation_events_24h": {"score": "DOUBLE"},
+    "behavior_escalation_events_30m": {"score": "DOUBLE"},
+    "stream_escalation_events_24h": {"score": "DOUBLE"},
+    "enrich_audit_events": {"risk_score": "DOUBLE"},
+    "engine_aggregate_events": {"n_anomalies": "BIGINT"},
+    "analysis_metrics_events": {"detected_anomalies": "BIGINT", "scores_above_threshold": "BIGINT"},
+    "analysis_threshold_sweep_events": {"anomaly_count": "BIGINT"},
+    "analysis_threshold_recommendation_events": {"current_count": "BIGINT"},
+    "analysis_running_rate_events": {"total_profiles": "BIGINT"},
+    "labels_quality_documents": {"issues": "BIGINT", "warnings": "BIGINT", "quality_score": "BIGINT"},
+    "govern_storage_classes_orders": {"total_bytes": "BIGINT"},
+    "govern_storage_metrics_orders": {"total_size_bytes": "BIGINT"},
+    "govern_compliance_report_orders": {"compliant_buckets": "BIGINT"},
+    "govern_reconcile_summary_orders": {"scanned": "BIGINT", "reconciled": "BIGINT", "missing": "BIGINT"},
+    "govern_reconciled_table_orders": {"n_stamped": "BIGINT"},
+    "stream_error_alarm_events": {"value": "BIGINT"},
+    "stream_reconcile_alarm_orders": {"value": "BIGINT"},
+}
+for _name, _casts in _ORACLE_CASTS.items():
+    _rep = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _casts.items())
+    ORACLE[_name] = f"SELECT * REPLACE ({_rep}) FROM (\n{ORACLE[_name]}\n) AS _o"
