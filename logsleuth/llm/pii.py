@@ -215,9 +215,8 @@ def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, support: int) -
     import numpy as np
 
     places = F.col("t").bitwiseAND(F.lit(BITMAP_BITS - 1).cast("long"))
-    words = (strong.select("t").distinct().select(places.alias("p"))
-                   .groupBy((F.col("p") / 64).cast("int").alias("w"))
-                   .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")))
+    words = (strong.select(places.alias("p")).groupBy(F.expr("cast(p div 64 AS int)").alias("w"))
+                   .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b")))
     bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
     for r in words.collect():  # at most BITMAP_BITS / 64 rows
         bitmap[r["w"]] = r["b"]

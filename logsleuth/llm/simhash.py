@@ -3,7 +3,7 @@
 ``fingerprints`` gives each text a 64-bit SimHash over word shingles.
 ``links`` finds all pairs of distinct fingerprints at ``max_bits`` differing
 bits or fewer without comparing all pairs: a fingerprint is cut into
-``(max_bits + 1) // 2`` segments, so of two linked fingerprints one segment
+``max_bits // 2 + 1`` segments, so of two linked fingerprints one segment
 differs by at most one bit.  Each segment is indexed once unchanged and once
 per bit with that bit as a wildcard; equal index keys are joined and the join
 condition verifies the bit distance, so only true links leave the join.
@@ -75,7 +75,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     row per distinct fingerprint in column ``fp``."""
     if not 1 <= max_bits <= 31:
         raise ValueError("max_bits must be from 1 to 31")
-    parts = (max_bits + 1) // 2 if max_bits > 1 else 1
+    parts = max_bits // 2 + 1
     edges = [BITS * i // parts for i in range(parts + 1)]
     # (segment number, wildcard bit or none, segment value without that bit)
     keys = []
