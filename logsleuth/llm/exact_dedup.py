@@ -63,8 +63,9 @@ def dedup_state(records: DataFrame, root: str, max_files_per_trigger: int | None
     again after more record files arrived continues from the kept state.
     """
     spark = records.sparkSession
+    # many small stores: no space laid aside on disk for each of their logs
     with _session_conf(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-                                 "spark.sql.streaming.metricsEnabled": "false"}):
+                                 "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}):
         reader = spark.readStream.schema(records.schema)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
