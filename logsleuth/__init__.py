@@ -11,3 +11,11 @@ expressions, windows, joins and aggregates.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks are shipped by value: executors need the
+# third-party libraries but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hof import first_of_group, let, running_starts
+
 # Entity types in evaluation order and their patterns, in order.
 ENTITY_TYPES = [
     "iam_role_arn",
@@ -115,26 +117,28 @@ _MATCH_T = "array<struct<id:string,start:int,end:int>>"
 def _positions(text: Column, pattern: str, ms: Column) -> Column:
     """array<struct<id, start, end>> for the matches ``ms`` of ``pattern`` in
     ``text`` (0-based, end exclusive).  The split segments give the offsets:
-    start_i = len(seg_0..seg_i) + len(match_0..match_{i-1}); the final
-    segment pairs with a NULL match and is skipped."""
-    zipped = F.arrays_zip(F.split(text, JAVA_FLAGS + pattern, -1).alias("s"), ms.alias("m"))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(_MATCH_T).alias("acc"))
-
-    def step(acc, x):
-        st = acc["pos"] + F.length(x["s"])
-        en = st + F.length(x["m"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            en.alias("pos"),
-            F.array_append(acc["acc"], F.struct(x["m"].alias("id"), st.alias("start"),
-                                                en.alias("end"))).alias("acc")))
-    return F.aggregate(zipped, init, step)["acc"]
-
-
-def _matches(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches with positions, in position order."""
+    start_i = len(seg_0..seg_i) + len(match_0..match_{i-1})."""
+    gaps = F.slice(F.split(text, JAVA_FLAGS + pattern, -1), F.lit(1), F.size(ms))
+    starts = running_starts(F.transform(gaps, F.length), F.transform(ms, F.length))
+    return F.zip_with(ms, starts, lambda m, at: F.struct(
+        m.alias("id"), at.cast("int").alias("start"), (at + F.length(m)).cast("int").alias("end")))
+
+
+def _matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """All non-overlapping matches with positions, in position order; the
+    pattern runs once, and only where ``guard`` (the text folded by
+    :func:`_fold`) holds the literal that every match has."""
     ms = F.regexp_extract_all(text, F.lit(JAVA_FLAGS + pattern), 0)
-    return F.when(F.size(ms) > 0, _positions(text, pattern, ms)).otherwise(
-        F.array().cast(_MATCH_T))
+    lit = REQUIRED_LITERALS.get(pattern)
+    if guard is not None and lit is not None:
+        ms = F.when(guard.contains(lit), ms).otherwise(F.array().cast("array<string>"))
+    return let(ms, lambda m: F.when(F.size(m) > 0, _positions(text, pattern, m)).otherwise(
+        F.array().cast(_MATCH_T)))
+
+
+def _fold(text: Column) -> Column:
+    """Lower case after mapping the characters that case-fold onto ASCII."""
+    return F.lower(F.translate(text, CASE_FOLD_FROM, CASE_FOLD_TO))
 
 
 def _confidence(etype: str, eid: Column, text: Column, start: Column, end: Column) -> Column:
@@ -186,24 +190,26 @@ def extract_from_text(text: Column, entity_types=None, confidence_threshold: flo
     """
     types = ENTITY_TYPES if entity_types is None else [t for t in ENTITY_TYPES if t in entity_types]
     sf = F.lit(source_field) if isinstance(source_field, str) else source_field
-    parts = []
-    for etype in types:
-        for pat in ENTITY_PATTERNS[etype]:
-            parts.append(F.transform(_matches(text, pat), _scorer(etype, text)))
-    if not parts:
+    if not types:
         return F.array().cast(f"array<{ENTITY_STRUCT}>")
-    allm = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return _finish(allm, confidence_threshold, sf)
+
+    def found(t):
+        def guarded(g):
+            parts = [F.transform(_matches(t, pat, g), _scorer(etype, t))
+                     for etype in types for pat in ENTITY_PATTERNS[etype]]
+            return F.concat(*parts) if len(parts) > 1 else parts[0]
+        return let(_fold(t), guarded)
+    return _finish(let(text, found), confidence_threshold, sf)
 
 
 def _first_occurrence(allm: Column) -> Column:
-    """Keep the first occurrence of each (type, id); a single left fold so
-    the match array is evaluated once."""
-    empty = F.array().cast("array<struct<entity_type:string,entity_id:string,"
-                           "confidence:double,context:string>>")
-    return F.aggregate(allm, empty, lambda acc, x: F.when(
-        F.exists(acc, lambda y: (y["entity_type"] == x["entity_type"])
-                 & (y["entity_id"] == x["entity_id"])), acc).otherwise(F.array_append(acc, x)))
+    """Keep the first occurrence of each (type, id), in order: sorted by key
+    and place, first of each run, back in place order."""
+    keyed = F.transform(allm, lambda x, i: F.struct(
+        x["entity_type"].alias("entity_type"), x["entity_id"].alias("entity_id"), i.alias("i"), x.alias("x")))
+    first = first_of_group(F.array_sort(keyed), ["entity_type", "entity_id"])
+    back = F.array_sort(F.transform(first, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+    return F.transform(back, lambda y: y["x"])
 
 
 def _finish(allm: Column, confidence_threshold: float, sf: Column) -> Column:
@@ -227,7 +233,7 @@ def add_text_entities(df, text_col: str, out_col: str = "entities", entity_types
     tmp = [f"__ms{i}" for i in range(len(pats))]
     # a pattern can only match where its literal occurs (case-insensitively):
     # lower-case once, after mapping the characters that case-fold onto ASCII
-    out = df.withColumn("__guard", F.lower(F.translate(text, CASE_FOLD_FROM, CASE_FOLD_TO)))
+    out = df.withColumn("__guard", _fold(text))
     empty = F.array().cast("array<string>")
     for name, (_, p) in zip(tmp, pats):
         rx = F.regexp_extract_all(text, F.lit(JAVA_FLAGS + p), 0)
@@ -256,12 +262,11 @@ def boost(entities: Column, source_field: str) -> Column:
 
 def extract_from_arn(arn: Column, source_field: str = "userIdentity.arn") -> Column:
     """route by ARN shape, then boost confidence."""
-    user = extract_from_text(arn, ["iam_user_arn"])
-    role = extract_from_text(arn, ["iam_role_arn"])
     both = extract_from_text(arn, ["iam_role_arn", "iam_user_arn"])
-    routed = (F.when(arn.contains(":user/"), user)
-               .when(arn.contains(":role/") | arn.contains(":assumed-role/"), role)
-               .otherwise(both))
+    only = (F.when(arn.contains(":user/"), "iam_user_arn")
+             .when(arn.contains(":role/") | arn.contains(":assumed-role/"), "iam_role_arn"))
+    routed = F.transform(F.filter(both, lambda e: only.isNull() | (e["entity_type"] == only)),
+                         lambda e, i: e.withField("ord", i))
     return F.when(arn.isNull(), F.array().cast(f"array<{ENTITY_STRUCT}>")).otherwise(
         boost(routed, source_field))
 
@@ -273,15 +278,14 @@ def with_source(entities: Column, source_field) -> Column:
 
 def dedupe_entities(entities: Column) -> Column:
     """A6 inside one row: per (type, id) keep the highest confidence, first on
-    ties, at the position of the key's first occurrence (a left fold, like
-    updating an insertion-ordered map)."""
-    empty = F.array().cast(f"array<{ENTITY_STRUCT}>")
-
-    def same(a, b):
-        return (a["entity_type"] == b["entity_type"]) & (a["entity_id"] == b["entity_id"])
-
-    folded = F.aggregate(entities, empty, lambda acc, x: F.when(
-        F.exists(acc, lambda y: same(x, y)),
-        F.transform(acc, lambda y: F.when(same(x, y) & (x["confidence"] > y["confidence"]), x)
-                    .otherwise(y))).otherwise(F.array_append(acc, x)))
-    return F.transform(folded, lambda e, i: e.withField("ord", i))
+    ties, at the position of the key's first occurrence (sorts by key, so the
+    cost of a long list stays near linear)."""
+    def keyed(e, i, weight):
+        return F.struct(e["entity_type"].alias("entity_type"), e["entity_id"].alias("entity_id"),
+                        weight.alias("weight"), i.alias("i"), e.alias("e"))
+    keys = ["entity_type", "entity_id"]
+    # the same key order in both lists, so they pair up group by group
+    place = first_of_group(F.array_sort(F.transform(entities, lambda e, i: keyed(e, i, F.lit(0.0)))), keys)
+    best = first_of_group(F.array_sort(F.transform(entities, lambda e, i: keyed(e, i, -e["confidence"]))), keys)
+    pairs = F.array_sort(F.zip_with(place, best, lambda p, b: F.struct(p["i"].alias("i"), b["e"].alias("e"))))
+    return F.transform(pairs, lambda p, i: p["e"].withField("ord", i))

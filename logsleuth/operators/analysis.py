@@ -19,7 +19,8 @@ from ..functions.hof import explode_rows
 from ..plans.keys import attach_global
 from ..session import cut_lineage
 from ..plans.quantiles import exact_quantiles
-from ..plans.ranking import row_index, running_total, time_segment
+from ..plans.ranking import balanced_segments, row_index, running_totals
+from ..session import cut_lineage
 
 # Threshold sweep 1.0, 1.5, ..., 9.5 and the target rate.
 SWEEP_THRESHOLDS = [1.0 + 0.5 * i for i in range(18)]
@@ -169,13 +170,11 @@ def recommend_threshold(sweep: DataFrame, target_rate: float = TARGET_RATE,
 
 
 def running_anomaly_rate(scored: DataFrame, every: int = 100,
-                         segment_seconds: int = 86_400) -> DataFrame:
+                         segment_rows: int = 1_000_000) -> DataFrame:
     """After every ``every`` events (in (ts, event_id) order), the
     running share of events with any flagged score and the number of
     distinct entity profiles seen so far.  Positions and running sums use the
     segmented prefix plans (no single-partition window)."""
-    seg = time_segment("ts", segment_seconds)
-    order = ["ts", "event_id"]
     flag = F.coalesce(F.exists("anomaly_scores", lambda s: s["is_anomaly"]), F.lit(False))
     ev = scored.select("event_id", "ts", flag.alias("_f"), "entities")
     ents = explode_rows(ev, "entities", "e", keep=["event_id", "ts"]).select(
@@ -184,9 +183,9 @@ def running_anomaly_rate(scored: DataFrame, every: int = 100,
         F.min(F.struct("ts", "event_id")).alias("m")).select("m.*")
     new_per_event = first.groupBy("event_id").agg(F.count(F.lit(1)).alias("_new"))
     ev = ev.join(new_per_event, "event_id", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
-    ev = running_total(ev, [], order, seg, F.lit(1), "processed_events")
-    ev = running_total(ev, [], order, seg, F.col("_f").cast("int"), "_anom")
-    ev = running_total(ev, [], order, seg, F.col("_new"), "total_profiles")
+    ev = cut_lineage(balanced_segments(ev.drop("entities"), "ts", rows=segment_rows))
+    ev = running_totals(ev, [], ["ts", "event_id"], F.col("_bal"), {
+        "processed_events": F.lit(1), "_anom": F.col("_f").cast("int"), "total_profiles": F.col("_new")})
     return ev.where(F.col("processed_events") % every == 0).select(
         "processed_events", (F.col("_anom") / F.col("processed_events")).alias("anomaly_rate"),
         "total_profiles")
@@ -212,7 +211,7 @@ def analyst_rows(scored: DataFrame, threshold: float) -> DataFrame:
     an = scored.where(F.col("aggregate_score") >= F.lit(float(threshold)))
     ind = F.transform("anomaly_scores", lambda s: s["score"])
     facs = F.flatten(F.transform("anomaly_scores", lambda s: s["factors"]))
-    idx = row_index(an, [], ["ts", "event_id"], time_segment("ts", 86_400), name="_i")
+    idx = row_index(cut_lineage(balanced_segments(an, "ts")), [], ["ts", "event_id"], F.col("_bal"), name="_i")
     return idx.select(
         (F.col("_i") + 1).alias("anomaly_id"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),

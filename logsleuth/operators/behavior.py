@@ -5,17 +5,16 @@ The original engine walks events one at a time and mutates four maps.  Here
 "the state after event e" is a running aggregate in the total order
 (ts, event_id):
 
-- counts per entity, per (entity, hour), per (entity, action), per (entity,
-  source) come from :func:`running_count` — a window per (key, day) plus a
-  prefix sum over the small (key, day) block table, so one hot entity is
-  never a single task;
-- pair counts and the number of multi-entity events come from
-  :func:`running_total` the same way (the global total is a prefix sum over
-  days, never an unpartitioned window);
-- the 30-minute escalation lookback runs per (user, lookback bucket) with the
-  previous bucket copied in as context, so a task holds at most two
-  lookbacks of one user.  Pattern tests keep O(1) state per action (latest
-  time seen), not a list.
+- the count per entity comes from :func:`running_count`: a window per (key,
+  segment of a bounded number of rows) plus a prefix sum over the small block
+  table, so one hot entity or day is never a single task;
+- first events per (entity, hour), (entity, action), (entity, source) are one
+  partial aggregate (the smallest row), not running counts;
+- pair counts and the number of multi-entity events are running totals of the
+  same kind (the global total is a prefix sum over segments);
+- the escalation lookback runs per (user, segment): the latest time of every
+  pattern action and the last events before the segment are carried in, so a
+  user's history is never one task.
 
 ``mode="parity"`` reproduces the original engine, which updates profiles
 *before* detecting (so new-action / new-source never fire and the time
@@ -31,7 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hof import explode_rows
-from ..plans.ranking import running_count, running_total, time_segment
+from ..plans.keys import join_on
+from ..plans.ranking import balanced_segments, running_count, running_total
+from ..session import cut_lineage
 
 # Action risk classes for new actions (default 4.0).
 HIGH_RISK_ACTIONS = [
@@ -68,7 +69,7 @@ DETECTOR_WEIGHTS = {
 ANOMALY_COLS = ["event_id", "ts", "entity_id", "entity_type", "anomaly_type", "score",
                 "confidence", "baseline_deviation", "factors", "det_rank", "sub_rank"]
 
-DAY_SECONDS = 86_400
+SEGMENT_ROWS = 1_000_000
 
 
 def _lit_map(d: dict) -> Column:
@@ -137,56 +138,66 @@ def entity_sources(ee: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ W3 / W4 detectors
 
 def behavioral_anomalies(ee: DataFrame, mode: str = "parity", min_events: int = 10,
-                         segment_seconds: int = DAY_SECONDS) -> DataFrame:
+                         segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """W3 (unusual hour), W4 (new action, new source) for every (event, entity).
 
+    An hour is unusual only while it was seen less than twice, so just the first
+    two events of each (entity, hour) can fire, and W4 fires on the first event
+    of an (entity, action) or (entity, source): all are smallest rows of a group.
     Output follows :data:`ANOMALY_COLS`.
     """
     if mode not in ("parity", "prior"):
         raise ValueError("mode must be 'parity' or 'prior'")
     k = ["entity_type", "entity_id"]
-    order = ["ts", "event_id"]
-    seg = time_segment("ts", segment_seconds)
-    x = (ee.withColumn("_hour", F.hour("ts"))
-           .withColumn("_src", F.when(_truthy(F.col("source")), F.col("source"))))
-    x = running_count(x, k, order, seg, "_n")
-    x = running_count(x, k + ["_hour"], order, seg, "_h")
-    if mode == "prior":
-        x = running_count(x, k + ["action"], order, seg, "_a")
-        x = running_count(x, k + ["_src"], order, seg, "_s")
-        n, hc = F.col("_n") - 1, F.col("_h") - 1
-        new_action = F.col("_a") == 1
-        new_source = F.col("_src").isNotNull() & (F.col("_s") == 1)
+    prior = mode == "prior"
+    x = ee.select(*k, "event_id", "ts", "ent_ord", *(["action", "source"] if prior else []))
+    x = cut_lineage(balanced_segments(x, "ts", rows=segment_rows))
+    x = cut_lineage(running_count(x, k, ["ts", "event_id", "ent_ord"], F.col("_bal"), "_n").drop("_bal"))
+    x = x.withColumn("_hour", F.hour("ts").cast("string")).withColumn("_ev", F.struct("ts", "event_id", "ent_ord", "_n"))
+    marks = [F.struct(F.lit("hour").alias("kind"), F.col("_hour").alias("v"))]
+    if prior:
+        marks += [F.struct(F.lit("action").alias("kind"), F.col("action").alias("v")),
+                  F.when(_truthy(F.col("source")), F.struct(F.lit("source").alias("kind"), F.col("source").alias("v")))]
+    first = (x.select(*k, "_ev", F.explode(F.array_compact(F.array(*marks))).alias("_m")).select(*k, "_ev", "_m.*")
+              .groupBy(*k, "kind", "v").agg(F.min("_ev").alias("_ev")))
+    first = cut_lineage(first)
+    hours = first.where("kind = 'hour'").select(*k, F.col("v").alias("_hour"), "_ev")
+    if prior:
+        later = join_on(x.select(*k, "_hour", F.col("_ev").alias("_e")), hours, k + ["_hour"]).where("_e > _ev")
+        second = later.groupBy(*k, "_hour").agg(F.min("_e").alias("_ev"))
+        hours = hours.withColumn("_hc", F.lit(0)).unionByName(second.withColumn("_hc", F.lit(1)))
     else:
-        n, hc = F.col("_n"), F.col("_h")
-        new_action = F.lit(False)
-        new_source = F.lit(False)
+        hours = hours.withColumn("_hc", F.lit(1))
+    n = F.col("_ev._n") - (1 if prior else 0)
     gate = (n >= F.lit(min_events)) & (n > 0)
-    share = hc / n
-    common = [F.col("event_id"), F.col("ts"), F.col("entity_id"), F.col("entity_type")]
-    time_rows = x.where(gate & (share < 0.05) & (hc < 2)).select(
+    share = F.col("_hc") / n
+    common = [F.col("_ev.event_id"), F.col("_ev.ts"), F.col("entity_id"), F.col("entity_type")]
+    sub = lambda i: (F.col("_ev.ent_ord") * 3 + i).alias("sub_rank")
+    time_rows = hours.where(gate & (share < 0.05)).select(
         *common, F.lit("time_pattern_anomaly").alias("anomaly_type"),
         F.least(F.lit(8.0) - share * 100, F.lit(10.0)).alias("score"),
         F.lit(0.8).alias("confidence"), (F.lit(1.0) - share).alias("baseline_deviation"),
-        F.array(F.format_string("Unusual activity hour: %02d:00", F.col("_hour")),
+        F.array(F.format_string("Unusual activity hour: %02d:00", F.col("_hour").cast("int")),
                 F.concat(F.lit("Historical frequency: "),
                          _fmt_fixed(share * 100, 1), F.lit("%"))
                 ).alias("factors"),
-        F.lit(0).alias("det_rank"), (F.col("ent_ord") * 3).alias("sub_rank"))
-    action_rows = x.where(gate & new_action).select(
+        F.lit(0).alias("det_rank"), sub(0))
+    if not prior:  # profiles already hold the event: nothing is ever new
+        return time_rows
+    action_rows = first.where((F.col("kind") == "action") & gate).select(
         *common, F.lit("behavioral_deviation").alias("anomaly_type"),
-        action_risk(F.col("action")).alias("score"), F.lit(0.7).alias("confidence"),
+        action_risk(F.col("v")).alias("score"), F.lit(0.7).alias("confidence"),
         F.lit(1.0).alias("baseline_deviation"),
-        F.array(F.concat(F.lit("New action: "), F.col("action")),
+        F.array(F.concat(F.lit("New action: "), F.col("v")),
                 F.lit("No historical precedent")).alias("factors"),
-        F.lit(0).alias("det_rank"), (F.col("ent_ord") * 3 + 1).alias("sub_rank"))
-    source_rows = x.where(gate & new_source).select(
+        F.lit(0).alias("det_rank"), sub(1))
+    source_rows = first.where((F.col("kind") == "source") & gate).select(
         *common, F.lit("behavioral_deviation").alias("anomaly_type"),
         F.lit(NEW_SOURCE_SCORE).alias("score"), F.lit(0.6).alias("confidence"),
         F.lit(1.0).alias("baseline_deviation"),
-        F.array(F.concat(F.lit("New source IP: "), F.col("_src")),
+        F.array(F.concat(F.lit("New source IP: "), F.col("v")),
                 F.lit("No historical precedent")).alias("factors"),
-        F.lit(0).alias("det_rank"), (F.col("ent_ord") * 3 + 2).alias("sub_rank"))
+        F.lit(0).alias("det_rank"), sub(2))
     return time_rows.unionByName(action_rows).unionByName(source_rows)
 
 
@@ -224,30 +235,24 @@ def combination_counts(events: DataFrame, entities_col: str = "entities",
 
 def rare_combinations(events: DataFrame, entities_col: str = "entities",
                       rarity_threshold: float = 0.01, min_observations: int = 100,
-                      segment_seconds: int = DAY_SECONDS) -> DataFrame:
+                      segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """For each event with >= 2 entities, each type pair (i < j) whose
     running count / running number of multi-entity events (both including
     this event, T18) is below ``rarity_threshold``, once the running number
     of multi-entity events reaches ``min_observations``."""
-    seg = time_segment("ts", segment_seconds)
     order = ["ts", "event_id"]
     types = F.transform(F.col(entities_col), lambda e: e["entity_type"])
-    ev = events.select("event_id", "ts", _pair_list(types).alias("_pairs"),
-                       (F.size(entities_col) >= 2).alias("_multi"))
-    ev = running_total(ev, [], order, seg, F.col("_multi").cast("int"), "_total")
+    ev = events.where(F.size(entities_col) >= 2).select("event_id", "ts", _pair_list(types).alias("_pairs"))
+    ev = cut_lineage(balanced_segments(ev, "ts", rows=segment_rows))
+    ev = running_count(ev.withColumn("_seg0", F.col("_bal")), [], order, F.col("_bal"), "_total")
     # one row per (event, distinct pair) with its multiplicity inside the event
-    ep = explode_rows(ev.where(F.col("_multi") & (F.col("_total") >= min_observations)),
-                      F.array_distinct("_pairs"), "_p", keep=["event_id", "ts", "_total", "_pairs"])
-    ep = ep.withColumn("_m", F.size(F.filter("_pairs", lambda q: q == F.col("_p")))).drop("_pairs")
-    # pair counts must include every multi-entity event, also those before the gate
-    allp = explode_rows(ev.where(F.col("_multi")), F.array_distinct("_pairs"), "_p",
-                        keep=["event_id", "ts", "_pairs"])
-    allp = allp.withColumn("_m", F.size(F.filter("_pairs", lambda q: q == F.col("_p")))).drop("_pairs")
-    allp = allp.withColumn("_t1", F.col("_p")[0]).withColumn("_t2", F.col("_p")[1])
-    cnt = running_total(allp, ["_t1", "_t2"], order, seg, F.col("_m"), "_count")
-    hit = ep.join(cnt.select("event_id", "_p", "_count"), ["event_id", "_p"])
+    allp = explode_rows(ev, F.array_distinct("_pairs"), "_p", keep=["event_id", "ts", "_total", "_pairs", "_seg0"])
+    allp = allp.select("event_id", "ts", "_total", "_seg0", "_p", F.col("_p")[0].alias("_t1"), F.col("_p")[1].alias("_t2"),
+                       F.size(F.filter("_pairs", lambda q: q == F.col("_p"))).alias("_m"))
+    # pair counts include every multi-entity event, also those before the gate
+    hit = running_total(cut_lineage(allp), ["_t1", "_t2"], order, F.col("_seg0"), F.col("_m"), "_count")
     freq = F.col("_count") / F.col("_total")
-    hit = hit.where((freq < rarity_threshold) & (F.col("_count") > 0))
+    hit = hit.where((F.col("_total") >= min_observations) & (freq < rarity_threshold) & (F.col("_count") > 0))
     hit = hit.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_m"))))
     return hit.select(
         "event_id", "ts",
@@ -265,7 +270,8 @@ def rare_combinations(events: DataFrame, entities_col: str = "entities",
 # ------------------------------------------------------- W6 privilege escalation
 
 def privilege_escalation(events: DataFrame, user_col: str = "user_key", action_col: str = "action",
-                         patterns: dict | None = None, lookback_minutes: int = 30) -> DataFrame:
+                         patterns: dict | None = None, lookback_minutes: int = 30,
+                         segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Patterns whose every action occurs among the user's events in
     ``(t - lookback, t]`` up to this event in (ts, event_id) order (T17);
     score = base (+1 when the window holds >= 3 events), capped at 10;
@@ -275,34 +281,40 @@ def privilege_escalation(events: DataFrame, user_col: str = "user_key", action_c
     ev = (events.where(F.col(user_col).isNotNull())
                 .select("event_id", "ts", F.col(user_col).alias("_u"), F.col(action_col).alias("_act"))
                 .withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))))
-    ev = ev.withColumn("_b", F.floor(F.col("_t") / F.lit(look_us)))
-    # each event is scored in its own bucket and serves as context for the next
-    ev = ev.withColumn("_cp", F.explode(F.array(
-        F.struct(F.col("_b").alias("_g"), F.lit(True).alias("_own")),
-        F.struct((F.col("_b") + 1).alias("_g"), F.lit(False).alias("_own"))))).select("*", "_cp.*")
-    part = Window.partitionBy("_u", "_g")
-    run = part.orderBy("_t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    ev = cut_lineage(balanced_segments(ev, "ts", rows=segment_rows))
     actions = sorted({a for acts, _ in patterns.values() for a in acts})
-    ev = ev.select(
+    # what a segment needs from the user's earlier ones: the latest time of each
+    # pattern action (prefix maximum) and the last four events
+    blocks = ev.groupBy("_u", "_bal").agg(*[F.max(F.when(F.col("_act") == a, F.col("_t"))).alias(f"_m{i}")
+                                            for i, a in enumerate(actions)], F.count(F.lit(1)).alias("_bn"))
+    by_user = Window.partitionBy("_u").orderBy("_bal")
+    earlier = by_user.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_u", "_bal", *[F.max(f"_m{i}").over(earlier).alias(f"_c{i}") for i in range(len(actions))],
+                           F.array_compact(F.array(*[F.lead("_bal", d).over(by_user) for d in range(1, 5)])).alias("_next"))
+    part = Window.partitionBy("_u", "_bal")
+    tail = ev.withColumn("_rd", F.row_number().over(part.orderBy(F.desc("_t"), F.desc("event_id")))).where("_rd <= 4")
+    context = (join_on(tail.drop("_rd"), blocks.select("_u", "_bal", "_next").where(F.size("_next") > 0), ["_u", "_bal"])
+               .withColumn("_bal", F.explode("_next")).drop("_next").withColumn("_own", F.lit(False)))
+    run = part.orderBy("_t", "event_id")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("_own", F.lit(True)).unionByName(context).select(
         "*",
-        *[F.max(F.when(F.col("_act") == a, F.col("_t"))).over(run).alias(f"_last{i}")
-          for i, a in enumerate(actions)],
-        F.count(F.lit(1)).over(run).alias("_upto"),
-        F.count(F.lit(1)).over(
-            part.orderBy("_t").rangeBetween(Window.unboundedPreceding, -look_us)).alias("_old"),
-        F.collect_list(F.struct("_t", "_act")).over(
-            part.orderBy("_t", "event_id").rowsBetween(-4, 0)).alias("_recent"))
-    ev = ev.where(F.col("_own"))
+        *[F.max(F.when(F.col("_act") == a, F.col("_t"))).over(upto).alias(f"_s{i}") for i, a in enumerate(actions)],
+        F.lag("_t", 2).over(run).alias("_third"),
+        F.collect_list(F.struct("_t", "_act")).over(run.rowsBetween(-4, 0)).alias("_recent")).where(F.col("_own"))
+    ev = join_on(ev, blocks.drop("_next"), ["_u", "_bal"])
     cutoff = F.col("_t") - F.lit(look_us)
-    n_win = F.col("_upto") - F.col("_old")
     last5 = F.transform(F.filter("_recent", lambda r: r["_t"] > cutoff), lambda r: r["_act"])
-    present = {a: F.coalesce(F.col(f"_last{i}") > cutoff, F.lit(False)) for i, a in enumerate(actions)}
+    present = {a: F.coalesce(F.greatest(f"_s{i}", f"_c{i}") > cutoff, F.lit(False)) for i, a in enumerate(actions)}
+    # three or more events in the window: the second one before is inside it
+    crowded = F.coalesce(F.col("_third") > cutoff, F.lit(False))
+    ev = cut_lineage(ev)
     rows = []
     for rank, (name, (acts, base)) in enumerate(patterns.items()):
         cond = None
         for a in acts:
             cond = present[a] if cond is None else (cond & present[a])
-        score = F.least(F.lit(float(base)) + F.when(n_win >= 3, 1.0).otherwise(0.0), F.lit(10.0))
+        score = F.least(F.lit(float(base)) + F.when(crowded, 1.0).otherwise(0.0), F.lit(10.0))
         rows.append(ev.where(cond).select(
             "event_id", "ts", F.col("_u").alias("entity_id"),
             F.lit("user_behavior").alias("entity_type"),
@@ -418,11 +430,14 @@ def detect_against_baseline(ee: DataFrame, profiles: DataFrame, sources: DataFra
     stored action set, new source from the stored source table.  The
     baseline join is an equi-join on (entity_type, entity_id); the source
     check is a left join on (entity, source)."""
-    k = ["entity_type", "entity_id"]
-    x = ee.withColumn("_hour", F.hour("ts")).join(profiles, k, "inner")
-    known_src = sources.select(*k, F.col("source").alias("_ks"), F.lit(True).alias("_known"))
-    x = x.join(known_src, (x.entity_type == known_src.entity_type) & (x.entity_id == known_src.entity_id)
-               & (x.source == known_src._ks), "left").drop(known_src.entity_type).drop(known_src.entity_id)
+    base = profiles.select(F.col("entity_type").alias("_pt"), F.col("entity_id").alias("_pi"), "total_events",
+                           "time_patterns", "unique_actions")
+    known_src = sources.select(F.col("entity_type").alias("_st"), F.col("entity_id").alias("_si"),
+                               F.col("source").alias("_ks"), F.lit(True).alias("_known"))
+    x = ee.withColumn("_hour", F.hour("ts")).join(
+        base, (F.col("entity_type") == F.col("_pt")) & (F.col("entity_id") == F.col("_pi")))
+    x = x.join(known_src, (F.col("entity_type") == F.col("_st")) & (F.col("entity_id") == F.col("_si"))
+               & (F.col("source") == F.col("_ks")), "left")
     n = F.col("total_events")
     hc = F.coalesce(F.element_at(F.col("time_patterns"), F.col("_hour")), F.lit(0)).cast("long")
     share = hc / n

@@ -86,10 +86,27 @@ def enrich_cloudtrail(events: DataFrame, base_scores: dict | None = None) -> Dat
 
 
 def results_summary(results: DataFrame, status_col: str = "status") -> DataFrame:
-    """SC12 / A22: total, successful, errors over routed messages (PF17:
-    ``status`` valid / skipped / rejected per message, see
-    :func:`logsleuth.sources.cloudtrail.queue_messages`; one bad message
-    never fails its batch)."""
-    return results.agg(F.count(F.lit(1)).alias("total_events"),
-                       F.count_if(F.col(status_col) == "valid").alias("successful_results"),
-                       F.count_if(F.col(status_col) != "valid").alias("errors"))
+    """SC12 / A22: totals over routed messages (see
+    :func:`logsleuth.sources.cloudtrail.route_messages`): a record that fails
+    its checks is an error, a skipped body counts nowhere, one bad message never
+    fails its batch."""
+    s = F.col(status_col)
+    return results.agg(F.count_if(s != "skipped").alias("total_events"),
+                       F.count_if(s == "valid").alias("successful_results"),
+                       F.count_if(s.isin("rejected", "invalid")).alias("errors"))
+
+
+def error_records(routed: DataFrame) -> DataFrame:
+    """SC12: one ``{error, event_id, processed_at}`` row per failed message."""
+    return (routed.where(F.col("status").isin("rejected", "invalid"))
+                  .select(F.concat_ws("; ", "errors").alias("error"),
+                          F.coalesce("eventID", F.lit("unknown")).alias("event_id"),
+                          F.current_timestamp().alias("processed_at")))
+
+
+def write_results(routed: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """SC12 sink: compliance rows, error rows and the summary as JSON lines in
+    ``results``, ``errors`` and ``summary`` under ``path``."""
+    enrich_cloudtrail(routed.where(F.col("status") == "valid")).write.mode(mode).json(f"{path}/results")
+    error_records(routed).write.mode(mode).json(f"{path}/errors")
+    results_summary(routed).withColumn("processed_at", F.current_timestamp()).write.mode(mode).json(f"{path}/summary")

@@ -47,6 +47,8 @@ NER_LABELS = ["O"] + [f"{p}-{t}" for t in NER_ENTITY_TYPES for p in ("B", "I")]
 # A token is a run of letters/digits/@ . - _ : or one other non-space char.
 TOKEN_PATTERN = r"(?U)[\p{L}\p{N}@._:-]+|\S"
 MAX_ENTITY_TOKENS = 10
+# Texts of the validation report.
+LONG_ENTITY_WARNING = "Example %d: Very long entity (%d tokens)"
 
 
 def tokenize(text: Column) -> Column:
@@ -102,6 +104,11 @@ def auto_labels(tokens: Column, suggestions: Column) -> Column:
     return F.aggregate(sug, init, step, lambda acc: acc["labels"])
 
 
+def _tag(label: Column) -> Column:
+    """The entity type of a B-/I- label: everything after the first two characters."""
+    return label.substr(F.lit(3), F.length(label))
+
+
 def bio_issues(labels: Column, tokens: Column | None = None, tags=None) -> Column:
     """Struct of per-example issue and warning counts: length mismatch,
     I- without a matching previous B-/I-, unknown labels (issues); entities
@@ -110,8 +117,8 @@ def bio_issues(labels: Column, tokens: Column | None = None, tags=None) -> Colum
     prev = F.concat(F.array(F.lit("O")), F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))))
     pairs = F.arrays_zip(labels.alias("l"), prev.alias("p"))
     bad_i = F.size(F.filter(pairs, lambda x: x["l"].startswith("I-") & (
-        (x["p"] != F.concat(F.lit("B-"), F.substring(x["l"], 3, 1 << 20)))
-        & ~x["p"].startswith(F.concat(F.lit("I-"), F.substring(x["l"], 3, 1 << 20))))))
+        (x["p"] != F.concat(F.lit("B-"), _tag(x["l"])))
+        & ~x["p"].startswith(F.concat(F.lit("I-"), _tag(x["l"]))))))
     unknown = F.size(F.filter(labels, lambda lab: ~lab.isin(*tags)))
     mismatch = (F.when(tokens.isNotNull() & (F.size(tokens) != F.size(labels)), 1).otherwise(0)
                 if tokens is not None else F.lit(0))
@@ -135,8 +142,8 @@ def quality_report(examples: DataFrame, labels_col: str = "labels",
     """Totals and ``max(0, 100 - 10 issues - 2 warnings)``."""
     t = F.col(tokens_col) if tokens_col else None
     x = examples.select(bio_issues(F.col(labels_col), t).alias("q"))
-    agg = x.agg(F.count(F.lit(1)).alias("total_examples"), F.sum("q.issues").alias("issues"),
-                F.sum("q.warnings").alias("warnings"))
+    agg = x.agg(F.count(F.lit(1)).alias("total_examples"), F.coalesce(F.sum("q.issues"), F.lit(0)).alias("issues"),
+                F.coalesce(F.sum("q.warnings"), F.lit(0)).alias("warnings"))
     return agg.withColumn("quality_score", F.greatest(
         F.lit(0), F.lit(100) - F.col("issues") * 10 - F.col("warnings") * 2))
 
@@ -156,7 +163,7 @@ def bio_spans(tokens: Column, labels: Column) -> Column:
 
     def step(acc, x):
         return (F.when(x["l"].startswith("B-"), F.struct(
-                    F.substring(x["l"], 3, 1 << 20).alias("cur"), F.array(x["t"]).alias("toks"),
+                    _tag(x["l"]).alias("cur"), F.array(x["t"]).alias("toks"),
                     close(acc).alias("out")))
                  .when(x["l"].startswith("I-") & acc["cur"].isNotNull(), F.struct(
                     acc["cur"].alias("cur"), F.array_append(acc["toks"], x["t"]).alias("toks"),
@@ -169,11 +176,23 @@ def bio_spans(tokens: Column, labels: Column) -> Column:
 
 def label_distribution(examples: DataFrame, labels_col: str = "labels") -> DataFrame:
     """Count and percent of every label over all tokens."""
-    x = explode_rows(examples, labels_col, "label")
-    c = x.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
-    tot = x.agg(F.count(F.lit(1)).alias("_tot"))
-    return c.crossJoin(F.broadcast(tot)).select(
-        "label", "count", (F.col("count") * 100.0 / F.col("_tot")).alias("pct"))
+    c = explode_rows(examples, labels_col, "label").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    # the counts are one row per label of the tag set: their sum is the total,
+    # so the texts are read and labelled once
+    total = F.sum("count").over(Window.partitionBy())
+    return c.select("label", "count", (F.col("count") * 100.0 / total).alias("pct"))
+
+
+def labelling_progress(examples: DataFrame, target: int, labels_col: str = "labels") -> DataFrame:
+    """Number of labelled examples, and their percent of ``target``."""
+    done = examples.agg(F.count_if(F.size(labels_col) > 0).alias("labelled"))
+    return done.withColumn("target", F.lit(target)).withColumn(
+        "pct", F.when(F.lit(target) > 0, F.col("labelled") * 100.0 / target).otherwise(F.lit(0.0)))
+
+
+def last_examples(examples: DataFrame, index_col: str = "index", k: int = 3) -> DataFrame:
+    """SL7: the last ``k`` examples of the report."""
+    return examples.orderBy(F.col(index_col).desc()).limit(k)
 
 
 def words_with_offsets(text: Column, single_space: bool = False) -> Column:
@@ -268,9 +287,10 @@ def token_metrics(pairs: DataFrame, label_col: str = "label", pred_col: str = "p
 
 
 def split_assign(id_col: Column, seed: int = 42, train: int = 80, val: int = 10) -> Column:
-    """stable seeded split by an arithmetic hash of the id (no random
-    state, identical under retries and across engines)."""
-    h = F.pmod((F.pmod(id_col.cast("long"), F.lit(1_000_003)) * 7919 + seed * 104_729), F.lit(100))
+    """stable seeded split by the MD5 of the id as text and the seed (no
+    random state, identical under retries and across engines; ids of any type)."""
+    digest = F.md5(F.concat(id_col.cast("string"), F.lit(f":{seed}")))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % 100
     return F.when(h < train, "train").when(h < train + val, "validation").otherwise("test")
 
 
@@ -317,8 +337,8 @@ def validation_messages(examples: DataFrame, labels_col: str = "labels", tokens_
                      .alias("j"))
     ex = F.col(index_col) + 1
     bad_i = F.transform(F.filter(z, lambda x: x["l"].startswith("I-") & (
-        x["p"] != F.concat(F.lit("B-"), F.substring(x["l"], 3, 1 << 20)))
-        & ~x["p"].startswith(F.concat(F.lit("I-"), F.substring(x["l"], 3, 1 << 20)))),
+        x["p"] != F.concat(F.lit("B-"), _tag(x["l"])))
+        & ~x["p"].startswith(F.concat(F.lit("I-"), _tag(x["l"])))),
         lambda x: F.format_string("Example %d, Token %d: Invalid I- tag without preceding B- tag", ex, x["j"]))
     unknown = F.transform(F.filter(z, lambda x: ~x["l"].isin(*BIO_TAGS)),
                           lambda x: F.format_string("Example %d, Token %d: Unrecognized label '%s'", ex,
@@ -328,7 +348,15 @@ def validation_messages(examples: DataFrame, labels_col: str = "labels", tokens_
         F.array().cast("array<string>"))
     allo = F.when(F.forall(lab, lambda x: x == "O"), F.array(F.format_string(
         "Example %d: No entities labeled (all O tags)", ex))).otherwise(F.array().cast("array<string>"))
-    per = examples.select(index_col, F.concat(mism, bad_i, unknown).alias("iss"), allo.alias("warn"))
+    # fixed value: the text of the long-entity warning
+    run = F.aggregate(z, F.struct(F.lit(0).alias("cur"), F.array().cast("array<string>").alias("out")),
+                      lambda acc, x: F.when(x["l"].startswith("B-"), F.struct(F.lit(1).alias("cur"), acc["out"].alias("out")))
+                      .when(x["l"].startswith("I-"), F.struct(
+                          (acc["cur"] + 1).alias("cur"),
+                          F.when(acc["cur"] + 1 > MAX_ENTITY_TOKENS, F.array_append(acc["out"], F.format_string(
+                              LONG_ENTITY_WARNING, ex, acc["cur"] + 1))).otherwise(acc["out"]).alias("out")))
+                      .otherwise(F.struct(F.lit(0).alias("cur"), acc["out"].alias("out"))), lambda acc: acc["out"])
+    per = examples.select(index_col, F.concat(mism, bad_i, unknown).alias("iss"), F.concat(run, allo).alias("warn"))
     msgs = (explode_rows(per, "iss", "message", keep=[index_col], with_pos="_p")
             .withColumn("kind", F.lit("issue"))
             .unionByName(explode_rows(per, "warn", "message", keep=[index_col], with_pos="_p")

@@ -10,9 +10,9 @@ one task; a hot series would not fit.  Instead:
 2. a prefix sum over the (small) histogram finds the bucket holding each
    middle rank and the rank's offset inside it;
 3. only rows of those one or two buckets per key are kept and split again
-   linearly between the bucket's own min and max; a prefix sum over that
-   second histogram narrows to one sub-bucket, whose distinct values
-   (duplicates pre-aggregated) give the exact value.
+   linearly between the bucket's own min and max into 2**20 parts; a prefix
+   sum over that second histogram narrows to one part, whose distinct values
+   (at most 2**20, duplicates pre-aggregated) give the exact value.
 
 Three scans, no global sort, no sampling; results are deterministic.
 """
@@ -29,15 +29,28 @@ _EXP_BIAS = 1100
 
 
 def value_bucket(v: Column) -> Column:
-    """Monotone non-decreasing long bucket of a double (NaN above all)."""
+    """Monotone non-decreasing long bucket of a double (NaN above all).
+
+    Very large and very small magnitudes are scaled by an exact power of two
+    first, so the exponent arithmetic neither overflows near the largest double
+    nor loses subnormals; the infinities have buckets of their own.
+    """
     a = F.abs(v)
-    e = F.floor(F.log2(a))
-    mag = (e + F.lit(_EXP_BIAS)) * F.lit(_MANTISSA_BUCKETS) + F.floor(
-        a / F.pow(F.lit(2.0), e) * F.lit(_MANTISSA_BUCKETS))
+    up = a < F.lit(2.0 ** -900)
+    down = a > F.lit(2.0 ** 900)
+    scaled = F.when(up, a * F.lit(2.0 ** 200)).when(down, a * F.lit(2.0 ** -200)).otherwise(a)
+    shift = F.when(up, F.lit(-200)).when(down, F.lit(200)).otherwise(F.lit(0))
+    # out-of-range inputs take other branches, but are evaluated safely too
+    safe = F.when(F.isnan(v) | (a == 0) | (a == F.lit(float("inf"))), F.lit(1.0)).otherwise(scaled)
+    e = F.floor(F.log2(safe))
+    mag = ((e + shift + F.lit(_EXP_BIAS)) * F.lit(_MANTISSA_BUCKETS) + F.floor(
+        safe / F.pow(F.lit(2.0), e) * F.lit(_MANTISSA_BUCKETS))).cast("long")
     return (F.when(F.isnan(v), F.lit(2**62))
+             .when(v == F.lit(float("inf")), F.lit(2**61))
+             .when(v == F.lit(float("-inf")), F.lit(-2**61))
              .when(v == 0, F.lit(0))
-             .when(v > 0, mag.cast("long"))
-             .otherwise(-mag.cast("long")))
+             .when(v > 0, mag)
+             .otherwise(-mag))
 
 
 def _locate(hist: DataFrame, part_keys, order_col: str, ranks: DataFrame, rank_col: str) -> DataFrame:
@@ -46,13 +59,16 @@ def _locate(hist: DataFrame, part_keys, order_col: str, ranks: DataFrame, rank_c
     ``ranks``, the bucket holding it and the rank inside that bucket."""
     w = Window.partitionBy(*part_keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
-    j = join_on(h, ranks, part_keys)
+    # without keys the ranks are a handful of rows (two per quantile)
+    j = join_on(h, ranks, part_keys) if part_keys else h.crossJoin(F.broadcast(ranks))
     return (j.where((F.col("_before") <= F.col(rank_col)) & (F.col(rank_col) < F.col("_cum")))
              .withColumn(rank_col, F.col(rank_col) - F.col("_before"))
              .drop("_cum", "_before", "_c"))
 
 
-SUB_BUCKETS = 4096
+# 2**12 buckets per exponent and 2**20 linear parts of a bucket leave at most
+# 2**20 distinct doubles of 52 mantissa bits in a part: a bounded last step.
+SUB_BUCKETS = 1 << 20
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
@@ -65,7 +81,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
 
     1. (key, bucket) counts, min and max with the order-preserving bucket;
     2. inside each wanted bucket, (key, bucket, sub-bucket) counts with a
-       linear split of the bucket's own [min, max] into 4096 parts (a bucket
+       linear split of the bucket's own [min, max] into 2**20 parts (a bucket
        whose min equals its max is resolved right away);
     3. inside each wanted sub-bucket, the distinct values with their counts.
 
@@ -77,8 +93,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
               .withColumn("_b", value_bucket(F.col("_v"))))
     hist = base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
                                          F.max("_v").alias("_bmax"))
-    wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    n = hist.select(*keys, F.sum("_c").over(wk).alias("_n")).distinct()
+    n = hist.groupBy(*keys).agg(F.sum("_c").alias("_n")).where(F.col("_n") > 0)
     specs = []
     for qi, (name, p) in enumerate(probs.items()):
         pos = F.lit(float(p)) * (F.col("_n") - 1)

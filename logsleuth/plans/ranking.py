@@ -6,8 +6,9 @@ a total order, and optionally the group size, without a
 group to one task, and one hot key (a shared NAT address, a service role)
 can hold a third of all rows.
 
-Plan: an order-preserving *segment* of the order columns (an hour of the
-timestamp, a block of an ordinal) cuts each group into pieces.  A window runs
+Plan: an order-preserving *segment* of the order columns (a run of seconds that
+holds a bounded number of rows, see :func:`balanced_segments`, or a block of an
+ordinal) cuts each group into pieces.  A window runs
 per (key, segment) for the local row number; a block table — one row per
 (key, segment) with its row count, much smaller than the data — is
 prefix-summed per key, and its offsets are joined back (AQE broadcasts the
@@ -66,25 +67,52 @@ def row_index(df: DataFrame, keys, order, segment: Column, name: str = "_rn",
     return out.select(*keep, (F.col("_off") + F.col("_lrn")).alias(name))
 
 
-def running_total(df: DataFrame, keys, order, segment: Column, weight: Column, name: str,
-                  inclusive: bool = True) -> DataFrame:
-    """Running sum of ``weight`` per key under a total ``order`` (inclusive of
-    the current row unless ``inclusive=False``), same two-level plan as
-    :func:`row_index`: local window per (key, segment) + prefix over blocks."""
+def balanced_segments(df: DataFrame, ts_col: str, name: str = "_bal", rows: int = 1_000_000) -> DataFrame:
+    """Add ``name``: an order-preserving segment of a timestamp that follows the
+    data.  Rows are counted per second, seconds are numbered by the running count
+    over days and inside each day, and a segment is a run of seconds of about
+    ``rows`` rows (a second is never cut).  No calendar unit with many rows ends
+    in one task, and sparse times share a segment; counting is exact, so retries
+    give the same segments."""
+    unit = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(1_000_000))
+    x = df.withColumn("_unit", F.coalesce(unit, F.lit(-2**62)))
+    hist = x.groupBy("_unit").agg(F.count(F.lit(1)).alias("_c")).withColumn("_day", F.floor(F.col("_unit") / 86_400))
+    days = hist.groupBy("_day").agg(F.sum("_c").alias("_dc"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_dc").over(earlier), F.lit(0)).alias("_doff"))
+    inside = Window.partitionBy("_day").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    bounds = hist.join(days, "_day").select(
+        "_unit", F.floor((F.col("_before") + F.col("_doff")) / F.lit(rows)).cast("long").alias(name))
+    return x.join(bounds, "_unit").drop("_unit")
+
+
+def running_totals(df: DataFrame, keys, order, segment: Column, weights: dict, inclusive: bool = True) -> DataFrame:
+    """Running sums of ``weights`` (name -> column) per key under a total
+    ``order`` (inclusive of the current row unless ``inclusive=False``), same
+    two-level plan as :func:`row_index`: a local window per (key, segment) and a
+    prefix over blocks, once for all sums."""
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    seg = df.select("*", segment.alias("_seg"), weight.cast("long").alias("_w"))
+    names = list(weights)
+    w, loc, off = ([f"_{p}{i}" for i in range(len(names))] for p in ("w", "l", "o"))
+    seg = df.select("*", segment.alias("_seg"), *[weights[n].cast("long").alias(c) for n, c in zip(names, w)])
     frame = (Window.partitionBy(*keys, "_seg").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = seg.select("*", F.coalesce(F.sum("_w").over(frame), F.lit(0)).alias("_lsum"))
-    blocks = seg.groupBy(*keys, "_seg").agg(F.sum("_w").alias("_bs"))
-    w = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
-    blocks = blocks.withColumn(
-        "_off",
-        F.coalesce(F.sum("_bs").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = join_on(local, blocks.drop("_bs"), keys + ["_seg"])
-    keep = [c for c in out.columns if c not in ("_seg", "_w", "_lsum", "_off")]
-    return out.select(*keep, (F.col("_off") + F.col("_lsum")).alias(name))
+    local = seg.select("*", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(x) for c, x in zip(w, loc)])
+    blocks = seg.groupBy(*keys, "_seg").agg(*[F.sum(c).alias(c) for c in w])
+    by = Window.partitionBy(*keys).orderBy("_seg") if keys else Window.orderBy("_seg")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_seg", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in zip(w, off)])
+    out = join_on(local, blocks, keys + ["_seg"])
+    keep = [c for c in out.columns if c not in ("_seg", *w, *loc, *off)]
+    return out.select(*keep, *[(F.col(o) + F.col(x)).alias(n) for n, o, x in zip(names, off, loc)])
+
+
+def running_total(df: DataFrame, keys, order, segment: Column, weight: Column, name: str,
+                  inclusive: bool = True) -> DataFrame:
+    """One running sum, see :func:`running_totals`."""
+    return running_totals(df, keys, order, segment, {name: weight}, inclusive)
 
 
 def running_count(df: DataFrame, keys, order, segment: Column, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,9 +40,10 @@ def get_spark(master: str | None = None, app: str = "logsleuth",
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = (builder.config("spark.ui.enabled", "false")
-                      .config("spark.ui.showConsoleProgress", "false")
-                      .config("spark.driver.memory", os.environ.get("LOGSLEUTH_DRIVER_MEMORY", "16g")))
+    if (master or "").startswith("local"):  # a cluster's own settings stay as they are
+        builder = (builder.config("spark.ui.enabled", "false")
+                          .config("spark.ui.showConsoleProgress", "false")
+                          .config("spark.driver.memory", os.environ.get("LOGSLEUTH_DRIVER_MEMORY", "16g")))
     for k, v in {**_DRIVER_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -55,13 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) a private folder is created and registered.
+    and Spark runs in one local process (tests) a private folder is created and
+    registered; on a cluster a folder of one machine would lose data, so an
+    unset folder is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(d)
         return d
+    master = spark.sparkContext.master
+    if not re.match(r"local($|\[)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     local = tempfile.mkdtemp(prefix="logsleuth-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

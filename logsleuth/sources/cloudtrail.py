@@ -23,8 +23,6 @@ DICT_FIELDS = ["requestParameters", "responseElements", "serviceEventDetails"]
 IDENTITY_OPTIONAL = ["principalId", "arn", "accountId", "userName"]
 
 EVENT_SOURCES = ["cloudtrail", "vpc_flow", "s3_access", "iam"]
-ENTITY_TYPES_ENUM = ["iam_role_arn", "iam_user_arn", "ip_address", "vpc_id", "subnet_id",
-                     "kms_key_id", "s3_bucket", "ec2_instance_id", "security_group_id"]
 RISK_LEVELS = ["low", "medium", "high", "critical"]
 
 
@@ -102,23 +100,24 @@ def parse_records(recs: DataFrame, rec_col: str = "record") -> DataFrame:
 
 def parse_cloudtrail_text(raw: DataFrame, text_col: str = "value", lines: bool = False) -> DataFrame:
     """SC3: whole-file (or, with ``lines=True``, JSON-lines, T14) text →
-    one row per record with ``record_index``, typed fields and ``errors``;
-    an unparsable file yields one row with ``record_index`` NULL and a
-    file-level error."""
+    one row per record with ``line_index`` (0 for whole files), ``record_index``
+    (place inside the file or line), typed fields and ``errors``; an unparsable
+    file or line yields one row with ``record_index`` NULL and an error."""
     keep = [c for c in raw.columns if c != text_col]
     if lines:
-        src = raw.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("_ln", "_txt")) \
+        src = raw.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("_l", "_txt")) \
+                 .select(*keep, F.col("_l").cast("long").alias("_ln"), "_txt") \
                  .where(F.trim("_txt") != "")
         docs = src.select(*keep, "_ln", F.try_parse_json("_txt").alias("_doc"))
     else:
-        docs = raw.select(*keep, F.lit(0).alias("_ln"), F.try_parse_json(F.col(text_col)).alias("_doc"))
+        docs = raw.select(*keep, F.lit(0).cast("long").alias("_ln"), F.try_parse_json(F.col(text_col)).alias("_doc"))
     docs = docs.withColumn("_recs", records_of(F.col("_doc")))
     bad = docs.where(F.col("_recs").isNull()).select(
-        *keep, F.lit(None).cast("int").alias("record_index"), F.lit(None).cast("variant").alias("record"),
+        *keep, F.col("_ln").alias("line_index"), F.lit(None).cast("int").alias("record_index"), F.lit(None).cast("variant").alias("record"),
         F.array(F.lit("Invalid JSON in CloudTrail log")).alias("_file_errors"))
     good = explode_rows(docs.where(F.col("_recs").isNotNull()), "_recs", "record",
                         keep=keep + ["_ln"], with_pos="_i")
-    good = good.select(*keep, (F.col("_ln") * 1_000_000 + F.col("_i")).cast("int").alias("record_index"),
+    good = good.select(*keep, F.col("_ln").alias("line_index"), F.col("_i").alias("record_index"),
                        "record", F.array().cast("array<string>").alias("_file_errors"))
     parsed = parse_records(good.unionByName(bad), "record")
     return (parsed.withColumn("errors", F.concat("_file_errors", "errors"))
@@ -134,20 +133,51 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def queue_messages(messages: DataFrame, text_col: str = "value") -> DataFrame:
-    """SC10: queue payloads ``{"Records":[{"body": "<event json>"}, ...]}`` →
-    one record per body; bodies without a non-empty ``eventSource`` are
-    dropped silently (status ``skipped``), unparsable bodies are rejects."""
+    """SC10/PF17: queue payloads → one row per record, none lost, with
+    ``record``, ``record_index`` and ``status``:
+
+    - ``{"Records": [{"body": "<event json>"}, ...]}``: one row per body;
+      ``skipped`` when the body has no non-empty ``eventSource`` (the handler
+      drops it silently), ``rejected`` when it is not JSON, else ``valid``;
+    - ``{"log_data": {...}}``: a direct call, one row, ``valid`` or ``invalid``
+      when it has no ``eventSource``;
+    - any other object: one ``invalid`` row (``Invalid event format``);
+    - text that is not a JSON object: one ``rejected`` row.
+    """
     keep = [c for c in messages.columns if c != text_col]
-    doc = F.try_parse_json(F.col(text_col))
-    bodies = messages.select(*keep, F.posexplode(F.coalesce(
-        F.try_variant_get(doc, "$.Records", "array<variant>"),
-        F.array().cast("array<variant>"))).alias("_i", "_r"))
-    bodies = bodies.select(*keep, F.col("_i").alias("record_index"),
-                           F.try_parse_json(F.try_variant_get("_r", "$.body", "string")).alias("record"))
+    doc = F.col("_doc")
+    recs = F.try_variant_get(doc, "$.Records", "array<variant>")
+    row = lambda rec, kind: F.struct(rec.cast("variant").alias("record"), F.lit(kind).alias("kind"))
+    nothing = F.lit(None).cast("variant")
+    direct = _get(doc, "$.log_data")
+    parts = (F.when(doc.isNull() | ~F.coalesce(_vtype(doc).startswith("OBJECT"), F.lit(False)),
+                    F.array(row(nothing, "broken")))
+              .when(recs.isNotNull(), F.transform(recs, lambda r: row(
+                  F.try_parse_json(F.try_variant_get(r, "$.body", "string")), "body")))
+              .when(_get(doc, "$.Records").isNotNull(), F.array(row(nothing, "broken")))
+              .when(direct.isNotNull(), F.array(row(direct, "direct")))
+              .otherwise(F.array(row(nothing, "other"))))
+    out = messages.select(*keep, F.try_parse_json(F.col(text_col)).alias("_doc")) \
+                  .select(*keep, F.posexplode(parts).alias("record_index", "_p")) \
+                  .select(*keep, "record_index", "_p.record", "_p.kind")
     src = F.try_variant_get("record", "$.eventSource", "string")
-    status = (F.when(F.col("record").isNull(), "rejected")
-               .when(src.isNull() | (src == ""), "skipped").otherwise("valid"))
-    return bodies.withColumn("status", status)
+    has_source = F.coalesce(src != "", F.lit(False))
+    status = (F.when((F.col("kind") == "broken") | ((F.col("kind") == "body") & F.col("record").isNull()), "rejected")
+               .when(has_source, "valid").when(F.col("kind") == "body", "skipped").otherwise("invalid"))
+    return out.withColumn("status", status).drop("kind")
+
+
+def route_messages(messages: DataFrame, text_col: str = "value") -> DataFrame:
+    """PF17/A22: :func:`queue_messages` with the records parsed and checked;
+    ``status`` becomes ``rejected`` for a record that fails PF1, with its
+    ``errors``.  Rows keep every status, so each can go to its own sink."""
+    parsed = parse_records(queue_messages(messages, text_col), "record")
+    failed = (F.col("status") == "valid") & (F.size("errors") > 0)
+    errors = (F.when(F.col("status").isin("valid"), F.col("errors"))
+               .when(F.col("status") == "rejected", F.array(F.lit("Invalid JSON in message")))
+               .when(F.col("status") == "invalid", F.array(F.lit("Invalid event format")))
+               .otherwise(F.array().cast("array<string>")))
+    return parsed.withColumn("errors", errors).withColumn("status", F.when(failed, "rejected").otherwise(F.col("status")))
 
 
 def detect_format(raw: DataFrame, text_col: str = "value", path_col: str = "path") -> DataFrame:

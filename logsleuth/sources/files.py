@@ -9,7 +9,7 @@ selected, so file contents are never read.  Whole-file text comes from
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,17 @@ def list_log_files(spark: SparkSession, root: str, prefix: str = "",
     """SC1: files under ``root`` whose path (relative to root) starts with
     ``prefix``, modified within the inclusive range, folder markers dropped,
     first ``max_files`` in listing (path) order."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-               .load(root).select("path", "modificationTime", "length"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    # the date range goes to the listing too, a second wider on either side, in
+    # the session's time zone; the exact inclusive test follows below
+    if start_date is not None:
+        reader = reader.option("modifiedAfter", (start_date - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S"))
+    if end_date is not None:
+        reader = reader.option("modifiedBefore", (end_date + timedelta(seconds=2)).strftime("%Y-%m-%dT%H:%M:%S"))
+    # whole folders of the prefix narrow the folder that is listed
+    folder = prefix.rpartition("/")[0]
+    df = (reader.load(f"{root.rstrip('/')}/{folder}" if folder else root)
+                .select("path", "modificationTime", "length"))
     root_uri = root.rstrip("/")
     rel = F.regexp_replace(F.col("path"), "^(file:)?/*" + re.escape(root_uri.lstrip("/")) + "/?", "")
     df = df.withColumn("key", rel)
@@ -48,6 +57,18 @@ def read_whole_files(spark: SparkSession, paths) -> DataFrame:
                      F.col("_metadata.file_size").alias("file_size"))
 
 
+def read_listed(spark: SparkSession, root: str, listing: DataFrame, wholetext: bool = True) -> DataFrame:
+    """SC2 for a listing (:func:`list_log_files`) of any length: the files under
+    ``root`` whose path is listed, as :func:`read_whole_files` or, with
+    ``wholetext=False``, as lines.  The listing stays a DataFrame; no list of
+    paths goes through the driver."""
+    df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=wholetext)
+    df = df.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_size").alias("file_size"))
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    keys = listing.select(bare(F.col("path")).alias("_key")).distinct()
+    return df.withColumn("_key", bare(F.col("path"))).join(keys, "_key", "left_semi").drop("_key")
+
+
 def read_lines(spark: SparkSession, paths) -> DataFrame:
     """Line-oriented read for large (splittable) flow logs: ``path, value``."""
     paths = [paths] if isinstance(paths, str) else list(paths)

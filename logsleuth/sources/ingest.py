@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import cloudtrail as CT
 from . import flowlogs as FL
-from .files import file_stem, read_whole_files
+from .files import file_stem, read_listed, read_whole_files
 
 
 def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
@@ -29,7 +29,26 @@ def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
     paths = [paths] if isinstance(paths, str) else list(paths)
     if max_files is not None:
         paths = paths[:max_files]
-    raw = read_whole_files(spark, paths)
+    return ingest_texts(read_whole_files(spark, paths), event_source, bucket)
+
+
+def ingest_listing(spark: SparkSession, root: str, listing: DataFrame, event_source: str | None = None,
+                   bucket: str | None = None):
+    """:func:`ingest_files` for a listing of any length (a DataFrame with
+    ``path``, as :func:`~logsleuth.sources.files.list_log_files` gives)."""
+    return ingest_texts(read_listed(spark, root, listing), event_source, bucket)
+
+
+def ingest_flow_listing(spark: SparkSession, root: str, listing: DataFrame):
+    """Flow logs of a listing by line, so that large files are split over tasks:
+    ``(flows, rejects)`` with ``path``."""
+    lines = read_listed(spark, root, listing, wholetext=False).drop("file_size")
+    parsed = FL.parse_flow_lines(lines)
+    return FL.valid(parsed), FL.rejected(parsed)
+
+
+def ingest_texts(raw: DataFrame, event_source: str | None = None, bucket: str | None = None):
+    """The body of :func:`ingest_files` over ``path, value, file_size`` rows."""
     if event_source is None:
         raw = CT.detect_format(raw)
     else:

@@ -22,6 +22,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -34,13 +35,18 @@ from ..sources import cloudtrail as CT
 # ------------------------------------------------------------------ ST1 / ST9
 
 def enrich_stream(messages: DataFrame, text_col: str = "value") -> DataFrame:
-    """ST1: queue payloads → compliance rows, with a ``status`` column so
-    skipped and rejected messages can be routed to their own sinks in
-    ``foreachBatch``; one bad message never fails the micro-batch."""
-    routed = CT.queue_messages(messages, text_col)
-    parsed = CT.parse_records(routed, "record")
-    ok = parsed.where((F.col("status") == "valid") & (F.size("errors") == 0))
-    return EN.enrich_cloudtrail(ok)
+    """ST1: queue payloads → compliance rows of the valid messages; one bad
+    message never fails the micro-batch.  :func:`message_errors` gives the rest."""
+    return EN.enrich_cloudtrail(CT.route_messages(messages, text_col).where(F.col("status") == "valid"))
+
+
+def message_errors(messages: DataFrame, text_col: str = "value") -> DataFrame:
+    """ST1: the messages that gave no compliance row, for a sink of their own:
+    ``status`` (skipped, rejected, invalid), ``errors`` and the columns of the
+    message."""
+    keep = [c for c in messages.columns if c != text_col]
+    routed = CT.route_messages(messages, text_col).where(F.col("status") != "valid")
+    return routed.select(*keep, "record_index", F.col("eventID").alias("event_id"), "status", "errors")
 
 
 def dedupe_stream(events: DataFrame, key: str = "event_id", ts_col: str = "ts",
@@ -70,7 +76,7 @@ PROFILE_OUT = ("event_id long, entity_type string, entity_id string, anomaly_typ
                "score double, confidence double, factors array<string>")
 
 
-def _profile_fn(mode: str, min_events: int, lookback_days: int):
+def _profile_fn(mode: str, min_events: int, lookback_days: int | None):
     risk = {a: B.HIGH_RISK_SCORE for a in B.HIGH_RISK_ACTIONS}
     risk.update({a: B.MEDIUM_RISK_SCORE for a in B.MEDIUM_RISK_ACTIONS})
 
@@ -119,9 +125,10 @@ def _profile_fn(mode: str, min_events: int, lookback_days: int):
                     sources.add(src)
             last_ts = ev.ts
         state.update((total, hours, sorted(actions), sorted(sources), last_ts))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(wm, int(pd.Timestamp(last_ts).timestamp() * 1000))
-                                  + lookback_days * 86_400_000)
+        if lookback_days is not None:
+            wm = state.getCurrentWatermarkMs()
+            state.setTimeoutTimestamp(max(wm, int(pd.Timestamp(last_ts).timestamp() * 1000))
+                                      + lookback_days * 86_400_000)
         if out:
             yield pd.DataFrame(out, columns=["event_id", "entity_type", "entity_id", "anomaly_type",
                                              "score", "confidence", "factors"])
@@ -129,9 +136,10 @@ def _profile_fn(mode: str, min_events: int, lookback_days: int):
 
 
 def profile_detector_stream(ee: DataFrame, mode: str = "parity", min_events: int = 10,
-                            lookback_days: int = 30, watermark: str = "30 minutes") -> DataFrame:
+                            lookback_days: int | None = None, watermark: str = "30 minutes") -> DataFrame:
     """ST2: keyed profile state per (entity_type, entity_id) with W3/W4
-    detection; ``ee`` rows: event_id, ts, entity_type, entity_id, action, source."""
+    detection; ``ee`` rows: event_id, ts, entity_type, entity_id, action, source.
+    Profiles are never forgotten unless ``lookback_days`` is given."""
     src = ee.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "entity_type", "entity_id",
                     "action", "source")
     src = src.withWatermark("ts", watermark) if ee.isStreaming else src
@@ -201,6 +209,20 @@ def escalation_stream(events: DataFrame, user_col: str = "user_key", action_col:
 
 # ----------------------------------------------------------------------- ST4
 
+COMBINATION_STATE = "family string, key string, count long"
+
+
+def _latest_snapshot(spark, state_root: str, batch_id: int) -> int | None:
+    """Batch id of the newest snapshot before ``batch_id``, None if there is none."""
+    try:
+        seen = spark.read.schema(f"{COMBINATION_STATE}, batch long").parquet(state_root)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return seen.where(F.col("batch") < batch_id).agg(F.max("batch").alias("b")).first()["b"]
+
+
 def combination_batch_update(batch: DataFrame, batch_id: int, state_root: str,
                              entities_col: str = "entities") -> DataFrame:
     """ST4 body for ``foreachBatch``: fold one micro-batch of events into the
@@ -208,21 +230,20 @@ def combination_batch_update(batch: DataFrame, batch_id: int, state_root: str,
     number of multi-entity events) and return the new snapshot.
 
     Snapshots are versioned by batch id under ``state_root`` (a folder in the
-    shared checkpoint location): batch *n* reads snapshot *n-1* and writes
-    snapshot *n*, so a retried batch rewrites the same snapshot from the same
-    input (idempotent)."""
+    shared checkpoint location): batch *n* reads the latest snapshot before *n*
+    and writes snapshot *n*, so a retried batch rewrites the same snapshot from
+    the same input (idempotent).  Only a folder that does not exist counts as
+    empty state; any other failure to read it fails the batch."""
     spark = batch.sparkSession
     counts = B.combination_counts(batch, entities_col)
     total = batch.agg(F.count_if(F.size(entities_col) >= 2).cast("long").alias("count")).select(
         F.lit("total").alias("family"), F.lit("").alias("key"), "count")
     new = counts.select("family", "key", F.col("count").cast("long")).unionByName(total)
     merged = new
-    if batch_id > 0:
-        try:
-            old = spark.read.parquet(f"{state_root}/batch={batch_id - 1}")
-            merged = old.unionByName(new).groupBy("family", "key").agg(F.sum("count").alias("count"))
-        except Exception:  # noqa: BLE001 - no earlier snapshot (empty earlier batches)
-            merged = new
+    last = _latest_snapshot(spark, state_root, batch_id)
+    if last is not None:
+        old = spark.read.schema(COMBINATION_STATE).parquet(f"{state_root}/batch={last}")
+        merged = old.unionByName(new).groupBy("family", "key").agg(F.sum("count").alias("count"))
     out = f"{state_root}/batch={batch_id}"
     merged.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -36,3 +37,40 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append")
                .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+def run_updates_now(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Process everything available in update mode and return the last row of
+    each key: the state of an aggregate after all input, open windows included.
+
+    Every micro-batch overwrites a folder of its own, so a repeated batch does
+    not add rows."""
+    spark = stream.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(keep)
+               .option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    rows = spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+                .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
+
+
+def time_ordered_files(df: DataFrame, ts_col: str, name: str, parts: int = 3) -> str:
+    """Write ``df`` as ``parts`` consecutive time ranges, one after the other, and
+    return the folder: a file stream reads them oldest first, so with one trigger
+    per file the micro-batches follow event time."""
+    spark = df.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    span = df.agg(F.min(us).alias("a"), F.max(us).alias("b")).first()
+    width = max(1, ((span["b"] or 0) - (span["a"] or 0)) // parts + 1)
+    for i in range(parts):
+        lo = (span["a"] or 0) + i * width
+        df.where((us >= lo) & (us < lo + width)).coalesce(1).write.mode("append").parquet(root)
+    return root

@@ -1074,7 +1074,7 @@ def q_labels_metrics_quality(spark, sf):
 
 @register("labels_split_documents", """
 SELECT doc_id, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'validation' ELSE 'test' END AS split
-FROM (SELECT doc_id, ((doc_id % 1000003) * 7919 + 42 * 104729) % 100 AS h FROM documents)""")
+FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 15))::BIGINT % 100 AS h FROM documents)""")
 def q_labels_split_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     return d.select("doc_id", LB.split_assign(F.col("doc_id"), seed=42).alias("split"))
@@ -1231,7 +1231,7 @@ def q_govern_compliance_report_orders(spark, sf):
                       F.concat_ws(" | ", "recommendations").alias("recommendations"))
 
 
-def audit_from_orders(spark, sf):
+def audit_from_orders(spark, sf, *more):
     o = table(spark, sf, "orders")
     return o.select(
         F.concat(F.lit("rec-"), F.col("o_orderkey").cast("string")).alias("recommendation_id"),
@@ -1239,7 +1239,7 @@ def audit_from_orders(spark, sf):
          .otherwise(F.col("o_orderkey") % 2 == 0).alias("applied"),
         F.when(F.col("o_orderstatus") == "O", "RECOMMENDED").when(F.col("o_orderstatus") == "F", "RECONCILED")
          .otherwise("DISMISSED").alias("status"),
-        F.lit(None).cast("timestamp").alias("reconciled_at"))
+        F.lit(None).cast("timestamp").alias("reconciled_at"), *more)
 
 
 _DUCK_AUDIT = """
@@ -1285,13 +1285,19 @@ def q_govern_open_recommendations_orders(spark, sf):
 # with an availableNow trigger; ST5 also as its batch formulation
 # --------------------------------------------------------------------------
 from .streaming import detectors as SD  # noqa: E402
-from .streaming.runner import run_available_now, stream_files  # noqa: E402
+from .streaming.runner import run_available_now, run_updates_now, stream_files, time_ordered_files  # noqa: E402
 
 _EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def _event_files(spark, sf):
+    """The events as three consecutive time ranges: three micro-batches."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return time_ordered_files(ev, "ts", "events")
+
+
 def _events_stream(spark, sf):
-    s = stream_files(spark, sf, _EVENTS_SCHEMA, glob="events.parquet")
+    s = stream_files(spark, _event_files(spark, sf), _EVENTS_SCHEMA, max_files_per_trigger=1)
     k = F.get_json_object("props", "$.k")
     return s.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
                     F.col("event_type").alias("action"), k.alias("source"),
@@ -1305,8 +1311,11 @@ SELECT time_bucket(INTERVAL 1 minute, ts) AS period_start,
        sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 1 AS alarm
 FROM events GROUP BY ALL""")
 def q_stream_error_alarm_events(spark, sf):
-    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = SD.tumbling_alarm(ev, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0), "1 minute")
+    ev = stream_files(spark, _event_files(spark, sf), _EVENTS_SCHEMA, max_files_per_trigger=1)
+    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = SD.tumbling_alarm(ev, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0), "1 minute",
+                            watermark="1 day")
+    out = run_updates_now(out, "error_alarm", ["period_start"])
     return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"),
                       F.col("period_end").cast("timestamp_ntz").alias("period_end"),
                       F.col("value").cast("bigint").alias("value"), "alarm")
@@ -1340,13 +1349,12 @@ SELECT time_bucket(INTERVAL 60 minute, o_orderdate) AS period_start,
 FROM orders GROUP BY ALL""")
 def q_stream_reconcile_alarm_orders(spark, sf):
     """ST6: missing reconciliations (open and not applied) per 60 minutes."""
-    au = audit_from_orders(spark, sf)
-    od = table(spark, sf, "orders").select(
-        F.concat(F.lit("rec-"), F.col("o_orderkey").cast("string")).alias("recommendation_id"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"))
-    x = au.join(od, "recommendation_id")
+    au = audit_from_orders(spark, sf, F.col("o_orderdate").cast("timestamp").alias("ts"))
+    files = time_ordered_files(au, "ts", "recommendations")
+    x = stream_files(spark, files, au.schema.simpleString()[7:-1].replace(":", " "), max_files_per_trigger=1)
     missing = ((F.col("status") == "RECOMMENDED") & ~GV.action_applied(x)).cast("int")
-    out = SD.tumbling_alarm(x, "ts", missing, "60 minutes")
+    out = run_updates_now(SD.tumbling_alarm(x, "ts", missing, "60 minutes", watermark="1 day"), "reconcile_alarm",
+                          ["period_start"])
     return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"),
                       F.col("value").cast("bigint").alias("value"), "alarm")
 
