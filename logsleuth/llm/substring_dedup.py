@@ -19,8 +19,9 @@ and largest block hash:
 * several contents (ends of shared passages): the anchor's windows, and only
   these, are indexed one by one with 128-bit hashes.
 
-All steps are equality joins and partial aggregations on narrow rows; the text
-is shuffled once, by id, to meet its document's matches.
+All steps are equality joins and partial aggregations on narrow rows.  The text
+is shuffled once, compressed, by id, to meet its document's matches; steps that
+need it twice read the same exchange.
 
 Edge cases: null text has no words; texts shorter than a window keep all;
 windows repeated inside one document are no reason to remove; rows that share an
@@ -37,6 +38,10 @@ from pyspark.sql import functions as F
 from .common import stage, text_or_empty
 from .words import SPACE_WORDS, batch_bytes, hashed_groups, mix, window_hashes, _powers
 
+# bits kept of a block's content hash, beside the 64 of its anchor, and of a
+# window's second hash, beside the 64 of its first
+CONTENT_BITS, SECOND_BITS = 48, 32
+
 
 def blocks(h, counts, window, gram):
     """Blocks of texts laid end to end: for word hashes ``h`` and words per text
@@ -84,21 +89,54 @@ def _index_rows(window, gram):
                     doc = np.searchsorted(np.cumsum(counts), starts[first], side="right") + lo
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(doc)), pa.array(anchor.view(np.int64)),
-                         pa.array(content.view(np.int64))], ["id", "anchor", "content"])
+                         pa.array((content >> np.uint64(64 - CONTENT_BITS)).astype(np.int64))], ["id", "anchor", "content"])
     return run
 
 
-def _as_dict(keys, values):
-    """Sorted numpy keys with their values, from two list scalars."""
+def _pack(batches):
+    """``(id, text)`` to ``(id, z)``, the text compressed."""
+    import pyarrow as pa
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        data, off = batch_bytes(batch.column(1))
+        view = memoryview(data)
+        z = pa.array([press.compress(view[a:b]) for a, b in zip(off[:-1], off[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), z], ["id", "z"])
+
+
+def _groups(batch, size=1 << 22):
+    """Rows of a packed batch in groups of about ``size`` bytes:
+    ``(lo, hi, texts)`` with the texts as an Arrow column."""
+    import pyarrow as pa
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    lo, held, texts = 0, 0, []
+    for i, z in enumerate(batch.column(1)):
+        texts.append(press.decompress(z.as_buffer()))
+        held += len(texts[-1])
+        if held >= size or i == batch.num_rows - 1:
+            yield lo, i + 1, pa.array(texts, pa.large_binary())
+            lo, held, texts = i + 1, 0, []
+
+
+def _table(lists, values=None):
+    """Distinct keys of a list column, sorted, with their values (null: 0) and
+    which values were null.  A key has the same value in every row."""
     import numpy as np
+    import pyarrow as pa
 
-    if keys is None or not len(keys):
+    flat = lists.flatten()
+    if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    k = np.asarray(keys.to_numpy(zero_copy_only=False), dtype=np.int64)
-    gone = np.asarray(values.is_null().to_numpy(zero_copy_only=False))
-    v = np.asarray(values.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    order = np.argsort(k, kind="stable")
-    return k[order], v[order], gone[order]
+    keys, first = np.unique(flat.to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
+    if values is None:
+        return keys, None, None
+    v = values.flatten().take(pa.array(first))
+    gone = v.is_null().to_numpy(zero_copy_only=False)
+    return keys, v.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), gone
 
 
 def _find(sorted_keys, wanted):
@@ -118,29 +156,20 @@ def _open_windows(window, gram):
         import pyarrow as pa
 
         for batch in batches:
-            ids, rows = batch.column(0), [[], [], []]
-            data, off = batch_bytes(batch.column(1))
-            for i in range(batch.num_rows):
-                keys, _, several = _as_dict(batch.column(2)[i].values, batch.column(3)[i].values)
+            for lo, hi, texts in _groups(batch):
+                keys, _, several = _table(batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo))
                 keys = keys[several]
-                for _, _, counts, h in hashed_groups(data, off[i:i + 2], SPACE_WORDS):
+                data, off = batch_bytes(texts)
+                for glo, _, counts, h in hashed_groups(data, off, SPACE_WORDS):
                     starts, first, anchor, _ = blocks(h, counts, window, gram)
                     _, hit = _find(keys, anchor.view(np.int64))
-                    size = np.diff(np.concatenate([first, [len(starts)]]))
-                    s = starts[np.repeat(hit, size)]
+                    s = starts[np.repeat(hit, np.diff(np.concatenate([first, [len(starts)]])))]
                     if len(s):
+                        doc = np.searchsorted(np.cumsum(counts), s, side="right") + lo + glo
                         w1 = window_hashes(h, window)[s].view(np.int64)
-                        w2 = window_hashes(h, window, seed=3)[s].view(np.int64)
-                        w1, one = np.unique(w1, return_index=True)
-                        rows[0].append(np.full(len(w1), i))
-                        rows[1].append(w1)
-                        rows[2].append(w2[one])
-                if sum(map(len, rows[0])) > 1 << 18 or i == batch.num_rows - 1:
-                    if rows[0]:
+                        w2 = (window_hashes(h, window, seed=3)[s] >> np.uint64(64 - SECOND_BITS)).astype(np.int64)
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(np.concatenate(rows[0]))), pa.array(np.concatenate(rows[1])),
-                             pa.array(np.concatenate(rows[2]))], ["id", "w1", "w2"])
-                    rows = [[], [], []]
+                            [batch.column(0).take(pa.array(doc)), pa.array(w1), pa.array(w2)], ["id", "w1", "w2"])
     return run
 
 
@@ -152,57 +181,68 @@ def _factor(window, gram):
 
         factor_type = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("ref", pa.int64())]))
         for batch in batches:
-            data, off = batch_bytes(batch.column(1))
-            view = memoryview(data)
-            out = {"n_words": [], "n_removed": [], "kept": [], "factors": []}
-            for i in range(batch.num_rows):
-                words = bytes(view[off[i]:off[i + 1]]).split()
-                n, factors = len(words), []
-                drop = np.zeros(n + 1, dtype=np.int64)
-                state, hits = batch.column(2)[i].values, batch.column(4)[i].values
-                if n >= window and state is not None and len(state):
-                    keys, refs, several = _as_dict(state, batch.column(3)[i].values)
-                    wkeys, wrefs, _ = _as_dict(hits, batch.column(5)[i].values)
-                    for _, _, counts, h in hashed_groups(data, off[i:i + 2], SPACE_WORDS):
-                        starts, first, anchor, _ = blocks(h, counts, window, gram)
-                        at, hit = _find(keys, anchor.view(np.int64))
-                        size = np.diff(np.concatenate([first, [len(starts)]]))
-                        ok = np.zeros(len(starts), bool)
-                        ref = np.zeros(len(starts), np.int64)
-                        if len(keys):
-                            ok = np.repeat(hit & ~several[at], size)
-                            ref = np.repeat(refs[at], size)
+            for lo, hi, texts in _groups(batch):
+                part = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
+                keys, refs, several = _table(part[2], part[3])
+                wkeys, wrefs, _ = _table(part[4], part[5])
+                ids = part[0].to_numpy(zero_copy_only=False).astype(np.int64)
+                data, off = batch_bytes(texts)
+                view = memoryview(data)
+                n_words, n_removed, kept, factors = [], [], [], []
+                for glo, ghi, counts, h in hashed_groups(data, off, SPACE_WORDS):
+                    ends = np.cumsum(counts)
+                    begins = ends - counts
+                    starts, first, anchor, _ = blocks(h, counts, window, gram)
+                    own = ids[np.searchsorted(ends, starts, side="right") + glo]
+                    size = np.diff(np.concatenate([first, [len(starts)]]))
+                    at, hit = _find(keys, anchor.view(np.int64))
+                    ok, ref = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64)
+                    if len(keys):
+                        ref = np.repeat(refs[at], size)
+                        ok = np.repeat(hit & ~several[at], size) & (ref < own)
                         if len(wkeys):
-                            at, hit = _find(wkeys, window_hashes(h, window)[starts].view(np.int64))
-                            open_ = np.repeat(_find(keys[several], anchor.view(np.int64))[1], size)
-                            hit &= open_
-                            ok |= hit
-                            ref[hit] = wrefs[at[hit]]
-                        # one text: window starts are 0, 1, 2, ...; a factor ends
-                        # where the match or its reference ends
-                        edge = np.flatnonzero(np.diff(np.where(ok, ref, -1), prepend=-2) != 0)
-                        turn = np.flatnonzero(np.diff(ok.astype(np.int8), prepend=-1) != 0)
-                        edge = np.union1d(edge, turn)
-                        stop = np.concatenate([edge[1:], [len(ok)]])
-                        for a, b in zip(edge.tolist(), stop.tolist()):
-                            if ok[a]:
-                                factors.append({"start": a, "n_words": b - a + window - 1, "ref": int(ref[a])})
-                                drop[a] += 1
-                                drop[b + window - 1] -= 1
-                gone = np.cumsum(drop[:n]) > 0
-                out["n_words"].append(n)
-                out["n_removed"].append(int(gone.sum()))
-                if gone.any():
-                    words = [w for w, x in zip(words, gone.tolist()) if not x]
-                out["kept"].append(b" ".join(words))
-                out["factors"].append(factors)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
-                 pa.array(out["kept"], pa.binary()).cast(pa.string()), pa.array(out["factors"], factor_type)],
-                ["id", "n_words", "n_removed", "kept", "factors"])
+                            w, found = _find(wkeys, window_hashes(h, window)[starts].view(np.int64))
+                            found &= np.repeat(hit & several[at], size) & (wrefs[w] < own)
+                            ok |= found
+                            ref[found] = wrefs[w[found]]
+                    starts, ref = starts[ok], ref[ok]
+                    drop = np.zeros(len(h) + window + 1, dtype=np.int64)
+                    np.add.at(drop, starts, 1)
+                    np.add.at(drop, starts + window, -1)
+                    gone = np.cumsum(drop)[:len(h)] > 0
+                    removed = np.concatenate([[0], np.cumsum(gone)])
+                    removed = removed[ends] - removed[begins]
+                    # a factor is a run of window starts with one reference
+                    doc = np.searchsorted(ends, starts, side="right")
+                    turn = np.flatnonzero((np.diff(starts, prepend=-2) != 1) | (np.diff(ref, prepend=0) != 0)
+                                          | (np.diff(doc, prepend=-1) != 0)) if len(starts) else starts
+                    stop = np.concatenate([turn[1:], [len(starts)]]).astype(np.int64)
+                    mine = [[] for _ in counts]
+                    for a, b in zip(turn.tolist(), stop.tolist()):
+                        d = int(doc[a])
+                        mine[d].append({"start": int(starts[a] - begins[d]), "n_words": b - a + window - 1,
+                                        "ref": int(ref[a])})
+                    for i in range(glo, ghi):
+                        words = bytes(view[off[i]:off[i + 1]]).split()
+                        if removed[i - glo]:
+                            out = gone[begins[i - glo]:ends[i - glo]].tolist()
+                            words = [w for w, x in zip(words, out) if not x]
+                        kept.append(b" ".join(words))
+                    n_words.append(counts)
+                    n_removed.append(removed)
+                    factors += mine
+                yield pa.RecordBatch.from_arrays(
+                    [part[0], pa.array(np.concatenate(n_words).astype(np.int64)),
+                     pa.array(np.concatenate(n_removed).astype(np.int64)),
+                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(factors, factor_type)],
+                    ["id", "n_words", "n_removed", "kept", "factors"])
     return run
 
 
+_PARSED = ("id long, n_words long, n_removed long, kept string, "
+           "factors array<struct<start:bigint,n_words:bigint,ref:bigint>>")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     window: int = 13, gram: int = 4) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``n_removed``, ``kept`` (kept
@@ -211,30 +251,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    index = stage(src.where("id IS NOT NULL").mapInArrow(_index_rows(window, gram),
-                                                         "id long, anchor long, content long"), "rlz-blocks")
+    some = src.where("id IS NOT NULL")
+    index = some.mapInArrow(_index_rows(window, gram), "id long, anchor long, content long")
     shared = stage(index.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"),
                                                F.min("content").alias("c0"), F.max("content").alias("c1"))
                         .where("lo < hi")
                         .select("anchor", "lo", (F.col("c0") != F.col("c1")).alias("several")), "rlz-index")
-    # per document: anchors with a reference (null: several contents)
+    # per document: its anchors with a reference (null: several contents)
     state = (index.select("id", "anchor").join(shared, "anchor")
                   .where("several OR lo < id")
                   .select("id", F.struct("anchor", F.when(~F.col("several"), F.col("lo")).alias("lo")).alias("s"))
                   .groupBy("id").agg(F.collect_set("s").alias("s"))
                   .select("id", F.col("s.anchor").alias("anchors"), F.col("s.lo").alias("refs")))
-    state = stage(state, "rlz-state")
-    text = src.repartition("id")
-    open_ = (text.join(state.where(F.exists("refs", lambda r: r.isNull())), "id")
-                 .select("id", "text", "anchors", "refs")
+    # the same filter for both uses below, so that they share one exchange
+    text = some.mapInArrow(_pack, "id long, z binary").where("id IS NOT NULL").repartition("id")
+    open_ = (text.join(state, "id").select("id", "z", "anchors", "refs")
                  .mapInArrow(_open_windows(window, gram), "id long, w1 long, w2 long"))
-    known = open_.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    hits = (open_.join(known.select("w1", "w2", "lo"), ["w1", "w2"]).where("lo < id")
+    known = (open_.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                  .where("lo < hi").select("w1", "w2", "lo"))
+    # The extra key makes the join deal out both sides anew (the counted side has
+    # few rows), so that a window of very many documents can be split over tasks.
+    again = F.col("w1").bitwiseAND(F.lit(7)).alias("k")
+    hits = (open_.select("*", again).join(known.select("*", again), ["k", "w1", "w2"]).where("lo < id")
                  .groupBy("id").agg(F.collect_set(F.struct("w1", "lo")).alias("w"))
                  .select("id", F.col("w.w1").alias("windows"), F.col("w.lo").alias("wrefs")))
-    return (text.join(state, "id", "left").join(hits, "id", "left")
-                .select("id", "text", "anchors", "refs", "windows", "wrefs")
-                .mapInArrow(_factor(window, gram),
-                            "id long, n_words long, n_removed long, kept string, "
-                            "factors array<struct<start:bigint,n_words:bigint,ref:bigint>>")
-                .withColumnRenamed("id", id_col))
+    parsed = (text.join(state, "id", "left").join(hits, "id", "left")
+                  .select("id", "z", "anchors", "refs", "windows", "wrefs")
+                  .mapInArrow(_factor(window, gram), _PARSED))
+    # rows without an id: nothing to compare them with
+    none = (src.where("id IS NULL").mapInArrow(_pack, "id long, z binary")
+               .select("id", "z", *[F.lit(None).cast("array<long>").alias(c) for c in ("anchors", "refs", "windows", "wrefs")])
+               .mapInArrow(_factor(window, gram), _PARSED))
+    return parsed.unionAll(none).withColumnRenamed("id", id_col)

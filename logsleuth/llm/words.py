@@ -20,7 +20,14 @@ SPACE_WORDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM_WORDS = np.zeros(256, dtype=bool)
 ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x41:0x5B] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x80:] = True
 
-_POW = {}
+class _Local(dict):
+    """A cache that is empty where the functions that use it are shipped to."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_POW = _Local()
 
 
 def _powers(n):
@@ -49,7 +56,8 @@ def batch_bytes(column):
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if not pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column, "").cast(pa.large_string())
     off = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
