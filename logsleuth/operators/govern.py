@@ -131,19 +131,27 @@ def storage_metrics(inventory: DataFrame) -> DataFrame:
     return tot.join(dist, "bucket", "left")
 
 
+def _critical(issues) -> Column:
+    return F.filter(issues, lambda i: F.lower(i).rlike("|".join(CRITICAL_KEYWORDS)))
+
+
+def critical_issues(validation: DataFrame) -> DataFrame:
+    """The critical issues (about encryption, retention or object lock) of
+    buckets that do not comply, one row each, so their number is not bound by one
+    report row."""
+    bad = validation.where(~F.col("compliant"))
+    return bad.select("bucket", F.explode(_critical("issues")).alias("issue"))
+
+
 def compliance_report(validation: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One summary row: totals, compliance rate, cost, TB, critical
-    issues (``bucket: issue`` mentioning encryption/retention/object lock)
-    and recommendations."""
+    """One summary row: totals, compliance rate, cost, TB, the number of
+    critical issues (:func:`critical_issues` lists them) and recommendations."""
     x = validation.join(metrics, "bucket", "left")
-    crit = F.transform(F.filter("issues", lambda i: F.lower(i).rlike("|".join(CRITICAL_KEYWORDS))),
-                       lambda i: F.concat(F.col("bucket"), F.lit(": "), i))
     agg = x.agg(
         F.count(F.lit(1)).alias("total_buckets"), F.count_if("compliant").alias("compliant_buckets"),
         F.coalesce(F.sum("cost_estimate_monthly"), F.lit(0.0)).alias("total_cost_monthly"),
         F.coalesce(F.sum(F.col("total_size_bytes") / F.lit(1024.0 ** 4)), F.lit(0.0)).alias("total_size_tb"),
-        F.flatten(F.collect_list(F.when(~F.col("compliant"), crit).otherwise(
-            F.array().cast("array<string>")))).alias("critical_issues"))
+        F.coalesce(F.sum(F.when(~F.col("compliant"), F.size(_critical("issues")))), F.lit(0)).alias("n_critical_issues"))
     rate = F.when(F.col("total_buckets") > 0, F.col("compliant_buckets") / F.col("total_buckets")).otherwise(0.0)
     agg = agg.withColumn("compliance_rate", rate)
     recs = F.array_compact(F.array(F.when(F.col("compliance_rate") < 1.0, F.lit(REC_REVIEW)),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.keys import join_on
 from ..session import cut_lineage
 from ..plans.quantiles import exact_median, median_col_from_sorted_array
-from ..plans.ranking import ordinal_segment, row_index
+from ..plans.ranking import balanced_segments, ordinal_segment, row_index
 
 # Fixed value: consistency constant of the modified z-score.
 MODIFIED_Z_CONST = 0.6745
@@ -151,7 +151,8 @@ def _window_score(vals, x):
 
 def windowed_modified_z_scores(df: DataFrame, value: str = "value", by=(), order=("ord",),
                                window_size: int = 5, score_col: str = "score",
-                               chunk_rows: int = 1_000_000, segment=None) -> DataFrame:
+                               chunk_rows: int = 1_000_000, segment=None,
+                               segment_ts: str | None = None) -> DataFrame:
     """Centred rolling modified z over rows ``i - w//2 .. i + w//2`` (cut at
     the ends; an even ``w`` behaves as ``w + 1``).  ``order`` must be a total
     order inside each series.
@@ -161,7 +162,9 @@ def windowed_modified_z_scores(df: DataFrame, value: str = "value", by=(), order
     its neighbours, the window runs per (series, chunk), and halos are
     dropped: one long series never lands in one task.  ``segment`` is an
     order-preserving bucket of the order columns used to number rows (see
-    :mod:`logsleuth.plans.ranking`); default: blocks of the first ordinal.
+    :mod:`logsleuth.plans.ranking`); default: blocks of the first ordinal, or,
+    with ``segment_ts`` (a timestamp that leads the order), segments that follow
+    the number of rows.
     """
     if window_size < 1:
         raise ValueError("window_size must be >= 1")
@@ -170,9 +173,12 @@ def windowed_modified_z_scores(df: DataFrame, value: str = "value", by=(), order
     c = max(int(chunk_rows), 2 * h + 1)
     x = F.col(value).cast("double")
     src = df.withColumn("_x", F.when(x.isNull(), F.lit(float("nan"))).otherwise(x))
-    if segment is None:
+    if segment_ts is not None:
+        src = cut_lineage(balanced_segments(src, segment_ts))
+        segment = F.col("_bal")
+    elif segment is None:
         segment = ordinal_segment(order[0])
-    src = row_index(src, by, order, segment, name="_pos")
+    src = row_index(src, by, order, segment, name="_pos").drop("_bal")
     own = F.floor(F.col("_pos") / c)
     r = F.col("_pos") % c
     copies = F.array(

@@ -15,12 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hof import explode_rows
-from .plans.ranking import time_segment
 from .session import cut_lineage
 from .tables import table
 
-DAY_S = 86_400
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -168,8 +165,7 @@ FROM m
 """)
 def q_series_rolling_events(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
-    out = S.windowed_modified_z_scores(ev, "value", ["user_id"], ["ts", "event_id"], window_size=5,
-                                       segment=time_segment("ts", DAY_S))
+    out = S.windowed_modified_z_scores(ev, "value", ["user_id"], ["ts", "event_id"], window_size=5, segment_ts="ts")
     return out.select("event_id", "user_id", r6("score").alias("score"))
 
 
@@ -1227,10 +1223,18 @@ def q_govern_compliance_report_orders(spark, sf):
     return rep.select("total_buckets", "compliant_buckets", r6("compliance_rate").alias("compliance_rate"),
                       r6("total_cost_monthly").alias("total_cost_monthly"),
                       r6("total_size_tb").alias("total_size_tb"),
-                      F.size("critical_issues").alias("n_critical_issues"),
+                      "n_critical_issues",
                       F.concat_ws(" | ", "recommendations").alias("recommendations"))
 
 
+@register("govern_critical_issues_orders", f"""
+WITH {_DUCK_CFG},
+r AS (SELECT bucket, unnest(list_concat(life, lck, enc)) AS issue FROM vi)
+SELECT bucket, issue FROM r WHERE lower(issue) SIMILAR TO '.*(encryption|retention|object lock).*'""")
+def q_govern_critical_issues_orders(spark, sf):
+    return GV.critical_issues(GV.validate_buckets(bucket_configs(spark, sf), GV.policy_table(spark)))
+
+
 def audit_from_orders(spark, sf, *more):
     o = table(spark, sf, "orders")
     return o.select(

@@ -46,7 +46,7 @@ def test_compliance_report(spark):
         "cost_estimate_monthly", F.col("total_size_bytes") / F.lit(float(gb)) * 0.023)
     r = GV.compliance_report(val, met).collect()[0]
     assert r.compliance_rate == 0.5 and r.total_cost_monthly == pytest.approx(80.0, abs=1e-6)
-    assert len(r.critical_issues) >= 1 and r.recommendations == [GV.REC_REVIEW]
+    assert r.n_critical_issues >= 1 and r.recommendations == [GV.REC_REVIEW]
 
 
 def test_storage_class_for_age(spark):
