@@ -141,7 +141,29 @@ def _fold(text: Column) -> Column:
     return F.lower(F.translate(text, CASE_FOLD_FROM, CASE_FOLD_TO))
 
 
-def _confidence(etype: str, eid: Column, text: Column, start: Column, end: Column) -> Column:
+PIECE_CHARS = 4096
+
+
+def text_pieces(text: Column) -> Column:
+    """The text cut every ``PIECE_CHARS`` characters.  ``substring`` walks a text
+    from its start, so many snippets of a long text are taken from its pieces."""
+    n = F.ceil(F.length(text) / PIECE_CHARS).cast("int")
+    return F.when(n <= 1, F.array(text)).otherwise(F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * PIECE_CHARS + 1, F.lit(PIECE_CHARS))))
+
+
+def _snippet(text: Column, pieces: Column | None, lo: Column, n: Column) -> Column:
+    """``n`` characters of the text from 0-based ``lo``."""
+    if pieces is None:
+        return F.substring(text, lo + 1, n)
+    first = F.floor(lo / PIECE_CHARS).cast("int")
+    last = F.floor((lo + n) / PIECE_CHARS).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.substring(part, lo - first * PIECE_CHARS + 1, n)
+
+
+def _confidence(etype: str, eid: Column, text: Column, start: Column, end: Column,
+                pieces: Column | None = None) -> Column:
     """base by type and shape, halved under 3 chars, context boost, round 3."""
     if etype == "iam_role_arn":
         base = F.when(eid.startswith("arn:aws:"), 0.95).otherwise(BASE_CONFIDENCE)
@@ -161,7 +183,7 @@ def _confidence(etype: str, eid: Column, text: Column, start: Column, end: Colum
     kws = CONTEXT_KEYWORDS.get(etype)
     if kws:
         lo = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        ctx = F.lower(F.substring(text, lo + 1, end + CONTEXT_CHARS - lo))
+        ctx = F.lower(_snippet(text, pieces, lo, end + CONTEXT_CHARS - lo))
         hit = None
         for k in kws:
             h = ctx.contains(k)
@@ -170,14 +192,14 @@ def _confidence(etype: str, eid: Column, text: Column, start: Column, end: Colum
     return F.round(base, 3)
 
 
-def _scorer(etype: str, text: Column):
+def _scorer(etype: str, text: Column, pieces: Column | None = None):
     def score(m):
         lo = F.greatest(m["start"] - SNIPPET_CHARS, F.lit(0))
         return F.struct(
             F.lit(etype).alias("entity_type"),
             m["id"].alias("entity_id"),
-            _confidence(etype, m["id"], text, m["start"], m["end"]).alias("confidence"),
-            F.substring(text, lo + 1, m["end"] + SNIPPET_CHARS - lo).alias("context"))
+            _confidence(etype, m["id"], text, m["start"], m["end"], pieces).alias("confidence"),
+            _snippet(text, pieces, lo, m["end"] + SNIPPET_CHARS - lo).alias("context"))
     return score
 
 
@@ -240,17 +262,17 @@ def add_text_entities(df, text_col: str, out_col: str = "entities", entity_types
         lit = REQUIRED_LITERALS.get(p)
         out = out.withColumn(name, rx if lit is None else
                              F.when(F.col("__guard").contains(lit), rx).otherwise(empty))
-    out = out.drop("__guard")
+    out = out.drop("__guard").withColumn("__pieces", text_pieces(text))
     parts = []
     for name, (t, p) in zip(tmp, pats):
         ms = F.col(name)
         pos = F.when(F.size(ms) > 0, _positions(text, p, ms)).otherwise(F.array().cast(_MATCH_T))
-        parts.append(F.transform(pos, _scorer(t, text)))
+        parts.append(F.transform(pos, _scorer(t, text, F.col("__pieces"))))
     sf = F.lit(source_field) if isinstance(source_field, str) else source_field
     if not parts:
         return df.withColumn(out_col, F.array().cast(f"array<{ENTITY_STRUCT}>"))
     allm = F.concat(*parts) if len(parts) > 1 else parts[0]
-    out = out.withColumn("__allm", allm).drop(*tmp)
+    out = out.withColumn("__allm", allm).drop(*tmp, "__pieces")
     return out.withColumn(out_col, _finish(F.col("__allm"), confidence_threshold, sf)).drop("__allm")
 
 

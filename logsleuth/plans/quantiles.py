@@ -127,7 +127,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
         hi = F.max(F.when(F.col("_t") == f"{qi}_hi", F.col("_val")))
         frac = F.max(F.when(F.col("_t") == f"{qi}_lo", F.col("_frac")))
         if float(p) == 0.5:
-            aggs.append(((lo + hi) / 2).alias(name))
+            aggs.append(F.when(frac == 0, lo).otherwise((lo + hi) / 2).alias(name))
         else:
             aggs.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(name))
     return picked.groupBy(*keys).agg(*aggs)
