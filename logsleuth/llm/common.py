@@ -29,6 +29,19 @@ def text_or_empty(col="text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+ARROW_ROWS = 1000
+
+
+def for_arrow(docs: DataFrame, *cols) -> DataFrame:
+    """``docs.select(*cols)`` for a function over Arrow batches.  A batch is a
+    number of rows whatever their length, so with long texts it must be few: the
+    session's batch size is lowered to ``ARROW_ROWS`` where it is larger."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return docs.select(*cols)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected link table.
 

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, for_arrow
 from .words import ALNUM_WORDS, batch_bytes, hashed_groups, mix
 
 # fixed masks: 1 looks at the token, 0 ignores it
@@ -159,7 +159,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(item_text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-int(total) // block_bytes))
-    src = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    src = for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     parts = []
     for k in range(n_blocks):

@@ -30,7 +30,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import stage, text_or_empty, for_arrow
 from .words import ALNUM_WORDS, batch_bytes, hashed_groups
 
 # License names and statements that declare them.
@@ -138,7 +138,7 @@ def template_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str)
         yield pa.RecordBatch.from_arrays([pa.array([*(vocabulary[i] for i in order), ""]),
                                           pa.array([*total.tolist(), n], pa.int64())], ["term", "n"])
 
-    rows = (docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "term string, n long")
+    rows = (for_arrow(docs, text_or_empty(text_col).alias("text")).mapInArrow(run, "term string, n long")
                 .groupBy("term").agg(F.sum("n").alias("n")).collect())  # one row per template term
     df = {r["term"]: r["n"] for r in rows}
     return df.pop("", 0), df
@@ -190,7 +190,7 @@ def own_licenses(docs: DataFrame, id_col: str, path_col: str, text_col: str, tem
                 [batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.string()),
                  pa.array([f[1] if f else 0.0 for f in found], pa.float64())], ["id", "path", "license", "similarity"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"),
+    src = for_arrow(docs, F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"),
                       text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, path string, license string, similarity double")

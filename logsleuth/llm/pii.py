@@ -34,7 +34,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import stage, text_or_empty, for_arrow
 from .words import ALNUM_WORDS, batch_bytes, hashed_groups
 
 BASE = ("email", "ip", "card", "phone")
@@ -234,7 +234,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """One row per document: ``id_col`` and ``spans``, an array of ``start``,
     ``kind`` (number in ``KINDS``) and ``end`` in code points, ordered by start,
     kind and end."""
-    src = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    src = for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     rows = stage(src.mapInArrow(_spans(reach), f"id {kind}, base array<struct<start:bigint,kind:int,end:bigint>>, "
                                                "near array<struct<e:bigint,t:bigint,c:bigint,start:bigint,end:bigint>>")

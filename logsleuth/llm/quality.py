@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, for_arrow
 from .words import SPACE_WORDS, batch_bytes, PIECE, _powers, mix
 
 TRIGRAMS, SHAPES = 2048, 2048
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                      pa.array([r[x].astype(np.uint32).tobytes() for r, x in zip(c, at)], pa.binary())],
                     ["id", "label", "terms", "counts"])
 
-    src = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    src = for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     # bounded: max_labelled ids; one row per id and per distinct text
     sample = (src.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = list(dict.fromkeys([id_col, *keep]))
     sent = list(dict.fromkeys([*cols, text_col]))
-    src = docs.select(*sent).withColumn(text_col, F.col(text_col).cast("string"))
+    src = for_arrow(docs, *sent).withColumn(text_col, F.col(text_col).cast("string"))
     at, n_kept, name = sent.index(text_col), len(cols), f"{prefix}score"
 
     def run(batches):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, text_or_empty
+from .common import components, stage, text_or_empty, for_arrow
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [simhash(bytes(view[a:b]), shingle, seed) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
-    src = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    src = for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, fp long").select(F.col("id").alias(id_col), "fp")
 

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import stage, text_or_empty, for_arrow
 from .words import SPACE_WORDS, batch_bytes, hashed_groups, mix, window_hashes, _powers
 
 # bits kept of a block's content hash, beside the 64 of its anchor, and of a
@@ -250,7 +250,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words, reference id; in word order, neighbours may overlap)."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    src = for_arrow(docs, F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     some = src.where("id IS NOT NULL")
     index = some.mapInArrow(_index_rows(window, gram), "id long, anchor long, content long")
     shared = stage(index.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"),

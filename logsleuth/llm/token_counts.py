@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, for_arrow
 
 PIECE_CHARS = 1 << 15
 BATCH_BYTES = 1 << 20
@@ -135,7 +135,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                                              ["id", "n_bytes", "n_tokens"])
 
     text = text_or_empty(text_col)
-    src = docs.select(F.col(id_col).alias("id"), text.alias("text"),
+    src = for_arrow(docs, F.col(id_col).alias("id"), text.alias("text"),
                       F.octet_length(text).cast("long").alias("n_bytes"))
     kind_ = src.schema["id"].dataType.simpleString()
     return (src.mapInArrow(run, f"id {kind_}, n_bytes long, n_tokens long")
