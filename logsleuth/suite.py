@@ -453,10 +453,10 @@ def q_behavior_combination_counts_orders(spark, sf):
     return B.combination_counts(orders_with_part_entities(spark, sf))
 
 
-def _duck_escalation(lookback_minutes: int) -> str:
+def _duck_escalation(lookback_minutes: int, patterns: dict | None = None) -> str:
     look = lookback_minutes * 60 * 1_000_000
     pats = []
-    for rank, (name, (acts, base)) in enumerate(EVENT_PATTERNS.items()):
+    for rank, (name, (acts, base)) in enumerate((patterns or EVENT_PATTERNS).items()):
         lst = ", ".join(f"'{a}'" for a in acts)
         pats.append(f"SELECT {rank} AS prank, '{name}' AS pname, [{lst}] AS pacts, {base} AS base")
     return f"""
@@ -513,13 +513,14 @@ def scored_events(spark, sf):
     return B.aggregate_scores(base, sc)
 
 
-def _duck_engine_ctes() -> str:
+def _duck_engine_ctes(patterns: dict | None = None, lookback_minutes: int = ENGINE_LOOKBACK_MIN,
+                      threshold: float = ENGINE_THRESHOLD) -> str:
     hi = ",".join("'" + a + "'" for a in B.HIGH_RISK_ACTIONS)
     md = ",".join("'" + a + "'" for a in B.MEDIUM_RISK_ACTIONS)
-    look = ENGINE_LOOKBACK_MIN * 60 * 1_000_000
+    look = lookback_minutes * 60 * 1_000_000
     pats = " UNION ALL ".join(
         f"SELECT {r} AS prank, '{n}' AS pname, [{', '.join(repr(a) for a in acts)}] AS pacts, {b} AS base"
-        for r, (n, (acts, b)) in enumerate(EVENT_PATTERNS.items()))
+        for r, (n, (acts, b)) in enumerate((patterns or EVENT_PATTERNS).items()))
     return f"""{_EE_SQL},
 c AS (SELECT *,
         count(*) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS n,
@@ -556,7 +557,7 @@ esc AS (SELECT w.event_id, 'privilege_escalation' AS anomaly_type,
                  AS factors
         FROM w, p WHERE list_has_all(acts, pacts)),
 allr AS (SELECT * FROM beh UNION ALL SELECT * FROM esc),
-sw AS (SELECT *, least(wt, 10.0) AS score_w, wt >= {ENGINE_THRESHOLD} AS is_anom
+sw AS (SELECT *, least(wt, 10.0) AS score_w, wt >= {threshold} AS is_anom
        FROM (SELECT *, score * CASE anomaly_type WHEN 'behavioral_deviation' THEN 0.3
                                    WHEN 'time_pattern_anomaly' THEN 0.2
                                    WHEN 'privilege_escalation' THEN 0.4 ELSE 1.0 END AS wt FROM allr)),
@@ -574,7 +575,7 @@ agg AS (SELECT ev.event_id, ev.ts, CAST(ev.user_id AS VARCHAR) AS "user", ev.eve
                  AS all_factors
         FROM events ev LEFT JOIN sw USING (event_id) GROUP BY ev.event_id, ev.ts, ev.user_id,
              ev.event_type, ev.props),
-an AS (SELECT * FROM agg WHERE aggregate_score >= {ENGINE_THRESHOLD})"""
+an AS (SELECT * FROM agg WHERE aggregate_score >= {threshold})"""
 
 
 def _dq(select_sql: str) -> str:

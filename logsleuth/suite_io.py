@@ -7,11 +7,14 @@ are started over time-ordered files of a driver table.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from .operators import analysis as AN
+from .operators import entities as OE
+from .operators import govern as GV
 from .operators import behavior as B
 from .operators import enrich as EN
 from .operators import labels as LB
@@ -20,7 +23,8 @@ from .sources import cloudtrail as CT
 from .sources import csvio, files, flowlogs as FL, ingest
 from .streaming import detectors as SD
 from .streaming.runner import run_available_now, run_updates_now, stream_files, time_ordered_files
-from .suite import audit_events_from_driver, audit_from_orders, events_entity_rows, orders_with_part_entities, r6, register
+from .suite import (_duck_behavior, _duck_engine_ctes, _duck_escalation, audit_from_orders, events_as_audit,
+                    events_entity_rows, orders_with_part_entities, r6, register, scored_events)
 from .tables import table
 
 
@@ -338,3 +342,204 @@ def q_stream_combination_state_orders(spark, sf):
     s.writeStream.foreachBatch(fold).option("checkpointLocation", f"{state}-chk").trigger(availableNow=True).start().awaitTermination()
     last = SD._latest_snapshot(spark, state, 1 << 40)
     return spark.read.schema(SD.COMBINATION_STATE).parquet(f"{state}/batch={last}")
+
+
+# --------------------------------------------------------------------------
+# detectors with their default risk classes, patterns, weights and thresholds:
+# the driver's event types mapped to audit actions
+# --------------------------------------------------------------------------
+_ACTIONS = ["CreateRole", "AttachRolePolicy", "AssumeRole", "CreateUser", "AttachUserPolicy", "CreateAccessKey",
+            "GetCredentialsForIdentity", "ListUsers", "DescribeInstances", "GetObject", "PutObject"]
+_ACTION_SQL = "[" + ", ".join(f"'{a}'" for a in _ACTIONS) + "][(event_id * 7 + user_id) % 11 + 1]"
+
+
+def _audit_actions(df):
+    names = F.array(*[F.lit(a) for a in _ACTIONS])
+    return df.withColumn("action", F.get(names, ((F.col("event_id") * 7 + F.col("_uid")) % 11).cast("int"))).drop("_uid")
+
+
+def _risky_events(spark, sf):
+    return _audit_actions(events_as_audit(spark, sf).withColumn("_uid", F.col("user_key").cast("long")))
+
+
+def _risky_sql(sql: str) -> str:
+    return re.sub(r"(?<!\.)event_type AS (action|act)\b", lambda m: f"{_ACTION_SQL} AS {m[1]}", sql)
+
+
+_PRIOR = _risky_sql(_duck_behavior("prior"))
+
+
+@register("behavior_risk_classes_events", f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({_PRIOR})")
+def q_behavior_risk_classes_events(spark, sf):
+    """New actions of all three risk classes."""
+    ee = events_entity_rows(spark, sf).withColumn("_uid", F.col("entity_id").cast("long"))
+    a = B.behavioral_anomalies(_audit_actions(ee), mode="prior")
+    return a.select("event_id", "entity_id", "anomaly_type", r6("score").alias("score"), "confidence",
+                    F.concat_ws(" | ", "factors").alias("factors"))
+
+
+def _default_escalation(minutes: int):
+    def q(spark, sf):
+        r = B.privilege_escalation(_risky_events(spark, sf), lookback_minutes=minutes)
+        name = F.regexp_replace(F.col("factors")[0], "^Privilege escalation pattern: ", "")
+        return r.select("event_id", "entity_id", name.alias("pname"), "score", F.col("factors")[1].alias("recent"))
+    return q
+
+
+for _minutes in (30, 7 * 1440):
+    register(f"behavior_escalation_default_{_minutes}m", "SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM ("
+             + _risky_sql(_duck_escalation(_minutes, B.ESCALATION_PATTERNS)) + ")")(_default_escalation(_minutes))
+
+_PARITY_CTES = (_risky_sql(_duck_engine_ctes(B.ESCALATION_PATTERNS, 30, 5.0))
+                .replace("ROWS UNBOUNDED PRECEDING) - 1 AS n,", "ROWS UNBOUNDED PRECEDING) AS n,")
+                .replace("ROWS UNBOUNDED PRECEDING) - 1 AS hc,", "ROWS UNBOUNDED PRECEDING) AS hc,")
+                .replace("WHERE n >= 10 AND a_incl = 1", "WHERE false").replace("AND s_incl = 1", "AND false"))
+
+
+@register("engine_defaults_parity_events", f"""WITH {_PARITY_CTES}
+SELECT event_id, round(aggregate_score, 6) AS aggregate_score, n_anomalies::BIGINT AS n_anomalies, n_scores FROM agg""")
+def q_engine_defaults_parity_events(spark, sf):
+    """U1 as the original runs it: parity mode, 30 minutes, threshold 5.0."""
+    a = cut_lineage(_risky_events(spark, sf))
+    s = B.aggregate_scores(a.select("event_id", "ts"), B.score_events(a))
+    return s.select("event_id", r6("aggregate_score").alias("aggregate_score"), "n_anomalies", "n_scores")
+
+
+# --------------------------------------------------------------------------
+# conformance, flow entities, formats (PF3, PF4, PF6, F7, SC5, PF12)
+# --------------------------------------------------------------------------
+@register("conformance_domain_events", """
+SELECT event_id, 'value outside [10, 90]' AS violation FROM events WHERE NOT value BETWEEN 10 AND 90
+UNION ALL SELECT event_id, 'event_type not in domain' FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')""")
+def q_conformance_domain_events(spark, sf):
+    out = CT.domain_violations(table(spark, sf, "events"), {"value": (10, 90), "event_type": ["click", "view", "purchase"]})
+    return out.select("event_id", "violation")
+
+
+@register("entities_flow_lineitem", """
+WITH f AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS account, '10.0.' || (l_suppkey % 256) || '.1' AS src,
+                  '10.1.' || (l_partkey % 256) || '.2' AS dst FROM lineitem WHERE l_linenumber < 5),
+e AS (SELECT 'iam_role_arn' AS entity_type, account AS entity_id, 'account_id' AS source_field FROM f
+      UNION ALL SELECT 'ip_address', src, 'srcaddr' FROM f UNION ALL SELECT 'ip_address', dst, 'dstaddr' FROM f)
+SELECT entity_type, entity_id, source_field, count(*) AS n FROM e GROUP BY ALL""")
+def q_entities_flow_lineitem(spark, sf):
+    """F7 over scanned flow records."""
+    root = _flow_files(spark, sf)
+    good, _ = ingest.ingest_flow_listing(spark, root, files.list_log_files(spark, root, "flow/"))
+    e = OE.flow_entities(good).select(F.explode("entities").alias("e")).select("e.entity_type", "e.entity_id", "e.source_field")
+    return e.where("source_field <> 'interface_id'").groupBy("entity_type", "entity_id", "source_field").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("detect_format_events", """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'cloudtrail' WHEN 1 THEN 'vpc_flow' WHEN 2 THEN 'cloudtrail'
+                 WHEN 3 THEN 'vpc_flow' ELSE 'cloudtrail' END AS event_source FROM events""")
+def q_detect_format_events(spark, sf):
+    kind = F.col("event_id") % 5
+    path = F.when(kind == 0, "logs/CloudTrail/x.txt").when(kind == 1, "logs/flow/x.txt").otherwise("logs/x.txt")
+    text = F.when(kind == 2, F.to_json(F.struct("event_id"))).when(kind == 3, F.concat(
+        F.lit("2 1 eni a b 1 2 6 10 100 1 2 ACCEPT OK\n"), F.col("event_type"))).otherwise(F.col("event_type"))
+    out = CT.detect_format(table(spark, sf, "events").select("event_id", path.alias("path"), text.alias("value")))
+    return out.select("event_id", "event_source")
+
+
+@register("analysis_flagged_events", f"""WITH {_duck_engine_ctes()}
+SELECT event_id, aggregate_score >= 2.5 AS is_anomalous FROM agg""")
+def q_analysis_flagged_events(spark, sf):
+    return AN.flag_anomalous(scored_events(spark, sf), 2.5).select("event_id", "is_anomalous")
+
+
+# --------------------------------------------------------------------------
+# spans to labels (F11, F12, F13, SL6), exports (SC15, SC16, SC17), SL7, SL8
+# --------------------------------------------------------------------------
+def _log_sentences(spark, sf):
+    arn = F.concat(F.lit("arn:aws:iam::1:"), F.when(F.col("user_id") % 2 == 0, "role/r").otherwise("user/u"),
+                   F.col("user_id").cast("string"))
+    ip = F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string"))
+    ev = table(spark, sf, "events").select("event_id", arn.alias("arn"), ip.alias("ip"), F.col("event_type").alias("act"))
+    return ev.withColumn("text", F.concat_ws(" ", F.lit("call"), "act", F.lit("by"), "arn", F.lit("from"), "ip"))
+
+
+@register("labels_weak_spans_events", """
+WITH s AS (SELECT event_id, user_id, 'arn:aws:iam::1:' || CASE WHEN user_id % 2 = 0 THEN 'role/r' ELSE 'user/u' END || user_id AS arn,
+                  '10.0.0.' || (user_id % 256) AS ip, event_type AS act FROM events)
+SELECT event_id, 'O O O B-' || CASE WHEN user_id % 2 = 0 THEN 'IAM_ROLE_ARN' ELSE 'IAM_USER_ARN' END || ' O B-IP_ADDRESS O O' AS labels,
+       length('call ' || act || ' by ') AS arn_start, length('call ' || act || ' by ' || arn || ' from ' || ip) AS ip_end FROM s""")
+def q_labels_weak_spans_events(spark, sf):
+    """F12 spans, F11 word labels, F13 padding to eight words."""
+    x = _log_sentences(spark, sf).withColumn("spans", LB.weak_spans(F.col("text"), F.col("arn"), F.col("ip")))
+    labels = LB.align_labels(LB.spans_to_bio(F.col("text"), F.col("spans")), F.lit(8))
+    return x.select("event_id", F.concat_ws(" ", labels).alias("labels"), F.col("spans")[0]["start"].cast("bigint").alias("arn_start"),
+                    F.col("spans")[1]["end"].cast("bigint").alias("ip_end"))
+
+
+@register("labels_top_suggestions_documents", "SELECT doc_id, lang || ',' || source AS top FROM documents")
+def q_labels_top_suggestions_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.concat_ws(",", LB.top_suggestions(F.array("lang", "source", F.lit("x")), 2)).alias("top"))
+
+
+@register("labels_exports_documents", """
+SELECT doc_id AS index, lang || '|' || source AS tokens, 'O|B-X' AS labels, 'csv' AS kind FROM documents
+UNION ALL SELECT doc_id, lang || '|' || source, 'O|B-X', 'json' FROM documents""")
+def q_labels_exports_documents(spark, sf):
+    """SC15: CSV and JSON sinks, read back."""
+    root = _folder(spark, "labels")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("index"), F.array("lang", "source").alias("tokens"),
+                                             F.array(F.lit("O"), F.lit("B-X")).alias("labels"))
+    LB.export_csv(d, f"{root}/csv")
+    LB.export_json(d, f"{root}/json")
+    a = spark.read.option("header", True).schema("index long, tokens string, labels string").csv(f"{root}/csv")
+    b = spark.read.schema(d.schema).json(f"{root}/json").select(
+        "index", F.array_join("tokens", "|").alias("tokens"), F.array_join("labels", "|").alias("labels"))
+    return a.withColumn("kind", F.lit("csv")).unionByName(b.withColumn("kind", F.lit("json")))
+
+
+@register("labels_messages_documents", """
+WITH e AS (SELECT doc_id, doc_id % 4 AS k FROM documents),
+w AS (SELECT doc_id, 'Example ' || (doc_id + 1) || ': Very long entity (11 tokens)' AS message, 0 AS p FROM e WHERE k = 0
+      UNION ALL SELECT doc_id, 'Example ' || (doc_id + 1) || ': No entities labeled (all O tags)', 1 FROM e WHERE k = 1),
+i AS (SELECT doc_id, 'Example ' || (doc_id + 1) || ', Token 1: Invalid I- tag without preceding B- tag' AS message FROM e WHERE k = 2)
+SELECT * FROM (SELECT doc_id AS index, message, 'warning' AS kind FROM w ORDER BY doc_id, p LIMIT 10)
+UNION ALL SELECT * FROM (SELECT doc_id, message, 'issue' FROM i ORDER BY doc_id LIMIT 10)""")
+def q_labels_messages_documents(spark, sf):
+    """SL7: the first ten messages of each kind, long entities included."""
+    k = F.col("doc_id") % 4
+    tag = F.lit(LB.BIO_TAGS[1][2:])
+    inside, begin = F.concat(F.lit("I-"), tag), F.concat(F.lit("B-"), tag)
+    labels = (F.when(k == 0, F.concat(F.array(begin), F.array_repeat(inside, 10))).when(k == 1, F.array(F.lit("O")))
+               .when(k == 2, F.array(inside)).otherwise(F.array(begin)))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("index"), labels.alias("labels"))
+    return LB.validation_messages(d.withColumn("tokens", F.col("labels"))).select("index", "message", "kind")
+
+
+@register("analysis_export_events", """
+SELECT event_type AS action, count(*) AS n FROM events GROUP BY ALL""")
+def q_analysis_export_events(spark, sf):
+    """SC16: the three analysis sinks, the summary read back."""
+    root = _folder(spark, "analysis")
+    ev = table(spark, sf, "events").select("event_id", F.col("event_type").alias("action"))
+    m = ev.agg(F.count(F.lit(1)).alias("total"))
+    AN.export_analysis(ev, ev, m, root, {"threshold": 2.5})
+    if spark.read.json(f"{root}/metrics").first()["config_threshold"] != 2.5:
+        raise AssertionError("metrics lost their configuration")
+    return spark.read.option("header", True).csv(f"{root}/anomaly_summary").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("govern_snapshot_orders", """
+SELECT CASE WHEN o_orderstatus = 'O' AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN 'RECONCILED'
+            WHEN o_orderstatus = 'O' THEN 'RECOMMENDED' WHEN o_orderstatus = 'F' THEN 'RECONCILED' ELSE 'DISMISSED' END AS status,
+       count(*) AS n FROM orders GROUP BY 1""")
+def q_govern_snapshot_orders(spark, sf):
+    """SC17: the reconciled table as a snapshot, read back."""
+    root = _folder(spark, "snapshot")
+    updated, _ = GV.reconcile(audit_from_orders(spark, sf))
+    GV.write_audit_snapshot(updated, root)
+    return spark.read.parquet(root).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("analysis_latest_value_events", """
+SELECT event_type, arg_max(round(value, 6), event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1""")
+def q_analysis_latest_value_events(spark, sf):
+    ev = table(spark, sf, "events").select("event_type", "event_id", r6("value").alias("value"))
+    return AN.latest_datapoint(ev, ["event_type"], "event_id", "value")
