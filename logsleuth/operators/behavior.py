@@ -235,11 +235,14 @@ def combination_counts(events: DataFrame, entities_col: str = "entities",
 
 def rare_combinations(events: DataFrame, entities_col: str = "entities",
                       rarity_threshold: float = 0.01, min_observations: int = 100,
-                      segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+                      segment_rows: int = SEGMENT_ROWS, prior: DataFrame | None = None) -> DataFrame:
     """For each event with >= 2 entities, each type pair (i < j) whose
     running count / running number of multi-entity events (both including
     this event, T18) is below ``rarity_threshold``, once the running number
-    of multi-entity events reaches ``min_observations``."""
+    of multi-entity events reaches ``min_observations``.
+
+    ``prior`` holds the counts of all earlier events (``family``, ``key``,
+    ``count`` with family ``types``, and ``total``), to go on from them."""
     order = ["ts", "event_id"]
     types = F.transform(F.col(entities_col), lambda e: e["entity_type"])
     ev = events.where(F.size(entities_col) >= 2).select("event_id", "ts", _pair_list(types).alias("_pairs"))
@@ -251,6 +254,13 @@ def rare_combinations(events: DataFrame, entities_col: str = "entities",
                        F.size(F.filter("_pairs", lambda q: q == F.col("_p"))).alias("_m"))
     # pair counts include every multi-entity event, also those before the gate
     hit = running_total(cut_lineage(allp), ["_t1", "_t2"], order, F.col("_seg0"), F.col("_m"), "_count")
+    if prior is not None:
+        before = prior.where("family = 'total'").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_t0"))
+        pairs = prior.where("family = 'types'").select(F.col("key").alias("_key"), F.col("count").alias("_c0"))
+        key = F.format_string("('%s', '%s')", "_t1", "_t2")
+        hit = (hit.withColumn("_key", key).join(pairs, "_key", "left").crossJoin(F.broadcast(before))
+                  .withColumn("_count", F.col("_count") + F.coalesce("_c0", F.lit(0)))
+                  .withColumn("_total", F.col("_total") + F.col("_t0")))
     freq = F.col("_count") / F.col("_total")
     hit = hit.where((F.col("_total") >= min_observations) & (freq < rarity_threshold) & (F.col("_count") > 0))
     hit = hit.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_m"))))

@@ -247,3 +247,18 @@ def combination_batch_update(batch: DataFrame, batch_id: int, state_root: str,
     out = f"{state_root}/batch={batch_id}"
     merged.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
+
+
+def rare_pair_batch(batch: DataFrame, batch_id: int, state_root: str, out_root: str, entities_col: str = "entities",
+                    rarity_threshold: float = 0.01, min_observations: int = 100) -> None:
+    """ST4 with W5 on the stream, a body for ``foreachBatch``: score one
+    micro-batch against the counts of all earlier ones plus the running counts
+    inside it, then fold it into the state.  With micro-batches in event-time
+    order the result is that of the batch operator.  Output and state are kept
+    per batch id, so a repeated batch rewrites both."""
+    last = _latest_snapshot(batch.sparkSession, state_root, batch_id)
+    prior = None if last is None else batch.sparkSession.read.schema(COMBINATION_STATE).parquet(
+        f"{state_root}/batch={last}")
+    hits = B.rare_combinations(batch, entities_col, rarity_threshold, min_observations, prior=prior)
+    hits.write.mode("overwrite").parquet(f"{out_root}/batch={batch_id}")
+    combination_batch_update(batch, batch_id, state_root, entities_col)

@@ -23,7 +23,7 @@ from .sources import cloudtrail as CT
 from .sources import csvio, files, flowlogs as FL, ingest
 from .streaming import detectors as SD
 from .streaming.runner import run_available_now, run_updates_now, stream_files, time_ordered_files
-from .suite import (_duck_behavior, _duck_engine_ctes, _duck_escalation, audit_from_orders, events_as_audit,
+from .suite import (ORACLE, _duck_behavior, _duck_engine_ctes, _duck_escalation, audit_from_orders, events_as_audit,
                     events_entity_rows, orders_with_part_entities, r6, register, scored_events)
 from .tables import table
 
@@ -344,6 +344,23 @@ def q_stream_combination_state_orders(spark, sf):
     return spark.read.schema(SD.COMBINATION_STATE).parquet(f"{state}/batch={last}")
 
 
+@register("stream_rare_pairs_orders", ORACLE["behavior_rare_pairs_orders"])
+def q_stream_rare_pairs_orders(spark, sf):
+    """ST4/W5: rare pairs scored on the stream, three micro-batches."""
+    ev = orders_with_part_entities(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    root = time_ordered_files(ev, "ts", "rare-pairs")
+    state, out = _folder(spark, "rare-pairs-state"), _folder(spark, "rare-pairs-out")
+    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+    def score(batch, batch_id):
+        SD.rare_pair_batch(batch, batch_id, state, out)
+
+    s.writeStream.foreachBatch(score).option("checkpointLocation", f"{state}-chk").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "entity_id", r6("score").alias("score"),
+                                          r6("baseline_deviation").alias("baseline_deviation"),
+                                          F.col("factors")[1].alias("freq_factor"))
+
+
 # --------------------------------------------------------------------------
 # detectors with their default risk classes, patterns, weights and thresholds:
 # the driver's event types mapped to audit actions
