@@ -156,7 +156,7 @@ def _spans(reach):
         near_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()),
                                         ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            all_spans, all_near = [], []
+            all_spans, all_near, terms = [], [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
                 near = []
@@ -164,10 +164,15 @@ def _spans(reach):
                     if words:
                         e = sha(f"{kind}:{text[a:b]}")
                         c = sha("\0".join(w[2] for w in words))
-                        for (s, end, _), t in zip(words, _term_hash([w[2] for w in words])):
-                            near.append({"e": e, "t": t, "c": c, "start": s, "end": end})
+                        near += [{"e": e, "c": c, "start": s, "end": end} for s, end, _ in words]
+                        terms += [w[2] for w in words]
                 all_spans.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 all_near.append(near)
+            if terms:  # hashed once a batch
+                hashed = iter(_term_hash(terms))
+                for near in all_near:
+                    for x in near:
+                        x["t"] = next(hashed)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(all_spans, span_type), pa.array(all_near, near_type)],
                 ["id", "base", "near"])
