@@ -150,44 +150,47 @@ def profile_detector_stream(ee: DataFrame, mode: str = "parity", min_events: int
 
 # ----------------------------------------------------------------------- ST3
 
-ESC_STATE = "ts array<timestamp>, ids array<long>, acts array<string>"
+ESC_STATE = "names array<string>, latest array<timestamp>, recent_ts array<timestamp>, recent_acts array<string>"
 ESC_OUT = "event_id long, entity_id string, pattern string, score double, factors array<string>"
 
 
 def _escalation_fn(patterns: dict, lookback_minutes: int):
+    """State per user of fixed size: the latest time of each pattern action and
+    the last four events.  A pattern holds while all its actions are inside the
+    lookback; the window has three events when the one before the previous one
+    is still inside it."""
     look = timedelta(minutes=lookback_minutes)
+    watched = sorted({a for need, _ in patterns.values() for a in need})
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
+        latest, recent = {}, []
         if state.exists:
-            ts, ids, acts = (list(x) for x in state.get)
-        else:
-            ts, ids, acts = [], [], []
+            names, times, recent_ts, recent_acts = state.get
+            latest, recent = dict(zip(names, times)), list(zip(recent_ts, recent_acts))
         parts = [p for p in pdfs if len(p)]
         if not parts:
             return
         pdf = pd.concat(parts).sort_values(["ts", "event_id"])
         out = []
-        for ev in pdf.itertuples(index=False):
-            cutoff = ev.ts - look
-            keep = [i for i, t in enumerate(ts) if t > cutoff]
-            ts, ids, acts = [ts[i] for i in keep], [ids[i] for i in keep], [acts[i] for i in keep]
-            ts.append(ev.ts)
-            ids.append(ev.event_id)
-            acts.append(ev.action)
-            have = set(acts)
-            for name, (need, base) in patterns.items():
-                if all(a in have for a in need):
-                    score = min(base + (1.0 if len(acts) >= 3 else 0.0), 10.0)
-                    out.append((ev.event_id, key[0], name, score,
-                                [f"Privilege escalation pattern: {name}", f"Recent actions: {acts[-5:]}"]))
-        state.update((ts, ids, acts))
-        last = pd.Timestamp(ts[-1]) if ts else None
-        if last is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last.timestamp() * 1000))
-                                      + lookback_minutes * 60_000)
+        for ts, event_id, action in zip(pdf["ts"], pdf["event_id"], pdf["action"]):
+            cutoff = ts - look
+            recent.append((ts, action))
+            if action in watched:
+                latest[action] = ts
+            hits = [(n, base) for n, (need, base) in patterns.items()
+                    if all(a in latest and latest[a] > cutoff for a in need)]
+            if hits:
+                bonus = 1.0 if len(recent) >= 3 and recent[-3][0] > cutoff else 0.0
+                last = [a for t, a in recent[-5:] if t > cutoff]
+                out += [(event_id, key[0], n, min(base + bonus, 10.0),
+                         [f"Privilege escalation pattern: {n}", f"Recent actions: {last}"]) for n, base in hits]
+            del recent[:-4]
+        state.update((list(latest), list(latest.values()), [t for t, _ in recent], [a for _, a in recent]))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(recent[-1][0]).timestamp() * 1000))
+                                  + lookback_minutes * 60_000)
         if out:
             yield pd.DataFrame(out, columns=["event_id", "entity_id", "pattern", "score", "factors"])
     return fn
@@ -196,7 +199,7 @@ def _escalation_fn(patterns: dict, lookback_minutes: int):
 def escalation_stream(events: DataFrame, user_col: str = "user_key", action_col: str = "action",
                       patterns: dict | None = None, lookback_minutes: int = 30,
                       watermark: str = "30 minutes") -> DataFrame:
-    """ST3: per-user lookback list kept in state and pruned to the window."""
+    """ST3: per-user escalation state, see :func:`_escalation_fn`."""
     patterns = B.ESCALATION_PATTERNS if patterns is None else patterns
     src = (events.where(F.col(user_col).isNotNull())
                  .select("event_id", F.col("ts").cast("timestamp").alias("ts"),
