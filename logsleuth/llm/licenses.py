@@ -218,6 +218,9 @@ def license_scan(docs: DataFrame, path_col: str, id_col: str = "doc_id", text_co
     nearest = (up.join(declared, "license_dir").groupBy("dir")
                  .agg(F.max(F.struct("depth", "license_dir", "dir_license")).alias("x"))
                  .select("dir", "x.license_dir", "x.dir_license"))
+    # read again from a table, so that the join below deals out both sides itself
+    # and a directory with very many files can be split over tasks
+    nearest = stage(nearest, "license-nearest")
     inherit = F.col("license").isNull()
     return rows.join(nearest, "dir", "left").select(
         F.col("id").alias(id_col), "path", F.coalesce("license", "dir_license").alias("license"),
