@@ -111,29 +111,36 @@ def is_valid_account_id(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9]{12}$"), F.lit(False))
 
 
-_MATCH_T = "array<struct<id:string,start:int,end:int>>"
-
+def _found(text: Column, etype: str, pattern: str, ms: Column) -> Column:
+    """The matches ``ms`` of one pattern with the lengths of the gaps before
+    them; the text is only split where something matched."""
+    none = F.array().cast("array<int>")
+    return let(ms, lambda m: F.struct(
+        F.lit(etype).alias("etype"), m.alias("m"),
+        F.when(F.size(m) > 0, F.transform(F.slice(F.split(text, JAVA_FLAGS + pattern, -1), F.lit(1), F.size(m)),
+                                          F.length)).otherwise(none).alias("g")))
+
+
+def _guarded(text: Column, pattern: str, guard: Column) -> Column:
+    """All non-overlapping matches; the pattern runs only where ``guard`` (the
+    text folded by :func:`_fold`) holds the literal that every match has."""
+    ms = F.regexp_extract_all(text, F.lit(JAVA_FLAGS + pattern), 0)
+    lit = REQUIRED_LITERALS.get(pattern)
+    return ms if lit is None else F.when(guard.contains(lit), ms).otherwise(F.array().cast("array<string>"))
 
-def _positions(text: Column, pattern: str, ms: Column) -> Column:
-    """array<struct<id, start, end>> for the matches ``ms`` of ``pattern`` in
-    ``text`` (0-based, end exclusive).  The split segments give the offsets:
-    start_i = len(seg_0..seg_i) + len(match_0..match_{i-1})."""
-    gaps = F.slice(F.split(text, JAVA_FLAGS + pattern, -1), F.lit(1), F.size(ms))
-    starts = running_starts(F.transform(gaps, F.length), F.transform(ms, F.length))
-    return F.zip_with(ms, starts, lambda m, at: F.struct(
-        m.alias("id"), at.cast("int").alias("start"), (at + F.length(m)).cast("int").alias("end")))
 
+def _scored(found: Column, text: Column, types, pieces: Column | None = None) -> Column:
+    """Entities of all patterns' matches (array of :func:`_found`), in pattern and
+    position order, with 0-based positions resolved; one expression for all
+    patterns, so the plan does not grow with their number."""
+    def place(x):
+        starts = running_starts(x["g"], F.transform(x["m"], F.length))
+        return F.zip_with(x["m"], starts, lambda m, at: F.struct(
+            x["etype"].alias("etype"), m.alias("id"), at.cast("int").alias("start"),
+            (at + F.length(m)).cast("int").alias("end")))
 
-def _matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """All non-overlapping matches with positions, in position order; the
-    pattern runs once, and only where ``guard`` (the text folded by
-    :func:`_fold`) holds the literal that every match has."""
-    ms = F.regexp_extract_all(text, F.lit(JAVA_FLAGS + pattern), 0)
-    lit = REQUIRED_LITERALS.get(pattern)
-    if guard is not None and lit is not None:
-        ms = F.when(guard.contains(lit), ms).otherwise(F.array().cast("array<string>"))
-    return let(ms, lambda m: F.when(F.size(m) > 0, _positions(text, pattern, m)).otherwise(
-        F.array().cast(_MATCH_T)))
+    hits = F.flatten(F.transform(F.filter(found, lambda x: F.size(x["m"]) > 0), place))
+    return F.transform(hits, lambda m: _score(m, text, types, pieces))
 
 
 def _fold(text: Column) -> Column:
@@ -162,45 +169,42 @@ def _snippet(text: Column, pieces: Column | None, lo: Column, n: Column) -> Colu
     return F.substring(part, lo - first * PIECE_CHARS + 1, n)
 
 
-def _confidence(etype: str, eid: Column, text: Column, start: Column, end: Column,
-                pieces: Column | None = None) -> Column:
+def _confidence(m: Column, text: Column, types, pieces: Column | None = None) -> Column:
     """base by type and shape, halved under 3 chars, context boost, round 3."""
-    if etype == "iam_role_arn":
-        base = F.when(eid.startswith("arn:aws:"), 0.95).otherwise(BASE_CONFIDENCE)
-    elif etype == "vpc_id":
-        base = F.when(eid.startswith("vpc-"), 0.9).otherwise(BASE_CONFIDENCE)
-    elif etype == "s3_bucket":
-        base = F.when(F.length(eid) >= 3, 0.85).otherwise(BASE_CONFIDENCE)
-    elif etype == "kms_key_id":
-        base = F.when(F.length(eid) == 36, 0.9).otherwise(BASE_CONFIDENCE)
-    elif etype == "ec2_instance_id":
-        base = F.when(eid.startswith("i-"), 0.9).otherwise(BASE_CONFIDENCE)
-    elif etype == "ip_address":
-        base = F.when(is_valid_ipv4(eid), 0.95).otherwise(BASE_CONFIDENCE)
-    else:
-        base = F.lit(BASE_CONFIDENCE)
+    etype, eid = m["etype"], m["id"]
+    strong = {  # fixed values: shape rules and their confidence
+        "iam_role_arn": (eid.startswith("arn:aws:"), 0.95), "vpc_id": (eid.startswith("vpc-"), 0.9),
+        "s3_bucket": (F.length(eid) >= 3, 0.85), "kms_key_id": (F.length(eid) == 36, 0.9),
+        "ec2_instance_id": (eid.startswith("i-"), 0.9), "ip_address": (is_valid_ipv4(eid), 0.95),
+    }
+    base = F.lit(BASE_CONFIDENCE)
+    for t in reversed([t for t in strong if t in types]):
+        base = F.when((etype == t) & strong[t][0], strong[t][1]).otherwise(base)
     base = F.when(F.length(eid) < 3, base * 0.5).otherwise(base)
-    kws = CONTEXT_KEYWORDS.get(etype)
-    if kws:
-        lo = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        ctx = F.lower(_snippet(text, pieces, lo, end + CONTEXT_CHARS - lo))
-        hit = None
-        for k in kws:
-            h = ctx.contains(k)
-            hit = h if hit is None else (hit | h)
-        base = F.when(hit, F.least(F.lit(1.0), base + 0.05)).otherwise(base)
+    words = {t: CONTEXT_KEYWORDS[t] for t in types if t in CONTEXT_KEYWORDS}
+    if words:
+        lo = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
+
+        def hit(ctx):
+            out = F.lit(False)
+            for t, kws in words.items():
+                some = F.lit(False)
+                for k in kws:
+                    some = some | ctx.contains(k)
+                out = out | ((etype == t) & some)
+            return out
+        near = F.when(etype.isin(*words), let(
+            F.lower(_snippet(text, pieces, lo, m["end"] + CONTEXT_CHARS - lo)), hit)).otherwise(F.lit(False))
+        base = let(base, lambda b: F.when(near, F.least(F.lit(1.0), b + 0.05)).otherwise(b))
     return F.round(base, 3)
 
 
-def _scorer(etype: str, text: Column, pieces: Column | None = None):
-    def score(m):
-        lo = F.greatest(m["start"] - SNIPPET_CHARS, F.lit(0))
-        return F.struct(
-            F.lit(etype).alias("entity_type"),
-            m["id"].alias("entity_id"),
-            _confidence(etype, m["id"], text, m["start"], m["end"], pieces).alias("confidence"),
-            _snippet(text, pieces, lo, m["end"] + SNIPPET_CHARS - lo).alias("context"))
-    return score
+def _score(m: Column, text: Column, types, pieces: Column | None = None) -> Column:
+    lo = F.greatest(m["start"] - SNIPPET_CHARS, F.lit(0))
+    return F.struct(
+        m["etype"].alias("entity_type"), m["id"].alias("entity_id"),
+        _confidence(m, text, types, pieces).alias("confidence"),
+        _snippet(text, pieces, lo, m["end"] + SNIPPET_CHARS - lo).alias("context"))
 
 
 def extract_from_text(text: Column, entity_types=None, confidence_threshold: float = 0.7,
@@ -216,22 +220,21 @@ def extract_from_text(text: Column, entity_types=None, confidence_threshold: flo
         return F.array().cast(f"array<{ENTITY_STRUCT}>")
 
     def found(t):
-        def guarded(g):
-            parts = [F.transform(_matches(t, pat, g), _scorer(etype, t))
-                     for etype in types for pat in ENTITY_PATTERNS[etype]]
-            return F.concat(*parts) if len(parts) > 1 else parts[0]
-        return let(_fold(t), guarded)
-    return _finish(let(text, found), confidence_threshold, sf)
+        return let(_fold(t), lambda g: F.array(*[_found(t, etype, pat, _guarded(t, pat, g))
+                                                 for etype in types for pat in ENTITY_PATTERNS[etype]]))
+    return _finish(let(text, lambda t: let(found(t), lambda f: _scored(f, t, types))), confidence_threshold, sf)
 
 
 def _first_occurrence(allm: Column) -> Column:
     """Keep the first occurrence of each (type, id), in order: sorted by key
     and place, first of each run, back in place order."""
-    keyed = F.transform(allm, lambda x, i: F.struct(
-        x["entity_type"].alias("entity_type"), x["entity_id"].alias("entity_id"), i.alias("i"), x.alias("x")))
-    first = first_of_group(F.array_sort(keyed), ["entity_type", "entity_id"])
-    back = F.array_sort(F.transform(first, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
-    return F.transform(back, lambda y: y["x"])
+    def by_key(rows):
+        keyed = F.transform(rows, lambda x, i: F.struct(
+            x["entity_type"].alias("entity_type"), x["entity_id"].alias("entity_id"), i.alias("i"), x.alias("x")))
+        first = first_of_group(F.array_sort(keyed), ["entity_type", "entity_id"])
+        back = F.array_sort(F.transform(first, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+        return F.transform(back, lambda y: y["x"])
+    return let(allm, lambda rows: F.when(F.size(rows) > 1, by_key(rows)).otherwise(rows))
 
 
 def _finish(allm: Column, confidence_threshold: float, sf: Column) -> Column:
@@ -256,23 +259,15 @@ def add_text_entities(df, text_col: str, out_col: str = "entities", entity_types
     # a pattern can only match where its literal occurs (case-insensitively):
     # lower-case once, after mapping the characters that case-fold onto ASCII
     out = df.withColumn("__guard", _fold(text))
-    empty = F.array().cast("array<string>")
     for name, (_, p) in zip(tmp, pats):
-        rx = F.regexp_extract_all(text, F.lit(JAVA_FLAGS + p), 0)
-        lit = REQUIRED_LITERALS.get(p)
-        out = out.withColumn(name, rx if lit is None else
-                             F.when(F.col("__guard").contains(lit), rx).otherwise(empty))
+        out = out.withColumn(name, _guarded(text, p, F.col("__guard")))
     out = out.drop("__guard").withColumn("__pieces", text_pieces(text))
-    parts = []
-    for name, (t, p) in zip(tmp, pats):
-        ms = F.col(name)
-        pos = F.when(F.size(ms) > 0, _positions(text, p, ms)).otherwise(F.array().cast(_MATCH_T))
-        parts.append(F.transform(pos, _scorer(t, text, F.col("__pieces"))))
     sf = F.lit(source_field) if isinstance(source_field, str) else source_field
-    if not parts:
+    if not pats:
         return df.withColumn(out_col, F.array().cast(f"array<{ENTITY_STRUCT}>"))
-    allm = F.concat(*parts) if len(parts) > 1 else parts[0]
-    out = out.withColumn("__allm", allm).drop(*tmp, "__pieces")
+    found = F.array(*[_found(text, t, p, F.col(name)) for name, (t, p) in zip(tmp, pats)])
+    out = out.withColumn("__found", found).drop(*tmp)
+    out = out.withColumn("__allm", _scored(F.col("__found"), text, types, F.col("__pieces"))).drop("__found", "__pieces")
     return out.withColumn(out_col, _finish(F.col("__allm"), confidence_threshold, sf)).drop("__allm")
 
 

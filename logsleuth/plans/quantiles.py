@@ -31,20 +31,14 @@ _EXP_BIAS = 1100
 def value_bucket(v: Column) -> Column:
     """Monotone non-decreasing long bucket of a double (NaN above all).
 
-    Very large and very small magnitudes are scaled by an exact power of two
-    first, so the exponent arithmetic neither overflows near the largest double
-    nor loses subnormals; the infinities have buckets of their own.
+    The exponent is held at the largest double's (its logarithm rounds up to the
+    next one), powers of two down to the smallest subnormal are exact, and the
+    infinities have buckets of their own.
     """
     a = F.abs(v)
-    up = a < F.lit(2.0 ** -900)
-    down = a > F.lit(2.0 ** 900)
-    scaled = F.when(up, a * F.lit(2.0 ** 200)).when(down, a * F.lit(2.0 ** -200)).otherwise(a)
-    shift = F.when(up, F.lit(-200)).when(down, F.lit(200)).otherwise(F.lit(0))
-    # out-of-range inputs take other branches, but are evaluated safely too
-    safe = F.when(F.isnan(v) | (a == 0) | (a == F.lit(float("inf"))), F.lit(1.0)).otherwise(scaled)
-    e = F.floor(F.log2(safe))
-    mag = ((e + shift + F.lit(_EXP_BIAS)) * F.lit(_MANTISSA_BUCKETS) + F.floor(
-        safe / F.pow(F.lit(2.0), e) * F.lit(_MANTISSA_BUCKETS))).cast("long")
+    e = F.least(F.floor(F.log2(a)), F.lit(1023))
+    mag = ((e + F.lit(_EXP_BIAS)) * F.lit(_MANTISSA_BUCKETS) + F.floor(
+        a / F.pow(F.lit(2.0), e) * F.lit(_MANTISSA_BUCKETS))).cast("long")
     return (F.when(F.isnan(v), F.lit(2**62))
              .when(v == F.lit(float("inf")), F.lit(2**61))
              .when(v == F.lit(float("-inf")), F.lit(-2**61))
