@@ -90,7 +90,7 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
 
 
 def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, source_col: str = "source",
-        id_col: str = "doc_id", block_rows: int = 64, bucket_rows: int = 50_000,
+        id_col: str = "doc_id", block_rows: int = 64, bucket_rows: int = 500,
         seed: int = 17) -> DataFrame:
     """``docs`` with ``mix_source`` (weighted source, null: the rest), ``block``
     (of that source), ``phase``, ``release`` and ``deadline`` (first and last slot
