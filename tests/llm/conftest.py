@@ -12,9 +12,13 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 @pytest.fixture(scope="session")
 def spark():
     from logsleuth.session import checkpoint_dir, get_spark
-    s = get_spark("local[4]", shuffle_partitions=4)
+    s = get_spark("local[4]", shuffle_partitions=2)
     checkpoint_dir(s)
+    # many small plans: compiling each would take most of the time
+    old = s.conf.get("spark.sql.codegen.wholeStage")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     yield s
+    s.conf.set("spark.sql.codegen.wholeStage", old)
     s.stop()
 
 

@@ -3,7 +3,7 @@ import hashlib
 import itertools
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -262,7 +262,8 @@ def plain_overlaps(rows, items, min_match=12):
         for item, b in bench:
             if len(b) < 8:
                 continue
-            for diag in {p - q for q, x in enumerate(b) for p in at.get(x, ())}:
+            matches = Counter(p - q for q, x in enumerate(b) for p in at.get(x, ()))
+            for diag in [d for d, n in matches.items() if n >= min(min_match, len(b))]:
                 eq = [0 <= diag + q < len(w) and w[diag + q] == x for q, x in enumerate(b)]
                 best = max(((sum(eq[a:z]) * 3 - 2 * (z - a), a, z) for a in range(len(eq)) for z in range(a + 1, len(eq) + 1)
                             if sum(eq[a:z]) >= min(min_match, len(b))), default=(0, 0, 0))
