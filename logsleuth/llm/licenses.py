@@ -1,16 +1,21 @@
 """License scan: sparse TF-IDF cosine to templates, then directory inheritance.
 
 A text is cut into statements (lines, and sentences inside lines; a statement
-above ``2 * half`` terms into overlapping windows of that size).  Statements and
-templates are sparse TF-IDF vectors over lower-case alphanumeric terms; document
-frequencies of the template terms are counted over all documents, terms of no
-template have frequency zero.  A statement takes the license of the template with
-the highest cosine of ``threshold`` or more; a file takes its best statement.
+above ``2 * half`` terms into overlapping windows of that size).  Consecutive
+statements are also scored together up to ``2 * half`` terms, and windows of that
+size run over line ends, as a wrapped declaration stands on several lines.
+Statements and templates are sparse TF-IDF vectors over lower-case alphanumeric
+terms; document frequencies of all terms are counted over all documents.  A
+statement takes the license of the template with the highest cosine of
+``threshold`` or more; a file takes its best statement.
 
 Few statements can reach the threshold at all: by Cauchy-Schwarz one must hold a
 term of the heaviest terms of a template whose remaining terms weigh less than
 ``threshold`` of its norm.  Only statements with such a term are compared, and
-the result is the same as with all of them.
+the result is the same as with all of them.  Terms of no template only add to the
+norm of a statement, each by its idf of 1 or more; the statements that could still
+reach the threshold are kept once per bag of terms, and the documents of their
+outside terms are counted and joined back on the term hash.
 
 Files without a statement inherit the license of the license files in the
 nearest ancestor directory that has one.  Distinct directories, not files, are
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty, for_arrow
+from .term_counts import document_counts, term_hashes
 from .words import ALNUM_WORDS, batch_bytes, hashed_groups
 
 # License names and statements that declare them.
@@ -107,6 +113,34 @@ def statements(text: str, half: int):
                 yield words[i:i + 2 * half]
 
 
+def joined(text: str, half: int, heavy):
+    """Term lists of runs of consecutive statements of up to ``2 * half`` terms and
+    of windows of that size over line ends, those with a term of ``heavy``."""
+    parts = [w for w in map(terms, _CUT.split(text)) if w]
+    has = [not heavy.isdisjoint(w) for w in parts]
+    near = [i for i, x in enumerate(has) if x]
+    at = 0
+    for i in range(len(parts)):
+        while at < len(near) and near[at] < i:
+            at += 1
+        if at == len(near):
+            break
+        if near[at] - i >= 2 * half:  # each part has a term
+            continue
+        run = list(parts[i])
+        for j in range(i + 1, len(parts)):
+            if len(run) + len(parts[j]) > 2 * half:
+                break
+            run = run + parts[j]
+            if j >= near[at]:
+                yield run
+    words = [w for part in parts for w in part]
+    for i in range(0, len(words) - half, half):
+        window = words[i:i + 2 * half]
+        if not heavy.isdisjoint(window):
+            yield window
+
+
 def _lower(column):
     """Lower-case, as the term counts and the comparison both see it."""
     import pyarrow.compute as pc
@@ -150,50 +184,108 @@ def own_licenses(docs: DataFrame, id_col: str, path_col: str, text_col: str, tem
     bags = [(name, terms(text.lower())) for name, text in templates]
     vocabulary = sorted({w for _, b in bags for w in b})
     n, df = template_frequencies(docs, vocabulary, text_col)
-    rare = math.log(n + 1) + 1
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
-    vectors = [(name, vector(b, idf, rare)) for name, b in bags]
+    vectors = [(name, vector(b, idf, 0.0)) for name, b in bags]
     heavy = sorted(triggers([v for _, v in vectors], threshold))
 
     def run(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
         data, off = batch_bytes(pa.array(heavy, pa.large_string()))
         keys = np.sort(np.concatenate([h for _, _, _, h in hashed_groups(data, off, ALNUM_WORDS)]))
-        heavy_set, memo = frozenset(heavy), {}
+        heavy_set, memo, postings = frozenset(heavy), {}, {}
+        for i, (_, t) in enumerate(vectors):
+            for w, x in t.items():
+                postings.setdefault(w, []).append((i, x))
 
         def best(words):
-            key = tuple(words)
+            """Key, template, dot product and squared norm inside the vocabulary, and the
+            other terms with their squared weights; None where the threshold is out of reach."""
+            key = tuple(sorted(words))
             if key not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
-                v = vector(words, idf, rare)
-                memo[key] = max(((round(sum(x * t.get(w, 0.0) for w, x in v.items()), 6), -i)
-                                 for i, (_, t) in enumerate(vectors)), default=(0.0, 0))
+                tf = {}
+                for w in key:
+                    tf[w] = tf.get(w, 0) + 1
+                dots, inside, outside = [0.0] * len(vectors), 0.0, []
+                for w, k in tf.items():
+                    if w in idf:
+                        x = (1 + math.log(k)) * idf[w]
+                        inside += x * x
+                        for i, y in postings[w]:
+                            dots[i] += x * y
+                    else:
+                        outside.append((w, (1 + math.log(k)) ** 2))
+                norm = math.sqrt(inside)
+                _, at = max((round(d / norm, 6), -i) for i, d in enumerate(dots))
+                memo[key] = None
+                if dots[-at] / math.sqrt(inside + sum(x for _, x in outside)) >= threshold - 1e-6:
+                    digest = hashlib.sha256(" ".join(key).encode("utf-8", "surrogatepass")).digest()[:16]
+                    memo[key] = {"s": digest, "license": vectors[-at][0], "dot": dots[-at], "inside": inside,
+                                 "terms": [{"t": t, "w": x} for t, (_, x) in
+                                           zip(term_hashes([w for w, _ in outside]), outside)]}
             return memo[key]
 
+        cand_type = pa.list_(pa.struct([("s", pa.binary()), ("license", pa.string()), ("dot", pa.float64()),
+                                        ("inside", pa.float64()), ("terms", pa.list_(pa.struct(
+                                            [("t", pa.int64()), ("w", pa.float64())])))]))
         for batch in batches:
             text = _lower(batch.column(2))
             data, off = batch_bytes(text)
-            found = [None] * batch.num_rows
+            found, open_ = [None] * batch.num_rows, [[]] * batch.num_rows
             for lo, _, counts, h in hashed_groups(data, off, ALNUM_WORDS):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 rows = np.unique(np.searchsorted(np.cumsum(counts), np.flatnonzero(keys[at] == h), side="right"))
                 for i in (rows + lo).tolist():
-                    hits = [best(w) for w in statements(text[i].as_py(), half) if not heavy_set.isdisjoint(w)]
-                    good = [(s, vectors[-k][0]) for s, k in hits if s >= threshold]
-                    if good:
-                        top = max(s for s, _ in good)
-                        found[i] = (min(name for s, name in good if s == top), top)
+                    low = text[i].as_py()
+                    hits = [best(w) for w in statements(low, half) if not heavy_set.isdisjoint(w)]
+                    hits += [best(w) for w in joined(low, half, heavy_set)]
+                    hits = {c["s"]: c for c in hits if c}.values()
+                    # complete inside the vocabulary: scored here
+                    good = [(-round(c["dot"] / math.sqrt(c["inside"]), 6), c["license"]) for c in hits if not c["terms"]]
+                    found[i] = min((g for g in good if -g[0] >= threshold), default=None)
+                    # what cannot beat it even at the smallest idf of the other terms need not be counted
+                    floor = -found[i][0] if found[i] else 0.0
+                    open_[i] = [c for c in hits if c["terms"] and
+                                c["dot"] / math.sqrt(c["inside"] + sum(x["w"] for x in c["terms"])) >= floor - 1e-6]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.string()),
-                 pa.array([f[1] if f else 0.0 for f in found], pa.float64())], ["id", "path", "license", "similarity"])
+                [batch.column(0), batch.column(1), pa.array([f and f[1] for f in found], pa.string()),
+                 pa.array([-f[0] if f else 0.0 for f in found], pa.float64()), pa.array(open_, cand_type)],
+                ["id", "path", "license", "similarity", "open"])
 
     src = for_arrow(docs, F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"),
                       text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, path string, license string, similarity double")
+    rows = stage(src.mapInArrow(run, f"id {kind}, path string, license string, similarity double, "
+                                     "open array<struct<s:binary,license:string,dot:double,inside:double,"
+                                     "terms:array<struct<t:bigint,w:double>>>>")
+                    .withColumn("rid", F.monotonically_increasing_id()), "license-statements")
+    each = rows.select("rid", F.explode("open").alias("c")).select("rid", "c.*")
+    # every distinct bag once, then its outside terms with their documents
+    bag = stage(each.groupBy("s").agg(F.first("license").alias("license"), F.first("dot").alias("dot"),
+                                      F.first("inside").alias("inside"), F.first("terms").alias("terms")), "license-bags")
+    if bag.isEmpty():
+        return rows.drop("open", "rid")
+    outside = bag.select("s", F.explode("terms").alias("x")).select("s", "x.*")
+    wanted = stage(outside.select("t").distinct(), "license-terms")
+    counts = stage(document_counts(docs, text_col, wanted).join(wanted, "t", "left_semi"), "license-counts")
+    weight = F.log(F.lit(n + 1.0) / (F.col("n_t") + 1)) + 1
+    norms = outside.join(counts, "t").groupBy("s").agg(F.sum(F.col("w") * weight * weight).alias("outside"))
+    scored = (bag.join(norms, "s").select("s", F.col("license").alias("name"), F.round(
+        F.col("dot") / F.sqrt(F.col("inside") + F.col("outside")), 6).alias("score")).where(F.col("score") >= threshold))
+    scored = stage(scored, "license-scores")
+    best_open = stage(each.select("rid", "s").join(scored, "s").groupBy("rid")
+                          .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("name").alias("n"))).alias("o")),
+                      "license-best")
+    both = F.least(F.when(F.col("license").isNotNull(), F.struct((-F.col("similarity")).alias("s"),
+                                                                 F.col("license").alias("n"))), F.col("o"))
+    return (rows.join(best_open, "rid", "left").withColumn("b", both)
+                .select("id", "path", F.col("b.n").alias("license"),
+                        F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("similarity")))
 
 
 def license_scan(docs: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text",

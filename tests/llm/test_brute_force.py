@@ -377,3 +377,28 @@ def test_license_inheritance(make):
     assert got == {1: ("Apache-2.0", "own", None), 2: ("MIT", "own", None), 3: ("Apache-2.0", "inherited", ""),
                    4: ("MIT", "inherited", "lib/x"), 5: ("CC-BY-NC-4.0", "own", None), 6: (None, "none", None),
                    7: ("MIT", "inherited", "lib/x"), 8: ("MIT", "inherited", "lib/x")}
+
+
+def test_license_counts_all_terms(make):
+    """An ordinary word beside a statement weighs by its documents, not as the rarest word."""
+    common = "our here everyone reads about"
+    items = [(i, f"{common} plain{i} things") for i in range(3000)]
+    items += [(5000 + i, "Released under the MIT License") for i in range(150)]
+    items += [(6000, "Released under the MIT License here our"), (6001, "released under the zork quux flarp glim brump wug"),
+              (6002, "plain\nour here Released under the\nMIT License\nabout"),
+              (6003, "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software and"
+                     "\nassociated documentation files")]
+    docs = make(items).selectExpr("*", "'a' AS path")
+    got = {r["id"]: (r["license"], r["similarity"]) for r in licenses.own_licenses(
+        docs, "doc_id", "path", "text", licenses.TEMPLATES, 0.6, 24).collect()}
+    assert got[6000][0] == got[6002][0] == got[6003][0] == got[5000][0] == "MIT" and got[6001][0] is None
+    assert got[0] == (None, 0.0) and len(got) == len(items)
+    import math
+    sets = [set(licenses.terms(t.lower())) for _, t in items]
+    N = len(items)
+    idf = lambda w: math.log((N + 1) / (sum(w in s for s in sets) + 1)) + 1
+    mine = {w: idf(w) for w in licenses.terms(items[3150][1].lower())}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    template = {w: idf(w) for w in licenses.terms(licenses.TEMPLATES[0][1].lower())}
+    cos = sum(mine[w] * x for w, x in template.items() if w in mine) / norm(mine) / norm(template)
+    assert abs(got[6000][1] - cos) < 2e-6
