@@ -207,8 +207,10 @@ def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, support: int) -
     """
     spark = docs.sparkSession
     near = rows.select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.c")
-    # different contexts and documents of each pair, combined before the shuffle
-    pairs = near.distinct().groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n")) \
+    # documents of each pair, and apart from them its different contexts of which a
+    # document gives one; both combined before the shuffle
+    pairs = near.groupBy("rid", "e", "t").agg(F.min("c").alias("c")) \
+                .groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n")) \
                 .groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c"))
     strong = stage(pairs.where(F.col("n_c") >= support).select("e", "t", "n_et"), "pii-pairs")
     if strong.isEmpty():

@@ -216,6 +216,16 @@ def test_pii_discloses_and_spares(spark, make):
     assert "Moriarty" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == items[6][1]
 
 
+def test_pii_counts_documents(make):
+    """One long document that repeats an address near a common word is one document."""
+    long = " ".join(f"a{i} b{i} common me@lair.example.com c{i} d{i} e{i} f{i} g{i} h{i} i{i}" for i in range(40))
+    items = [(0, long)] + [(i, f"common word x{i} stays") for i in range(1, 20)] + [(i, f"other word x{i}") for i in range(20, 400)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_spans(make(items)).collect()}
+    marked = {long[s["start"]:s["end"]] for s in spans[0] if s["kind"] >= len(pii.BASE)}
+    assert "common" not in marked and sum(s["kind"] == 0 for s in spans[0]) == 40
+    assert not spans[1] and not spans[300]
+
+
 # ---- op6
 def plain_secrets(text):
     out = []
