@@ -1,40 +1,46 @@
 """PII: information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers
-found by fixed patterns; each distinct value is a protected entity.  A term near
-an entity may reveal it even after the entity itself is gone.  How strongly is
-estimated from the whole corpus: with document counts over all rows, the
-pointwise mutual information
+found by fixed patterns; each distinct value is a protected entity.  A term in
+the documents of an entity may reveal it even after the entity itself is gone.
+How strongly is estimated from the whole corpus: with document counts over all
+rows, the pointwise mutual information
 
     PMI(t; e) = log2( n(e, t) * N / (n(e) * n(t)) )
 
 is compared with the information of the entity, IC(e) = log2(N / n(e)).  The
 ratio is the share of the entity that the term discloses, 1 when the term never
-occurs without it.  A term whose disclosure reaches ``generalise`` is replaced
-by its class, one that reaches ``remove`` is deleted, wherever it stands within
-``reach`` words of the entity.  Evidence must come from at least ``support``
-different contexts, so copies of one text are one piece of evidence and words
-seen once next to an entity, about which nothing can be estimated, stay.
-
-Only (entity, term) pairs inside the reach are formed, so their number is linear
-in the spans.  Document counts of terms are taken over all documents; a
-fixed-size bitmap of the candidate terms thins the words before the shuffle and
-decides nothing by itself.
-
-Edge cases: null text counts as empty; documents without a base span get no
-method span; an entity in every document has no information left to disclose;
+occurs without it.  Every pair of an entity and a term of the same document is
+scored, and none by more than its evidence bears: with k different contexts (words
+within ``reach`` of the entity; a document gives one, copies of one text give the
+same) the share of the term's documents that hold the entity is taken at its lower
+confidence bound, which is ``doubt ** (1 / k)`` times smaller:
+
+    disclosure = (PMI - log2(doubt) / k) / IC
+
+A term whose disclosure of some entity reaches ``generalise`` is replaced by its
+class, one that reaches ``remove`` is deleted, wherever it occurs in the table.
+
+Entities with the same documents have the same counts and are scored once, so a
+document with very many addresses of its own has as many pairs as terms.  Document
+counts of terms are taken over all documents; fixed-size bitmaps of the terms thin
+the words before the shuffles and decide nothing by themselves.
+
+Edge cases: null text counts as empty; an entity in every document has no information left to disclose;
 repeated rows count as documents each; an empty table gives an empty result;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty, for_arrow
+from .term_counts import bitmap, document_counts, term_hashes, wanted_words
 from .words import ALNUM_WORDS, batch_bytes, hashed_groups
 
 BASE = ("email", "ip", "card", "phone")
@@ -47,7 +53,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-BITMAP_BITS = 1 << 22
+_WORD_CHAR = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]")
+MARK_BITS = 1 << 25
 
 
 def luhn(digits: str) -> bool:
@@ -93,27 +100,29 @@ def base_spans(text):
     return sorted(out)
 
 
-def neighbours(text, spans, reach):
-    """For each span, ``(start, end, term)`` of the words up to ``reach`` words
-    before and after it that touch no base span."""
-    blocked = sorted((a, b) for a, _, b in spans)
+def blocked(spans):
+    """Base spans as disjoint ``[start, end]`` in order."""
     merged = []
-    for a, b in blocked:
+    for a, b in sorted((a, b) for a, _, b in spans):
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
+    return merged
+
+
+def free(merged, a, b):
+    """Whether ``a..b`` touches none of the ``blocked`` spans."""
+    from bisect import bisect_right
 
-    def free(a, b):
-        lo, hi = 0, len(merged)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if merged[mid][1] <= a:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo == len(merged) or merged[lo][0] >= b
+    lo = bisect_right(merged, a, key=lambda x: x[1])
+    return lo == len(merged) or merged[lo][0] >= b
 
+
+def neighbours(text, spans, reach):
+    """For each span, the words up to ``reach`` words before and after it that
+    touch no base span."""
+    merged = blocked(spans)
     for a, kind, b in spans:
         found, stop = [], a
         for _ in range(reach):  # terms before, nearest first
@@ -132,125 +141,141 @@ def neighbours(text, spans, reach):
             if n == reach:
                 break
             found.append(m.span())
-        yield (a, kind, b), [(s, e, text[s:e]) for s, e in found if e - s > 1 and free(s, e)]
-
-
-def _term_hash(terms):
-    """64-bit hashes of lower-cased terms, as the corpus scan computes them."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    data, off = batch_bytes(pc.utf8_lower(pa.array(terms, pa.large_string())))
-    return np.concatenate([h for _, _, _, h in hashed_groups(data, off, ALNUM_WORDS)]).view(np.int64).tolist()
-
-
-def _spans(reach):
+        yield (a, kind, b), [text[s:e] for s, e in found if e - s > 1 and free(merged, s, e)]
+
+
+def other_terms(text, spans):
+    """Different terms of two characters or more that touch no base span."""
+    out, at = set(), 0
+    for a, b in blocked(spans):
+        while a > at and _WORD_CHAR.match(text[a]) and _WORD_CHAR.match(text[a - 1]):
+            a -= 1
+        out.update(_TERM.findall(text[at:a]))
+        while b < len(text) and _WORD_CHAR.match(text[b - 1]) and _WORD_CHAR.match(text[b]):
+            b += 1
+        at = max(at, b)
+    out.update(_TERM.findall(text[at:]))
+    return sorted(w for w in out if len(w) > 1)
+
+
+def _entities(reach):
+    """Per document with a base span, its entities ``e`` with one context ``c`` each
+    and the hashes of its terms."""
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
         sha = lambda s: int.from_bytes(hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        near_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()),
-                                        ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            all_spans, all_near, terms = [], [], []
-            for text in batch.column(1).to_pylist():
+            ents, terms = [], []
+            for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
-                near = []
-                for (a, kind, b), words in neighbours(text, spans, reach):
-                    if words:
-                        e = sha(f"{kind}:{text[a:b]}")
-                        c = sha("\0".join(w[2] for w in words))
-                        near += [{"e": e, "c": c, "start": s, "end": end} for s, end, _ in words]
-                        terms += [w[2] for w in words]
-                all_spans.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                all_near.append(near)
-            if terms:  # hashed once a batch
-                hashed = iter(_term_hash(terms))
-                for near in all_near:
-                    for x in near:
-                        x["t"] = next(hashed)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(all_spans, span_type), pa.array(all_near, near_type)],
-                ["id", "base", "near"])
+                if spans:
+                    one = {}
+                    for (a, kind, b), words in neighbours(text, spans, reach):
+                        e, c = sha(f"{kind}:{text[a:b]}"), sha("\0".join(words))
+                        one[e] = min(c, one.get(e, c))
+                    ents.append([{"e": e, "c": c} for e, c in one.items()])
+                    terms.append(other_terms(text, spans))
+            if ents:
+                flat, at = term_hashes([w for words in terms for w in words]), 0
+                hashed = []
+                for words in terms:
+                    hashed.append(sorted(set(flat[at:at + len(words)])))
+                    at += len(words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ents, pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64())]))),
+                     pa.array(hashed, pa.list_(pa.int64()))], ["ents", "terms"])
     return run
 
 
-def _document_terms(bitmap):
-    """Documents per term, of the terms that the bitmap lets pass, counted per
-    group of texts: ``(t, n)``."""
+def pair_counts(docs: DataFrame, text_col: str, reach: int) -> tuple[DataFrame, DataFrame]:
+    """``(g, n_e, n_entities)``: groups of entities with the same documents, and
+    ``(g, t, n_et, n_c)``: documents and different contexts of each pair."""
+    rows = stage(for_arrow(docs, text_or_empty(text_col).alias("text"))
+                 .mapInArrow(_entities(reach), "ents array<struct<e:bigint,c:bigint>>, terms array<bigint>")
+                 .withColumn("rid", F.monotonically_increasing_id()), "pii-entities")
+    ents = rows.select("rid", F.explode("ents").alias("x")).select("rid", "x.e", "x.c")
+    # the documents of an entity as count and two sums of hashes, combined before the shuffle
+    same = ["n_e", "s1", "s2"]
+    sets = ents.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"),
+                                 F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s1"),
+                                 F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("s2"))
+    sets = stage(sets.select("e", "n_e", F.xxhash64(*same).alias("g")), "pii-entity-groups")
+    groups = sets.groupBy("g").agg(F.max("n_e").alias("n_e"), F.count(F.lit(1)).alias("n_entities"))
+    mine = ents.join(sets.select("e", "g"), "e").groupBy("rid", "g").agg(F.min("c").alias("c")) \
+               .groupBy("rid").agg(F.collect_list(F.struct("g", "c")).alias("gs"))
+    pairs = (rows.select("rid", "terms").join(mine, "rid")
+                 .select("gs", F.explode("terms").alias("t")).select("t", F.explode("gs").alias("x"))
+                 .select("x.g", "x.c", "t")
+                 # documents of a pair, and apart from them its different contexts
+                 .groupBy("g", "t", "c").agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy("g", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c")))
+    return stage(groups, "pii-groups"), stage(pairs, "pii-pairs")
+
+
+def disclosures(docs: DataFrame, text_col: str, reach: int, doubt: float) -> DataFrame:
+    """``(g, t, n_entities, disclosure)`` of every pair."""
+    groups, pairs = pair_counts(docs, text_col, reach)
+    total = docs.count()
+    n_t = stage(document_counts(docs, text_col, pairs.select("t")), "pii-terms")
+    ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
+    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e").cast("double") * F.col("n_t")))
+    return (pairs.join(n_t, "t").join(groups, "g").where(ic > 0)
+                 .select("g", "t", "n_entities",
+                         ((pmi - F.lit(math.log2(doubt)) / F.col("n_c")) / ic).alias("disclosure")))
+
+
+def _spans(shared):
+    """Base spans, and the places of the terms that the bitmap lets pass."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        bits = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8), bitorder="little").astype(bool)
+        span_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+        mark_type = pa.list_(pa.struct([("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+        hit = wanted_words(shared.value, MARK_BITS)
         for batch in batches:
-            data, off = batch_bytes(pc.utf8_lower(batch.column(0)))
-            for _, _, counts, h in hashed_groups(data, off, ALNUM_WORDS):
-                at = np.flatnonzero(bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
-                if len(at):
-                    doc = np.searchsorted(np.cumsum(counts), at, side="right")
-                    pair = np.unique(np.stack([h[at].view(np.int64), doc]), axis=1)
-                    t, n = np.unique(pair[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(np.int64))], ["t", "n"])
+            texts = batch.column(1).to_pylist()
+            base = [base_spans(text) for text in texts]
+            marks = [[] for _ in texts]
+            data, off = batch_bytes(pc.utf8_lower(batch.column(1)))
+            for lo, _, counts, h in hashed_groups(data, off, ALNUM_WORDS):
+                at, ends = hit(h), np.cumsum(counts)
+                doc = np.searchsorted(ends, at, side="right")
+                first, size = np.unique(doc, return_index=True, return_counts=True)[1:]
+                for f, n in zip(first.tolist(), size.tolist()):
+                    i, begin = lo + int(doc[f]), int(ends[doc[f]] - counts[doc[f]])
+                    places = dict(zip((at[f:f + n] - begin).tolist(), h[at[f:f + n]].view(np.int64).tolist()))
+                    merged, last = blocked(base[i]), int(at[f + n - 1]) - begin
+                    for k, m in enumerate(_TERM.finditer(texts[i])):
+                        if k in places and m.end() - m.start() > 1 and free(merged, *m.span()):
+                            marks[i].append({"t": places[k], "start": m.start(), "end": m.end()})
+                        if k == last:
+                            break
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], span_type),
+                 pa.array(marks, mark_type)], ["id", "base", "marks"])
     return run
 
 
-def disclosures(rows: DataFrame, docs: DataFrame, text_col: str, support: int) -> DataFrame:
-    """``(e, t, disclosure)`` for the pairs with enough evidence.
-
-    ``rows`` has a ``rid`` and the ``near`` array per document.
-    """
-    spark = docs.sparkSession
-    near = rows.select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.c")
-    # documents of each pair, and apart from them its different contexts of which a
-    # document gives one; both combined before the shuffle
-    pairs = near.groupBy("rid", "e", "t").agg(F.min("c").alias("c")) \
-                .groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n")) \
-                .groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c"))
-    strong = stage(pairs.where(F.col("n_c") >= support).select("e", "t", "n_et"), "pii-pairs")
-    if strong.isEmpty():
-        return strong.select("e", "t", F.lit(0.0).alias("disclosure"))
-    total = docs.count()
-    n_e = rows.select("rid", F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")) \
-              .groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    # bitmap of candidate terms: BITMAP_BITS bits whatever their number
-    import numpy as np
-
-    places = F.col("t").bitwiseAND(F.lit(BITMAP_BITS - 1).cast("long"))
-    words = (strong.select(places.alias("p")).groupBy(F.expr("cast(p div 64 AS int)").alias("w"))
-                   .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b")))
-    bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    for r in words.collect():  # at most BITMAP_BITS / 64 rows
-        bitmap[r["w"]] = r["b"]
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    n_t = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(_document_terms(shared), "t long, n long") \
-              .groupBy("t").agg(F.sum("n").alias("n_t"))
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    return (strong.join(n_t, "t").join(n_e, "e").where(ic > 0)
-                  .select("e", "t", (pmi / ic).alias("disclosure")))
-
-
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 6,
-              support: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+              doubt: float = 3.0, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
     """One row per document: ``id_col`` and ``spans``, an array of ``start``,
     ``kind`` (number in ``KINDS``) and ``end`` in code points, ordered by start,
     kind and end."""
+    found = disclosures(docs, text_col, reach, doubt).where(F.col("disclosure") >= min(generalise, remove))
+    found = stage(found.groupBy("t").agg(F.max("disclosure").alias("d")), "pii-disclosures")
     src = for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    rows = stage(src.mapInArrow(_spans(reach), f"id {kind}, base array<struct<start:bigint,kind:int,end:bigint>>, "
-                                               "near array<struct<e:bigint,t:bigint,c:bigint,start:bigint,end:bigint>>")
+    rows = stage(src.mapInArrow(_spans(bitmap(found, MARK_BITS)),
+                                f"id {kind}, base array<struct<start:bigint,kind:int,end:bigint>>, "
+                                "marks array<struct<t:bigint,start:bigint,end:bigint>>")
                     .withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
-    found = disclosures(rows, docs, text_col, support).where(F.col("disclosure") >= min(generalise, remove))
-    found = stage(found, "pii-disclosures")
-    more = (rows.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-                .join(found, ["e", "t"])
-                .groupBy("rid", "start", "end").agg(F.max("disclosure").alias("d"))
+    more = (rows.select("rid", F.explode("marks").alias("x")).select("rid", "x.*")
+                .join(found, "t")
                 .select("rid", F.struct("start", F.when(F.col("d") >= remove, KINDS.index("remove"))
                                                   .otherwise(KINDS.index("generalise")).alias("kind"), "end").alias("s"))
                 .groupBy("rid").agg(F.collect_list("s").alias("more")))

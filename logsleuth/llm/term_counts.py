@@ -27,19 +27,31 @@ def term_hashes(terms):
     return np.concatenate([h for _, _, _, h in hashed_groups(data, off, ALNUM_WORDS)]).view(np.int64).tolist()
 
 
-def bitmap(terms: DataFrame):
-    """Broadcast bitmap of the hashes in column ``t``: BITMAP_BITS bits whatever their number."""
+def bitmap(terms: DataFrame, n_bits: int = BITMAP_BITS):
+    """Broadcast bitmap of the hashes in column ``t``: ``n_bits`` bits whatever their number."""
     import numpy as np
 
-    places = F.col("t").bitwiseAND(F.lit(BITMAP_BITS - 1).cast("long"))
+    places = F.col("t").bitwiseAND(F.lit(n_bits - 1).cast("long"))
     words = (terms.select(places.alias("p")).groupBy(F.expr("cast(p div 64 AS int)").alias("w"))
                   .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b")))
-    bits = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    for r in words.collect():  # at most BITMAP_BITS / 64 rows
+    bits = np.zeros(n_bits // 64, dtype=np.int64)
+    for r in words.collect():  # at most n_bits / 64 rows
         bits[r["w"]] = r["b"]
     return terms.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
+def wanted_words(data: bytes, n_bits: int = BITMAP_BITS):
+    """Function from word hashes to the places of those that the bitmap lets pass."""
+    import numpy as np
+
+    bits = np.frombuffer(data, dtype=np.uint8)
+
+    def hit(h):
+        at = h & np.uint64(n_bits - 1)
+        return np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+    return hit
+
+
 def _document_terms(shared):
     """Documents per term, of the terms that the bitmap lets pass, counted per
     group of texts: ``(t, n)``."""
@@ -48,11 +60,11 @@ def _document_terms(shared):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").astype(bool)
+        hit = wanted_words(shared.value)
         for batch in batches:
             data, off = batch_bytes(pc.utf8_lower(batch.column(0)))
             for _, _, counts, h in hashed_groups(data, off, ALNUM_WORDS):
-                at = np.flatnonzero(bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
+                at = hit(h)
                 if len(at):
                     doc = np.searchsorted(np.cumsum(counts), at, side="right")
                     pair = np.unique(np.stack([h[at].view(np.int64), doc]), axis=1)

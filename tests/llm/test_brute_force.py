@@ -226,6 +226,29 @@ def test_pii_counts_documents(make):
     assert not spans[1] and not spans[300]
 
 
+def test_pii_marks_everywhere(make):
+    """A term of one address only is marked far from it and in documents without it."""
+    pad = "we went home by train then and said nothing else about the weather today"
+    items = [(i, f"{pad} Moriarty {pad} write to me@lair.example.com {pad} again n{i}") for i in range(4)]
+    items += [(10, f"{pad} only MORIARTY here"), (11, "once Zaphod and then other@x.example.org end")]
+    items += [(100 + i, f"{pad} write once and then again, the end q{i}") for i in range(1500)]
+    text = dict(items)
+    got = {r["doc_id"]: {(pii.KINDS[s["kind"]], text[r["doc_id"]][s["start"]:s["end"]]) for s in r["spans"]}
+           for r in pii.pii_spans(make(items)).collect()}
+    marked = lambda i: {w for k, w in got[i] if k in ("generalise", "remove")}
+    assert "Moriarty" in marked(0) and marked(10) == {"MORIARTY"} and marked(11) == {"Zaphod"}
+    assert not marked(100) and "train" not in marked(0)
+
+
+def test_pii_entities_of_the_same_documents(make):
+    """Many addresses of one document are one group, counted as each would be."""
+    items = [(1, "alpha " + " ".join(f"u{i}@h.example.com" for i in range(300)) + " beta"), (2, "beta u1@h.example.com"), (3, "beta")]
+    groups, pairs = pii.pair_counts(make(items), "text", 6)
+    size = {r["g"]: (r["n_e"], r["n_entities"]) for r in groups.collect()}
+    assert sorted(size.values()) == [(1, 299), (2, 1)]
+    assert sorted((size[r["g"]][1], r["n_et"]) for r in pairs.collect()) == [(1, 1), (1, 2), (299, 1), (299, 1)]
+
+
 # ---- op6
 def plain_secrets(text):
     out = []
