@@ -5,23 +5,27 @@ consecutive tokens that looks at some positions and ignores the others, so a
 seed still hits when an ignored token was substituted.  Hashes of every mask at
 every token of the benchmark are joined with those of the documents; each hit
 names a diagonal (document position minus item position).  The diagonal is
-verified token by token: the best segment, where a match counts 1 and a
-substitution -2, must hold ``min_match`` matching tokens (all of an item with
-fewer, if it has ``short`` or more) at ``identity`` or more.
+verified token by token: some segment must hold ``min_match`` matching tokens
+(``identity`` of the tokens of an item, if those are fewer) at ``identity`` or
+more.  Reported is the segment of the best sum of +1 for a match and -2 for a
+substitution if it is such a segment, else the one with the most matches.
+
+Items of which fewer than ``min_match`` / ``identity`` tokens exist are indexed by
+``SHORT_MASKS``: one of them hits whichever tokens were substituted.
 
 The benchmark is cut into blocks of a bounded size by the hash of its row, each
 block is sent to all tasks once, and every block is a pass over all documents;
 a benchmark below the bound is one block.  Documents are never shuffled.
 
 Edge cases: null or empty texts have no tokens and no hits; items of fewer than
-``short`` tokens match nothing (they would be ordinary phrases); an item shorter
-than a mask is indexed by its whole token run; repeated items are reported one
+``short`` tokens match nothing (they would be ordinary phrases); repeated items are reported one
 by one; repeated documents give a row each; empty tables give an empty result;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +36,8 @@ from .words import ALNUM_WORDS, batch_bytes, hashed_groups, mix
 
 # fixed masks: 1 looks at the token, 0 ignores it
 MASKS = ("1111111", "1101100111", "11100101011", "1010011011001")
+# every 6 of 8, 7 of 9, 8 of 10, 9 of 11 or 12, 10 of 13, 11 of 14 and 12 of 15 tokens hold one of these
+SHORT_MASKS = ("11101", "100111", "1101001")
 BLOCK_BYTES = 32 << 20
 
 
@@ -62,6 +68,25 @@ def best_segment(equal):
     return start, end, int(equal[start:end].sum())
 
 
+def any_segment(equal, need, identity):
+    """(start, end, matches) of the segment with the most matches among all with
+    ``need`` matches or more at ``identity`` or more, from match to match; None
+    without one."""
+    import numpy as np
+
+    m = np.concatenate([[0], np.cumsum(equal)])
+    score = m - identity * np.arange(len(m))
+    # the last end whose score is not below that of each start
+    after = np.maximum.accumulate(score[::-1])[::-1]
+    end = np.searchsorted(-after, -score + 1e-9, side="right") - 1
+    n = m[end] - m
+    start = int(np.argmax(n))
+    if n[start] < max(need, 1):
+        return None
+    at = np.flatnonzero(equal[start:end[start]]) + start
+    return int(at[0]), int(at[-1]) + 1, len(at)
+
+
 def _token_hashes(texts):
     """(counts, hashes) of a list of texts."""
     import numpy as np
@@ -74,19 +99,25 @@ def _token_hashes(texts):
     return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
 
 
-def build_index(texts, masks, short):
-    """Benchmark block as numpy arrays: token hashes, offsets, seed hashes."""
+def build_index(texts, masks, short, long):
+    """Benchmark block as numpy arrays: token hashes, offsets, seed hashes, and the
+    numbers of the masks in use.  ``SHORT_MASKS`` are for items of fewer than
+    ``long`` tokens only."""
     import numpy as np
 
     counts, h = _token_hashes(texts)
     off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    keys, items, places = [], [], []
+    keys, items, places, used = [], [], [], set()
     for i in range(len(texts)):
         own = h[off[i]:off[i + 1]]
         if len(own) < short:
             continue
         for m, mask in enumerate(masks):
+            if mask in SHORT_MASKS and len(own) >= long:
+                continue
             k = seeds(own, mask, m)
+            if len(k):
+                used.add(m)
             keys.append(k)
             items.append(np.full(len(k), i))
             places.append(np.arange(len(k)))
@@ -94,7 +125,8 @@ def build_index(texts, masks, short):
     keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     items, places = np.concatenate(items) if items else z, np.concatenate(places) if places else z
     order = np.argsort(keys, kind="stable")
-    return {"h": h, "off": off, "keys": keys[order], "items": items[order], "places": places[order]}
+    return {"h": h, "off": off, "keys": keys[order], "items": items[order], "places": places[order],
+            "used": used}
 
 
 def _scan(index, ids, masks, min_match, short, identity):
@@ -114,6 +146,8 @@ def _scan(index, ids, masks, min_match, short, identity):
                 ends = np.cumsum(counts)
                 found = set()
                 for m, mask in enumerate(masks):
+                    if m not in x["used"]:
+                        continue
                     s = seeds(h, mask, m)
                     at = np.flatnonzero(table[(s >> np.uint64(64 - bits)).astype(np.int64)])
                     a = np.searchsorted(keys, s[at], side="left")
@@ -130,9 +164,13 @@ def _scan(index, ids, masks, min_match, short, identity):
                     theirs = x["h"][x["off"][item]:x["off"][item + 1]]
                     first, stop = max(0, -diagonal), min(len(theirs), int(counts[d]) - diagonal)
                     equal = theirs[first:stop] == h[begin + first + diagonal:begin + stop + diagonal]
+                    need = min(min_match, math.ceil(identity * len(theirs)))
+                    if equal.sum() < need:
+                        continue
                     a, b, n = best_segment(equal)
-                    need = min_match if len(theirs) >= min_match else len(theirs)
-                    if n >= need and n >= identity * (b - a):
+                    if n < need or n < identity * (b - a):
+                        a, b, n = any_segment(equal, need, identity) or (0, 0, 0)
+                    if n:
                         got = (n, -(first + a + diagonal), first + a, b - a)
                         if got > best.get((d, item), (0,)):
                             best[(d, item)] = got
@@ -154,8 +192,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     segment: ``id_col``, ``item_col``, ``doc_start`` and ``item_start`` (tokens),
     ``n_tokens``, ``n_match``, ``similarity``."""
     spark = docs.sparkSession
+    long = math.ceil(min_match / identity)
+    masks = tuple(dict.fromkeys((*masks, *SHORT_MASKS)))
     # an item too short for a mask still needs a seed
-    masks = tuple(masks) + (("1" * short,) if short < min(map(len, masks)) else ())
+    masks += ("1" * short,) if short < min(map(len, masks)) else ()
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(item_text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-int(total) // block_bytes))
@@ -165,7 +205,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     for k in range(n_blocks):
         # bounded: block_bytes of text on average over the hash
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).orderBy("item").collect()
-        index = spark.sparkContext.broadcast(build_index([r["text"] for r in block], masks, short))
+        index = spark.sparkContext.broadcast(build_index([r["text"] for r in block], masks, short, long))
         parts.append(src.mapInArrow(_scan(index, [r["item"] for r in block], masks, min_match, short, identity),
                                     f"id {kind}, item long, doc_start long, item_start long, "
                                     "n_tokens long, n_match long"))

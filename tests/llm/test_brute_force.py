@@ -326,6 +326,43 @@ def test_overlaps(spark, rows):
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, found))
 
 
+def test_any_segment():
+    import numpy as np
+    rng = np.random.default_rng(7)
+    for k in range(400):
+        eq = rng.random(rng.integers(1, 60)) < rng.choice([0.5, 0.7, 0.8])
+        need = int(rng.integers(1, 14))
+        want = max((int(eq[a:z].sum()) for a in range(len(eq)) for z in range(a + 1, len(eq) + 1)
+                    if eq[a:z].sum() >= max(need, 0.75 * (z - a))), default=None)
+        got = D.any_segment(eq, need, 0.75)
+        assert (got and got[2]) == want
+        if got:
+            a, z, n = got
+            assert n == eq[a:z].sum() and n >= 0.75 * (z - a) and eq[a] and eq[z - 1]
+
+
+def test_overlaps_short_and_broken(spark):
+    """Short items at every allowed substitution, and exact runs whose whole is below the identity."""
+    import math
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(7, 16)]
+    items.append((99, " ".join(f"longword{k}" for k in range(162))))
+    docs, want = [], set()
+    for n, t in items[1:-1]:
+        need = min(12, math.ceil(0.75 * n))
+        for lost in (n - need, n - need + 1):
+            for some in itertools.combinations(range(n), lost):
+                i = len(docs)
+                docs.append((i, "before it " + " ".join("zz" if k in some else w for k, w in enumerate(t.split())) + " after"))
+                want |= {(i, n)} if lost == n - need else set()
+    w = items[-1][1].split()
+    docs.append((100_000, " ".join("zz" if 30 <= k % 44 else x for k, x in enumerate(w))))
+    want.add((100_000, 99))
+    found = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert all(r["similarity"] >= 0.75 for r in found)
+
+
 # ---- op1
 def test_mix_deviation(make):
     weights = {"a": 5, "b": 3, "c": 1}
