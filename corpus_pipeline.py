@@ -8,7 +8,7 @@ the columns of the input, and the last adds each row's place in the mix.
 
 Edge cases: null or empty texts are scored, deduplicated and mixed like others;
 rows repeated as a whole leave the exact deduplication as one row; a null id is
-kept as any other; an empty table passes through; extra columns are carried.
+kept as any other, and rows that share an id are decided one by one; an empty table passes through; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -51,17 +51,27 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeated.select("_llm_row.*")
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key per row in ``_llm_row``, written once so that it stays."""
+    return stage(docs.withColumn("_llm_row", F.monotonically_increasing_id()), name)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group."""
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=3)
-    return _semi(docs, groups.where("doc_id <=> component_id").select("doc_id"), ["doc_id"])
+    """The row of the smallest id of each near-duplicate group, null ids last."""
+    rows = _keyed(docs, "simhash-keyed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id",
+                     F.xxhash64("text").alias("text"), F.col("_llm_row").alias("row"))
+    groups = simhash.near_duplicates(rows.select(order.alias("_llm_order"), "text"), "_llm_order", shingle=3, max_bits=3)
+    kept = groups.where("_llm_order = component_id").select(F.col("_llm_order.row").alias("_llm_row"))
+    return _semi(rows, kept, ["_llm_row"]).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = stage(decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(),
-                  "contaminated")
-    return _semi(docs, found, ["doc_id"], "left_anti")
+    """Rows without a benchmark passage."""
+    rows = _keyed(docs, "decontaminate-keyed")
+    found = decontaminate.overlaps(rows, table(spark, sf_dir, "benchmark"), id_col="_llm_row")
+    found = stage(found.select("_llm_row").distinct(), "contaminated")
+    return _semi(rows, found, ["_llm_row"], "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,19 @@ def test_pipeline(spark, docs, rows):
         slot.setdefault((r["phase"], r["slot"]), set()).add(r["mix_source"])
     assert all(len(s) == 1 for s in slot.values())
     assert [n for n, _ in corpus_pipeline.STAGES] and set(suite.QUERIES)
+
+
+def test_rows_with_null_and_equal_ids(spark, make, tmp_path):
+    passage = " ".join(f"bench{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    items = [(None, texts["a"]), (None, f"x {passage} y"), (None, texts["b"]), (7, texts["c"]), (7, f"z {passage}"), (8, texts["d"])]
+    left = corpus_pipeline.decontaminate_stage(spark, make(items), str(tmp_path))
+    key = lambda rows: sorted((r[0] or 0, r[1]) for r in rows)
+    assert key(left.select("doc_id", "text").collect()) == key([items[0], items[2], items[3], items[5]])
+    # groups: all ids null; a null and an id; equal ids in different groups and in one
+    items = [(None, texts["a"]), (None, texts["a"]), (None, texts["b"]), (3, texts["b"]), (4, texts["c"]), (4, texts["d"]),
+             (4, texts["d"]), (5, texts["c"]), (None, texts["e"])]
+    left = corpus_pipeline.simhash_stage(spark, make(items), str(tmp_path))
+    assert key(left.select("doc_id", "text").collect()) == key([items[0], items[3], items[4], items[5], items[8]])
+    assert "_llm_row" not in left.columns
