@@ -42,7 +42,7 @@ def for_arrow(docs: DataFrame, *cols) -> DataFrame:
     return docs.select(*cols)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected link table.
 
     Returns ``(node, root)`` with ``root`` the smallest node of the component,
@@ -59,7 +59,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     label = stage(both.groupBy(F.col("u").alias("node"))
                       .agg(F.min("v").alias("m"))
                       .select("node", F.least("node", "m").alias("root")), "cc-label")
-    for _ in range(max_rounds):
+    while True:
         # links between current roots; those inside one tree are done
         lu = label.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         lv = label.select(F.col("node").alias("v"), F.col("root").alias("rv"))
@@ -83,4 +83,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # hooked roots must themselves be nodes with a label; they are, as every
         # root is a node of some link.  Links between old roots stay valid since
         # a root keeps its own label row.
-    raise RuntimeError("components did not converge")

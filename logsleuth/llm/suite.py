@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import decontaminate, exact_dedup, licenses, mixing, pii, quality, secret_scan, simhash, substring_dedup
+from . import decontaminate, exact_dedup, licenses, minhash, mixing, pii, quality, secret_scan, simhash, substring_dedup
 from . import token_counts as tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,26 @@ def document_paths(docs: DataFrame) -> DataFrame:
 def op10(spark, sf_dir):
     """License of every document, by its own statement or its directories."""
     return licenses.license_scan(document_paths(table(spark, sf_dir, "documents")), "path")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op11_minhash_groups", rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 1 THEN w
+                          ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS shared
+         FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair WHERE 100 * shared >= 80 * (n1 + n2 - shared)),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM g
+          UNION SELECT d, b FROM reach JOIN link ON r = a)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, min(r) AS component_id, g.doc_id = min(r) AS kept
+FROM g JOIN reach ON g.doc_id = d GROUP BY g.doc_id, g.s
+""")
+def op11(spark, sf_dir):
+    """Every document's shingle set size and near-duplicate group."""
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
