@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import decontaminate, exact_dedup, licenses, minhash, mixing, pii, quality, secret_scan, simhash, substring_dedup
+from . import decontaminate, exact_dedup, filter_audit, hard_negatives, licenses, minhash, mixing, pii, quality, secret_scan, simhash, substring_dedup
 from . import token_counts as tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,63 @@ def op11(spark, sf_dir):
     """Every document's shingle set size and near-duplicate group."""
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@register("op12_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+      FROM v AS a, v AS b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+""")
+def op12(spark, sf_dir):
+    """Hard negatives of every 50th vector, with some labels shifted."""
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+@register("op13_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+f AS (SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+             regexp_matches(text, '[#$%&*|]'), doc_id > least] AS fails FROM w),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (l.quality) AS good, count(*) FILTER (l.toxic) AS toxic
+      FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS quality, bool_or(toxic = 1) AS toxic
+                        FROM labels GROUP BY doc_id) AS l USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS seq,
+             list_aggregate(list_transform([a.i, b.i, c.i, d.i, e.i], lambda x: chr((64 + x)::INTEGER)), 'string_agg', '') AS filter_order
+      FROM l AS a, l AS b, l AS c, l AS d, l AS e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+x AS (SELECT part, filter_order, s.i::INTEGER AS step, seq[s.i] AS f, fails[seq[s.i]] AS here,
+             list_bool_or(list_transform(seq[1:s.i - 1], lambda k: fails[k])) IS TRUE AS earlier,
+             len(list_filter(fails, lambda k: k)) AS n_fails, n, good, toxic
+      FROM m, o, l AS s),
+r AS (SELECT part, filter_order, step, f,
+             coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (here AND NOT earlier), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (here AND earlier), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (here AND n_fails = 1), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (here AND NOT earlier), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (here AND NOT earlier), 0)::BIGINT AS toxic_lost
+      FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+""")
+def op13(spark, sf_dir):
+    """What each of five filters removes per language under every order."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
