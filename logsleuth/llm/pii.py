@@ -3,32 +3,36 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers
 found by fixed patterns; each distinct value is a protected entity.  A term in
 the documents of an entity may reveal it even after the entity itself is gone.
-How strongly is estimated from the whole corpus: with document counts over all
-rows, the pointwise mutual information
-
-    PMI(t; e) = log2( n(e, t) * N / (n(e) * n(t)) )
-
-is compared with the information of the entity, IC(e) = log2(N / n(e)).  The
-ratio is the share of the entity that the term discloses, 1 when the term never
-occurs without it.  Every pair of an entity and a term of the same document is
-scored, and none by more than its evidence bears: with k different contexts (words
-within ``reach`` of the entity; a document gives one, copies of one text give the
-same) the share of the term's documents that hold the entity is taken at its lower
-confidence bound, which is ``doubt ** (1 / k)`` times smaller:
-
-    disclosure = (PMI - log2(doubt) / k) / IC
-
-A term whose disclosure of some entity reaches ``generalise`` is replaced by its
-class, one that reaches ``remove`` is deleted, wherever it occurs in the table.
-
-Entities with the same documents have the same counts and are scored once, so a
-document with very many addresses of its own has as many pairs as terms.  Document
-counts of terms are taken over all documents; fixed-size bitmaps of the terms thin
-the words before the shuffles and decide nothing by themselves.
-
-Edge cases: null text counts as empty; an entity in every document has no information left to disclose;
-repeated rows count as documents each; an empty table gives an empty result;
-extra columns are ignored.
+How strongly is estimated from the whole corpus.  With document counts over all
+rows, the term's pointwise mutual information with the entity and the entity's own
+information are
+
+    PMI(t; e) = log2( n(e, t) * N / (n(e) * n(t)) )        IC(e) = log2(N / n(e))
+
+and their difference IC - PMI = log2(n(t) / n(e, t)) is what is still unknown of
+the entity once the term is seen, in bits: zero if the term never occurs without
+it.  N cancels, so the verdict on a text does not depend on how many other texts
+the table holds.  Counts bear no more than their evidence: with k different
+contexts (words within ``reach`` of the entity; a document gives one, copies of
+one text give the same) the share of the term's documents that hold the entity is
+taken ``doubt ** (1 / k)`` times smaller:
+
+    unknown = IC - PMI + log2(doubt) / k
+
+A term that leaves ``generalise`` bits or fewer of some entity is replaced by its
+class, one that leaves ``remove`` or fewer is deleted, wherever it occurs in the
+table.  With the defaults one context never suffices; removal takes four.
+
+Entities of fewer contexts than could reach a threshold are left out before the
+pairs are formed, and a term meets an entity only if its document count can, so a
+document of very many addresses and words does not give their product.  Entities
+with the same documents have the same counts and are scored once.  Fixed-size
+bitmaps of the terms thin the words before the shuffles and decide nothing.
+
+Edge cases: null text counts as empty; very long texts are scanned whole; a term
+at a threshold is marked, and of several entities the one it leaves least of
+decides; repeated rows count as documents each, of one context; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,41 +194,40 @@ def _entities(reach):
     return run
 
 
-def pair_counts(docs: DataFrame, text_col: str, reach: int) -> tuple[DataFrame, DataFrame]:
+def pair_counts(docs: DataFrame, text_col: str, reach: int, doubt: float, bits: float) -> tuple[DataFrame, DataFrame]:
     """``(g, n_e, n_entities)``: groups of entities with the same documents, and
-    ``(g, t, n_et, n_c)``: documents and different contexts of each pair."""
+    ``(g, t, n_t, n_et, n_c)``: the term's documents, the pair's documents and
+    different contexts, of all pairs that can leave ``bits`` bits or fewer."""
     rows = stage(for_arrow(docs, text_or_empty(text_col).alias("text"))
                  .mapInArrow(_entities(reach), "ents array<struct<e:bigint,c:bigint>>, terms array<bigint>")
                  .withColumn("rid", F.monotonically_increasing_id()), "pii-entities")
     ents = rows.select("rid", F.explode("ents").alias("x")).select("rid", "x.e", "x.c")
     # the documents of an entity as count and two sums of hashes, combined before the shuffle
-    same = ["n_e", "s1", "s2"]
-    sets = ents.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"),
-                                 F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s1"),
-                                 F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("s2"))
-    sets = stage(sets.select("e", "n_e", F.xxhash64(*same).alias("g")), "pii-entity-groups")
+    sets = (ents.groupBy("e", "c").agg(F.count(F.lit(1)).alias("n"),
+                                       F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s1"),
+                                       F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("s2"))
+                .groupBy("e").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("contexts"),
+                                  F.sum("s1").alias("s1"), F.bit_xor("s2").alias("s2"))
+                .where(F.col("contexts") >= max(1, math.ceil(math.log2(doubt) / bits))))
+    sets = stage(sets.select("e", "n_e", F.xxhash64("n_e", "s1", "s2").alias("g")), "pii-entity-groups")
     groups = sets.groupBy("g").agg(F.max("n_e").alias("n_e"), F.count(F.lit(1)).alias("n_entities"))
-    mine = ents.join(sets.select("e", "g"), "e").groupBy("rid", "g").agg(F.min("c").alias("c")) \
-               .groupBy("rid").agg(F.collect_list(F.struct("g", "c")).alias("gs"))
-    pairs = (rows.select("rid", "terms").join(mine, "rid")
-                 .select("gs", F.explode("terms").alias("t")).select("t", F.explode("gs").alias("x"))
-                 .select("x.g", "x.c", "t")
-                 # documents of a pair, and apart from them its different contexts
-                 .groupBy("g", "t", "c").agg(F.count(F.lit(1)).alias("n"))
-                 .groupBy("g", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c")))
+    mine = stage(ents.join(sets, "e").groupBy("rid", "g").agg(F.min("c").alias("c"), F.max("n_e").alias("n_e")),
+                 "pii-entity-documents")
+    terms = rows.join(mine.select("rid").distinct(), "rid").select("rid", F.explode("terms").alias("t"))
+    n_t = stage(document_counts(docs, text_col, terms.select("t").distinct()), "pii-terms")
+    pairs = (terms.join(n_t, "t").join(mine, "rid")
+                  .where(F.col("n_t") <= F.col("n_e") * F.lit(2.0 ** bits))
+                  # documents of a pair, and apart from them its different contexts
+                  .groupBy("g", "t", "n_t", "c").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy("g", "t", "n_t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c")))
     return stage(groups, "pii-groups"), stage(pairs, "pii-pairs")
 
 
-def disclosures(docs: DataFrame, text_col: str, reach: int, doubt: float) -> DataFrame:
-    """``(g, t, n_entities, disclosure)`` of every pair."""
-    groups, pairs = pair_counts(docs, text_col, reach)
-    total = docs.count()
-    n_t = stage(document_counts(docs, text_col, pairs.select("t")), "pii-terms")
-    ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    return (pairs.join(n_t, "t").join(groups, "g").where(ic > 0)
-                 .select("g", "t", "n_entities",
-                         ((pmi - F.lit(math.log2(doubt)) / F.col("n_c")) / ic).alias("disclosure")))
+def unknown_bits(docs: DataFrame, text_col: str, reach: int, doubt: float, bits: float) -> DataFrame:
+    """``(g, t, n_entities, unknown)`` of every pair that leaves ``bits`` or fewer."""
+    groups, pairs = pair_counts(docs, text_col, reach, doubt, bits)
+    left = F.log2(F.col("n_t") / F.col("n_et")) + F.lit(math.log2(doubt)) / F.col("n_c")
+    return pairs.join(groups, "g").select("g", "t", "n_entities", left.alias("unknown")).where(F.col("unknown") <= bits)
 
 
 def _spans(shared):
@@ -262,12 +265,12 @@ def _spans(shared):
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 6,
-              doubt: float = 3.0, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+              doubt: float = 3.0, generalise: float = 1.0, remove: float = 0.5) -> DataFrame:
     """One row per document: ``id_col`` and ``spans``, an array of ``start``,
     ``kind`` (number in ``KINDS``) and ``end`` in code points, ordered by start,
     kind and end."""
-    found = disclosures(docs, text_col, reach, doubt).where(F.col("disclosure") >= min(generalise, remove))
-    found = stage(found.groupBy("t").agg(F.max("disclosure").alias("d")), "pii-disclosures")
+    found = unknown_bits(docs, text_col, reach, doubt, max(generalise, remove))
+    found = stage(found.groupBy("t").agg(F.min("unknown").alias("d")), "pii-disclosures")
     src = for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     rows = stage(src.mapInArrow(_spans(bitmap(found, MARK_BITS)),
@@ -276,7 +279,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                     .withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
     more = (rows.select("rid", F.explode("marks").alias("x")).select("rid", "x.*")
                 .join(found, "t")
-                .select("rid", F.struct("start", F.when(F.col("d") >= remove, KINDS.index("remove"))
+                .select("rid", F.struct("start", F.when(F.col("d") <= remove, KINDS.index("remove"))
                                                   .otherwise(KINDS.index("generalise")).alias("kind"), "end").alias("s"))
                 .groupBy("rid").agg(F.collect_list("s").alias("more")))
     return rows.join(more, "rid", "left").select(
