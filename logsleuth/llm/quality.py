@@ -36,9 +36,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _counts(data, off, out):
+def _counts(data, off, out, skip=0):
     """Add term counts of consecutive texts (a group below ``PIECE`` bytes or one
-    piece of a long text) to the rows of ``out``."""
+    piece of a long text) to the rows of ``out``.  The first ``skip`` bytes of a
+    piece were counted with the one before and are only looked back at."""
     import numpy as np
 
     n = len(data)
@@ -50,6 +51,7 @@ def _counts(data, off, out):
         tri = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35))
         tri = ((tri ^ (tri >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(21)
         same = doc[2:] == doc[:-2]
+        same[:max(0, skip - 2)] = False
         idx = doc[2:][same] * (TRIGRAMS + SHAPES) + tri[same]
         out += np.bincount(idx, minlength=out.size).reshape(out.shape)
     ok = SPACE_WORDS[data]
@@ -84,9 +86,33 @@ def _counts(data, off, out):
     # shape, and the closing mark of the word with its count
     closing = np.where(((tail >= 48) & (tail <= 57)) | ((tail >= 65) & (tail <= 90))
                        | ((tail >= 97) & (tail <= 122)) | (tail >= 128), 0, tail) * 4 + np.minimum(mark, 3)
-    row = doc[s] * (TRIGRAMS + SHAPES) + TRIGRAMS
+    row, new = doc[s] * (TRIGRAMS + SHAPES) + TRIGRAMS, s >= skip
     for term in (shape, 512 + closing):
-        out += np.bincount(row + term, minlength=out.size).reshape(out.shape)
+        out += np.bincount((row + term)[new], minlength=out.size).reshape(out.shape)
+
+
+def _pieces(data, a, b, size):
+    """``(back, start, end)`` of the pieces of a long text ``a..b``: each ends at the
+    end of a word, and ``back`` is three words (two bytes at least) before it, so
+    that nothing is counted otherwise than in one pass."""
+    import numpy as np
+
+    start = a
+    while start < b:
+        end = min(start + size, b)
+        while end < b and SPACE_WORDS[data[end]]:
+            gap = np.flatnonzero(~SPACE_WORDS[data[end:min(end + size, b)]])
+            end = end + int(gap[0]) if len(gap) else min(end + size, b)
+        back, look = a, 64
+        while start - look > a:
+            ok = SPACE_WORDS[data[start - look:start]]
+            words = np.flatnonzero(ok[1:] & ~ok[:-1]) + 1
+            if len(words) >= 3:
+                back = start - look + int(words[-3])
+                break
+            look *= 4
+        yield min(back, max(a, start - 2)), start, end
+        start = end
 
 
 def term_counts(column):
@@ -104,9 +130,8 @@ def term_counts(column):
         if b - a <= PIECE:
             _counts(data[a:b], off[lo:hi + 1] - a, out)
         else:  # one long text, in pieces
-            for c in range(a, b, PIECE):
-                d = min(c + PIECE, b)
-                _counts(data[c:d], np.array([0, d - c]), out)
+            for back, c, d in _pieces(data, a, b, PIECE):
+                _counts(data[back:d], np.array([0, d - back]), out, c - back)
         yield lo, hi, out
         lo = hi
 
