@@ -15,7 +15,8 @@ it holds where the pre-tokenizer starts a new word at the space; the space stays
 with the piece after it.  Otherwise a text is encoded whole.
 
 Edge cases: null or empty text has 0 bytes and 0 tokens; a text without a safe
-boundary is one piece; repeated rows are counted each; an empty table gives an
+boundary is one piece; a very long text is encoded piece by piece and counted
+whole; repeated rows are counted each; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -102,7 +103,7 @@ def count_texts(counter, texts, piece_chars=PIECE_CHARS, batch_bytes=BATCH_BYTES
         for p in counter.pieces(text, piece_chars) if text else ():
             part.append(p)
             owner.append(i)
-            held += len(p)
+            held += len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))
             if held >= batch_bytes:
                 flush()
                 held = 0
@@ -124,13 +125,20 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     model = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         counter = None
         for batch in batches:
             if counter is None:
                 counter = Counter(model.value, kind)
-            counts = count_texts(counter, batch.column(1).to_pylist(), piece_chars, batch_bytes)
+            ends = np.cumsum(batch.column(2).to_numpy())
+            counts, lo = [], 0
+            while lo < batch.num_rows:  # some texts at a time: as many as fit the bytes, one at least
+                hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4 * batch_bytes, side="right"))
+                hi = max(hi, lo + 1)
+                counts += count_texts(counter, batch.column(1).slice(lo, hi - lo).to_pylist(), piece_chars, batch_bytes)
+                lo = hi
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())],
                                              ["id", "n_bytes", "n_tokens"])
 
