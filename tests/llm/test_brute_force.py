@@ -1,6 +1,7 @@
 """Results against plain Python versions on whole fixture tables."""
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -229,21 +230,71 @@ def test_pii_counts_documents(make):
 def test_pii_marks_everywhere(make):
     """A term of one address only is marked far from it and in documents without it."""
     pad = "we went home by train then and said nothing else about the weather today"
-    items = [(i, f"{pad} Moriarty {pad} write to me@lair.example.com {pad} again n{i}") for i in range(4)]
+    items = [(i, f"{pad} Moriarty {pad} write v{i} to me@lair.example.com {pad} again n{i}") for i in range(4)]
     items += [(10, f"{pad} only MORIARTY here"), (11, "once Zaphod and then other@x.example.org end")]
     items += [(100 + i, f"{pad} write once and then again, the end q{i}") for i in range(1500)]
     text = dict(items)
     got = {r["doc_id"]: {(pii.KINDS[s["kind"]], text[r["doc_id"]][s["start"]:s["end"]]) for s in r["spans"]}
            for r in pii.pii_spans(make(items)).collect()}
     marked = lambda i: {w for k, w in got[i] if k in ("generalise", "remove")}
-    assert "Moriarty" in marked(0) and marked(10) == {"MORIARTY"} and marked(11) == {"Zaphod"}
+    assert "Moriarty" in marked(0) and marked(10) == {"MORIARTY"} and not marked(11)  # one context is no evidence
     assert not marked(100) and "train" not in marked(0)
 
 
+def plain_disclosing(texts, doubt=3.0, generalise=1.0, remove=0.5, reach=6):
+    """The kind of each disclosing term (lower-cased), from counts over all texts."""
+    import math
+
+    n_t, n_et, contexts = Counter(), Counter(), defaultdict(set)
+    for text in texts:
+        spans = plain_pii(text or "")
+        terms = [(m.start(), m.group().lower(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", text or "")]
+        n_t.update({w for _, w, _ in terms})
+        free = [(a, w, b) for a, w, b in terms if len(w) > 1 and not any(a < e and s < b for s, _, e in spans)]
+        for value in {(k, text[a:b]) for a, k, b in spans}:
+            mine = []
+            for s, k, e in spans:
+                if (k, text[s:e]) == value:
+                    near = [t for t in terms if t[2] <= s][-reach:] + [t for t in terms if t[0] >= e][:reach]
+                    mine.append(tuple(text[a:b] for a, w, b in near if (a, w, b) in free))
+            for w in {w for _, w, _ in free}:
+                n_et[value, w] += 1
+                contexts[value, w].add(min(mine))
+    out = {}
+    for (value, w), n in n_et.items():
+        left = math.log2(n_t[w] / n) + math.log2(doubt) / len(contexts[value, w])
+        if left <= generalise:
+            out[w] = "remove" if left <= remove or out.get(w) == "remove" else "generalise"
+    return out
+
+
+def test_pii_verdicts_do_not_depend_on_the_table_size(spark, make):
+    """The same documents among 1,000 and 30,000 others, against plain counts."""
+    rnd = random.Random(4)
+    pad = [f"p{i}" for i in range(300)]
+    some = lambda: " ".join(rnd.choices(pad, k=8))
+    items = [(i, f"{some()} Moriarty {some()} me@lair.example.com {some()} Baker{i % 2} {some()}") for i in range(5)]
+    items += [(10 + i, f"{some()} Zaphod +49 30 1234567{i // 3} {some()} Moriarty{i}") for i in range(6)]
+    items += [(20, f"one Solo and solo@ship.example.net {some()}"), (21, f"{some()} Moriarty again"), (22, "")]
+    found = []
+    for n in (1000, 30_000):
+        rest = spark.range(n).selectExpr("id + 1000 AS doc_id", "concat('p', id % 300, ' p', id % 7, ' filler n', id) AS text",
+                                         "'en' AS lang", "'src0' AS source", "0L AS n_chars")
+        docs = make(items).select("doc_id", "text", "lang", "source", "n_chars").unionByName(rest)
+        got = pii.pii_spans(docs).where("doc_id < 1000").collect()
+        found.append({(r["doc_id"], pii.KINDS[s["kind"]], s["start"], s["end"]) for r in got for s in r["spans"]})
+    assert found[0] == found[1]
+    terms = plain_disclosing([t for _, t in items] + [f"p{i % 300} p{i % 7} filler n{i}" for i in range(1000)])
+    text = dict(items)
+    marked = {(i, k, text[i][a:b].lower()) for i, k, a, b in found[0] if k in ("generalise", "remove")}
+    want = {(i, terms[w], w) for i, t in items for w in set(re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", t.lower())) if w in terms}
+    assert marked == want and ("moriarty" in terms) and "solo" not in terms
+
+
 def test_pii_entities_of_the_same_documents(make):
     """Many addresses of one document are one group, counted as each would be."""
     items = [(1, "alpha " + " ".join(f"u{i}@h.example.com" for i in range(300)) + " beta"), (2, "beta u1@h.example.com"), (3, "beta")]
-    groups, pairs = pii.pair_counts(make(items), "text", 6)
+    groups, pairs = pii.pair_counts(make(items), "text", 6, 1.0, 3.0)
     size = {r["g"]: (r["n_e"], r["n_entities"]) for r in groups.collect()}
     assert sorted(size.values()) == [(1, 299), (2, 1)]
     assert sorted((size[r["g"]][1], r["n_et"]) for r in pairs.collect()) == [(1, 1), (1, 2), (299, 1), (299, 1)]
@@ -472,3 +523,38 @@ def test_license_counts_all_terms(make):
     template = {w: idf(w) for w in licenses.terms(licenses.TEMPLATES[0][1].lower())}
     cos = sum(mine[w] * x for w, x in template.items() if w in mine) / norm(mine) / norm(template)
     assert abs(got[6000][1] - cos) < 2e-6
+
+
+# ---- long texts and recall
+@pytest.mark.parametrize("tokens", [*range(8, 24), 24, 28])
+def test_masks_hit_every_substitution(tokens):
+    """All ways to substitute a quarter of an item's tokens (what the rule accepts)
+    leave some mask whole."""
+    import numpy as np
+
+    n = tokens // 4
+    subs = np.array(list(itertools.combinations(range(tokens), n))) if tokens < 28 else \
+        np.argsort(np.random.default_rng(1).random((200_000, tokens)), axis=1)[:, :n]
+    ok = np.ones((len(subs), tokens), bool)
+    np.put_along_axis(ok, subs, False, 1)
+    hit = np.zeros(len(subs), bool)
+    for mask in (*D.MASKS, *D.SHORT_MASKS):
+        at = [j for j, c in enumerate(mask) if c == "1"]
+        for p in range(tokens - len(mask) + 1):
+            hit |= ok[:, [p + j for j in at]].all(1)
+    assert hit.mean() >= 0.9 and (tokens < 16 or hit.all())
+
+
+def test_quality_counts_of_long_texts_as_in_one_pass():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["Ab", "x", "12", "end.", "...", "naïve", "ROCK", "a" * 300, " ", "\n\n"])
+    text = " ".join(word() for _ in range(60_000)) + "z" * 1_500_000 + " tail tail Tail"
+    assert len(text.encode()) > 2_300_000
+    [(_, _, got)] = quality.term_counts(pa.array([text], pa.large_string()))
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = np.zeros_like(got)
+    quality._counts(data, np.array([0, len(data)]), want)
+    assert (got == want).all()
