@@ -16,8 +16,9 @@ samples that differ.  ``near_duplicates`` links texts at a Jaccard similarity of
 3. What is still apart in one bucket is compared pair by pair, within the join:
    members of other components than the bucket's largest against all others.
    Besides size and sketch, the two must share a shingle of their prefixes: in
-   rarest-first order, sets of similarity s meet in the first n - ceil(s n) + 1
-   shingles.  Survivors are confirmed on the full sets.
+   rarest-first order, sets of n and m shingles that share c meet in the first
+   n - c + 1 and m - c + 1, and a similarity s needs c = s (n + m) / (1 + s).
+   Survivors are confirmed on the full sets.
 4. Components of all links.
 
 No stage caps candidates.  A link is missed only if no band meets or if its
@@ -187,6 +188,13 @@ def _sketch_fits(s1: str, s2: str, percent):
     return bits <= sketch_limit(percent)
 
 
+def _prefixes_fit(n1, n2, p1, p2, percent):
+    """Whether two sets share a shingle of the prefixes that their sizes leave."""
+    total = (n1.cast("long") + n2) * percent
+    shared = F.floor((total + (99 + percent)) / F.lit(100 + percent)).cast("int")
+    return F.arrays_overlap(F.slice(p1, F.lit(1), n1 - shared + 1), F.slice(p2, F.lit(1), n2 - shared + 1))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the similarity."""
     one = sets.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
@@ -234,8 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .groupBy("cid").agg(F.first("shingles").alias("shingles"))
                  .select("cid", F.size("shingles").alias("n"), "shingles"), "minhash-sets")
 
-    info = classes.select("cid", "n", "sketch")
-    side = lambda i: info.toDF("ab"[i], f"n{i + 1}", f"k{i + 1}")
+    info = classes.select("cid", "n", "sketch", "bands")
+    side = lambda i: info.drop("bands").toDF("ab"[i], f"n{i + 1}", f"k{i + 1}")
     star = (rows.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
                 .join(side(0), "a").join(side(1), "b")
                 .where(_size_fits(F.col("n1"), F.col("n2"), percent) & _sketch_fits("k1", "k2", percent)))
@@ -251,13 +259,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(rows.join(mixed, "band"), "minhash-mixed")
     short = prefixes(sets.join(rows.select("cid").distinct(), "cid"), percent)
     rows = rows.join(stage(short.join(info, "cid"), "minhash-prefixes"), "cid")
-    one = rows.where("label <> most").select("band", *[F.col(c).alias(f"{c}1") for c in ("cid", "label", "n", "sketch", "prefix")])
-    two = rows.select("band", *[F.col(c).alias(f"{c}2") for c in ("cid", "label", "n", "sketch", "prefix", "most")])
+    columns = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("cid", "label", "n", "sketch", "prefix", "bands")]
+    one = rows.where("label <> most").select("band", *columns(1))
+    two = rows.select("band", "most", *columns(2))
+    # a pair of several common bands is taken in one of them
+    once = F.array_min(F.array_intersect("bands1", "bands2")) == F.col("band")
     cross = one.join(two, "band").where(
-        (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most2")) | (F.col("cid1") < F.col("cid2")))
+        (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most")) | (F.col("cid1") < F.col("cid2")))
         & _size_fits(F.col("n1"), F.col("n2"), percent) & _sketch_fits("sketch1", "sketch2", percent)
-        & F.arrays_overlap("prefix1", "prefix2"))
-    cross = stage(cross.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct(), "minhash-cross")
+        & _prefixes_fit(F.col("n1"), F.col("n2"), F.col("prefix1"), F.col("prefix2"), percent) & once)
+    cross = stage(cross.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")), "minhash-cross")
     more = stage(confirmed(cross, sets, percent), "minhash-links")
 
     # components of the first step joined by the further links
