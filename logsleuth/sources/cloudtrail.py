@@ -124,6 +124,14 @@ def parse_cloudtrail_text(raw: DataFrame, text_col: str = "value", lines: bool =
                   .drop("_file_errors", "record"))
 
 
+def parse_split_records(records: DataFrame) -> DataFrame:
+    """SC3 for files of any size: the rows of :func:`~logsleuth.sources.records.split_records`
+    as :func:`parse_cloudtrail_text` gives them."""
+    rows = records.select("path", F.lit(0).cast("long").alias("line_index"), "record_index", "record",
+                          F.array_compact(F.array("error")).alias("_file_errors"))
+    return parse_records(rows, "record").withColumn("errors", F.concat("_file_errors", "errors")).drop("_file_errors")
+
+
 def valid(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.size("errors") == 0).drop("errors")
 

@@ -14,6 +14,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import fits_whole
+
 
 def list_log_files(spark: SparkSession, root: str, prefix: str = "",
                    start_date: datetime | None = None, end_date: datetime | None = None,
@@ -48,31 +50,58 @@ def list_log_files(spark: SparkSession, root: str, prefix: str = "",
                      F.col("length").alias("size"))
 
 
-def read_whole_files(spark: SparkSession, paths) -> DataFrame:
+def _reader(spark: SparkSession, recursive: bool):
+    return spark.read.option("recursiveFileLookup", str(recursive).lower())
+
+
+def _fits(whole_bytes):
+    return fits_whole(F.col("_metadata.file_path"), F.col("_metadata.file_size"), whole_bytes)
+
+
+def read_whole_files(spark: SparkSession, paths, recursive: bool = False, whole_bytes: int | None = None) -> DataFrame:
     """SC2: one row per file: ``path``, decompressed UTF-8 ``value``,
-    ``file_size`` on disk."""
+    ``file_size`` on disk; with ``whole_bytes`` only the files up to that size
+    (others are not opened)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.text(paths, wholetext=True)
+    df = _reader(spark, recursive).text(paths, wholetext=True)
+    df = df if whole_bytes is None else df.where(_fits(whole_bytes))
     return df.select(F.col("_metadata.file_path").alias("path"), "value",
                      F.col("_metadata.file_size").alias("file_size"))
 
 
+def large_files(spark: SparkSession, paths, recursive: bool, whole_bytes: int) -> DataFrame:
+    """``path`` of the files above ``whole_bytes``, from the listing alone."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    df = _reader(spark, recursive).format("binaryFile").load(paths).select("path", "length")
+    return df.where(~fits_whole(F.col("path"), F.col("length"), whole_bytes)).select("path")
+
+
+def only_listed(df: DataFrame, listing: DataFrame) -> DataFrame:
+    """The rows of files (``path``) that a listing names.  The listing stays a
+    DataFrame; no list of paths goes through the driver."""
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    keys = listing.select(bare(F.col("path")).alias("_key")).distinct()
+    return df.withColumn("_key", bare(F.col("path"))).join(keys, "_key", "left_semi").drop("_key")
+
+
 def read_listed(spark: SparkSession, root: str, listing: DataFrame, wholetext: bool = True) -> DataFrame:
     """SC2 for a listing (:func:`list_log_files`) of any length: the files under
     ``root`` whose path is listed, as :func:`read_whole_files` or, with
-    ``wholetext=False``, as lines.  The listing stays a DataFrame; no list of
-    paths goes through the driver."""
-    df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=wholetext)
+    ``wholetext=False``, as lines."""
+    df = _reader(spark, True).text(root, wholetext=wholetext)
     df = df.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_size").alias("file_size"))
-    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    keys = listing.select(bare(F.col("path")).alias("_key")).distinct()
-    return df.withColumn("_key", bare(F.col("path"))).join(keys, "_key", "left_semi").drop("_key")
+    return only_listed(df, listing)
 
 
-def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """Line-oriented read for large (splittable) flow logs: ``path, value``."""
+def read_lines(spark: SparkSession, paths, recursive: bool = False, whole_bytes: int | None = None) -> DataFrame:
+    """Line-oriented read for large (splittable) flow logs: ``path, value``; with
+    ``whole_bytes`` only the files above that size, with their ``file_size``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = _reader(spark, recursive).text(paths)
+    if whole_bytes is None:
+        return df.select(F.col("_metadata.file_path").alias("path"), "value")
+    return df.where(~_fits(whole_bytes)).select(F.col("_metadata.file_path").alias("path"), "value",
+                                                F.col("_metadata.file_size").alias("file_size"))
 
 
 def file_stem(path_col) -> F.Column:

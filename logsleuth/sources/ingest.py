@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from . import cloudtrail as CT
 from . import flowlogs as FL
-from .files import file_stem, read_listed, read_whole_files
+from . import records as R
+from .files import file_stem, large_files, only_listed, read_lines, read_listed, read_whole_files
 
 
 def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
-                 bucket: str | None = None, max_files: int | None = None):
-    """SC6/SC8 over many files at once.
+                 bucket: str | None = None, max_files: int | None = None, whole_bytes: int = R.WHOLE_BYTES):
+    """SC6/SC8 over many files at once, of any size.
 
     Returns ``(events, flows, manifest, errors)``: valid audit events, valid
     flow records (both with ``path``), one manifest row per file with
@@ -25,18 +26,52 @@ def ingest_files(spark: SparkSession, paths, event_source: str | None = None,
     else ``local-<stem>``), ``event_source``, ``log_count``, ``size_bytes``
     (UTF-8 bytes of the decompressed text for object-store reads, bytes on
     disk for local reads) and its error count, and the error texts as rows.
+
+    Files up to ``whole_bytes`` (less for compressed ones) are parsed in one piece.
+    Larger ones are split at record boundaries, flow logs by line (their rows have
+    no ``line_number``); their format comes from the path, else from the extension
+    (``.log`` and ``.txt`` are flow logs), as no sample is read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if max_files is not None:
         paths = paths[:max_files]
-    return ingest_texts(read_whole_files(spark, paths), event_source, bucket)
+    return _ingest(spark, paths, None, event_source, bucket, whole_bytes)
 
 
 def ingest_listing(spark: SparkSession, root: str, listing: DataFrame, event_source: str | None = None,
-                   bucket: str | None = None):
+                   bucket: str | None = None, whole_bytes: int = R.WHOLE_BYTES):
     """:func:`ingest_files` for a listing of any length (a DataFrame with
     ``path``, as :func:`~logsleuth.sources.files.list_log_files` gives)."""
-    return ingest_texts(read_listed(spark, root, listing), event_source, bucket)
+    return _ingest(spark, [root], listing, event_source, bucket, whole_bytes)
+
+
+def _large_format(path):
+    """Format of a file that is too large for a sample."""
+    p = F.lower(path)
+    flow = p.contains("vpc") | p.contains("flow") | F.regexp_replace(p, R.COMPRESSED, "").rlike(r"\.(log|txt)$")
+    return F.when(~p.contains("cloudtrail") & flow, "vpc_flow").otherwise("cloudtrail")
+
+
+def _only(df: DataFrame, listing: DataFrame | None) -> DataFrame:
+    return df if listing is None else only_listed(df, listing)
+
+
+def _ingest(spark, paths, listing, event_source, bucket, whole_bytes):
+    recursive = listing is not None
+    whole = _only(read_whole_files(spark, paths, recursive, whole_bytes), listing)
+    files, ct, fl = _parse_texts(whole, event_source)
+    if not _only(large_files(spark, paths, recursive, whole_bytes), listing).isEmpty():
+        kind = F.lit(event_source) if event_source else _large_format(F.col("path"))
+        parts = _only(R.fragments(spark, paths, recursive, whole_bytes), listing).where(kind == "cloudtrail")
+        lines = read_lines(spark, paths, recursive, whole_bytes)
+        lines = _only(lines, listing).where(kind == "vpc_flow")
+        texts = parts.groupBy("path").agg(F.sum(F.octet_length("value") + 1).alias("n"), F.first("file_size").alias("file_size")) \
+                     .unionByName(lines.groupBy("path").agg(F.sum(F.octet_length("value") + 1).alias("n"),
+                                                            F.first("file_size").alias("file_size")))
+        files = files.unionByName(texts.select("path", kind.alias("event_source"), (F.col("n") - 1).alias("text_bytes"), "file_size"))
+        ct = ct.unionByName(CT.parse_split_records(R.split_records(parts)), allowMissingColumns=True)
+        fl = fl.unionByName(FL.parse_flow_lines(lines.drop("file_size")), allowMissingColumns=True)
+    return _outputs(files, ct, fl, bucket)
 
 
 def ingest_flow_listing(spark: SparkSession, root: str, listing: DataFrame):
@@ -47,8 +82,8 @@ def ingest_flow_listing(spark: SparkSession, root: str, listing: DataFrame):
     return FL.valid(parsed), FL.rejected(parsed)
 
 
-def ingest_texts(raw: DataFrame, event_source: str | None = None, bucket: str | None = None):
-    """The body of :func:`ingest_files` over ``path, value, file_size`` rows."""
+def _parse_texts(raw: DataFrame, event_source: str | None):
+    """Files, parsed audit records and parsed flow lines of ``path, value, file_size`` rows."""
     if event_source is None:
         raw = CT.detect_format(raw)
     else:
@@ -56,12 +91,20 @@ def ingest_texts(raw: DataFrame, event_source: str | None = None, bucket: str |
     ct = CT.parse_cloudtrail_text(raw.where(F.col("event_source") == "cloudtrail")
                                      .select("path", "value"))
     fl = FL.parse_flow_text(raw.where(F.col("event_source") == "vpc_flow").select("path", "value"))
+    return raw.select("path", "event_source", F.octet_length("value").alias("text_bytes"), "file_size"), ct, fl
+
+
+def ingest_texts(raw: DataFrame, event_source: str | None = None, bucket: str | None = None):
+    """:func:`ingest_files` over ``path, value, file_size`` rows of whole files."""
+    return _outputs(*_parse_texts(raw, event_source), bucket)
+
+
+def _outputs(files: DataFrame, ct: DataFrame, fl: DataFrame, bucket: str | None):
     ct_counts = ct.groupBy("path").agg(F.count_if(F.size("errors") == 0).alias("log_count"),
                                        F.count_if(F.size("errors") > 0).alias("error_count"))
     fl_counts = fl.groupBy("path").agg(F.count_if(F.col("error").isNull()).alias("log_count"),
                                        F.count_if(F.col("error").isNotNull()).alias("error_count"))
     counts = ct_counts.unionByName(fl_counts)
-    files = raw.select("path", "event_source", F.octet_length("value").alias("text_bytes"), "file_size")
     man = files.join(counts, "path", "left")
     key = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "")
     if bucket:
@@ -81,8 +124,9 @@ def ingest_texts(raw: DataFrame, event_source: str | None = None, bucket: str |
                         F.concat_ws("; ", "errors").alias("error"))
                 .unionByName(fl.where(F.col("error").isNotNull())
                                .select("path", F.col("line_number").cast("long").alias("position"),
-                                       F.concat(F.lit("Line "), F.col("line_number").cast("string"),
-                                                F.lit(": "), F.col("error")).alias("error"))))
+                                       F.concat(F.coalesce(F.concat(F.lit("Line "), F.col("line_number").cast("string"),
+                                                                    F.lit(": ")), F.lit("")),
+                                                F.col("error")).alias("error"))))
     return CT.valid(ct), FL.valid(fl), manifest, errors
 
 
@@ -104,7 +148,12 @@ def write_events(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "over
     df.write.mode(mode).json(path)
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """SC11/SC14: a JSON file holding a list, a ``Records`` object or one
+def read_json_documents(spark: SparkSession, paths, recursive: bool = False,
+                        whole_bytes: int = R.WHOLE_BYTES) -> DataFrame:
+    """SC11/SC14: JSON files of any size, each a list, a ``Records`` object or one
     object → parsed audit records (same recipe as SC3)."""
-    return CT.parse_cloudtrail_text(read_whole_files(spark, path).select("path", "value"))
+    parsed = CT.parse_cloudtrail_text(read_whole_files(spark, paths, recursive, whole_bytes).select("path", "value"))
+    if large_files(spark, paths, recursive, whole_bytes).isEmpty():
+        return parsed
+    parts = R.fragments(spark, paths, recursive, whole_bytes)
+    return parsed.unionByName(CT.parse_split_records(R.split_records(parts)))

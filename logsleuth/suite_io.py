@@ -101,29 +101,89 @@ def q_scan_audit_json_lines_events(spark, sf):
                                       F.max(F.when(~bad, F.col("eventTime"))).cast("timestamp_ntz").alias("last_seen"))
 
 
-@register("ingest_manifest_events", """
-SELECT 'local-' || event_type AS batch_id, 'cloudtrail' AS event_source, count_if(event_id % 97 <> 0)::BIGINT AS log_count,
-       count_if(event_id % 97 = 0)::BIGINT AS error_count FROM events GROUP BY event_type""")
-def q_ingest_manifest_events(spark, sf):
-    """SC1 listing to SC6 manifest, one whole file of JSON lines per event type."""
+FILE_EVENTS = 5000
+
+
+def _record_files(spark, sf, form):
+    """Audit files of at most ``FILE_EVENTS`` events of one type each, written by
+    Spark without a row above one event: the first event of a file opens it, the
+    others follow after a comma, a last row closes it.  ``form`` gives the opening
+    and the closing text of a file from its number."""
     root = _folder(spark, "audit-files")
-    lines = _audit_lines(spark, sf)
-    body = lines.groupBy("event_type").agg(F.concat(F.lit('{"Records":['), F.array_join(F.collect_list("value"), ","),
-                                                    F.lit("]}")).alias("value"))
-    body.write.partitionBy("event_type").text(f"{root}/cloudtrail")
+    lines = _audit_lines(spark, sf).withColumn("bucket", F.expr(f"event_id div {FILE_EVENTS}"))
+    key = ["event_type", "bucket"]
+    first = lines.groupBy(*key).agg(F.min("event_id").alias("first"))
+    opening, closing = form(F.col("bucket"))
+    body = lines.join(first, key).select(*key, "event_id", F.concat(
+        F.when(F.col("event_id") == F.col("first"), opening).otherwise(F.lit(",")), "value").alias("value"))
+    ends = first.select(*key, F.lit(None).cast("long").alias("event_id"), closing.alias("value"))
+    (body.unionByName(ends).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_last("event_id"))
+         .drop("event_id").write.partitionBy(*key).text(f"{root}/cloudtrail"))
+    return root
+
+
+def _records_object(bucket):
+    return F.lit('{"Records":['), F.lit("]}")
+
+
+def _manifest(spark, sf, whole_bytes):
+    """One row per file, for which the type is read from the path."""
+    root = _record_files(spark, sf, _records_object)
     listing = files.list_log_files(spark, root, "cloudtrail/")
-    _, _, manifest, _ = ingest.ingest_listing(spark, root, listing)
-    kind = F.regexp_extract("source_key", "event_type=([^/]+)/", 1)
-    return manifest.select(F.concat(F.lit("local-"), kind).alias("batch_id"), "event_source", "log_count", "error_count")
+    _, _, manifest, _ = ingest.ingest_listing(spark, root, listing, whole_bytes=whole_bytes)
+    return manifest.withColumn("event_type", F.regexp_extract("source_key", "event_type=([^/]+)/", 1))
+
+
+_MANIFEST_SQL = f"""
+SELECT 'local-' || event_type AS batch_id, 'cloudtrail' AS event_source, count(DISTINCT event_id // {FILE_EVENTS}) AS files,
+       count_if(event_id % 97 <> 0)::BIGINT AS log_count, count_if(event_id % 97 = 0)::BIGINT AS error_count
+FROM events GROUP BY event_type"""
+
+
+def _manifest_by_type(spark, sf, whole_bytes):
+    return _manifest(spark, sf, whole_bytes).groupBy(F.concat(F.lit("local-"), "event_type").alias("batch_id"), "event_source") \
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("log_count").alias("log_count"), F.sum("error_count").alias("error_count"))
+
+
+@register("ingest_manifest_events", _MANIFEST_SQL)
+def q_ingest_manifest_events(spark, sf):
+    """SC1 listing to SC6 manifest, many bounded files per event type."""
+    return _manifest_by_type(spark, sf, ingest.R.WHOLE_BYTES)
+
+
+@register("ingest_split_manifest_events", _MANIFEST_SQL)
+def q_ingest_split_manifest_events(spark, sf):
+    """SC6 with every file split at record boundaries instead of parsed whole."""
+    return _manifest_by_type(spark, sf, 0)
+
+
+def _json_documents(spark, sf, whole_bytes):
+    """SC11/SC14: files that hold a list (even numbers) or a ``Records`` object."""
+    root = _record_files(spark, sf, lambda bucket: tuple(
+        F.when(bucket % 2 == 0, a).otherwise(F.lit(b)) for a, b in (("[ ", '{"x": {"Records": [1]}, "Records" : ['), ("]\n", "]}"))))
+    p = ingest.read_json_documents(spark, root, recursive=True, whole_bytes=whole_bytes)
+    bad = F.size("errors") > 0
+    return p.groupBy("eventName").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("rejected"),
+                                      F.max(F.when(~bad, F.col("eventTime"))).cast("timestamp_ntz").alias("last_seen"))
+
+
+@register("json_documents_whole_events", ORACLE["scan_audit_json_lines_events"])
+def q_json_documents_whole_events(spark, sf):
+    return _json_documents(spark, sf, ingest.R.WHOLE_BYTES)
+
+
+@register("json_documents_split_events", ORACLE["scan_audit_json_lines_events"])
+def q_json_documents_split_events(spark, sf):
+    return _json_documents(spark, sf, 0)
 
 
-@register("ingest_batch_summary_events", """
-SELECT count(DISTINCT event_type) AS files_processed, count_if(event_id % 97 <> 0)::BIGINT AS total_events,
-       count(DISTINCT CASE WHEN event_id % 97 = 0 THEN event_type END) AS files_with_errors,
+@register("ingest_batch_summary_events", f"""
+SELECT count(DISTINCT (event_type, event_id // {FILE_EVENTS})) AS files_processed, count_if(event_id % 97 <> 0)::BIGINT AS total_events,
+       count(DISTINCT CASE WHEN event_id % 97 = 0 THEN (event_type, event_id // {FILE_EVENTS}) END) AS files_with_errors,
        count_if(event_id % 97 = 0)::BIGINT AS rejected_records FROM events""")
 def q_ingest_batch_summary_events(spark, sf):
-    manifest = q_ingest_manifest_events(spark, sf)
-    return ingest.batch_summary(manifest)
+    """SC7: totals over the files of an ingest."""
+    return ingest.batch_summary(_manifest(spark, sf, ingest.R.WHOLE_BYTES))
 
 
 @register("sink_json_round_trip_events", """
