@@ -21,11 +21,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import behavior as B
 from ..operators import enrich as EN
@@ -70,82 +72,103 @@ def tumbling_alarm(events: DataFrame, ts_col: str, metric: F.Column, period: str
 
 # ----------------------------------------------------------------------- ST2
 
-PROFILE_STATE = ("total long, hours array<long>, actions array<string>, sources array<string>, "
-                 "last_ts timestamp")
 PROFILE_OUT = ("event_id long, entity_type string, entity_id string, anomaly_type string, "
                "score double, confidence double, factors array<string>")
 
 
-def _profile_fn(mode: str, min_events: int, lookback_days: int | None):
-    risk = {a: B.HIGH_RISK_SCORE for a in B.HIGH_RISK_ACTIONS}
-    risk.update({a: B.MEDIUM_RISK_SCORE for a in B.MEDIUM_RISK_ACTIONS})
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            total, hours, actions, sources, last_ts = state.get
-            hours, actions, sources = list(hours), set(actions), set(sources)
-        else:
-            total, hours, actions, sources, last_ts = 0, [0] * 24, set(), set(), None
-        parts = [p for p in pdfs if len(p)]
+class ProfileDetector(StatefulProcessor):
+    """ST2 state of one (entity_type, entity_id): the number of events, a map from
+    hour to events, a map of seen actions and one of seen sources.  An update reads
+    and writes the entries of the batch's own hours, actions and sources, whatever
+    the profile has collected before."""
+
+    def __init__(self, mode: str, min_events: int, lookback_days: int | None):
+        self.mode, self.min_events, self.lookback_ms = mode, min_events, lookback_days and lookback_days * 86_400_000
+        self.risk = dict.fromkeys(B.HIGH_RISK_ACTIONS, B.HIGH_RISK_SCORE) | dict.fromkeys(B.MEDIUM_RISK_ACTIONS, B.MEDIUM_RISK_SCORE)
+        self.default, self.source_score = B.DEFAULT_RISK_SCORE, B.NEW_SOURCE_SCORE
+
+    def init(self, handle):
+        self.handle = handle
+        self.total = handle.getValueState("total", "n long, last_ms long")
+        self.hours = handle.getMapState("hours", "hour int", "n long")
+        self.actions = handle.getMapState("actions", "action string", "seen boolean")
+        self.sources = handle.getMapState("sources", "source string", "seen boolean")
+
+    def _seen_before(self, state, values):
+        """For each row whether its value was there before it; new values are kept."""
+        first = ~values.duplicated()
+        known = {v: state.containsKey((v,)) for v in values[first]}
+        for v, old in known.items():
+            if not old:
+                state.updateValue((v,), (True,))
+        return ~first | values.map(known).astype(bool)
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [p for p in rows if len(p)]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["ts", "event_id"])
+        ev = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+        n, last = self.total.get() if self.total.exists() else (0, None)
+        own = 1 if self.mode == "parity" else 0  # parity counts an event before it is judged
+        total = n + np.arange(len(ev)) + own
+        hour = ev["ts"].dt.hour.astype(int)
+        base = {h: self.hours.getValue((h,))[0] if self.hours.containsKey((h,)) else 0 for h in hour.unique().tolist()}
+        count = hour.map(base) + hour.groupby(hour).cumcount() + own
+        for h, k in hour.value_counts().items():
+            self.hours.updateValue((int(h),), (int(base[h] + k),))
+        source = ev["source"].where(ev["source"].astype(bool) & ev["source"].notna(), None)
+        some = source.dropna()
+        old_action = self._seen_before(self.actions, ev["action"])
+        old_source = self._seen_before(self.sources, some).reindex(ev.index, fill_value=True)
+        if own:
+            old_action[:], old_source[:] = True, True
+        last = max(last or 0, int(ev["ts"].iloc[-1].timestamp() * 1000))
+        self.total.update((int(n + len(ev)), last))
+        if self.lookback_ms:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.lookback_ms)
+        judged = (total >= self.min_events) & (total > 0)
+        share = count / np.maximum(total, 1)
+        who = (str(key[0]) if key[0] is not None else None, str(key[1]) if key[1] is not None else None)
         out = []
-        for ev in pdf.itertuples(index=False):
-            hr = ev.ts.hour
-            src = ev.source if isinstance(ev.source, str) and ev.source else None
-            if mode == "parity":
-                total += 1
-                hours[hr] += 1
-                actions.add(ev.action)
-                if src:
-                    sources.add(src)
-            if total >= min_events and total > 0:
-                hc = hours[hr]
-                share = hc / total
-                if share < 0.05 and hc < 2:
-                    out.append((ev.event_id, key[0], key[1], "time_pattern_anomaly",
-                                min(8.0 - share * 100, 10.0), 0.8,
-                                [f"Unusual activity hour: {hr:02d}:00", f"Historical frequency: {share:.1%}"]))
-                if ev.action not in actions:
-                    out.append((ev.event_id, key[0], key[1], "behavioral_deviation",
-                                risk.get(ev.action, B.DEFAULT_RISK_SCORE), 0.7,
-                                [f"New action: {ev.action}", "No historical precedent"]))
-                if src and src not in sources:
-                    out.append((ev.event_id, key[0], key[1], "behavioral_deviation", B.NEW_SOURCE_SCORE, 0.6,
-                                [f"New source IP: {src}", "No historical precedent"]))
-            if mode == "prior":
-                total += 1
-                hours[hr] += 1
-                actions.add(ev.action)
-                if src:
-                    sources.add(src)
-            last_ts = ev.ts
-        state.update((total, hours, sorted(actions), sorted(sources), last_ts))
-        if lookback_days is not None:
-            wm = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(wm, int(pd.Timestamp(last_ts).timestamp() * 1000))
-                                      + lookback_days * 86_400_000)
+        for i in np.flatnonzero(judged & (share < 0.05) & (count < 2)):
+            out.append((ev["event_id"][i], *who, "time_pattern_anomaly", min(8.0 - share[i] * 100, 10.0), 0.8,
+                        [f"Unusual activity hour: {hour[i]:02d}:00", f"Historical frequency: {share[i]:.1%}"]))
+        for i in np.flatnonzero(judged & ~old_action):
+            a = ev["action"][i]
+            out.append((ev["event_id"][i], *who, "behavioral_deviation", self.risk.get(a, self.default), 0.7,
+                        [f"New action: {a}", "No historical precedent"]))
+        for i in np.flatnonzero(judged & ~old_source):
+            out.append((ev["event_id"][i], *who, "behavioral_deviation", self.source_score, 0.6,
+                        [f"New source IP: {source[i]}", "No historical precedent"]))
         if out:
             yield pd.DataFrame(out, columns=["event_id", "entity_type", "entity_id", "anomaly_type",
                                              "score", "confidence", "factors"])
-    return fn
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        for state in (self.total, self.hours, self.actions, self.sources):
+            state.clear()
+        return iter(())
+
+    def close(self):
+        pass
 
 
 def profile_detector_stream(ee: DataFrame, mode: str = "parity", min_events: int = 10,
                             lookback_days: int | None = None, watermark: str = "30 minutes") -> DataFrame:
     """ST2: keyed profile state per (entity_type, entity_id) with W3/W4
     detection; ``ee`` rows: event_id, ts, entity_type, entity_id, action, source.
-    Profiles are never forgotten unless ``lookback_days`` is given."""
+    Rows of a key are taken in (ts, event_id) order within a micro-batch.  Profiles
+    are never forgotten unless ``lookback_days`` is given: then an event-time timer
+    clears a profile that long after its last event.  Needs the RocksDB state store
+    (:func:`~logsleuth.streaming.runner.rocksdb_state`)."""
     src = ee.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "entity_type", "entity_id",
                     "action", "source")
     src = src.withWatermark("ts", watermark) if ee.isStreaming else src
-    return (src.groupBy("entity_type", "entity_id")
-               .applyInPandasWithState(_profile_fn(mode, min_events, lookback_days), PROFILE_OUT,
-                                       PROFILE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return src.groupBy("entity_type", "entity_id").transformWithStateInPandas(
+        ProfileDetector(mode, min_events, lookback_days), PROFILE_OUT, "Append",
+        "EventTime" if lookback_days is not None and ee.isStreaming else "None")
 
 
 # ----------------------------------------------------------------------- ST3

@@ -8,6 +8,7 @@ unset, as in tests), so a restarted driver resumes from the same progress.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +28,31 @@ def stream_files(spark: SparkSession, folder: str, schema: str, fmt: str = "parq
     return r.load(folder)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The RocksDB state store for streams started inside; a started stream keeps
+    it, the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Process everything available with an ``availableNow`` trigger into a
     parquet sink and return the sink as a batch DataFrame."""
     spark = stream.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = (stream.writeStream.format("parquet").outputMode(output_mode)
-               .option("path", f"{root}/out").option("checkpointLocation", f"{root}/chk")
-               .trigger(availableNow=True).start())
+    with rocksdb_state(spark):
+        q = (stream.writeStream.format("parquet").outputMode(output_mode)
+                   .option("path", f"{root}/out").option("checkpointLocation", f"{root}/chk")
+                   .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 

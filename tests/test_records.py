@@ -100,13 +100,13 @@ def test_documents_and_ingest_do_not_depend_on_the_bound(spark, folder, tmp_path
 
 def test_a_file_above_the_variant_limit(spark, tmp_path):
     """A file of 300 MB, above the limit of a VARIANT, keeps all its records."""
-    filler = "x, " * 1500
+    filler = "x.y, " + "x. " * 1500
     with open(tmp_path / "big.json", "w") as f:
         f.write('{"Records":[')
         for i in range(66_000):
             f.write(("," if i else "") + '{"eventID":"e%d","userAgent":"%s"}' % (i, filler))
         f.write("]}")
-    assert (tmp_path / "big.json").stat().st_size > 290 << 20
+    assert (tmp_path / "big.json").stat().st_size > 290_000_000
     got = read_json_documents(spark, str(tmp_path / "big.json"))
     row = got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("eventID").alias("ids"), F.max("record_index").alias("last"),
                   F.sum(F.length("userAgent")).alias("chars")).first()
