@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hof import explode_rows
 from ..plans.keys import join_on
-from ..plans.ranking import balanced_segments, running_count, running_total
+from ..plans.ranking import balanced_segments, running_count, running_total, running_totals
 from ..session import cut_lineage
 
 # Action risk classes for new actions (default 4.0).
@@ -106,8 +106,18 @@ def _py_list(arr: Column) -> Column:
 
 # --------------------------------------------------------------------- profiles
 
-def entity_profiles(ee: DataFrame) -> DataFrame:
-    """A3: final behaviour profile per (entity_type, entity_id).
+def within_lookback(ee: DataFrame, lookback_days: int, as_of=None) -> DataFrame:
+    """The events of the last ``lookback_days`` up to ``as_of`` (the latest
+    event when not given)."""
+    if as_of is None:
+        as_of = ee.agg(F.max("ts").alias("t")).first()["t"]
+    end = F.lit(as_of).cast(ee.schema["ts"].dataType)
+    return ee.where((F.col("ts") > end - F.expr(f"INTERVAL {lookback_days} DAYS")) & (F.col("ts") <= end))
+
+
+def entity_profiles(ee: DataFrame, lookback_days: int | None = None, as_of=None) -> DataFrame:
+    """A3: final behaviour profile per (entity_type, entity_id), of all events or
+    of those :func:`within_lookback`.
 
     ``ee`` has one row per (event, entity): event_id, ts, entity_type,
     entity_id, action, source, region.  Histograms are bounded (24 hours,
@@ -115,6 +125,7 @@ def entity_profiles(ee: DataFrame) -> DataFrame:
     reported as a count (see :func:`entity_sources` for the long form).
     """
     k = ["entity_type", "entity_id"]
+    ee = ee if lookback_days is None else within_lookback(ee, lookback_days, as_of)
     base = ee.groupBy(*k).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.count(F.lit(1)).alias("total_events"),
@@ -137,28 +148,70 @@ def entity_sources(ee: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ W3 / W4 detectors
 
+def _marks(prior: bool, *more) -> Column:
+    """What an event counts for: its hour and, in prior mode, action and source."""
+    mark = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("v"))
+    out = [*more, mark("hour", F.hour("ts").cast("string"))]
+    if prior:
+        out += [mark("action", F.col("action")), F.when(_truthy(F.col("source")), mark("source", F.col("source")))]
+    return F.explode(F.array_compact(F.array(*out)))
+
+
+def _sliding_firsts(ee: DataFrame, prior: bool, lookback_days: int, segment_rows: int):
+    """The rows of :func:`_firsts` when an event is forgotten ``lookback_days``
+    after it.  Every event adds one to its entity, hour, action and source and takes
+    it back when it expires; running sums over data-following segments give the
+    counts inside the lookback, so no entity is one task."""
+    k = ["entity_type", "entity_id"]
+    every = F.struct(F.lit("all").alias("kind"), F.lit("").alias("v"))
+    x = ee.select(*k, "event_id", F.col("ts").cast("timestamp").alias("ts"), "ent_ord", *(["action", "source"] if prior else []))
+    x = x.select(*k, "event_id", "ts", "ent_ord", _marks(prior, every).alias("_m")).select("*", "_m.*").drop("_m")
+    step = lambda at, w: F.struct(at.alias("_at"), F.lit(w).alias("_w"))
+    x = x.withColumn("_s", F.explode(F.array(step(F.col("ts"), 1), step(F.col("ts") + F.expr(f"INTERVAL {lookback_days} DAYS"), -1))))
+    x = cut_lineage(balanced_segments(x.select("*", "_s.*").drop("_s"), "_at", rows=segment_rows))
+    # what expires at an instant is gone before the events of that instant
+    x = running_totals(x, [*k, "kind", "v"], ["_at", "_w", "event_id", "ent_ord"], F.col("_bal"), {"_c": F.col("_w")})
+    x = cut_lineage(x.where("_w = 1").drop("_w", "_at", "_bal"))
+    event = [*k, "event_id", "ts", "ent_ord"]
+    total = x.where("kind = 'all'").select(*event, F.col("_c").alias("_n"))
+    rare = x.where((F.col("kind") == "hour") & (F.col("_c") < (3 if prior else 2))
+                   | F.col("kind").isin("action", "source") & (F.col("_c") == 1))
+    rare = join_on(rare, total, event).withColumn("_ev", F.struct("ts", "event_id", "ent_ord", "_n"))
+    hours = rare.where("kind = 'hour'").select(*k, F.col("v").alias("_hour"), "_ev", (F.col("_c") - int(prior)).alias("_hc"))
+    return hours, rare.where("kind <> 'hour'").select(*k, "kind", "v", "_ev")
+
+
 def behavioral_anomalies(ee: DataFrame, mode: str = "parity", min_events: int = 10,
-                         segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+                         segment_rows: int = SEGMENT_ROWS, lookback_days: int | None = None) -> DataFrame:
     """W3 (unusual hour), W4 (new action, new source) for every (event, entity).
 
     An hour is unusual only while it was seen less than twice, so just the first
     two events of each (entity, hour) can fire, and W4 fires on the first event
     of an (entity, action) or (entity, source): all are smallest rows of a group.
+    With ``lookback_days`` (T3, off by default) only the events after that many
+    days before an event count, for the number of events too: an action or source
+    is new again when its last event is as old as the lookback.
     Output follows :data:`ANOMALY_COLS`.
     """
     if mode not in ("parity", "prior"):
         raise ValueError("mode must be 'parity' or 'prior'")
-    k = ["entity_type", "entity_id"]
     prior = mode == "prior"
+    if lookback_days is None:
+        hours, first = _firsts(ee, prior, segment_rows)
+    else:
+        hours, first = _sliding_firsts(ee, prior, lookback_days, segment_rows)
+    return _anomaly_rows(hours, first, prior, min_events)
+
+
+def _firsts(ee: DataFrame, prior: bool, segment_rows: int):
+    """``(hours, first)``: the events that see their hour for the first (or second)
+    time with the earlier count ``_hc``, and the first of each action and source."""
+    k = ["entity_type", "entity_id"]
     x = ee.select(*k, "event_id", "ts", "ent_ord", *(["action", "source"] if prior else []))
     x = cut_lineage(balanced_segments(x, "ts", rows=segment_rows))
     x = cut_lineage(running_count(x, k, ["ts", "event_id", "ent_ord"], F.col("_bal"), "_n").drop("_bal"))
     x = x.withColumn("_hour", F.hour("ts").cast("string")).withColumn("_ev", F.struct("ts", "event_id", "ent_ord", "_n"))
-    marks = [F.struct(F.lit("hour").alias("kind"), F.col("_hour").alias("v"))]
-    if prior:
-        marks += [F.struct(F.lit("action").alias("kind"), F.col("action").alias("v")),
-                  F.when(_truthy(F.col("source")), F.struct(F.lit("source").alias("kind"), F.col("source").alias("v")))]
-    first = (x.select(*k, "_ev", F.explode(F.array_compact(F.array(*marks))).alias("_m")).select(*k, "_ev", "_m.*")
+    first = (x.select(*k, "_ev", _marks(prior).alias("_m")).select(*k, "_ev", "_m.*")
               .groupBy(*k, "kind", "v").agg(F.min("_ev").alias("_ev")))
     first = cut_lineage(first)
     hours = first.where("kind = 'hour'").select(*k, F.col("v").alias("_hour"), "_ev")
@@ -168,6 +221,10 @@ def behavioral_anomalies(ee: DataFrame, mode: str = "parity", min_events: int =
         hours = hours.withColumn("_hc", F.lit(0)).unionByName(second.withColumn("_hc", F.lit(1)))
     else:
         hours = hours.withColumn("_hc", F.lit(1))
+    return hours, first
+
+
+def _anomaly_rows(hours: DataFrame, first: DataFrame, prior: bool, min_events: int) -> DataFrame:
     n = F.col("_ev._n") - (1 if prior else 0)
     gate = (n >= F.lit(min_events)) & (n > 0)
     share = F.col("_hc") / n

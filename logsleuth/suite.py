@@ -320,26 +320,38 @@ def _hist_str(m):
         ":", e["key"].cast("string"), e["value"].cast("string"))))
 
 
-@register("behavior_profiles_events", f"""
+def _duck_profiles(source="ee"):
+    return f"""
 WITH {_EE_SQL},
+e AS (SELECT * FROM {source}),
 b AS (SELECT entity_type, entity_id, count(*) AS total_events, min(ts) AS first_seen, max(ts) AS last_seen,
              string_agg(DISTINCT action, ',' ORDER BY action) AS actions,
-             count(DISTINCT source) AS n_sources FROM ee GROUP BY ALL),
+             count(DISTINCT source) AS n_sources FROM e GROUP BY ALL),
 h AS (SELECT entity_id, string_agg(hr || ':' || c, ',' ORDER BY hr) AS hours
-      FROM (SELECT entity_id, hr, count(*) AS c FROM ee GROUP BY ALL) GROUP BY ALL),
+      FROM (SELECT entity_id, hr, count(*) AS c FROM e GROUP BY ALL) GROUP BY ALL),
 g AS (SELECT entity_id, string_agg(region || ':' || c, ',' ORDER BY region) AS regions
-      FROM (SELECT entity_id, region, count(*) AS c FROM ee GROUP BY ALL) GROUP BY ALL)
+      FROM (SELECT entity_id, region, count(*) AS c FROM e GROUP BY ALL) GROUP BY ALL)
 SELECT * FROM b JOIN h USING (entity_id) JOIN g USING (entity_id)
-""")
-def q_behavior_profiles_events(spark, sf):
-    p = B.entity_profiles(events_entity_rows(spark, sf))
-    return p.select("entity_type", "entity_id", "total_events", "first_seen", "last_seen",
-                    F.concat_ws(",", "unique_actions").alias("actions"), "n_sources",
-                    _hist_str(F.col("time_patterns")).alias("hours"),
-                    _hist_str(F.col("geo_patterns")).alias("regions"))
+"""
+
+
+def _profiles_q(**options):
+    def q(spark, sf):
+        p = B.entity_profiles(events_entity_rows(spark, sf), **options)
+        return p.select("entity_type", "entity_id", "total_events", "first_seen", "last_seen",
+                        F.concat_ws(",", "unique_actions").alias("actions"), "n_sources",
+                        _hist_str(F.col("time_patterns")).alias("hours"),
+                        _hist_str(F.col("geo_patterns")).alias("regions"))
+    return q
+
 
+register("behavior_profiles_events", _duck_profiles())(_profiles_q())
+# Profiles of the last week
+register("behavior_profiles_lookback_events", _duck_profiles(
+    "ee WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY"))(_profiles_q(lookback_days=7))
 
-def _duck_behavior(mode: str, min_events: int = 10) -> str:
+
+def _duck_behavior(mode: str, min_events: int = 10, lookback_days: int | None = None) -> str:
     if mode == "parity":
         n, hc = "n_incl", "h_incl"
         extra = ""
@@ -357,14 +369,21 @@ UNION ALL
 SELECT event_id, entity_id, 'behavioral_deviation', 6.0, 0.6,
        'New source IP: ' || source || ' | No historical precedent'
 FROM c WHERE {n} >= {min_events} AND source IS NOT NULL AND source <> '' AND s_incl = 1"""
-    return f"""
-WITH {_EE_SQL},
-c AS (SELECT *,
+    counts = """c AS (SELECT *,
         count(*) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_incl,
         count(*) OVER (PARTITION BY entity_id, hr ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS h_incl,
         count(*) OVER (PARTITION BY entity_id, action ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a_incl,
         count(*) OVER (PARTITION BY entity_id, source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s_incl
-      FROM ee),
+      FROM ee)"""
+    if lookback_days is not None:
+        counts = f"""c AS (SELECT a.event_id, a.entity_id, a.hr, a.action, a.source, count(*) AS n_incl, count(*) FILTER (b.hr = a.hr) AS h_incl,
+        count(*) FILTER (b.action = a.action) AS a_incl, count(*) FILTER (b.source = a.source) AS s_incl
+      FROM ee AS a JOIN ee AS b ON a.entity_id = b.entity_id AND b.ts > a.ts - INTERVAL {lookback_days} DAY
+        AND (b.ts < a.ts OR b.ts = a.ts AND b.event_id <= a.event_id)
+      GROUP BY a.event_id, a.entity_id, a.hr, a.action, a.source)"""
+    return f"""
+WITH {_EE_SQL},
+{counts},
 r AS (
 SELECT event_id, entity_id, 'time_pattern_anomaly' AS anomaly_type,
        least(8.0 - 100.0 * {hc} / {n}, 10.0) AS score, 0.8 AS confidence,
@@ -374,9 +393,9 @@ FROM c WHERE {n} >= {min_events} AND {n} > 0 AND {hc} * 1.0 / {n} < 0.05 AND {hc
 SELECT event_id, entity_id, anomaly_type, round(score, 6) AS score, confidence, factors FROM r"""
 
 
-def _behavior_q(mode):
+def _behavior_q(mode, **options):
     def q(spark, sf):
-        a = B.behavioral_anomalies(events_entity_rows(spark, sf), mode=mode)
+        a = B.behavioral_anomalies(events_entity_rows(spark, sf), mode=mode, **options)
         return a.select("event_id", "entity_id", "anomaly_type", r6("score").alias("score"),
                         "confidence", F.concat_ws(" | ", "factors").alias("factors"))
     return q
@@ -384,6 +403,9 @@ def _behavior_q(mode):
 
 register("behavior_parity_events", _duck_behavior("parity"))(_behavior_q("parity"))
 register("behavior_prior_events", _duck_behavior("prior"))(_behavior_q("prior"))
+# Only the events of the last days count
+register("behavior_lookback_events", _duck_behavior("prior", 5, 3))(_behavior_q("prior", min_events=5, lookback_days=3))
+register("behavior_lookback_parity_events", _duck_behavior("parity", 5, 20))(_behavior_q("parity", min_events=5, lookback_days=20))
 
 
 def orders_with_part_entities(spark, sf):
