@@ -196,8 +196,9 @@ def _entities(reach):
 
 def pair_counts(docs: DataFrame, text_col: str, reach: int, doubt: float, bits: float) -> tuple[DataFrame, DataFrame]:
     """``(g, n_e, n_entities)``: groups of entities with the same documents, and
-    ``(g, t, n_t, n_et, n_c)``: the term's documents, the pair's documents and
-    different contexts, of all pairs that can leave ``bits`` bits or fewer."""
+    ``(g, t, n_et, n_c)``: documents and different contexts of all pairs that can
+    leave ``bits`` bits or fewer."""
+    least = max(1, math.ceil(math.log2(doubt) / bits))
     rows = stage(for_arrow(docs, text_or_empty(text_col).alias("text"))
                  .mapInArrow(_entities(reach), "ents array<struct<e:bigint,c:bigint>>, terms array<bigint>")
                  .withColumn("rid", F.monotonically_increasing_id()), "pii-entities")
@@ -208,26 +209,35 @@ def pair_counts(docs: DataFrame, text_col: str, reach: int, doubt: float, bits:
                                        F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("s2"))
                 .groupBy("e").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("contexts"),
                                   F.sum("s1").alias("s1"), F.bit_xor("s2").alias("s2"))
-                .where(F.col("contexts") >= max(1, math.ceil(math.log2(doubt) / bits))))
+                .where(F.col("contexts") >= least))
     sets = stage(sets.select("e", "n_e", F.xxhash64("n_e", "s1", "s2").alias("g")), "pii-entity-groups")
     groups = sets.groupBy("g").agg(F.max("n_e").alias("n_e"), F.count(F.lit(1)).alias("n_entities"))
     mine = stage(ents.join(sets, "e").groupBy("rid", "g").agg(F.min("c").alias("c"), F.max("n_e").alias("n_e")),
                  "pii-entity-documents")
-    terms = rows.join(mine.select("rid").distinct(), "rid").select("rid", F.explode("terms").alias("t"))
-    n_t = stage(document_counts(docs, text_col, terms.select("t").distinct()), "pii-terms")
-    pairs = (terms.join(n_t, "t").join(mine, "rid")
-                  .where(F.col("n_t") <= F.col("n_e") * F.lit(2.0 ** bits))
+    # a term's documents among these are the least that its count can be; those that
+    # cannot reach the bits beside any entity of theirs go before the pairs
+    top = mine.groupBy("rid").agg(F.max("n_e").alias("top"))
+    terms = rows.join(top, "rid").select("rid", "top", F.explode("terms").alias("t"))
+    some = terms.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.max("top").alias("top"))
+    some = some.where((F.col("m") >= least) & (F.col("m") <= F.col("top") * F.lit(2.0 ** bits))).drop("top")
+    pairs = (terms.join(some, "t").join(mine, "rid").where(F.col("m") <= F.col("n_e") * F.lit(2.0 ** bits))
                   # documents of a pair, and apart from them its different contexts
-                  .groupBy("g", "t", "n_t", "c").agg(F.count(F.lit(1)).alias("n"))
-                  .groupBy("g", "t", "n_t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c")))
+                  .groupBy("g", "t", "m", "c").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy("g", "t", "m").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_c"))
+                  .where(_unknown("m", doubt) <= bits).drop("m"))
     return stage(groups, "pii-groups"), stage(pairs, "pii-pairs")
 
 
+def _unknown(n_t: str, doubt: float):
+    return F.log2(F.col(n_t) / F.col("n_et")) + F.lit(math.log2(doubt)) / F.col("n_c")
+
+
 def unknown_bits(docs: DataFrame, text_col: str, reach: int, doubt: float, bits: float) -> DataFrame:
     """``(g, t, n_entities, unknown)`` of every pair that leaves ``bits`` or fewer."""
     groups, pairs = pair_counts(docs, text_col, reach, doubt, bits)
-    left = F.log2(F.col("n_t") / F.col("n_et")) + F.lit(math.log2(doubt)) / F.col("n_c")
-    return pairs.join(groups, "g").select("g", "t", "n_entities", left.alias("unknown")).where(F.col("unknown") <= bits)
+    n_t = stage(document_counts(docs, text_col, pairs.select("t").distinct()), "pii-terms")
+    return (pairs.join(n_t, "t").join(groups, "g")
+                 .select("g", "t", "n_entities", _unknown("n_t", doubt).alias("unknown")).where(F.col("unknown") <= bits))
 
 
 def _spans(shared):
