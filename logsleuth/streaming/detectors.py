@@ -3,12 +3,13 @@
 - ST1 enrichment is the batch expression set applied to a stream (stateless,
   no shuffle): :func:`enrich_stream`.
 - ST5/ST6 alarms are watermarked tumbling-window aggregates:
-  :func:`tumbling_alarm`.
+  :func:`tumbling_alarm`; their changes between OK and ALARM, missing periods
+  included: :func:`alarm_state_stream`, in batch :func:`alarm_transitions`.
 - ST9 duplicate delivery: :func:`dedupe_stream` (``dropDuplicatesWithinWatermark``).
-- ST2 (entity profiles with time/action/source detection) and ST3 (per-user
-  escalation lookback) keep keyed state with ``applyInPandasWithState``:
-  Arrow batches per key group, state per key, event-time timeouts drop idle
-  keys (ST2 after the profile lookback, ST3 after the escalation lookback).
+- ST2 (entity profiles with time/action/source detection) keeps map state with
+  ``transformWithState`` on RocksDB, ST3 (per-user escalation lookback) state of
+  fixed size with ``applyInPandasWithState``; event time drops idle keys (ST2
+  after the profile lookback if one is given, ST3 after the escalation lookback).
   Rows of a key are processed in (ts, event_id) order within a micro-batch;
   rows behind the watermark are dropped by Spark (ST8, a stated divergence
   from arrival-order processing).
@@ -24,7 +25,7 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -70,6 +71,89 @@ def tumbling_alarm(events: DataFrame, ts_col: str, metric: F.Column, period: str
                       "value", (F.col("value") >= threshold).alias("alarm"))
 
 
+def alarm_transitions(periods: DataFrame, period: str = "1 minute", threshold: float = 1.0, key: str | None = None) -> DataFrame:
+    """ST5/ST6 in batch: ``alarm, at, state`` at every change between ``OK`` and
+    ``ALARM`` of the tumbling periods of ``periods`` (``period_start``, ``value``).
+    A period without data does not breach, so a run of breaching periods ends at the
+    first one that is missing or below the threshold."""
+    length = F.expr(f"INTERVAL {period}")
+    w = Window.partitionBy("alarm").orderBy("period_start")
+    x = periods.select((F.col(key) if key else F.lit("alarm")).alias("alarm"), "period_start", "value").where(F.col("value") >= threshold)
+    x = x.select("alarm", "period_start", F.lag("period_start").over(w).alias("before"), F.lead("period_start").over(w).alias("next"))
+    change = lambda at, state: F.struct(at.alias("at"), F.lit(state).alias("state"))
+    after = F.col("period_start") + length
+    return x.select("alarm", F.explode(F.array_compact(F.array(
+        F.when(~F.col("before").eqNullSafe(F.col("period_start") - length), change(F.col("period_start"), "ALARM")),
+        F.when(~F.col("next").eqNullSafe(after), change(after, "OK"))))).alias("c")).select("alarm", "c.*")
+
+
+class AlarmState(StatefulProcessor):
+    """State of one alarm: whether it is on, and its last breaching period.  Closed
+    periods switch it; a timer at the end of the next period switches it off when
+    that period brings no row."""
+
+    def __init__(self, period_ms: int, threshold: float):
+        self.period, self.threshold = period_ms, threshold
+
+    def init(self, handle):
+        self.handle = handle
+        self.on = handle.getValueState("on", "last_ms long")
+
+    def _rows(self, key, changes):
+        if changes:
+            yield pd.DataFrame({"alarm": [key[0]] * len(changes), "at": pd.to_datetime([t for t, _ in changes], unit="ms"),
+                                "state": [s for _, s in changes]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = [p for p in rows if len(p)]
+        if not found:
+            return
+        closed = pd.concat(found).sort_values("start_ms")
+        last, out = self.on.get()[0] if self.on.exists() else None, []
+        for at, value in zip(closed["start_ms"].tolist(), closed["value"].tolist()):
+            if last is not None and at > last + self.period:  # periods without data lie between
+                out.append((last + self.period, "OK"))
+                last = None
+            if value is not None and value >= self.threshold:
+                if last is None:
+                    out.append((at, "ALARM"))
+                last = at
+            elif last is not None:
+                out.append((at, "OK"))
+                last = None
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if last is None:
+            self.on.clear()
+        else:
+            self.on.update((int(last),))
+            self.handle.registerTimer(int(last + 2 * self.period))
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.on.exists():
+            last = self.on.get()[0]
+            self.on.clear()
+            yield from self._rows(key, [(last + self.period, "OK")])
+
+    def close(self):
+        pass
+
+
+def alarm_state_stream(events: DataFrame, ts_col: str, metric: F.Column, period: str = "1 minute",
+                       watermark: str = "5 minutes", threshold: float = 1.0, key: str | None = None) -> DataFrame:
+    """ST5/ST6 on a stream: the changes of :func:`alarm_transitions` once the
+    watermark has closed the period.  Periods are summed first (partial aggregates),
+    so an alarm's state sees one row a period, whatever the number of events."""
+    millis = int(pd.Timedelta(period).total_seconds() * 1000)
+    alarm = (F.col(key) if key else F.lit("alarm")).alias("alarm")
+    sums = (events.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, period), alarm)
+                  .agg(F.sum(metric).cast("double").alias("value")))
+    return (sums.select("window", "alarm", F.unix_millis("window.start").alias("start_ms"), "value").groupBy("alarm")
+                .transformWithStateInPandas(AlarmState(millis, threshold), "alarm string, at timestamp, state string",
+                                            "Append", "EventTime"))
+
+
 # ----------------------------------------------------------------------- ST2
 
 PROFILE_OUT = ("event_id long, entity_type string, entity_id string, anomaly_type string, "

@@ -345,6 +345,33 @@ def _event_files(spark, sf, name, parts=3):
     return time_ordered_files(ev, "ts", name, parts)
 
 
+_ALARM_SQL = """
+WITH p AS (SELECT time_bucket(INTERVAL 60 minute, ts) AS s, count(*) FILTER (event_type = 'error') AS v FROM events GROUP BY 1),
+c AS (SELECT unnest(generate_series(min(s), max(s) + INTERVAL 60 minute, INTERVAL 60 minute)) AS s FROM p),
+st AS (SELECT c.s, coalesce(v, 0) >= 2 AS on_ FROM c LEFT JOIN p USING (s) {closed}),
+ch AS (SELECT s, on_, coalesce(lag(on_) OVER (ORDER BY s), false) AS was FROM st)
+SELECT 'alarm' AS alarm, s AS at, CASE WHEN on_ THEN 'ALARM' ELSE 'OK' END AS state FROM ch WHERE on_ <> was"""
+
+
+@register("alarm_transitions_events", _ALARM_SQL.format(closed=""))
+def q_alarm_transitions_events(spark, sf):
+    """ST5/ST6: changes of the hourly error alarm against a calendar of all hours."""
+    ev = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    periods = SD.tumbling_alarm(ev, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0), "60 minutes")
+    out = SD.alarm_transitions(periods, "60 minutes", 2)
+    return out.select("alarm", F.col("at").cast("timestamp_ntz").alias("at"), "state")
+
+
+@register("stream_alarm_states_events", _ALARM_SQL.format(
+    closed="WHERE c.s + INTERVAL 60 minute <= (SELECT max(ts) FROM events) - INTERVAL 10 minute"))
+def q_stream_alarm_states_events(spark, sf):
+    """ST5/ST6 on a stream: the changes in all hours that the watermark has closed."""
+    s = stream_files(spark, _event_files(spark, sf, "alarms"), _EV, max_files_per_trigger=1)
+    out = run_available_now(SD.alarm_state_stream(s, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0),
+                                                  "60 minutes", "10 minutes", 2), "alarm-states")
+    return out.select("alarm", F.col("at").cast("timestamp_ntz").alias("at"), "state")
+
+
 @register("stream_dedupe_redelivered_events", "SELECT event_id, event_type FROM events")
 def q_stream_dedupe_redelivered_events(spark, sf):
     """ST9: a file of events delivered twice leaves one row per event."""
