@@ -317,46 +317,86 @@ def escalation_stream(events: DataFrame, user_col: str = "user_key", action_col:
                                        "append", GroupStateTimeout.EventTimeTimeout))
 
 
+# ----------------------------------------------------------------------- ST8
+
+def late_split_batch(batch: DataFrame, batch_id: int, root: str, ts_col: str = "ts", delay: str = "30 minutes") -> None:
+    """ST8 body for ``foreachBatch``: rows behind the watermark (the latest time of
+    the batches before, less ``delay``) go to ``root/late``, all others to
+    ``root/kept``, which a stateful stream reads.  None is lost: kept and late
+    together are the input.  Each batch has its own folders and its own latest time,
+    so a retried batch rewrites the same."""
+    spark = batch.sparkSession
+    try:
+        seen = spark.read.schema("latest timestamp, batch long").parquet(f"{root}/latest")
+        latest = seen.where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        latest = None
+    batch.agg(F.max(F.col(ts_col).cast("timestamp")).alias("latest")) \
+         .write.mode("overwrite").parquet(f"{root}/latest/batch={batch_id}")
+    late = F.coalesce(F.col(ts_col).cast("timestamp") < F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    batch.where(late).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+    batch.where(~late).write.mode("overwrite").parquet(f"{root}/kept/batch={batch_id}")
+
+
 # ----------------------------------------------------------------------- ST4
 
 COMBINATION_STATE = "family string, key string, count long"
 
 
-def _latest_snapshot(spark, state_root: str, batch_id: int) -> int | None:
-    """Batch id of the newest snapshot before ``batch_id``, None if there is none."""
+COMPACT_EVERY = 16
+
+
+def _batches(spark, folder: str, before: int) -> list[int]:
+    """Batch ids below ``before`` that have a folder, from the listing's partitions."""
     try:
-        seen = spark.read.schema(f"{COMBINATION_STATE}, batch long").parquet(state_root)
+        seen = spark.read.schema(f"{COMBINATION_STATE}, batch long").parquet(folder)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return []
         raise
-    return seen.where(F.col("batch") < batch_id).agg(F.max("batch").alias("b")).first()["b"]
+    return sorted(r["batch"] for r in seen.where(F.col("batch") < before).select("batch").distinct().collect())
+
+
+def combination_state(spark, state_root: str, before: int | None = None) -> DataFrame | None:
+    """ST4: the counts of all batches (of those before ``before``): the latest
+    compacted state and the deltas after it.  None if there is none."""
+    before = 1 << 62 if before is None else before
+    base = _batches(spark, f"{state_root}/base", before)[-1:]
+    deltas = [b for b in _batches(spark, f"{state_root}/delta", before) if not base or b > base[0]]
+    paths = [f"{state_root}/base/batch={b}" for b in base] + [f"{state_root}/delta/batch={b}" for b in deltas]
+    if not paths:
+        return None
+    rows = spark.read.schema(COMBINATION_STATE).parquet(*paths)
+    return rows.groupBy("family", "key").agg(F.sum("count").alias("count"))
 
 
 def combination_batch_update(batch: DataFrame, batch_id: int, state_root: str,
-                             entities_col: str = "entities") -> DataFrame:
+                             entities_col: str = "entities", compact_every: int = COMPACT_EVERY) -> DataFrame:
     """ST4 body for ``foreachBatch``: fold one micro-batch of events into the
     combination-count state (family, key, count; family ``total`` holds the
-    number of multi-entity events) and return the new snapshot.
-
-    Snapshots are versioned by batch id under ``state_root`` (a folder in the
-    shared checkpoint location): batch *n* reads the latest snapshot before *n*
-    and writes snapshot *n*, so a retried batch rewrites the same snapshot from
-    the same input (idempotent).  Only a folder that does not exist counts as
-    empty state; any other failure to read it fails the batch."""
+    number of multi-entity events) and return the new state.
+
+    A batch writes its own counts as a delta under its batch id in ``state_root`` (a
+    folder in the shared checkpoint location), so what is written follows the batch,
+    not the history; every ``compact_every``-th batch also folds all deltas into a
+    compacted state.  A retried batch rewrites its own folders from the same input.
+    Only a folder that does not exist counts as empty state; any other failure to
+    read it fails the batch."""
     spark = batch.sparkSession
     counts = B.combination_counts(batch, entities_col)
     total = batch.agg(F.count_if(F.size(entities_col) >= 2).cast("long").alias("count")).select(
         F.lit("total").alias("family"), F.lit("").alias("key"), "count")
     new = counts.select("family", "key", F.col("count").cast("long")).unionByName(total)
-    merged = new
-    last = _latest_snapshot(spark, state_root, batch_id)
-    if last is not None:
-        old = spark.read.schema(COMBINATION_STATE).parquet(f"{state_root}/batch={last}")
-        merged = old.unionByName(new).groupBy("family", "key").agg(F.sum("count").alias("count"))
-    out = f"{state_root}/batch={batch_id}"
-    merged.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    new.write.mode("overwrite").parquet(f"{state_root}/delta/batch={batch_id}")
+    if (batch_id + 1) % compact_every == 0:
+        prior = combination_state(spark, state_root, batch_id)
+        own = spark.read.schema(COMBINATION_STATE).parquet(f"{state_root}/delta/batch={batch_id}")
+        rows = own if prior is None else prior.unionByName(own)
+        rows.groupBy("family", "key").agg(F.sum("count").alias("count")) \
+            .write.mode("overwrite").parquet(f"{state_root}/base/batch={batch_id}")
+    return combination_state(spark, state_root, batch_id + 1)
 
 
 def rare_pair_batch(batch: DataFrame, batch_id: int, state_root: str, out_root: str, entities_col: str = "entities",
@@ -366,9 +406,7 @@ def rare_pair_batch(batch: DataFrame, batch_id: int, state_root: str, out_root:
     inside it, then fold it into the state.  With micro-batches in event-time
     order the result is that of the batch operator.  Output and state are kept
     per batch id, so a repeated batch rewrites both."""
-    last = _latest_snapshot(batch.sparkSession, state_root, batch_id)
-    prior = None if last is None else batch.sparkSession.read.schema(COMBINATION_STATE).parquet(
-        f"{state_root}/batch={last}")
+    prior = combination_state(batch.sparkSession, state_root, batch_id)
     hits = B.rare_combinations(batch, entities_col, rarity_threshold, min_observations, prior=prior)
     hits.write.mode("overwrite").parquet(f"{out_root}/batch={batch_id}")
     combination_batch_update(batch, batch_id, state_root, entities_col)

@@ -79,16 +79,37 @@ def run_updates_now(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
                 .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
 
 
-def time_ordered_files(df: DataFrame, ts_col: str, name: str, parts: int = 3) -> str:
-    """Write ``df`` as ``parts`` consecutive time ranges, one after the other, and
-    return the folder: a file stream reads them oldest first, so with one trigger
-    per file the micro-batches follow event time."""
-    spark = df.sparkSession
+ROWS_PER_FILE = 200_000
+
+
+def write_batches(parts: list[DataFrame], name: str, rows_per_file: int = ROWS_PER_FILE) -> tuple[str, int]:
+    """Write ``parts`` one after the other as files of about ``rows_per_file`` rows,
+    the same number of files for each, and return the folder and that number: a file
+    stream reads the oldest files first, so with ``maxFilesPerTrigger`` of that
+    number each micro-batch is one part, whatever its size.  Parts without rows are
+    left out."""
+    spark = parts[0].sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    counts = [p.count() for p in parts]
+    some = [n for n in counts if n]
+    files = max(1, min([-(-max(some) // rows_per_file), *some])) if some else 1
+    if not some:
+        parts[0].write.parquet(root)
+    written = 0
+    for part, n in zip(parts, counts):
+        if n:
+            part.repartition(files).write.mode("append").parquet(root)
+            written += files
+    if some and len(spark.read.schema(parts[0].schema).parquet(root).inputFiles()) != written:
+        raise RuntimeError(f"a part of {root} has not {files} files")
+    return root, files
+
+
+def time_ordered_files(df: DataFrame, ts_col: str, name: str, parts: int = 3) -> tuple[str, int]:
+    """:func:`write_batches` of ``parts`` consecutive time ranges, so that the
+    micro-batches follow event time; rows without a time go with the first."""
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     span = df.agg(F.min(us).alias("a"), F.max(us).alias("b")).first()
     width = max(1, ((span["b"] or 0) - (span["a"] or 0)) // parts + 1)
-    for i in range(parts):
-        lo = (span["a"] or 0) + i * width
-        df.where((us >= lo) & (us < lo + width)).coalesce(1).write.mode("append").parquet(root)
-    return root
+    number = F.coalesce(F.floor((us - F.lit(span["a"] or 0)) / F.lit(width)), F.lit(0))
+    return write_batches([df.where(number == i) for i in range(parts)], name)

@@ -1324,7 +1324,8 @@ def _event_files(spark, sf):
 
 
 def _events_stream(spark, sf):
-    s = stream_files(spark, _event_files(spark, sf), _EVENTS_SCHEMA, max_files_per_trigger=1)
+    root, files = _event_files(spark, sf)
+    s = stream_files(spark, root, _EVENTS_SCHEMA, max_files_per_trigger=files)
     k = F.get_json_object("props", "$.k")
     return s.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
                     F.col("event_type").alias("action"), k.alias("source"),
@@ -1338,7 +1339,8 @@ SELECT time_bucket(INTERVAL 1 minute, ts) AS period_start,
        sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 1 AS alarm
 FROM events GROUP BY ALL""")
 def q_stream_error_alarm_events(spark, sf):
-    ev = stream_files(spark, _event_files(spark, sf), _EVENTS_SCHEMA, max_files_per_trigger=1)
+    root, files = _event_files(spark, sf)
+    ev = stream_files(spark, root, _EVENTS_SCHEMA, max_files_per_trigger=files)
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
     out = SD.tumbling_alarm(ev, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0), "1 minute",
                             watermark="1 day")
@@ -1377,8 +1379,8 @@ FROM orders GROUP BY ALL""")
 def q_stream_reconcile_alarm_orders(spark, sf):
     """ST6: missing reconciliations (open and not applied) per 60 minutes."""
     au = audit_from_orders(spark, sf, F.col("o_orderdate").cast("timestamp").alias("ts"))
-    files = time_ordered_files(au, "ts", "recommendations")
-    x = stream_files(spark, files, au.schema.simpleString()[7:-1].replace(":", " "), max_files_per_trigger=1)
+    root, files = time_ordered_files(au, "ts", "recommendations")
+    x = stream_files(spark, root, au.schema.simpleString()[7:-1].replace(":", " "), max_files_per_trigger=files)
     missing = ((F.col("status") == "RECOMMENDED") & ~GV.action_applied(x)).cast("int")
     out = run_updates_now(SD.tumbling_alarm(x, "ts", missing, "60 minutes", watermark="1 day"), "reconcile_alarm",
                           ["period_start"])

@@ -22,7 +22,7 @@ from .session import checkpoint_dir, cut_lineage
 from .sources import cloudtrail as CT
 from .sources import csvio, files, flowlogs as FL, ingest
 from .streaming import detectors as SD
-from .streaming.runner import run_available_now, run_updates_now, stream_files, time_ordered_files
+from .streaming.runner import run_available_now, run_updates_now, stream_files, time_ordered_files, write_batches
 from .suite import (ORACLE, _duck_behavior, _duck_engine_ctes, _duck_escalation, audit_from_orders, events_as_audit,
                     events_entity_rows, orders_with_part_entities, r6, register, scored_events)
 from .tables import table
@@ -366,7 +366,8 @@ def q_alarm_transitions_events(spark, sf):
     closed="WHERE c.s + INTERVAL 60 minute <= (SELECT max(ts) FROM events) - INTERVAL 10 minute"))
 def q_stream_alarm_states_events(spark, sf):
     """ST5/ST6 on a stream: the changes in all hours that the watermark has closed."""
-    s = stream_files(spark, _event_files(spark, sf, "alarms"), _EV, max_files_per_trigger=1)
+    root, files = _event_files(spark, sf, "alarms")
+    s = stream_files(spark, root, _EV, max_files_per_trigger=files)
     out = run_available_now(SD.alarm_state_stream(s, "ts", F.when(F.col("event_type") == "error", 1).otherwise(0),
                                                   "60 minutes", "10 minutes", 2), "alarm-states")
     return out.select("alarm", F.col("at").cast("timestamp_ntz").alias("at"), "state")
@@ -376,10 +377,8 @@ def q_stream_alarm_states_events(spark, sf):
 def q_stream_dedupe_redelivered_events(spark, sf):
     """ST9: a file of events delivered twice leaves one row per event."""
     ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    root = _folder(spark, "redelivered")
-    for _ in range(2):
-        ev.coalesce(1).write.mode("append").parquet(root)
-    s = stream_files(spark, root, _EV, max_files_per_trigger=1)
+    root, files = write_batches([ev, ev], "redelivered")
+    s = stream_files(spark, root, _EV, max_files_per_trigger=files)
     return run_available_now(SD.dedupe_stream(s, watermark="3650 days"), "dedupe").select("event_id", "event_type")
 
 
@@ -395,14 +394,32 @@ def q_stream_late_events_dropped(spark, sf):
     dropped.  Spark tests late rows against the watermark of the batch before, so
     the first file's watermark holds from the third batch on."""
     ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    root = _folder(spark, "late")
-    for part in (ev.where("event_id % 10 > 1"), ev.where("event_id % 10 = 1"), ev.where("event_id % 10 = 0")):
-        part.coalesce(1).write.mode("append").parquet(root)
-    s = stream_files(spark, root, _EV, max_files_per_trigger=1)
+    root, files = write_batches([ev.where(f"event_id % 10 {x}") for x in ("> 1", "= 1", "= 0")], "late")
+    s = stream_files(spark, root, _EV, max_files_per_trigger=files)
     out = run_updates_now(SD.tumbling_alarm(s, "ts", F.lit(1), "60 minutes", watermark="1 day"), "late", ["period_start"])
     return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), F.col("value").cast("bigint").alias("value"))
 
 
+@register("stream_late_split_events", """
+WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 10 > 1 THEN 0 WHEN event_id % 10 = 1 THEN 1 ELSE 2 END AS batch FROM events),
+w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
+      FROM e GROUP BY batch)
+SELECT event_id, coalesce(ts < latest - INTERVAL 1 day, false) AS late FROM e JOIN w USING (batch)""")
+def q_stream_late_split_events(spark, sf):
+    """ST8: late rows kept in an output of their own; kept and late are the input."""
+    ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    source, files = write_batches([ev.where(f"event_id % 10 {x}") for x in ("> 1", "= 1", "= 0")], "late-split")
+    root = _folder(spark, "late-split")
+
+    def split(batch, batch_id):
+        SD.late_split_batch(batch, batch_id, root, delay="1 day")
+
+    s = stream_files(spark, source, _EV, max_files_per_trigger=files)
+    s.writeStream.foreachBatch(split).option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start().awaitTermination()
+    read = lambda part: spark.read.schema(_EV).parquet(f"{root}/{part}").select("event_id", F.lit(part == "late").alias("late"))
+    return read("kept").unionByName(read("late"))
+
+
 @register("stream_combination_state_orders", """
 WITH li AS (SELECT l_orderkey, p_brand AS t, CAST(l_partkey AS VARCHAR) AS id, min(l_linenumber) AS ln
             FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
@@ -419,25 +436,24 @@ UNION ALL SELECT 'total', '', count(DISTINCT l_orderkey) FROM ev""")
 def q_stream_combination_state_orders(spark, sf):
     """ST4: the combination state after three micro-batches of orders."""
     ev = orders_with_part_entities(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    root = time_ordered_files(ev, "ts", "combinations")
+    root, files = time_ordered_files(ev, "ts", "combinations")
     state = _folder(spark, "combination-state")
-    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(root)
 
     def fold(batch, batch_id):
-        SD.combination_batch_update(batch, batch_id, state)
+        SD.combination_batch_update(batch, batch_id, state, compact_every=2)
 
     s.writeStream.foreachBatch(fold).option("checkpointLocation", f"{state}-chk").trigger(availableNow=True).start().awaitTermination()
-    last = SD._latest_snapshot(spark, state, 1 << 40)
-    return spark.read.schema(SD.COMBINATION_STATE).parquet(f"{state}/batch={last}")
+    return SD.combination_state(spark, state)
 
 
 @register("stream_rare_pairs_orders", ORACLE["behavior_rare_pairs_orders"])
 def q_stream_rare_pairs_orders(spark, sf):
     """ST4/W5: rare pairs scored on the stream, three micro-batches."""
     ev = orders_with_part_entities(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    root = time_ordered_files(ev, "ts", "rare-pairs")
+    root, files = time_ordered_files(ev, "ts", "rare-pairs")
     state, out = _folder(spark, "rare-pairs-state"), _folder(spark, "rare-pairs-out")
-    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(root)
 
     def score(batch, batch_id):
         SD.rare_pair_batch(batch, batch_id, state, out)

@@ -73,10 +73,10 @@ def test_state_continues_from_latest_snapshot(spark, tmp_path):
     assert total(SD.combination_batch_update(ev, 0, root)) == 1
     assert total(SD.combination_batch_update(ev, 2, root)) == 2  # batch 1 wrote nothing
     assert total(SD.combination_batch_update(ev, 2, root)) == 2  # a repeated batch
-    for f in (tmp_path / "state" / "batch=2").glob("*.parquet"):
+    for f in (tmp_path / "state" / "delta" / "batch=2").glob("*.parquet"):
         f.write_bytes(b"damaged")
     with pytest.raises(Exception):
-        SD.combination_batch_update(ev, 3, root)
+        total(SD.combination_batch_update(ev, 3, root))
 
 
 def test_baseline_from_the_same_history(spark):

@@ -84,3 +84,35 @@ def test_combination_state_snapshots(spark):
     SD.combination_batch_update(b0, 0, root)
     st = {(r.family, r.key): r["count"] for r in SD.combination_batch_update(b1, 1, root).collect()}
     assert st[("types", "('a', 'b')")] == 2 and st[("total", "")] == 2
+
+
+def test_combination_state_deltas(spark, tmp_path):
+    """A batch writes its own counts; compaction folds them; a repeated batch changes nothing."""
+    t = "array<struct<entity_type:string,entity_id:string>>"
+    root = str(tmp_path / "state")
+    batches = [spark.createDataFrame([(i, "x", [("a", str(j)), ("b", str(i))]) for j in range(3)],
+                                     f"event_id long, action string, entities {t}") for i in range(5)]
+    counts = lambda df: {(r.family, r.key): r["count"] for r in df.collect()}
+    for i, b in enumerate(batches):
+        got = counts(SD.combination_batch_update(b, i, root, compact_every=2))
+        assert got[("total", "")] == 3 * (i + 1) == counts(SD.combination_state(spark, root))[("total", "")]
+    assert got == counts(SD.combination_batch_update(batches[4], 4, root, compact_every=2))
+    assert counts(SD.combination_state(spark, root, before=3))[("total", "")] == 9
+    assert sorted(os.listdir(f"{root}/base")) == ["batch=1", "batch=3"] and len(os.listdir(f"{root}/delta")) == 5
+    delta = spark.read.parquet(f"{root}/delta/batch=4")
+    assert counts(delta) == counts(SD.combination_batch_update(batches[4], 0, str(tmp_path / "fresh")))
+
+
+def test_batches_of_many_files(spark):
+    from logsleuth.streaming.runner import time_ordered_files, write_batches
+    ev = spark.range(1000).selectExpr("id", "timestamp_seconds(id * 60) AS ts").unionByName(
+        spark.sql("SELECT -1L AS id, CAST(NULL AS timestamp) AS ts"))
+    root, files = time_ordered_files(ev, "ts", "many")
+    assert files == 1 and spark.read.parquet(root).count() == 1001
+    root, files = write_batches([ev.where("id % 2 = 0"), ev.where("id % 2 = 1"), ev.where("id < -5")], "many", rows_per_file=150)
+    assert files == 4 and spark.read.parquet(root).count() == 1000
+    seen = []
+    s = stream_files(spark, root, "id bigint, ts timestamp", max_files_per_trigger=files)
+    s.writeStream.foreachBatch(lambda b, i: seen.append({r.id % 2 for r in b.collect()})).option(
+        "checkpointLocation", f"{root}-chk").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [{0}, {1}]
