@@ -536,3 +536,35 @@ def save_engine_state(ee: DataFrame, events: DataFrame, path: str) -> None:
     entity_profiles(ee).write.mode("overwrite").parquet(f"{path}/profiles")
     entity_sources(ee).write.mode("overwrite").parquet(f"{path}/sources")
     combination_counts(events).write.mode("overwrite").parquet(f"{path}/combinations")
+
+
+def _merged_counts(profiles: DataFrame, name: str) -> Column:
+    """Sum of the bounded histograms (hours, regions) of one entity's profiles."""
+    entries = F.flatten(F.transform(F.col(name), F.map_entries))
+    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    total = lambda k: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("long"),
+                                  lambda a, e: a + e["value"])
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), total(k).alias("value"))))
+
+
+def merge_engine_state(spark, paths: list[str], path: str) -> None:
+    """SC18: the baselines of several disjoint sets of events (days, say) saved by
+    :func:`save_engine_state` as one, without their events.  Counts add up, times
+    take the least and greatest, action, source and region sets unite; the merge is
+    associative, so merging day by day equals one rebuild."""
+    k = ["entity_type", "entity_id"]
+    read = lambda name: spark.read.parquet(*[f"{p}/{name}" for p in paths])
+    sources = read("sources").distinct()
+    sources.write.mode("overwrite").parquet(f"{path}/sources")
+    n_sources = spark.read.parquet(f"{path}/sources").groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    p = read("profiles")
+    merged = p.groupBy(*k).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("total_events").alias("total_events"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("unique_actions")))).alias("unique_actions"),
+        F.collect_list("time_patterns").alias("time_patterns"), F.collect_list("geo_patterns").alias("geo_patterns"))
+    merged = join_on(merged, n_sources, k, "left").withColumns(
+        {"n_sources": F.coalesce("_n", F.lit(0).cast("long")), "time_patterns": _merged_counts(p, "time_patterns"),
+         "geo_patterns": _merged_counts(p, "geo_patterns")})
+    merged.select(p.columns).write.mode("overwrite").parquet(f"{path}/profiles")
+    (read("combinations").groupBy("family", "key").agg(F.sum("count").alias("count"))
+     .write.mode("overwrite").parquet(f"{path}/combinations"))

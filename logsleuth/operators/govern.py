@@ -8,6 +8,7 @@ retention policy — a literal table of four tiers, broadcast by construction.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,3 +192,65 @@ def reconcile(audit: DataFrame, reconciled_at: Column | None = None):
 def write_audit_snapshot(updated: DataFrame, path: str) -> None:
     """SC17: write the reconciled table as a new parquet snapshot."""
     updated.write.mode("overwrite").parquet(path)
+
+
+# ------------------------------------------------------- versioned keyed table
+# ``path/data/v=<version>/_bucket=<n>`` holds the rows of one bucket of the key as
+# of a version, ``path/manifest/v=<version>`` one row per bucket with the version
+# whose files are current.  Files are never changed; a version exists from the
+# moment its manifest, one file, is committed.
+
+AUDIT_BUCKETS = 64
+_MANIFEST = "bucket int, version long"
+
+
+def audit_versions(spark: SparkSession, path: str) -> list[int]:
+    """SC17: the committed versions, oldest first."""
+    try:
+        seen = spark.read.schema(f"{_MANIFEST}, v long").parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    return sorted(r["v"] for r in seen.select("v").distinct().collect())
+
+
+def _current(spark, path, version):
+    """Bucket number → version of its files; at most the number of buckets."""
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/v={version}").collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def _bucket_rows(spark, path, files, schema):
+    paths = [f"{path}/data/v={v}/_bucket={b}" for b, v in sorted(files.items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def read_audit(spark: SparkSession, path: str, schema, version: int | None = None) -> DataFrame:
+    """SC17: the table as of a version (the latest when not given)."""
+    version = audit_versions(spark, path)[-1] if version is None else version
+    return _bucket_rows(spark, path, _current(spark, path, version), schema)
+
+
+def merge_audit(changes: DataFrame, path: str, key: str = "recommendation_id", buckets: int = AUDIT_BUCKETS) -> int:
+    """SC17: replace the rows of ``changes`` by key, append new keys, and return the
+    new version.  Only buckets with a changed key are written anew; the others stay
+    as they are.  The manifest is committed last: until then, and after a run that
+    stopped half way, readers see the version before.  The first call creates the
+    table.  One writer at a time; ``changes`` has one row per key."""
+    spark, schema = changes.sparkSession, changes.schema
+    versions = audit_versions(spark, path)
+    version = versions[-1] + 1 if versions else 0
+    files = _current(spark, path, versions[-1]) if versions else {}
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = [r["b"] for r in changes.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+    old = _bucket_rows(spark, path, {b: v for b, v in files.items() if b in touched}, schema)
+    rest = old.join(changes.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    rows = rest.unionByName(changes).withColumn("_bucket", bucket)
+    rows.repartition(F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={version}")
+    files |= dict.fromkeys(touched, version)
+    (spark.createDataFrame(sorted(files.items()), _MANIFEST).coalesce(1)
+          .write.mode("overwrite").parquet(f"{path}/manifest/v={version}"))
+    return version

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hof import explode_rows, let
+from ..functions.hof import explode_rows, let, running_starts
 
 # Label suggestion patterns (case-sensitive) by type, in order.
 LABEL_TYPES = ["USER", "ROLE", "RESOURCE", "IP"]
@@ -200,20 +200,21 @@ def words_with_offsets(text: Column, single_space: bool = False) -> Column:
     reproduces offsets that assume one space between words (T13)."""
     if single_space:
         words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
-        init1 = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<w:string,s:int>>").alias("acc"))
-        return F.aggregate(words, init1, lambda acc, w: F.struct(
-            (acc["pos"] + F.length(w) + 1).alias("pos"),
-            F.array_append(acc["acc"], F.struct(w.alias("w"), acc["pos"].alias("s"))).alias("acc"))
-        )["acc"]
+        gaps = lambda ws: F.transform(ws, lambda _, i: F.when(i == 0, 0).otherwise(1))
+        return let(words, lambda ws: _placed(ws, gaps(ws)))
     toks = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), 0)
     segs = F.split(text, r"(?U)\S+", -1)
-    z = F.arrays_zip(F.slice(segs, 1, F.size(toks)).alias("g"), toks.alias("w"))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<w:string,s:int>>").alias("acc"))
-    out = F.aggregate(z, init, lambda acc, x: F.struct(
-        (acc["pos"] + F.length(x["g"]) + F.length(x["w"])).alias("pos"),
-        F.array_append(acc["acc"], F.struct(x["w"].alias("w"),
-                                            (acc["pos"] + F.length(x["g"])).alias("s"))).alias("acc")))
-    return out["acc"]
+    lengths = lambda ws: F.transform(F.slice(segs, 1, F.size(ws)), F.length)
+    return let(toks, lambda ws: _placed(ws, lengths(ws)))
+
+
+def _placed(words: Column, gaps: Column) -> Column:
+    """Words with their starts, as structs ``w, s``; running sums over chunks, so a
+    very long text does not copy a growing array for each word."""
+    empty = F.array().cast("array<struct<w:string,s:int>>")
+    starts = running_starts(gaps, F.transform(words, F.length))
+    return F.when(F.size(words) == 0, empty).otherwise(F.zip_with(
+        words, starts, lambda w, s: F.struct(w.alias("w"), s.cast("int").alias("s"))))
 
 
 def spans_to_bio(text: Column, spans: Column, single_space: bool = False) -> Column:
@@ -294,9 +295,14 @@ def split_assign(id_col: Column, seed: int = 42, train: int = 80, val: int = 10)
     return F.when(h < train, "train").when(h < train + val, "validation").otherwise("test")
 
 
-def upsert_examples(store: DataFrame, updates: DataFrame, key: str = "index") -> DataFrame:
-    """Replace examples by key, append new ones."""
-    return store.join(updates.select(key), key, "left_anti").unionByName(updates)
+def upsert_examples(store: DataFrame, updates: DataFrame, key: str = "index", order: str | None = None) -> DataFrame:
+    """Replace examples by key, append new ones.  Of several updates of one
+    key the latest wins: the one with the greatest ``order``, a column of ``updates``
+    that is not stored; ties, and updates without an order, go to the greatest row."""
+    cols = [c for c in updates.columns if c != order]
+    rank = F.struct(*([order] if order else []), F.to_json(F.struct(*cols)))
+    latest = updates.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_row")).select("_row.*")
+    return store.join(latest.select(key), key, "left_anti").unionByName(latest.select(*cols))
 
 
 def export_conll(examples: DataFrame, path: str, tokens_col: str = "tokens",

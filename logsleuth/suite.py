@@ -335,13 +335,17 @@ SELECT * FROM b JOIN h USING (entity_id) JOIN g USING (entity_id)
 """
 
 
+def profile_columns(p):
+    """Profiles with their sets and histograms as text."""
+    return p.select("entity_type", "entity_id", "total_events", "first_seen", "last_seen",
+                    F.concat_ws(",", "unique_actions").alias("actions"), "n_sources",
+                    _hist_str(F.col("time_patterns")).alias("hours"),
+                    _hist_str(F.col("geo_patterns")).alias("regions"))
+
+
 def _profiles_q(**options):
     def q(spark, sf):
-        p = B.entity_profiles(events_entity_rows(spark, sf), **options)
-        return p.select("entity_type", "entity_id", "total_events", "first_seen", "last_seen",
-                        F.concat_ws(",", "unique_actions").alias("actions"), "n_sources",
-                        _hist_str(F.col("time_patterns")).alias("hours"),
-                        _hist_str(F.col("geo_patterns")).alias("regions"))
+        return profile_columns(B.entity_profiles(events_entity_rows(spark, sf), **options))
     return q
 
 

@@ -24,7 +24,7 @@ from .sources import csvio, files, flowlogs as FL, ingest
 from .streaming import detectors as SD
 from .streaming.runner import run_available_now, run_updates_now, stream_files, time_ordered_files, write_batches
 from .suite import (ORACLE, _duck_behavior, _duck_engine_ctes, _duck_escalation, audit_from_orders, events_as_audit,
-                    events_entity_rows, orders_with_part_entities, r6, register, scored_events)
+                    events_entity_rows, orders_with_part_entities, profile_columns, r6, register, scored_events)
 from .tables import table
 
 
@@ -294,6 +294,18 @@ def q_behavior_baseline_events(spark, sf):
 # --------------------------------------------------------------------------
 # labelling parts (A19, F24, J13, J15, SL7, U4, SC15)
 # --------------------------------------------------------------------------
+@register("labels_upsert_latest_documents", """
+SELECT doc_id AS index, CASE WHEN doc_id % 3 = 0 THEN 'late' ELSE lang END AS label FROM documents""")
+def q_labels_upsert_latest_documents(spark, sf):
+    """Of two updates of one example the later one stays."""
+    d = table(spark, sf, "documents")
+    store = d.select(F.col("doc_id").alias("index"), F.col("lang").alias("label"))
+    third = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("index"))
+    steps = F.explode(F.array(F.struct(F.lit(2).alias("at"), F.lit("late").alias("label")),
+                              F.struct(F.lit(1).alias("at"), F.lit("soon").alias("label"))))
+    return LB.upsert_examples(store, third.select("index", steps.alias("u")).select("index", "u.label", "u.at"), order="at")
+
+
 @register("labels_upsert_documents", """
 SELECT doc_id AS index, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE lang END AS label FROM documents
 UNION ALL SELECT -1 - doc_id, 'changed' FROM documents WHERE doc_id % 3 = 0""")
@@ -658,6 +670,46 @@ def q_govern_snapshot_orders(spark, sf):
     return spark.read.parquet(root).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("govern_versioned_merge_orders", """
+SELECT o_orderstatus AS before, CASE WHEN added THEN 'new'
+            WHEN o_orderstatus = 'O' AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN 'RECONCILED'
+            WHEN o_orderstatus = 'O' THEN 'RECOMMENDED' WHEN o_orderstatus = 'F' THEN 'RECONCILED' ELSE 'DISMISSED' END AS after,
+       count(*) AS n, 2 AS versions
+FROM (SELECT o_orderkey, o_orderstatus, false AS added FROM orders
+      UNION ALL SELECT o_orderkey, NULL, true FROM orders WHERE o_orderkey % 1000 = 0)
+GROUP BY 1, 2""")
+def q_govern_versioned_merge_orders(spark, sf):
+    """SC17: reconciled rows and some new ones merged by key into a versioned table;
+    the rows of the version before beside those of the new one."""
+    root = _folder(spark, "versioned")
+    audit = audit_from_orders(spark, sf, F.col("o_orderstatus").alias("before"))
+    first = GV.merge_audit(audit, root)
+    updated, _ = GV.reconcile(GV.read_audit(spark, root, audit.schema))
+    hits = updated.where(F.col("reconciled_at").isNotNull())
+    new = table(spark, sf, "orders").where("o_orderkey % 1000 = 0").select(
+        F.concat(F.lit("rec--"), F.col("o_orderkey").cast("string")).alias("recommendation_id"), F.lit(None).cast("boolean").alias("applied"),
+        F.lit("new").alias("status"), F.lit(None).cast("timestamp").alias("reconciled_at"), F.lit(None).cast("string").alias("before"))
+    second = GV.merge_audit(hits.unionByName(new), root)
+    old = GV.read_audit(spark, root, audit.schema, first).select("recommendation_id", F.col("before").alias("_before"))
+    now = GV.read_audit(spark, root, audit.schema, second)
+    return now.join(old, "recommendation_id", "left").groupBy(F.col("_before").alias("before"), F.col("status").alias("after")) \
+        .agg(F.count(F.lit(1)).alias("n")).withColumn("versions", F.lit(len(GV.audit_versions(spark, root))))
+
+
+@register("behavior_merged_baseline_events", ORACLE["behavior_profiles_events"])
+def q_behavior_merged_baseline_events(spark, sf):
+    """SC18: baselines of four disjoint sets of events, merged in two steps."""
+    ee = events_entity_rows(spark, sf)
+    root = _folder(spark, "baselines")
+    none = F.array().cast("array<struct<entity_type:string,entity_id:string>>")
+    for i in range(4):
+        some = ee.where(F.col("event_id") % 4 == i)
+        B.save_engine_state(some, some.select("event_id", "action", none.alias("entities")), f"{root}/{i}")
+    B.merge_engine_state(spark, [f"{root}/{i}" for i in range(3)], f"{root}/early")
+    B.merge_engine_state(spark, [f"{root}/early", f"{root}/3"], f"{root}/all")
+    return profile_columns(spark.read.parquet(f"{root}/all/profiles"))
+
+
 @register("analysis_latest_value_events", """
 SELECT event_type, arg_max(round(value, 6), event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1""")
 def q_analysis_latest_value_events(spark, sf):

@@ -64,3 +64,37 @@ def test_reconcile(spark):
     assert (s.scanned, s.reconciled, s.missing) == (2, 1, 1)
     st = {r.recommendation_id: r.status for r in updated.collect()}
     assert st == {"r1": "RECONCILED", "r2": "RECOMMENDED"}
+
+
+def test_versioned_merge_survives_a_half_written_version(spark, tmp_path):
+    """Only touched buckets are written; a version without its manifest is not seen."""
+    import os
+
+    from logsleuth.operators import govern as GV
+    root, schema = str(tmp_path / "audit"), "recommendation_id string, status string"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    rows = lambda version=None: {tuple(r) for r in GV.read_audit(spark, root, schema, version).collect()}
+    first = [(f"r{i}", "RECOMMENDED") for i in range(200)] + [(None, "odd")]
+    assert GV.merge_audit(make(first), root, buckets=16) == 0 and rows() == set(first)
+    change = [("r3", "RECONCILED"), ("new", "RECOMMENDED"), (None, "even")]
+    assert GV.merge_audit(make(change), root, buckets=16) == 1
+    after = (set(first) - {("r3", "RECOMMENDED"), (None, "odd")}) | set(change)
+    assert rows() == after and rows(0) == set(first)
+    assert len([d for d in os.listdir(f"{root}/data/v=1") if d.startswith("_bucket=")]) <= 3
+    # a run that stopped before its manifest: data of version 2 lies there
+    make([("r5", "LOST")]).selectExpr("*", "1 AS _bucket").write.partitionBy("_bucket").parquet(f"{root}/data/v=2")
+    assert GV.audit_versions(spark, root) == [0, 1] and rows() == after
+    assert GV.merge_audit(make([("r5", "RECONCILED")]), root, buckets=16) == 2
+    assert rows() == (after - {("r5", "RECOMMENDED")}) | {("r5", "RECONCILED")}
+    assert GV.merge_audit(make([]), root, buckets=16) == 3 and len(rows()) == 202
+
+
+def test_words_of_long_texts(spark):
+    from logsleuth.operators import labels as LB
+    text = "  one  two\tthree \n" + "w " * 30_000 + "end"
+    df = spark.createDataFrame([(text,), ("",), ("  ",), ("a",)], "t string")
+    got = [r[0] for r in df.select(LB.words_with_offsets(F.col("t"))).collect()]
+    assert all(text[w.s:w.s + len(w.w)] == w.w for w in got[0]) and len(got[0]) == 30_004
+    assert got[1] == [] and got[2] == [] and [tuple(w) for w in got[3]] == [("a", 0)]
+    one = [r[0] for r in df.select(LB.words_with_offsets(F.col("t"), single_space=True)).collect()]
+    assert [tuple(w) for w in one[0][:3]] == [("one", 0), ("two", 4), ("three", 8)] and one[1] == []
