@@ -24,54 +24,66 @@ from logsleuth.tables import table
 
 def _semi(docs: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Null-safe semi or anti join on columns of the same names."""
-    other = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
+    prefix = _fresh(docs, "_k")
+    other = keys.select(*[F.col(c).alias(f"{prefix}{i}") for i, c in enumerate(on)])
     cond = None
     for i, c in enumerate(on):
-        one = docs[c].eqNullSafe(other[f"_k{i}"])
+        one = docs[c].eqNullSafe(other[f"{prefix}{i}"])
         cond = one if cond is None else cond & one
     return docs.join(other, cond, how)
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken or any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=tuple(docs.columns), prefix="_llm_")
-    return scored.where("_llm_predicted = 1").select(*docs.columns)
+    prefix = _fresh(docs, "_llm_")
+    scored = quality.score(docs, model, keep=tuple(docs.columns), prefix=prefix)
+    return scored.where(F.col(f"{prefix}predicted") == 1).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("digest").alias("_llm_digest"))
+    mark, row = _fresh(docs, "_llm_digest"), _fresh(docs, "_llm_row")
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("digest").alias(mark))
     digest = exact_dedup.sha256_hex(exact_dedup.normalised(F.coalesce(F.col("text"), F.lit(""))))
-    rows = _semi(docs.withColumn("_llm_digest", digest), kept, ["doc_id", "_llm_digest"])
+    rows = _semi(docs.withColumn(mark, digest), kept, ["doc_id", mark])
     # rows that share id and text: the longest spelling stays, one row of it
     size = F.length(F.coalesce(F.col("text"), F.lit("")))
     some = F.max_by(F.struct(*docs.columns), F.struct(size, F.coalesce(F.col("text"), F.lit(""))))
-    repeated = rows.groupBy("doc_id", "_llm_digest").agg(some.alias("_llm_row"))
-    return repeated.select("_llm_row.*")
+    repeated = rows.groupBy("doc_id", mark).agg(some.alias(row))
+    return repeated.select(f"{row}.*")
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key per row in ``_llm_row``, written once so that it stays."""
-    return stage(docs.withColumn("_llm_row", F.monotonically_increasing_id()), name)
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key per row, written once so that it stays, and its name."""
+    row = _fresh(docs, "_llm_row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id of each near-duplicate group, null ids last."""
-    rows = _keyed(docs, "simhash-keyed")
+    rows, row = _keyed(docs, "simhash-keyed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id",
-                     F.xxhash64("text").alias("text"), F.col("_llm_row").alias("row"))
+                     F.xxhash64("text").alias("text"), F.col(row).alias("row"))
     groups = simhash.near_duplicates(rows.select(order.alias("_llm_order"), "text"), "_llm_order", shingle=3, max_bits=3)
-    kept = groups.where("_llm_order = component_id").select(F.col("_llm_order.row").alias("_llm_row"))
-    return _semi(rows, kept, ["_llm_row"]).select(*docs.columns)
+    kept = groups.where("_llm_order = component_id").select(F.col("_llm_order.row").alias(row))
+    return _semi(rows, kept, [row]).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark passage."""
-    rows = _keyed(docs, "decontaminate-keyed")
-    found = decontaminate.overlaps(rows, table(spark, sf_dir, "benchmark"), id_col="_llm_row")
-    found = stage(found.select("_llm_row").distinct(), "contaminated")
-    return _semi(rows, found, ["_llm_row"], "left_anti").select(*docs.columns)
+    rows, row = _keyed(docs, "decontaminate-keyed")
+    found = decontaminate.overlaps(rows, table(spark, sf_dir, "benchmark"), id_col=row)
+    found = stage(found.select(row).distinct(), "contaminated")
+    return _semi(rows, found, [row], "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
