@@ -58,3 +58,19 @@ def test_rows_with_null_and_equal_ids(spark, make, tmp_path):
     left = corpus_pipeline.simhash_stage(spark, make(items), str(tmp_path))
     assert key(left.select("doc_id", "text").collect()) == key([items[0], items[3], items[4], items[5], items[8]])
     assert "_llm_row" not in left.columns
+
+
+def test_columns_of_the_pipelines_own_names_come_back(spark, make, tmp_path):
+    """Input columns named like helper columns keep their values through each stage."""
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "words of a benchmark item that no text here holds at all")], "item_id long, text string") \
+        .write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = make([(i, f"text number {i} with words of its own w{i} x{i} y{i}") for i in range(8)])
+    for c in ("_llm_row", "_llm_digest", "_llm_order", "_llm_predicted", "_k0"):
+        docs = docs.selectExpr("*", f"concat('{c}', doc_id) AS `{c}`")
+    for name, fn in corpus_pipeline.STAGES[:4]:
+        out = fn(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert r["_llm_row"] == f"_llm_row{r['doc_id']}" and r["_llm_digest"] == f"_llm_digest{r['doc_id']}", name
+            assert r["_k0"] == f"_k0{r['doc_id']}" and r["_llm_predicted"] == f"_llm_predicted{r['doc_id']}"
