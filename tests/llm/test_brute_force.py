@@ -148,6 +148,39 @@ def test_exact_state_crosses_batches(spark, docs):
     assert a == b
 
 
+def test_exact_state_continues_over_calls(spark, make, tmp_path):
+    """Later calls are judged against all rows so far; a repeated call counts once."""
+    from pyspark.sql import functions as F
+    root = str(tmp_path / "kept state")
+    long = "x y " * 600_000
+    first = [(1, "a b"), (2, "cd"), (3, None), (7, long)]
+    second = [(4, "a  b "), (5, "c d"), (5, "c d"), (6, "new"), (8, long.strip()), (None, "")]
+
+    def seen(items, **kw):
+        out = exact_dedup.exact_dedup(make(items), root=root, **kw).collect()
+        return sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in out)
+    assert seen(first, batch="a") == [(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True), (7, 7, 1, True)]
+    want = [(0, 3, 2, False), (4, 4, 2, True), (5, 5, 3, False), (5, 5, 3, True), (6, 6, 1, True), (8, 7, 2, False)]
+    assert seen(second, batch="b") == want
+    assert seen(second, batch="b") == want
+    assert seen([], batch="c") == []
+
+    # a weak digest: earlier texts come from their locators, in this call and the next
+    root = str(tmp_path / "weak")
+    weak = {"digest": lambda c: F.lit("same")}
+    assert [r[1:] for r in seen(first, batch="a", **weak)] == [(1, 1, True), (2, 1, True), (3, 1, True), (7, 1, True)]
+    assert seen(second, batch="b", **weak) == want
+    assert seen([(9, "cd")], batch="c", **weak) == [(9, 5, 4, False)]
+
+
+def test_exact_locator_finds_the_row(spark, docs):
+    conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    out = exact_dedup.exact_dedup(docs.where("doc_id % 3 = 0"))
+    place = exact_dedup.located(docs).select(exact_dedup.F.col("doc_id").alias("there"), "locator")
+    assert out.join(place, "locator").where("doc_id = there").count() == out.count() > 0
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == conf
+
+
 # ---- op4
 def test_token_counts(spark, rows):
     import sentencepiece
