@@ -51,15 +51,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    mark, row = _fresh(docs, "_llm_digest"), _fresh(docs, "_llm_row")
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("digest").alias(mark))
-    digest = exact_dedup.sha256_hex(exact_dedup.normalised(F.coalesce(F.col("text"), F.lit(""))))
-    rows = _semi(docs.withColumn(mark, digest), kept, ["doc_id", mark])
-    # rows that share id and text: the longest spelling stays, one row of it
-    size = F.length(F.coalesce(F.col("text"), F.lit("")))
-    some = F.max_by(F.struct(*docs.columns), F.struct(size, F.coalesce(F.col("text"), F.lit(""))))
-    repeated = rows.groupBy("doc_id", mark).agg(some.alias(row))
-    return repeated.select(f"{row}.*")
+    mark = _fresh(docs, "_llm_place")
+    rows = exact_dedup.located(docs, mark)
+    dropped = exact_dedup.exact_dedup(rows).where("not kept").select(F.col("locator").alias(mark))
+    # the places of dropped rows move, not texts
+    return _semi(rows, stage(dropped, "exact-dropped"), [mark], "left_anti").select(*docs.columns)
 
 
 def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
