@@ -21,6 +21,7 @@ HEADLINE = [
     "series_mod_z_lineitem",
     "series_mod_z_events",
     "series_rolling_events",
+    "series_rolling_wide_events",
     "entities_documents_text",
     "entities_customer_text",
     "entities_audit_events",

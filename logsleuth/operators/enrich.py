@@ -13,6 +13,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import entities as OE
 
 # Per-type base scores as the handler applies them (T8: it
@@ -106,7 +107,10 @@ def error_records(routed: DataFrame) -> DataFrame:
 
 def write_results(routed: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SC12 sink: compliance rows, error rows and the summary as JSON lines in
-    ``results``, ``errors`` and ``summary`` under ``path``."""
+    ``results``, ``errors`` and ``summary`` under ``path``.  The messages are read and
+    parsed once, into the shared checkpoint folder; the three outputs read the
+    parsed rows, so their totals agree whatever is lost or tried again."""
+    routed = cut_lineage(routed)
     enrich_cloudtrail(routed.where(F.col("status") == "valid")).write.mode(mode).json(f"{path}/results")
     error_records(routed).write.mode(mode).json(f"{path}/errors")
     results_summary(routed).withColumn("processed_at", F.current_timestamp()).write.mode(mode).json(f"{path}/summary")

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.keys import join_on
+from . import rolling
 from ..session import cut_lineage
 from ..plans.quantiles import exact_median, median_col_from_sorted_array
 from ..plans.ranking import balanced_segments, ordinal_segment, row_index
@@ -30,6 +32,9 @@ from ..plans.ranking import balanced_segments, ordinal_segment, row_index
 # Fixed value: consistency constant of the modified z-score.
 MODIFIED_Z_CONST = 0.6745
 CMP_DIGITS = 9
+# Windows above this many rows slide over ordered values instead of sorting each.
+WIDE_WINDOW = 64
+WIDE_CHUNK_ROWS = 131_072
 
 
 def series_stats(df: DataFrame, value: str = "value", by=()) -> DataFrame:
@@ -165,12 +170,17 @@ def windowed_modified_z_scores(df: DataFrame, value: str = "value", by=(), order
     :mod:`logsleuth.plans.ranking`); default: blocks of the first ordinal, or,
     with ``segment_ts`` (a timestamp that leads the order), segments that follow
     the number of rows.
+
+    Windows of more than ``WIDE_WINDOW`` rows slide over ordered values, one Arrow
+    chunk at a time (see :mod:`logsleuth.operators.rolling`): about log w per row
+    where sorting every window costs w log w.
     """
     if window_size < 1:
         raise ValueError("window_size must be >= 1")
     by, order = list(by), list(order)
     h = window_size // 2
-    c = max(int(chunk_rows), 2 * h + 1)
+    wide = 2 * h + 1 > WIDE_WINDOW
+    c = max(min(int(chunk_rows), WIDE_CHUNK_ROWS) if wide else int(chunk_rows), 2 * h + 1)
     x = F.col(value).cast("double")
     src = df.withColumn("_x", F.when(x.isNull(), F.lit(float("nan"))).otherwise(x))
     if segment_ts is not None:
@@ -187,6 +197,11 @@ def windowed_modified_z_scores(df: DataFrame, value: str = "value", by=(), order
         F.when(r >= c - h, F.struct((own + 1).alias("_chunk"), F.lit(False).alias("_own"))),
     )
     exp = src.withColumn("_cp", F.explode(F.array_compact(copies))).select("*", "_cp.*").drop("_cp")
+    if wide:
+        kept = exp.drop("_x", "_pos", "_chunk", "_own", score_col)
+        schema = StructType([*kept.schema.fields, StructField(score_col, DoubleType())])
+        return exp.groupBy(*by, "_chunk").applyInArrow(
+            rolling.score_chunk(h, score_col, MODIFIED_Z_CONST, kept.columns), schema)
     w = Window.partitionBy(*by, "_chunk").orderBy("_pos").rowsBetween(-h, h)
     out = exp.withColumn("_vals", F.collect_list("_x").over(w)).where(F.col("_own"))
     out = out.withColumn(score_col, _window_score(F.col("_vals"), F.col("_x")))

@@ -169,6 +169,28 @@ def q_series_rolling_events(spark, sf):
     return out.select("event_id", "user_id", r6("score").alias("score"))
 
 
+@register("series_rolling_wide_events", """
+WITH w AS (
+  SELECT event_id, event_type, value,
+         median(value) OVER win AS med,
+         avg(value) OVER win AS mean,
+         stddev_pop(value) OVER win AS sd,
+         list(value) OVER win AS vals
+  FROM events
+  WINDOW win AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 500 PRECEDING AND 500 FOLLOWING)),
+m AS (SELECT *, list_median(list_transform(vals, lambda v: abs(v - med))) AS mad FROM w)
+SELECT event_id, event_type,
+       round(CASE WHEN mad <> 0 THEN abs(0.6745::DOUBLE * (value - med) / mad)
+                  WHEN sd <> 0 THEN abs((value - mean) / sd) ELSE 0.0 END, 6) AS score
+FROM m
+""")
+def q_series_rolling_wide_events(spark, sf):
+    """W1 with windows of 1,001 rows over long series."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    out = S.windowed_modified_z_scores(ev, "value", ["event_type"], ["ts", "event_id"], window_size=1001, segment_ts="ts")
+    return out.select("event_id", "event_type", r6("score").alias("score"))
+
+
 # --------------------------------------------------------------------------
 # entities (F1–F4, PF5, PF7, T5–T7, A5)
 # --------------------------------------------------------------------------

@@ -76,6 +76,34 @@ def test_rolling_chunks_equal_plain(spark):
     assert a == pytest.approx(b)
 
 
+def test_rolling_wide_equals_sorting_each_window(spark, monkeypatch):
+    """Ordered sliding windows against the window expression, over chunk borders,
+    with ties, gaps, infinities and a constant stretch."""
+    import random
+    rng = random.Random(5)
+    vals = [rng.choice([rng.gauss(0, 1), float(rng.randrange(4)), 7.0]) for _ in range(300)] + [2.5] * 100
+    vals[150], vals[220], vals[221] = None, float("inf"), float("-inf")
+    df = _series(spark, vals)
+    args = {"by": ["series_key"], "order": ["ord"], "window_size": 21}
+    plain = _ordered(S.windowed_modified_z_scores(df, **args), "score")
+    monkeypatch.setattr(S, "WIDE_WINDOW", 4)
+    wide = _ordered(S.windowed_modified_z_scores(df, chunk_rows=50, **args), "score")
+    assert len(wide) == 400 and sum(v is None for v in wide) == 21
+    for a, b in zip(plain, wide):
+        assert a == b or (a is None) == (b is None) and (a != a and b != b or abs(a - b) < 1e-9)
+
+
+def test_kth_deviation_is_the_sorted_one():
+    import random
+    from logsleuth.operators.rolling import kth_deviation
+    rng = random.Random(3)
+    for _ in range(500):
+        vals = sorted(rng.randrange(12) / 2 for _ in range(rng.randrange(1, 14)))
+        m = rng.choice([vals[0], vals[-1], rng.random() * 6])
+        dev = sorted(abs(v - m) for v in vals)
+        assert [kth_deviation(vals, m, k) for k in range(len(vals))] == dev
+
+
 def test_rolling_window_size_error(spark):
     with pytest.raises(ValueError):
         S.windowed_modified_z_scores(_series(spark, [1, 2]), by=["series_key"], window_size=0)
