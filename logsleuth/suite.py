@@ -1415,10 +1415,53 @@ def q_stream_reconcile_alarm_orders(spark, sf):
 
 
 # --------------------------------------------------------------------------
-# end to end: derived audit events → F6 entities → all detectors → A8
-# (composite of operators checked above; rows-only check)
+# end to end: derived audit events → F6 entities → user key (PF11) → all
+# detectors → weights → A8
 # --------------------------------------------------------------------------
-@register("engine_audit_events_end_to_end")
+def _duck_audit_engine(threshold: float = 2.5, lookback_minutes: int = 30) -> str:
+    hi = ",".join("'" + a + "'" for a in B.HIGH_RISK_ACTIONS)
+    md = ",".join("'" + a + "'" for a in B.MEDIUM_RISK_ACTIONS)
+    pats = " UNION ALL ".join(f"SELECT {list(acts)!r} AS pacts, {b} AS base" for acts, b in B.ESCALATION_PATTERNS.values())
+    weight = " ".join(f"WHEN '{t}' THEN {w}" for t, w in B.DETECTOR_WEIGHTS.items())
+    seen = ("count(*) OVER (PARTITION BY entity_type, entity_id{} ORDER BY ts, id "
+            "ROWS UNBOUNDED PRECEDING)").format
+    return f"""
+WITH {_duck_audit_entities()},
+ev AS (SELECT event_id, CAST(event_id AS VARCHAR) AS id, ts, event_type AS action, {_AUDIT_IP.format(k=_K)} AS source,
+              coalesce(nullif({_AUDIT_ARN}, ''), nullif({_AUDIT_USER}, '')) AS user_key FROM events),
+ee AS (SELECT ev.*, hour(ts) AS hr, entity_type, entity_id FROM dd JOIN ev USING (event_id)),
+c AS (SELECT *, {seen("")} - 1 AS n, {seen(", hr")} - 1 AS hc, {seen(", action")} AS a_incl,
+             {seen(", source")} AS s_incl FROM ee),
+en AS (SELECT event_id, id, ts, entity_type AS t, row_number() OVER (PARTITION BY event_id ORDER BY entity_type, entity_id) AS pos,
+              count(*) OVER (PARTITION BY event_id) AS k FROM ee),
+tot AS (SELECT event_id, row_number() OVER (ORDER BY ts, id) AS total
+        FROM (SELECT DISTINCT event_id, id, ts FROM en WHERE k >= 2)),
+pr AS (SELECT a.event_id, a.id, a.ts, least(a.t, b.t) AS t1, greatest(a.t, b.t) AS t2, count(*) AS m
+       FROM en AS a JOIN en AS b ON a.event_id = b.event_id AND a.pos < b.pos GROUP BY ALL),
+pc AS (SELECT event_id, m, total, sum(m) OVER (PARTITION BY t1, t2 ORDER BY ts, id ROWS UNBOUNDED PRECEDING) * 1.0 / total AS f
+       FROM pr JOIN tot USING (event_id)),
+w AS (SELECT a.event_id, list(b.action) AS acts
+      FROM ev AS a JOIN ev AS b ON a.user_key = b.user_key AND b.ts > a.ts - INTERVAL {lookback_minutes} MINUTE
+           AND (b.ts < a.ts OR b.ts = a.ts AND b.id <= a.id)
+      GROUP BY ALL),
+allr AS (
+  SELECT event_id, 'time_pattern_anomaly' AS kind, least(8.0 - 100.0 * hc / n, 10.0) AS score
+  FROM c WHERE n >= 10 AND hc * 1.0 / n < 0.05 AND hc < 2
+  UNION ALL SELECT event_id, 'behavioral_deviation',
+    CASE WHEN action IN ({hi}) THEN 9.0 WHEN action IN ({md}) THEN 6.0 ELSE 4.0 END FROM c WHERE n >= 10 AND a_incl = 1
+  UNION ALL SELECT event_id, 'behavioral_deviation', 6.0 FROM c WHERE n >= 10 AND source <> '' AND s_incl = 1
+  UNION ALL SELECT event_id, 'rare_entity_combination', least(10.0 * (1 - f / 0.01), 10.0)
+  FROM pc, range(m) WHERE total >= 100 AND f < 0.01
+  UNION ALL SELECT event_id, 'privilege_escalation', least(base + CASE WHEN len(acts) >= 3 THEN 1.0 ELSE 0.0 END, 10.0)
+  FROM w, ({pats}) AS p WHERE list_has_all(acts, pacts)),
+wt AS (SELECT event_id, CAST(score * CASE kind {weight} ELSE 1.0 END AS DOUBLE) AS x FROM allr),
+per AS (SELECT event_id, least(max(x), 10.0) AS top, count(*) FILTER (x >= {threshold}) AS hits, count(*) AS n FROM wt GROUP BY ALL)
+SELECT ev.id AS event_id, round(least(coalesce(top, 0.0) * CASE WHEN hits > 1 THEN 1 + 0.2 * (hits - 1) ELSE 1 END, 10.0), 6)
+         AS aggregate_score, coalesce(hits, 0) AS n_anomalies, coalesce(per.n, 0) AS n_scores
+FROM ev LEFT JOIN per ON per.event_id = ev.event_id"""
+
+
+@register("engine_audit_events_end_to_end", _duck_audit_engine())
 def q_engine_audit_events_end_to_end(spark, sf):
     ev = OE.cloudtrail_entities(audit_events_from_driver(spark, sf).withColumn("awsRegion", F.lit("us-east-1")))
     # the extraction feeds four detector branches: materialise it once in the
