@@ -406,8 +406,13 @@ def test_overlaps(spark, rows):
     assert {(r["doc_id"], r["item_id"]) for r in found} == plain_overlaps(all_rows, items)
     assert all((10_000 + n, i) in {(r["doc_id"], r["item_id"]) for r in found} for n, (i, t) in enumerate(items)
                if len(t.split()) >= 16)
-    blocks = D.overlaps(docs, bench, block_bytes=1500).collect()  # several passes
-    assert sorted(map(tuple, blocks)) == sorted(map(tuple, found))
+    # a benchmark too large to broadcast; copies, null ids and repeated items are rows of their own
+    docs = docs.union(spark.createDataFrame([(None, planted[0][1]), (None, planted[0][1]), (5, None), (6, "")], docs.schema))
+    bench = bench.union(spark.createDataFrame([items[0], (7, ""), (8, None)], bench.schema))
+    want, joined = (D.overlaps(docs, bench, block_bytes=n).collect() for n in (1 << 20, 0))
+    rows_of = lambda x: sorted(map(repr, map(tuple, x)))
+    assert rows_of(joined) == rows_of(want) and len(want) > len(found)
+    assert D.overlaps(docs.limit(0), bench, block_bytes=0).count() == D.overlaps(docs, bench.limit(0)).count() == 0
 
 
 def test_any_segment():
