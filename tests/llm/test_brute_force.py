@@ -119,16 +119,36 @@ def test_substring_planted(spark, make):
     items = [(i, rnd.choice([" ", "\n", " \t"]).join(t)) for i, t in enumerate(texts)]
     out = substring_dedup.substring_dedup(make(items)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in out} == plain_substring(items)
-    for r in out:  # factors lie in their reference and cover exactly the removed words
+    for r in out:  # factors stand word for word at their place and cover exactly the removed words
         cover = set()
         for f in r["factors"]:
             mine = words(items[r["doc_id"]][1])[f["start"]:f["start"] + f["n_words"]]
-            ref = words(items[f["ref"]][1])
             assert f["ref"] < r["doc_id"] and f["n_words"] >= 13
-            for k in range(f["n_words"] - 12):
-                assert any(ref[j:j + 13] == mine[k:k + 13] for j in range(len(ref)))
+            assert mine == words(items[f["ref"]][1])[f["ref_start"]:f["ref_start"] + f["n_words"]]
             cover |= set(range(f["start"], f["start"] + f["n_words"]))
         assert len(cover) == r["n_removed"]
+        # greedy: no factor lies in another, and none could be left out
+        ends = [(f["start"], f["start"] + f["n_words"]) for f in r["factors"]]
+        assert all(a < c and b < d for (a, b), (c, d) in zip(ends, ends[1:]))
+        assert all(b < c for (_, b), (c, _) in zip(ends, ends[2:]))
+
+
+def test_substring_longest_factor(make):
+    """A passage of a larger document stays one factor where smaller ones hold short stretches of it."""
+    for k, whole in ((13, True), (24, True), (25, False)):
+        long = [f"p{i}" for i in range(100)]
+        texts = [["x"] * 3 + long[40:40 + k] + ["y"], ["z"] * 5 + long + ["z"], ["q"] * 7 + long + ["r"]]
+        out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(make([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+        got = [tuple(f) for f in out[2]["factors"]]
+        assert out[2]["n_removed"] == 100 and (got == [(7, 100, 1, 5)]) == whole, got
+
+
+def test_substring_repeats_long(make):
+    """Very many equal windows: the factors are as few as cover them, in texts above a megabyte too."""
+    items = [(0, "a " * 300_000), (1, "b " + "a " * 600_000), (2, "c d")]
+    out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(make(items)).collect()}
+    assert [out[i]["n_removed"] for i in range(3)] == [0, 600_000, 0]
+    assert len(out[1]["factors"]) <= 600_000 // 12 and out[1]["kept"] == "b"
 
 
 # ---- op8
