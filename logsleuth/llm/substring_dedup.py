@@ -90,10 +90,15 @@ def _firsts(*columns):
     """Places, in order, of the first row of each distinct combination."""
     import numpy as np
 
-    order = np.lexsort(columns[::-1])
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    key = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        key = mix(key + c.view(np.uint64))
+    order = np.argsort(key)
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
-    return np.sort(order[new])
+    return np.sort(np.minimum.reduceat(order, np.flatnonzero(new)))
 
 
 def _index_rows(window, gram):
@@ -208,14 +213,20 @@ def parse(starts, text, ref, place, window):
     stand at ``place`` of ``ref``: first word, end, reference and place of each factor taken, by first word."""
     import numpy as np
 
+    def runs(new, end):
+        turn = np.flatnonzero(np.concatenate([[True], new])[:len(end)])
+        return turn, end[np.concatenate([turn[1:], [len(end)]])[:len(turn)] - 1]
+
     shift = place - starts
-    order = np.lexsort((starts, shift, ref))
-    s, t, r, d = starts[order], text[order], ref[order], shift[order]
-    # windows of one reference at one shift, each with a word of the one before or next to it
-    turn = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (r[1:] != r[:-1]) | (d[1:] != d[:-1])
-                                          | (s[1:] > s[:-1] + window)])[:len(s)])
-    end = s[np.concatenate([turn[1:], [len(s)]])[:len(turn)] - 1] + window
-    first, r, d = s[turn], r[turn], d[turn]
+    differ = lambda *columns: np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    # windows one after the other at places one after the other
+    turn, end = runs((np.diff(starts) != 1) | differ(text, ref, shift), starts + window)
+    first, text, ref, shift = starts[turn], text[turn], ref[turn], shift[turn]
+    # and runs of one reference at one shift, with no word left out between them
+    order = np.lexsort((first, shift, ref))
+    first, end, text, ref, shift = (c[order] for c in (first, end, text, ref, shift))
+    turn, end_ = runs(differ(text, ref, shift) | (first[1:] > end[:-1]), end)
+    first, end, r, d = first[turn], end_, ref[turn], shift[turn]
     order = np.lexsort((r, -end, first))
     first, end, r, d = first[order], end[order], r[order], d[order]
     taken, i, n = [], 0, len(first)
