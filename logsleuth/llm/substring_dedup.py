@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty, for_arrow
-from .words import SPACE_WORDS, batch_bytes, hashed_groups, mix, window_hashes, _powers
+from .words import SPACE_WORDS, batch_bytes, hashed_groups, mix, window_hashes, _P, _powers
 
 # bits kept of a block's content hash, beside the 64 of its anchor, and of a
 # window's second hash, beside the 64 of its first
@@ -179,6 +179,18 @@ def _find(sorted_keys, wanted):
     return i, sorted_keys[i] == wanted
 
 
+def _window_hashes_at(h, starts, size, seed=0):
+    """``window_hashes`` at some starts only."""
+    import numpy as np
+
+    x = mix(h + np.uint64(seed)) if seed else h
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for j in range(size):
+        out *= _P
+        out += x[starts + j]
+    return mix(out)
+
+
 def _open_windows(window, gram):
     """Windows of anchors with several contents: ``(id, w1, w2, at)``, each at its
     first place in a text."""
@@ -198,8 +210,8 @@ def _open_windows(window, gram):
                     if len(s):
                         ends = np.cumsum(counts)
                         doc = np.searchsorted(ends, s, side="right")
-                        w1 = window_hashes(h, window)[s].view(np.int64)
-                        w2 = (window_hashes(h, window, seed=3)[s] >> np.uint64(64 - SECOND_BITS)).astype(np.int64)
+                        w1 = _window_hashes_at(h, s, window).view(np.int64)
+                        w2 = (_window_hashes_at(h, s, window, seed=3) >> np.uint64(64 - SECOND_BITS)).astype(np.int64)
                         at = (s - (ends - counts)[doc]).astype(np.int32)
                         keep = _firsts(doc, w1, w2)
                         yield pa.RecordBatch.from_arrays(
@@ -279,10 +291,11 @@ def _factor(window, gram):
                         place = np.repeat(ats[at] - spot, size) + starts
                         ok = np.repeat(hit & ~several[at], size) & (ref < own)
                         if len(wkeys):
-                            w, found = _find(wkeys, window_hashes(h, window)[starts].view(np.int64))
-                            found &= np.repeat(hit & several[at], size) & (wrefs[w] < own)
-                            ok |= found
-                            ref[found], place[found] = wrefs[w[found]], wats[w[found]]
+                            apart = np.flatnonzero(np.repeat(hit & several[at], size))
+                            w, found = _find(wkeys, _window_hashes_at(h, starts[apart], window).view(np.int64))
+                            found &= wrefs[w] < own[apart]
+                            apart, w = apart[found], w[found]
+                            ok[apart], ref[apart], place[apart] = True, wrefs[w], wats[w]
                     a, b, ref, place = parse(starts[ok], text[ok], ref[ok], place[ok], window)
                     drop = np.zeros(len(h) + 1, dtype=np.int64)
                     np.add.at(drop, a, 1)
