@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hof import explode_rows
+from .plans.spread import by_rows
 from .session import cut_lineage
 from .tables import table
 
@@ -262,7 +263,8 @@ FROM k"""
 
 
 def _customer_texts(spark, sf):
-    return table(spark, sf, "customer").selectExpr("c_custkey AS rid", f"{CUSTOMER_TEXT_SQL} AS text")
+    cust = by_rows(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name"))
+    return cust.selectExpr("c_custkey AS rid", f"{CUSTOMER_TEXT_SQL} AS text")
 
 
 _CUST_SRC = f"SELECT c_custkey AS rid, {CUSTOMER_TEXT_SQL} AS text FROM customer"
