@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.keys import join_on
 from . import rolling
-from ..session import cut_lineage
+from ..session import as_table, cut_lineage
 from ..plans.quantiles import exact_median, median_col_from_sorted_array
 from ..plans.ranking import balanced_segments, ordinal_segment, row_index
 
@@ -55,12 +55,14 @@ def series_stats(df: DataFrame, value: str = "value", by=()) -> DataFrame:
         F.stddev_pop("_x").alias("std_pop"),
         F.stddev_samp("_x").alias("std_samp"),
     )
-    # the per-series medians are a tiny table (one row per series); cutting
-    # lineage there keeps the MAD pass from re-planning the median pass
-    med = cut_lineage(exact_median(base, by, "_x", "median"))
+    # the statistics are one row per series: as tables of known size they are
+    # broadcast to the rows, or joined by a shuffle when the series are many; left
+    # as a plan of joins their size is unknown, and all rows of a series would be
+    # sorted in one task
+    med = as_table(exact_median(base, by, "_x", "median"), "series-medians")
     dev = join_on(base, med, by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, by, "_d", "mad")
-    stats = join_on(join_on(moments, med, by, "left"), mad, by, "left")
+    stats = as_table(join_on(join_on(moments, med, by, "left"), mad, by, "left"), "series-stats")
     return stats.withColumn("poisoned", F.col("_bad") == 1).drop("_bad")
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import as_table
 from .keys import join_on
 
 _MANTISSA_BUCKETS = 4096
@@ -95,7 +96,9 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
             specs.append(F.struct(F.lit(f"{qi}_{side}").alias("_t"), rank.cast("long").alias("_r"),
                                   (pos - F.floor(pos)).alias("_frac")))
     ranks = n.select(*keys, F.explode(F.array(*specs)).alias("_s")).select(*keys, "_s.*")
-    t1 = _locate(hist, keys, "_b", ranks, "_r")          # keys, _b, _bmin, _bmax, _t, _r, _frac
+    # one row per key and rank: as a table of known size it is broadcast below, or
+    # joined by a shuffle when the keys are many
+    t1 = as_table(_locate(hist, keys, "_b", ranks, "_r"), "quantile-buckets")  # keys, _b, _bmin, _bmax, _t, _r, _frac
     done1 = t1.where(F.col("_bmin") == F.col("_bmax")).select(*keys, "_t", "_frac",
                                                             F.col("_bmin").alias("_val"))
     open1 = t1.where(F.col("_bmin") < F.col("_bmax"))
@@ -106,7 +109,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     rows2 = join_on(base, wanted, keys + ["_b"]).withColumn("_sb", sub)
     hist2 = rows2.groupBy(*keys, "_b", "_sb").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_smin"),
                                                   F.max("_v").alias("_smax"))
-    t2 = _locate(hist2, keys + ["_b"], "_sb", open1.drop("_bmin", "_bmax"), "_r")
+    t2 = as_table(_locate(hist2, keys + ["_b"], "_sb", open1.drop("_bmin", "_bmax"), "_r"), "quantile-parts")
     done2 = t2.where(F.col("_smin") == F.col("_smax")).select(*keys, "_t", "_frac",
                                                             F.col("_smin").alias("_val"))
     open2 = t2.where(F.col("_smin") < F.col("_smax"))
