@@ -161,10 +161,12 @@ PROFILE_OUT = ("event_id long, entity_type string, entity_id string, anomaly_typ
 
 
 class ProfileDetector(StatefulProcessor):
-    """ST2 state of one (entity_type, entity_id): the number of events, a map from
-    hour to events, a map of seen actions and one of seen sources.  An update reads
-    and writes the entries of the batch's own hours, actions and sources, whatever
-    the profile has collected before."""
+    """ST2 state of one (entity_type, entity_id): one value with the number of events,
+    the events of each hour and the first ``INLINE`` actions and sources, read and
+    written once a batch; what is seen beyond those is kept in two maps, of which an
+    update touches the batch's own entries only, whatever the profile has collected."""
+
+    INLINE = 128
 
     def __init__(self, mode: str, min_events: int, lookback_days: int | None):
         self.mode, self.min_events, self.lookback_ms = mode, min_events, lookback_days and lookback_days * 86_400_000
@@ -173,65 +175,73 @@ class ProfileDetector(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.total = handle.getValueState("total", "n long, last_ms long")
-        self.hours = handle.getMapState("hours", "hour int", "n long")
+        self.profile = handle.getValueState("profile", "n long, last_ms long, hours array<long>, actions array<string>, "
+                                                       "sources array<string>")
         self.actions = handle.getMapState("actions", "action string", "seen boolean")
         self.sources = handle.getMapState("sources", "source string", "seen boolean")
 
-    def _seen_before(self, state, values):
-        """For each row whether its value was there before it; new values are kept."""
-        first = ~values.duplicated()
-        known = {v: state.containsKey((v,)) for v in values[first]}
-        for v, old in known.items():
-            if not old:
-                state.updateValue((v,), (True,))
-        return ~first | values.map(known).astype(bool)
+    def _is_new(self, value, inline, seen, state):
+        """Whether ``value`` was not seen before; it is kept from now on.  ``inline``
+        goes back into the profile, ``seen`` holds what this batch has looked up."""
+        if value in seen:
+            return False
+        seen.add(value)
+        if len(inline) < self.INLINE:
+            inline.append(value)
+        elif state.containsKey((value,)):
+            return False
+        else:
+            state.updateValue((value,), (True,))
+        return True
 
     def handleInputRows(self, key, rows, timerValues):
-        parts = [p for p in rows if len(p)]
-        if not parts:
+        ev = []
+        for p in rows:
+            at = p["ts"].to_numpy().astype("datetime64[us]")
+            if np.isnat(at).any():
+                raise ValueError("an event has no time")
+            ev += zip(at.astype(np.int64).tolist(), p["event_id"].tolist(), p["action"].tolist(), p["source"].tolist())
+        if not ev:
             return
-        ev = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-        n, last = self.total.get() if self.total.exists() else (0, None)
+        missing = lambda x: x is None or x != x
+        ev.sort(key=lambda e: (e[0], missing(e[1]), 0 if missing(e[1]) else e[1]))
+        found = self.profile.get() if self.profile.exists() else None
+        n, last, hours, actions, sources = found or (0, 0, [0] * 24, [], [])
+        hours, actions, sources = list(hours), list(actions), list(sources)
+        old_actions, old_sources = set(actions), set(sources)
         own = 1 if self.mode == "parity" else 0  # parity counts an event before it is judged
-        total = n + np.arange(len(ev)) + own
-        hour = ev["ts"].dt.hour.astype(int)
-        base = {h: self.hours.getValue((h,))[0] if self.hours.containsKey((h,)) else 0 for h in hour.unique().tolist()}
-        count = hour.map(base) + hour.groupby(hour).cumcount() + own
-        for h, k in hour.value_counts().items():
-            self.hours.updateValue((int(h),), (int(base[h] + k),))
-        source = ev["source"].where(ev["source"].astype(bool) & ev["source"].notna(), None)
-        some = source.dropna()
-        old_action = self._seen_before(self.actions, ev["action"])
-        old_source = self._seen_before(self.sources, some).reindex(ev.index, fill_value=True)
-        if own:
-            old_action[:], old_source[:] = True, True
-        last = max(last or 0, int(ev["ts"].iloc[-1].timestamp() * 1000))
-        self.total.update((int(n + len(ev)), last))
+        who = (str(key[0]) if key[0] is not None else None, str(key[1]) if key[1] is not None else None)
+        out = []
+        for i, (at, event_id, action, source) in enumerate(ev):
+            hour = at // 3_600_000_000 % 24
+            total, count = n + i + own, hours[hour] + own
+            hours[hour] += 1
+            new_action = self._is_new(None if missing(action) else action, actions, old_actions, self.actions)
+            new_source = not missing(source) and source != "" and self._is_new(source, sources, old_sources, self.sources)
+            if total < self.min_events or total <= 0:
+                continue
+            share = count / total
+            if share < 0.05 and count < 2:
+                out.append((event_id, *who, "time_pattern_anomaly", min(8.0 - share * 100, 10.0), 0.8,
+                            [f"Unusual activity hour: {hour:02d}:00", f"Historical frequency: {share:.1%}"]))
+            if new_action and not own:
+                out.append((event_id, *who, "behavioral_deviation", self.risk.get(action, self.default), 0.7,
+                            [f"New action: {action}", "No historical precedent"]))
+            if new_source and not own:
+                out.append((event_id, *who, "behavioral_deviation", self.source_score, 0.6,
+                            [f"New source IP: {source}", "No historical precedent"]))
+        last = max(last, ev[-1][0] // 1000)
+        self.profile.update((n + len(ev), last, hours, actions, sources))
         if self.lookback_ms:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.lookback_ms)
-        judged = (total >= self.min_events) & (total > 0)
-        share = count / np.maximum(total, 1)
-        who = (str(key[0]) if key[0] is not None else None, str(key[1]) if key[1] is not None else None)
-        out = []
-        for i in np.flatnonzero(judged & (share < 0.05) & (count < 2)):
-            out.append((ev["event_id"][i], *who, "time_pattern_anomaly", min(8.0 - share[i] * 100, 10.0), 0.8,
-                        [f"Unusual activity hour: {hour[i]:02d}:00", f"Historical frequency: {share[i]:.1%}"]))
-        for i in np.flatnonzero(judged & ~old_action):
-            a = ev["action"][i]
-            out.append((ev["event_id"][i], *who, "behavioral_deviation", self.risk.get(a, self.default), 0.7,
-                        [f"New action: {a}", "No historical precedent"]))
-        for i in np.flatnonzero(judged & ~old_source):
-            out.append((ev["event_id"][i], *who, "behavioral_deviation", self.source_score, 0.6,
-                        [f"New source IP: {source[i]}", "No historical precedent"]))
         if out:
             yield pd.DataFrame(out, columns=["event_id", "entity_type", "entity_id", "anomaly_type",
                                              "score", "confidence", "factors"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        for state in (self.total, self.hours, self.actions, self.sources):
+        for state in (self.profile, self.actions, self.sources):
             state.clear()
         return iter(())
 

@@ -116,3 +116,56 @@ def test_batches_of_many_files(spark):
     s.writeStream.foreachBatch(lambda b, i: seen.append({r.id % 2 for r in b.collect()})).option(
         "checkpointLocation", f"{root}-chk").trigger(availableNow=True).start().awaitTermination()
     assert seen == [{0}, {1}]
+
+
+def test_profile_state_beyond_inline_values(spark, monkeypatch):
+    """Actions and sources beyond the inline part of a profile are still seen once,
+    and a batch makes one read and one write of a small profile."""
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v, self.calls = None, 0
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            self.calls += 1
+            return self.v
+
+        def update(self, v):
+            self.calls += 1
+            self.v = v
+
+    class Map(dict):
+        def containsKey(self, k):
+            return k in self
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+    class Handle:
+        def __init__(self):
+            self.value, self.maps = Value(), {"actions": Map(), "sources": Map()}
+
+        def getValueState(self, name, schema):
+            return self.value
+
+        def getMapState(self, name, *schemas):
+            return self.maps[name]
+
+    monkeypatch.setattr(SD.ProfileDetector, "INLINE", 3, raising=False)
+    d, h = SD.ProfileDetector("prior", 1, None), Handle()
+    d.init(h)
+
+    def batch(first, sources):
+        ids = range(first, first + len(sources))
+        rows = pd.DataFrame({"ts": pd.to_datetime([i * 60 for i in ids], unit="s"), "event_id": list(ids),
+                             "action": ["a"] * len(sources), "source": sources})
+        out = [r for f in d.handleInputRows(("user", "u"), iter([rows]), None) for r in f.itertuples()]
+        return [r.factors[0][-2:] for r in out if r.score == SD.B.NEW_SOURCE_SCORE]
+
+    assert batch(0, [f"s{i}" for i in range(6)]) == ["s1", "s2", "s3", "s4", "s5"]
+    assert batch(6, ["s5", "s0", "s6", None, "", "s6"]) == ["s6"]
+    assert len(h.maps["sources"]) == 4 and not h.maps["actions"] and h.value.calls == 3
