@@ -29,10 +29,10 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hof import explode_rows
+from ..functions.hof import explode_rows, let
 from ..plans.keys import join_on
 from ..plans.ranking import balanced_segments, running_count, running_total, running_totals
-from ..session import cut_lineage
+from ..session import as_table
 
 # Action risk classes for new actions (default 4.0).
 HIGH_RISK_ACTIONS = [
@@ -70,6 +70,8 @@ ANOMALY_COLS = ["event_id", "ts", "entity_id", "entity_type", "anomaly_type", "s
                 "confidence", "baseline_deviation", "factors", "det_rank", "sub_rank"]
 
 SEGMENT_ROWS = 1_000_000
+# Segments whose rows become many (the pairs of an event) are smaller.
+EVENT_SEGMENT_ROWS = 100_000
 
 
 def _lit_map(d: dict) -> Column:
@@ -165,13 +167,15 @@ def _sliding_firsts(ee: DataFrame, prior: bool, lookback_days: int, segment_rows
     k = ["entity_type", "entity_id"]
     every = F.struct(F.lit("all").alias("kind"), F.lit("").alias("v"))
     x = ee.select(*k, "event_id", F.col("ts").cast("timestamp").alias("ts"), "ent_ord", *(["action", "source"] if prior else []))
-    x = x.select(*k, "event_id", "ts", "ent_ord", _marks(prior, every).alias("_m")).select("*", "_m.*").drop("_m")
     step = lambda at, w: F.struct(at.alias("_at"), F.lit(w).alias("_w"))
     x = x.withColumn("_s", F.explode(F.array(step(F.col("ts"), 1), step(F.col("ts") + F.expr(f"INTERVAL {lookback_days} DAYS"), -1))))
-    x = cut_lineage(balanced_segments(x.select("*", "_s.*").drop("_s"), "_at", rows=segment_rows))
+    # segments are found before an event is repeated for each of its marks
+    marks = 4 if prior else 2
+    x = as_table(balanced_segments(x.select("*", "_s.*").drop("_s"), "_at", rows=max(1, segment_rows // marks)), "lookback-steps")
+    x = x.select(*k, "event_id", "ts", "ent_ord", "_at", "_w", "_bal", _marks(prior, every).alias("_m")).select("*", "_m.*").drop("_m")
     # what expires at an instant is gone before the events of that instant
     x = running_totals(x, [*k, "kind", "v"], ["_at", "_w", "event_id", "ent_ord"], F.col("_bal"), {"_c": F.col("_w")})
-    x = cut_lineage(x.where("_w = 1").drop("_w", "_at", "_bal"))
+    x = as_table(x.where("_w = 1").drop("_w", "_at", "_bal"), "lookback-counts")
     event = [*k, "event_id", "ts", "ent_ord"]
     total = x.where("kind = 'all'").select(*event, F.col("_c").alias("_n"))
     rare = x.where((F.col("kind") == "hour") & (F.col("_c") < (3 if prior else 2))
@@ -208,12 +212,12 @@ def _firsts(ee: DataFrame, prior: bool, segment_rows: int):
     time with the earlier count ``_hc``, and the first of each action and source."""
     k = ["entity_type", "entity_id"]
     x = ee.select(*k, "event_id", "ts", "ent_ord", *(["action", "source"] if prior else []))
-    x = cut_lineage(balanced_segments(x, "ts", rows=segment_rows))
-    x = cut_lineage(running_count(x, k, ["ts", "event_id", "ent_ord"], F.col("_bal"), "_n").drop("_bal"))
+    x = balanced_segments(as_table(x, "first-events"), "ts", rows=segment_rows)
+    x = as_table(running_count(x, k, ["ts", "event_id", "ent_ord"], F.col("_bal"), "_n").drop("_bal"), "first-counts")
     x = x.withColumn("_hour", F.hour("ts").cast("string")).withColumn("_ev", F.struct("ts", "event_id", "ent_ord", "_n"))
     first = (x.select(*k, "_ev", _marks(prior).alias("_m")).select(*k, "_ev", "_m.*")
               .groupBy(*k, "kind", "v").agg(F.min("_ev").alias("_ev")))
-    first = cut_lineage(first)
+    first = as_table(first, "firsts")
     hours = first.where("kind = 'hour'").select(*k, F.col("v").alias("_hour"), "_ev")
     if prior:
         later = join_on(x.select(*k, "_hour", F.col("_ev").alias("_e")), hours, k + ["_hour"]).where("_e > _ev")
@@ -263,11 +267,21 @@ def _anomaly_rows(hours: DataFrame, first: DataFrame, prior: bool, min_events: i
 def _pair_list(types: Column) -> Column:
     """Sorted type pairs for all i < j of one event's entity list."""
     k = F.size(types)
-    idx = F.sequence(F.lit(0), k - 1)
-    return F.when(k >= 2, F.flatten(F.transform(idx, lambda i: F.transform(
-        F.filter(idx, lambda j: j > i),
-        lambda j: F.array_sort(F.array(F.element_at(types, i + 1), F.element_at(types, j + 1))))))
-    ).otherwise(F.array().cast("array<array<string>>"))
+    pair = lambda a, b: (F.when(a <= b, F.array(a, b)).when(b < a, F.array(b, a))
+                          .otherwise(F.array_sort(F.array(a, b))))
+    return F.when(k >= 2, F.flatten(F.transform(types, lambda a, i: F.transform(
+        F.slice(types, i + 2, k), lambda b: pair(a, b))))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def _counted(pairs: Column) -> Column:
+    """The distinct pairs of one event with their number ``m``: runs of the sorted
+    list, so a row carries one pair and not the list it came from."""
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~s[i].eqNullSafe(F.get(s, i - 1)))
+        return F.when(n > 0, let(starts, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, F.lit(2), n), F.array(n)), lambda a, b: F.struct(s[a].alias("pair"), (b - a).alias("m")))))
+    return let(F.sort_array(pairs), runs)
 
 
 def combination_counts(events: DataFrame, entities_col: str = "entities",
@@ -292,7 +306,7 @@ def combination_counts(events: DataFrame, entities_col: str = "entities",
 
 def rare_combinations(events: DataFrame, entities_col: str = "entities",
                       rarity_threshold: float = 0.01, min_observations: int = 100,
-                      segment_rows: int = SEGMENT_ROWS, prior: DataFrame | None = None) -> DataFrame:
+                      segment_rows: int = EVENT_SEGMENT_ROWS, prior: DataFrame | None = None) -> DataFrame:
     """For each event with >= 2 entities, each type pair (i < j) whose
     running count / running number of multi-entity events (both including
     this event, T18) is below ``rarity_threshold``, once the running number
@@ -303,14 +317,14 @@ def rare_combinations(events: DataFrame, entities_col: str = "entities",
     order = ["ts", "event_id"]
     types = F.transform(F.col(entities_col), lambda e: e["entity_type"])
     ev = events.where(F.size(entities_col) >= 2).select("event_id", "ts", _pair_list(types).alias("_pairs"))
-    ev = cut_lineage(balanced_segments(ev, "ts", rows=segment_rows))
+    ev = balanced_segments(as_table(ev, "multi-entity-events"), "ts", rows=segment_rows)
     ev = running_count(ev.withColumn("_seg0", F.col("_bal")), [], order, F.col("_bal"), "_total")
     # one row per (event, distinct pair) with its multiplicity inside the event
-    allp = explode_rows(ev, F.array_distinct("_pairs"), "_p", keep=["event_id", "ts", "_total", "_pairs", "_seg0"])
-    allp = allp.select("event_id", "ts", "_total", "_seg0", "_p", F.col("_p")[0].alias("_t1"), F.col("_p")[1].alias("_t2"),
-                       F.size(F.filter("_pairs", lambda q: q == F.col("_p"))).alias("_m"))
+    allp = explode_rows(ev, _counted(F.col("_pairs")), "_p", keep=["event_id", "ts", "_total", "_seg0"])
+    allp = allp.select("event_id", "ts", "_total", "_seg0", F.col("_p.pair")[0].alias("_t1"), F.col("_p.pair")[1].alias("_t2"),
+                       F.col("_p.m").alias("_m"))
     # pair counts include every multi-entity event, also those before the gate
-    hit = running_total(cut_lineage(allp), ["_t1", "_t2"], order, F.col("_seg0"), F.col("_m"), "_count")
+    hit = running_total(as_table(allp, "event-pairs"), ["_t1", "_t2"], order, F.col("_seg0"), F.col("_m"), "_count")
     if prior is not None:
         before = prior.where("family = 'total'").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_t0"))
         pairs = prior.where("family = 'types'").select(F.col("key").alias("_key"), F.col("count").alias("_c0"))
@@ -323,13 +337,12 @@ def rare_combinations(events: DataFrame, entities_col: str = "entities",
     hit = hit.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_m"))))
     return hit.select(
         "event_id", "ts",
-        F.concat_ws("+", F.col("_p")[0], F.col("_p")[1]).alias("entity_id"),
+        F.concat_ws("+", "_t1", "_t2").alias("entity_id"),
         F.lit("combination").alias("entity_type"),
         F.lit("rare_entity_combination").alias("anomaly_type"),
         F.least(F.lit(10.0) * (F.lit(1.0) - freq / rarity_threshold), F.lit(10.0)).alias("score"),
         F.lit(0.7).alias("confidence"), (F.lit(1.0) - freq).alias("baseline_deviation"),
-        F.array(F.format_string("Rare entity type combination: ('%s', '%s')", F.col("_p")[0],
-                                F.col("_p")[1]),
+        F.array(F.format_string("Rare entity type combination: ('%s', '%s')", "_t1", "_t2"),
                 F.concat(F.lit("Frequency: "), _fmt_fixed(freq, 4))).alias("factors"),
         F.lit(1).alias("det_rank"), F.lit(0).alias("sub_rank"))
 
@@ -348,7 +361,7 @@ def privilege_escalation(events: DataFrame, user_col: str = "user_key", action_c
     ev = (events.where(F.col(user_col).isNotNull())
                 .select("event_id", "ts", F.col(user_col).alias("_u"), F.col(action_col).alias("_act"))
                 .withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))))
-    ev = cut_lineage(balanced_segments(ev, "ts", rows=segment_rows))
+    ev = balanced_segments(as_table(ev, "user-events"), "ts", rows=segment_rows)
     actions = sorted({a for acts, _ in patterns.values() for a in acts})
     # what a segment needs from the user's earlier ones: the latest time of each
     # pattern action (prefix maximum) and the last four events
@@ -375,7 +388,7 @@ def privilege_escalation(events: DataFrame, user_col: str = "user_key", action_c
     present = {a: F.coalesce(F.greatest(f"_s{i}", f"_c{i}") > cutoff, F.lit(False)) for i, a in enumerate(actions)}
     # three or more events in the window: the second one before is inside it
     crowded = F.coalesce(F.col("_third") > cutoff, F.lit(False))
-    ev = cut_lineage(ev)
+    ev = as_table(ev, "user-windows")
     rows = []
     for rank, (name, (acts, base)) in enumerate(patterns.items()):
         cond = None

@@ -80,11 +80,22 @@ def balanced_segments(df: DataFrame, ts_col: str, name: str = "_bal", rows: int
     days = hist.groupBy("_day").agg(F.sum("_c").alias("_dc"))
     earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("_day", F.coalesce(F.sum("_dc").over(earlier), F.lit(0)).alias("_doff"))
-    inside = Window.partitionBy("_day").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    run = Window.partitionBy("_day").orderBy("_unit")
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bounds = hist.join(days, "_day").select(
-        "_unit", F.floor((F.col("_before") + F.col("_doff")) / F.lit(rows)).cast("long").alias(name))
-    return x.join(bounds, "_unit").drop("_unit")
+        "_day", "_unit", F.floor((F.col("_before") + F.col("_doff")) / F.lit(rows)).cast("long").alias("_sg"))
+    # rows look up their segment in a table of one row per hour, which holds the
+    # seconds where a segment begins: at most the hours of the calendar and one entry
+    # per segment, so it is broadcast and the rows are not shuffled
+    hour = F.floor(F.col("_unit") / 3_600)
+    by_hour = Window.partitionBy("_hour").orderBy("_unit")
+    bounds = bounds.withColumn("_hour", hour).withColumn("_prev", F.lag("_sg").over(by_hour))
+    starts = (bounds.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_sg"))).groupBy("_hour")
+                    .agg(F.sort_array(F.collect_list(F.struct("_unit", "_sg"))).alias("_starts")))
+    out = x.withColumn("_hour", hour).join(F.broadcast(starts), "_hour")
+    first = F.col("_starts")[0]["_sg"]
+    found = F.element_at(F.filter("_starts", lambda s: s["_unit"] <= F.col("_unit")), -1)["_sg"]
+    return out.withColumn(name, F.when(F.size("_starts") == 1, first).otherwise(found)).drop("_unit", "_hour", "_starts")
 
 
 def running_totals(df: DataFrame, keys, order, segment: Column, weights: dict, inclusive: bool = True) -> DataFrame:
