@@ -133,11 +133,15 @@ def _scored(found: Column, text: Column, types, pieces: Column | None = None) ->
     """Entities of all patterns' matches (array of :func:`_found`), in pattern and
     position order, with 0-based positions resolved; one expression for all
     patterns, so the plan does not grow with their number."""
+    def at_start(x, m, at):
+        return F.struct(x["etype"].alias("etype"), m.alias("id"), at.cast("int").alias("start"),
+                        (at + F.length(m)).cast("int").alias("end"))
+
     def place(x):
+        # a single match starts after its gap; several need running sums
         starts = running_starts(x["g"], F.transform(x["m"], F.length))
-        return F.zip_with(x["m"], starts, lambda m, at: F.struct(
-            x["etype"].alias("etype"), m.alias("id"), at.cast("int").alias("start"),
-            (at + F.length(m)).cast("int").alias("end")))
+        return F.when(F.size(x["m"]) == 1, F.array(at_start(x, x["m"][0], x["g"][0]))).otherwise(
+            F.zip_with(x["m"], starts, lambda m, at: at_start(x, m, at)))
 
     hits = F.flatten(F.transform(F.filter(found, lambda x: F.size(x["m"]) > 0), place))
     return F.transform(hits, lambda m: _score(m, text, types, pieces))
@@ -231,8 +235,8 @@ def _first_occurrence(allm: Column) -> Column:
     def by_key(rows):
         keyed = F.transform(rows, lambda x, i: F.struct(
             x["entity_type"].alias("entity_type"), x["entity_id"].alias("entity_id"), i.alias("i"), x.alias("x")))
-        first = first_of_group(F.array_sort(keyed), ["entity_type", "entity_id"])
-        back = F.array_sort(F.transform(first, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+        first = first_of_group(F.sort_array(keyed), ["entity_type", "entity_id"])
+        back = F.sort_array(F.transform(first, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
         return F.transform(back, lambda y: y["x"])
     return let(allm, lambda rows: F.when(F.size(rows) > 1, by_key(rows)).otherwise(rows))
 
@@ -301,8 +305,21 @@ def dedupe_entities(entities: Column) -> Column:
         return F.struct(e["entity_type"].alias("entity_type"), e["entity_id"].alias("entity_id"),
                         weight.alias("weight"), i.alias("i"), e.alias("e"))
     keys = ["entity_type", "entity_id"]
-    # the same key order in both lists, so they pair up group by group
-    place = first_of_group(F.array_sort(F.transform(entities, lambda e, i: keyed(e, i, F.lit(0.0)))), keys)
-    best = first_of_group(F.array_sort(F.transform(entities, lambda e, i: keyed(e, i, -e["confidence"]))), keys)
-    pairs = F.array_sort(F.zip_with(place, best, lambda p, b: F.struct(p["i"].alias("i"), b["e"].alias("e"))))
-    return F.transform(pairs, lambda p, i: p["e"].withField("ord", i))
+
+    # sort_array compares structs natively; array_sort runs a comparator expression
+    def by_key(rows):
+        # the same key order in both lists, so they pair up group by group
+        place = first_of_group(F.sort_array(F.transform(rows, lambda e, i: keyed(e, i, F.lit(0.0)))), keys)
+        best = first_of_group(F.sort_array(F.transform(rows, lambda e, i: keyed(e, i, -e["confidence"]))), keys)
+        pairs = F.sort_array(F.zip_with(place, best, lambda p, b: F.struct(p["i"].alias("i"), b["e"].alias("e"))))
+        return F.transform(pairs, lambda p: p["e"])
+
+    def deduped(rows):
+        ids = F.transform(rows, lambda e: F.struct(*[e[k].alias(k) for k in keys]))
+        short = (F.size(rows) <= SHORT_LIST) & (F.size(F.array_distinct(ids)) == F.size(rows))
+        return F.transform(F.when(short, rows).otherwise(by_key(rows)), lambda e, i: e.withField("ord", i))
+    return let(entities, deduped)
+
+
+# Lists up to this size are first tested for repeats, pair by pair.
+SHORT_LIST = 8

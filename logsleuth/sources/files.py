@@ -14,6 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import as_table
 from .records import fits_whole
 
 
@@ -78,12 +79,18 @@ def large_files(spark: SparkSession, paths, recursive: bool, whole_bytes: int) -
 
 def only_listed(df: DataFrame, listing: DataFrame) -> DataFrame:
     """The rows of files (``path``) that a listing names.  The listing stays a
-    DataFrame; no list of paths goes through the driver."""
+    DataFrame; no list of paths goes through the driver.  It is broadcast up to
+    ``BROADCAST_PATHS`` paths: a join by path would send all lines of a file to one
+    task."""
     bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    keys = listing.select(bare(F.col("path")).alias("_key")).distinct()
+    keys = as_table(listing.select(bare(F.col("path")).alias("_key")).distinct(), "listing")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_PATHS else keys
     return df.withColumn("_key", bare(F.col("path"))).join(keys, "_key", "left_semi").drop("_key")
 
 
+BROADCAST_PATHS = 1_000_000
+
+
 def read_listed(spark: SparkSession, root: str, listing: DataFrame, wholetext: bool = True) -> DataFrame:
     """SC2 for a listing (:func:`list_log_files`) of any length: the files under
     ``root`` whose path is listed, as :func:`read_whole_files` or, with
