@@ -324,7 +324,7 @@ def rare_combinations(events: DataFrame, entities_col: str = "entities",
     allp = allp.select("event_id", "ts", "_total", "_seg0", F.col("_p.pair")[0].alias("_t1"), F.col("_p.pair")[1].alias("_t2"),
                        F.col("_p.m").alias("_m"))
     # pair counts include every multi-entity event, also those before the gate
-    hit = running_total(as_table(allp, "event-pairs"), ["_t1", "_t2"], order, F.col("_seg0"), F.col("_m"), "_count")
+    hit = running_total(as_table(allp, "event-pairs"), ["_t1", "_t2"], [*order, "_total"], F.col("_seg0"), F.col("_m"), "_count")
     if prior is not None:
         before = prior.where("family = 'total'").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_t0"))
         pairs = prior.where("family = 'types'").select(F.col("key").alias("_key"), F.col("count").alias("_c0"))
