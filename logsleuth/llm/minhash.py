@@ -18,9 +18,16 @@ samples that differ.  ``near_duplicates`` links texts at a Jaccard similarity of
    Besides size and sketch, the two must share a shingle of their prefixes: in
    rarest-first order, sets of n and m shingles that share c meet in the first
    n - c + 1 and m - c + 1, and a similarity s needs c = s (n + m) / (1 + s).
-   Survivors are confirmed on the full sets.
+   Any one order of all shingles loses no pair; theirs is by counts of
+   ``COUNTS`` cells of hashes, a table of fixed size.  Survivors are confirmed
+   on the full sets.
 4. Components of all links.
 
+Full sets are the bulk of the data.  They are made again from the texts where they
+are needed, only for the classes in question, and are not shuffled for the counts
+and prefixes.  For a confirmation they go by ``dealt`` to cells of a family's
+pairs: a set is sent once a cell, however many pairs it has there.
+
 No stage caps candidates.  A link is missed only if no band meets or if its
 sketches differ in more than ``sketch_limit`` bits: at the lowest similarity of
 0.8 below 4e-6, far less above it.
@@ -35,7 +42,7 @@ null; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, for_arrow, stage, text_or_empty
@@ -46,6 +53,9 @@ BANDS = 24
 SKETCH_BITS = 512
 MISS = 1e-7  # chance that a link's sketches differ in more bits than allowed
 WORDS = SKETCH_BITS // 64
+BLOCK = 256  # sets on one side of a cell
+ID_BITS = 1 << 25  # the bitmap of wanted ids: 4 MB whatever the table
+COUNTS = 1 << 22  # cells of shingle counts, a byte each
 
 
 def sketch_limit(percent: int, samples: int = SAMPLES, bits: int = SKETCH_BITS, miss: float = MISS) -> int:
@@ -156,27 +166,113 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = 2) ->
     return src.mapInArrow(run, f"id {kind}, n int, key binary, bands array<long>, sketch array<long>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = 2) -> DataFrame:
-    """``(key, shingles)`` for every row with words: the set's hash and members."""
+def _places(ids):
+    """Where the ids of a column are in the bitmap; null has a place too."""
+    return F.xxhash64(ids).bitwiseAND(F.lit(ID_BITS - 1).cast("long"))
+
+
+def _id_bitmap(ids: DataFrame):
+    """Broadcast bitmap of ``ID_BITS`` bits of the column ``id``."""
+    bits = bytearray(ID_BITS // 8)
+    parts = (ids.select(_places(F.col("id")).alias("p")).groupBy(F.expr("p div 32768").alias("w"))
+                .agg(F.expr("bitmap_construct_agg(p % 32768)").alias("b")))
+    for r in parts.collect():  # at most ID_BITS / 32768 rows of 4 kB
+        bits[r["w"] * 4096:(r["w"] + 1) * 4096] = r["b"]
+    return ids.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def _set_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, shared, rows, schema: str) -> DataFrame:
+    """``rows(text number, shingle hash, first place of each text)`` of the texts with
+    words whose id the bitmap ``shared`` lets pass.  No text is shuffled."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from .words import mix
 
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for _, _, doc, w in _groups(batch.column(1), shingle):
-                if not len(w):
-                    continue
-                starts = np.flatnonzero(np.diff(doc, prepend=-1))
-                pair = np.stack([np.add.reduceat(mix(w), starts),
-                                 np.add.reduceat(mix(w ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)], axis=1).tobytes()
-                ends = pa.array(np.append(starts, len(w)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([pair[16 * i:16 * i + 16] for i in range(len(starts))], pa.binary()),
-                     pa.ListArray.from_arrays(ends, pa.array(w.view(np.int64)))], ["key", "shingles"])
+            at = batch.column(0).to_numpy()
+            wanted = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            for _, _, doc, w in _groups(batch.column(1).filter(pa.array(wanted.astype(bool))), shingle):
+                if len(w):
+                    yield rows(doc, w, np.flatnonzero(np.diff(doc, prepend=-1)))
+
+    return for_arrow(docs, _places(F.col(id_col)).alias("place"), text_or_empty(text_col).alias("text")) \
+        .mapInArrow(run, schema)
+
+
+def _keys(w, starts):
+    """The sets' 128-bit hashes, as in ``signatures``."""
+    import numpy as np
+    import pyarrow as pa
+    from .words import mix
+
+    pair = np.stack([np.add.reduceat(mix(w), starts),
+                     np.add.reduceat(mix(w ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)], axis=1).tobytes()
+    return pa.array([pair[16 * i:16 * i + 16] for i in range(len(starts))], pa.binary())
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, ids: DataFrame) -> DataFrame:
+    """``(key, shingles)`` for the rows with words whose id is in ``ids``, and for
+    some others: the set's hash and members."""
+    def rows(doc, w, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        ends = pa.array(np.append(starts, len(w)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [_keys(w, starts), pa.ListArray.from_arrays(ends, pa.array(w.view(np.int64)))], ["key", "shingles"])
+
+    return _set_rows(docs, id_col, text_col, shingle, _id_bitmap(ids), rows, "key binary, shingles array<long>")
 
-    return for_arrow(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")) \
-        .mapInArrow(run, "key binary, shingles array<long>")
+
+def _count_levels(docs: DataFrame, id_col: str, text_col: str, shingle: int, wanted):
+    """Broadcast of a byte for each of ``COUNTS`` cells of shingle hashes that grows
+    with the number of sets that hold a shingle of the cell."""
+    def rows(doc, w, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        cell, count = np.unique((w % np.uint64(COUNTS)).astype(np.int32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count.astype(np.int64))], ["cell", "c"])
+
+    def dense(table):
+        import numpy as np
+        import pyarrow as pa
+
+        levels = np.zeros(4096, np.uint8)
+        levels[table.column("cell").to_numpy() % 4096] = np.minimum(12 * np.log2(1 + table.column("c").to_numpy()), 255)
+        return pa.Table.from_arrays([table.column("block").slice(0, 1), pa.array([levels.tobytes()], pa.binary())],
+                                    ["block", "levels"])
+
+    counts = (_set_rows(docs, id_col, text_col, shingle, wanted, rows, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+              .withColumn("block", F.expr("cell div 4096")))
+    levels = bytearray(COUNTS)
+    for r in counts.groupBy("block").applyInArrow(dense, "block long, levels binary").collect():
+        levels[r["block"] * 4096:(r["block"] + 1) * 4096] = r["levels"]  # at most COUNTS / 4096 rows of 4 kB
+    return docs.sparkSession.sparkContext.broadcast(bytes(levels))
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, ids: DataFrame, percent: int) -> DataFrame:
+    """``(key, prefix)``: the rarest n - ceil(percent n) + 1 shingles of each set, by
+    the counts of their cells and then their hashes, as 32-bit values."""
+    wanted = _id_bitmap(ids)
+    shared = _count_levels(docs, id_col, text_col, shingle, wanted)
+
+    def rows(doc, w, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        level = np.frombuffer(shared.value, np.uint8)[(w % np.uint64(COUNTS)).astype(np.int64)]
+        n = np.diff(starts, append=len(w))
+        length = n - -(n * percent // -100) + 1
+        turn = np.lexsort((w, level, doc))
+        kept = np.arange(len(w)) - np.repeat(starts, n) < np.repeat(length, n)
+        values = (w[turn[kept]] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        ends = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [_keys(w, starts), pa.ListArray.from_arrays(ends, pa.array(values))], ["key", "prefix"])
+
+    return _set_rows(docs, id_col, text_col, shingle, wanted, rows, "key binary, prefix array<int>")
 
 
 def _size_fits(n1, n2, percent):
@@ -195,24 +291,60 @@ def _prefixes_fit(n1, n2, p1, p2, percent):
     return F.arrays_overlap(F.slice(p1, F.lit(1), n1 - shared + 1), F.slice(p2, F.lit(1), n2 - shared + 1))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity."""
-    one = sets.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
-    two = sets.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("shingles").alias("s2"))
-    both = F.size(F.array_intersect("s1", "s2")).cast("long")
-    total = F.col("n1").cast("long") + F.col("n2")
-    return (pairs.select("a", "b").join(one, "a").join(two, "b")
-                 .where(both * (100 + percent) >= total * percent).select("a", "b"))
+def dealt(pairs: DataFrame) -> DataFrame:
+    """``(cell, a, b)`` of pairs ``(family, a, b)``: families of up to ``BLOCK`` sets
+    on either side share cells, larger ones have a cell for each two blocks."""
+    few = -(-pairs.count() // BLOCK) or 1
+    number = lambda c: F.ceil(F.count_distinct(c) / F.lit(BLOCK)).cast("int")
+    sizes = pairs.groupBy("family").agg(number("a").alias("na"), number("b").alias("nb"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col(f"n{c}"))
+    cell = (F.when((F.col("na") == 1) & (F.col("nb") == 1), F.xxhash64(F.pmod(F.xxhash64("family"), F.lit(few))))
+             .otherwise(F.xxhash64("family", block("a"), block("b"))))
+    return pairs.join(sizes, "family").select(cell.alias("cell"), "a", "b")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(cid, prefix)``: the rarest n - ceil(percent n) + 1 shingles of each set,
-    counted over the given sets, as 32-bit values."""
-    each = sets.select("cid", "n", F.explode("shingles").alias("s"))
-    count = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    lists = each.join(count, "s").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("l"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1
-    return lists.select("cid", F.transform(F.slice("l", 1, length), lambda x: x["s"].bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
+def _reach(percent: int):
+    """The pairs of one cell whose sets reach the similarity."""
+    def run(sets, pairs):
+        import numpy as np
+        import pyarrow as pa
+
+        cid, lists = sets.column("cid").to_numpy(), sets.column("shingles").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(n) - n
+        _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(number), bool)
+        order = np.argsort(cid)
+        a, b = (order[np.searchsorted(cid, pairs.column(c).to_numpy(), sorter=order)] for c in "ab")
+        turn = np.argsort(a, kind="stable")
+        found = [np.zeros(0, np.int64)]
+        for one in np.split(turn, np.flatnonzero(np.diff(a[turn])) + 1):
+            if not len(one):
+                continue
+            x, y = a[one[0]], b[one]
+            mine = number[starts[x]:starts[x] + n[x]]
+            mark[mine] = True
+            first = np.cumsum(n[y]) - n[y]
+            at = np.repeat(starts[y] - first, n[y]) + np.arange(n[y].sum())
+            both = np.add.reduceat(mark[number[at]], first, dtype=np.int64)
+            mark[mine] = False
+            found.append(one[both * (100 + percent) >= (n[x] + n[y]) * percent])
+        return pairs.select(["a", "b"]).take(pa.array(np.concatenate(found)))
+    return run
+
+
+def confirmed(pairs: DataFrame, near: DataFrame, docs: DataFrame, id_col: str, text_col: str,
+              shingle: int, percent: int) -> DataFrame:
+    """The pairs ``(family, a, b)`` of the classes ``near`` whose full sets reach the
+    similarity, as ``(a, b)``."""
+    pairs = stage(dealt(pairs), "minhash-cells")
+    ends = pairs.select("cell", F.col("a").alias("cid")).union(pairs.select("cell", F.col("b").alias("cid")))
+    cells = ends.groupBy("cid").agg(F.collect_set("cell").alias("cells"))
+    cells = stage(cells.join(near.select("cid", "key", "id"), "cid"), "minhash-members")
+    sets = (shingle_sets(docs, id_col, text_col, shingle, cells).join(cells.drop("id"), "key").groupBy("key")
+            .agg(F.first("cid").alias("cid"), F.first("cells").alias("cells"), F.first("shingles").alias("shingles"))
+            .select(F.explode("cells").alias("cell"), "cid", "shingles"))
+    return sets.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInArrow(_reach(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -227,27 +359,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                              F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
                         .withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
 
-    # buckets of two classes or more, each row with the bucket's leader
-    rows = classes.select("cid", F.explode("bands").alias("band"))
+    # buckets of two classes or more, each row with the bucket's leader; one exchange
+    # of the rows serves the count and the join
+    rows = classes.select("cid", F.explode("bands").alias("band")).repartition("band")
     turn = F.xxhash64(F.col("band").bitwiseAND(F.lit(3)), "cid")
     lead = rows.groupBy("band").agg(F.min_by("cid", turn).alias("leader"), F.count(F.lit(1)).alias("size"))
     rows = stage(rows.join(lead.where("size > 1").drop("size"), "band"), "minhash-buckets")
 
-    # full sets of the classes that share a bucket
-    near = stage(rows.select("cid").distinct().join(classes.select("cid", "key", "id"), "cid"), "minhash-near")
-    ids = near.select(F.col("id").alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stage(shingle_sets(texts, "id", "text", shingle).join(near.select("cid", "key"), "key")
-                 .groupBy("cid").agg(F.first("shingles").alias("shingles"))
-                 .select("cid", F.size("shingles").alias("n"), "shingles"), "minhash-sets")
-
-    info = classes.select("cid", "n", "sketch", "bands")
-    side = lambda i: info.drop("bands").toDF("ab"[i], f"n{i + 1}", f"k{i + 1}")
+    # the classes that share a bucket
+    near = stage(rows.select("cid").distinct().join(classes, "cid").drop("docs"), "minhash-near")
+    check = lambda pairs: confirmed(pairs, near, docs, id_col, text_col, shingle, percent)
+
+    side = lambda i: near.select("cid", "n", "sketch").toDF("ab"[i], f"n{i + 1}", f"k{i + 1}")
     star = (rows.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
                 .join(side(0), "a").join(side(1), "b")
                 .where(_size_fits(F.col("n1"), F.col("n2"), percent) & _sketch_fits("k1", "k2", percent)))
-    links = stage(confirmed(star, sets, percent), "minhash-star")
+    star = star.select(F.min("a").over(Window.partitionBy("b")).alias("family"), "a", "b")
+    links = stage(check(stage(star, "minhash-star-pairs")), "minhash-star")
     label = components(links)
 
     # buckets that still hold several components
@@ -257,8 +385,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = per.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("most"),
                                     F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
     rows = stage(rows.join(mixed, "band"), "minhash-mixed")
-    short = prefixes(sets.join(rows.select("cid").distinct(), "cid"), percent)
-    rows = rows.join(stage(short.join(info, "cid"), "minhash-prefixes"), "cid")
+    apart = stage(near.join(rows.select("cid").distinct(), "cid"), "minhash-apart")
+    short = prefixes(docs, id_col, text_col, shingle, apart, percent).join(apart, "key").groupBy("key")
+    short = short.agg(*[F.first(c).alias(c) for c in ("cid", "n", "sketch", "bands", "prefix")]).drop("key")
+    rows = rows.join(stage(short, "minhash-prefixes"), "cid")
     columns = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("cid", "label", "n", "sketch", "prefix", "bands")]
     one = rows.where("label <> most").select("band", *columns(1))
     two = rows.select("band", "most", *columns(2))
@@ -268,8 +398,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most")) | (F.col("cid1") < F.col("cid2")))
         & _size_fits(F.col("n1"), F.col("n2"), percent) & _sketch_fits("sketch1", "sketch2", percent)
         & _prefixes_fit(F.col("n1"), F.col("n2"), F.col("prefix1"), F.col("prefix2"), percent) & once)
-    cross = stage(cross.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")), "minhash-cross")
-    more = stage(confirmed(cross, sets, percent), "minhash-links")
+    cross = stage(cross.select(F.col("most").alias("family"), F.col("cid1").alias("a"), F.col("cid2").alias("b")), "minhash-cross")
+    more = stage(check(cross), "minhash-links")
 
     # components of the first step joined by the further links
     root = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))

@@ -97,6 +97,43 @@ def test_sketch_limit_holds():
     assert (1 - 0.8 ** minhash.ROWS) ** minhash.BANDS < 4e-6
 
 
+def test_minhash_sets_are_sent_once_a_cell(spark, monkeypatch):
+    """A family of 60 sets with all its pairs: one copy of each set in one cell, not
+    one a pair; with smaller blocks a few cells, and no pair in two of them."""
+    pairs = spark.createDataFrame([(0, a, b) for a in range(60) for b in range(a)] + [(99, 100, 101)], "family long, a long, b long")
+    for block, most in ((256, 1), (16, 8)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = [tuple(r) for r in minhash.dealt(pairs).collect()]
+        assert sorted(x[1:] for x in got) == sorted((r["a"], r["b"]) for r in pairs.collect())
+        cells = defaultdict(set)
+        for cell, a, b in got:
+            cells[a].add(cell)
+            cells[b].add(cell)
+        assert max(map(len, cells.values())) <= most
+
+
+def test_minhash_confirms_exactly_and_shuffles_no_text(make, monkeypatch):
+    """Small blocks and few count cells, ids that are null or come twice: the groups
+    stay those of all pairs; the texts reach the full sets without an exchange."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "COUNTS", 4096)
+    rnd = random.Random(11)
+    base, items = [f"w{rnd.randrange(300)}" for _ in range(100)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.choice([3, 6, 9, 12])):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(500)}"
+        items.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make(items)).collect()}
+    want = plain_groups(items)
+    assert got == want and len({c for _, c in want.values()}) > 5
+    docs = make([(None, "a b c"), (7, "a b c"), (7, "d e"), (8, "f g"), (9, None)])
+    ids = make([(None, ""), (7, "")]).selectExpr("doc_id AS id")
+    sets = minhash.shingle_sets(docs, "doc_id", "text", 2, ids)
+    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    assert sorted(len(r["shingles"]) for r in sets.collect()) == [1, 2, 2]
+
+
 # ---- op12
 def plain_negatives(rows, is_anchor, n_pos=5, n_neg=3):
     """rows of (id, label, integer vector)"""
