@@ -96,7 +96,9 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     right = right.select("t", "v", F.col("fp").alias("y"))
     bits = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
     exact_once = (F.col("t") % (BITS + 1) != BITS) | (F.col("x") < F.col("y"))
-    return (left.join(right, ["t", "v"]).where((bits <= max_bits) & exact_once)
+    # Spark sizes the exploded keys like the fingerprints they come from, and below
+    # its threshold would broadcast them: some 34 rows of each fingerprint.
+    return (left.hint("merge").join(right, ["t", "v"]).where((bits <= max_bits) & exact_once)
                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.alias("bits")))
 
 

@@ -75,6 +75,14 @@ def test_links_exact(spark, max_bits):
     assert got == want
 
 
+def test_link_keys_are_not_broadcast(spark):
+    """Few bytes of fingerprints are many of keys; Spark sizes the keys like the fingerprints."""
+    from logsleuth.llm.common import stage
+    fps = stage(spark.range(500).selectExpr("xxhash64(id) AS fp"), "some-fps")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_chain(spark):
     from logsleuth.llm.common import components
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (200, 200)]
