@@ -41,6 +41,29 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+BIT_ROWS = 1 << 15  # rows of a file that one bitmap marks, 4 kB
+BITMAPS = 1 << 14  # bitmaps that are broadcast at most, 64 MB
+
+
+def _without_places(rows: DataFrame, mark: str, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose place ``mark`` (file, row) is in ``gone`` (same columns).
+
+    A place is a bit: a row per place, its path repeated, takes many times the memory
+    that Spark reads from the size of its file.
+    """
+    part, k = f"row div {BIT_ROWS}", _fresh(rows, "_k")
+    # dealt out before the aggregation, else each task sends a bitmap of each file
+    bits = stage(gone.select("file", F.expr(part).alias("part"), F.expr(f"row % {BIT_ROWS}").alias("bit"))
+                     .repartition("file", "part").groupBy("file", "part")
+                     .agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), "exact-dropped")
+    small = bits.count() <= BITMAPS
+    bits = bits.select(*[F.col(c).alias(f"{k}_{c}") for c in bits.columns]).hint("broadcast" if small else "merge")
+    both = rows.join(bits, (F.col(f"{mark}.file") == F.col(f"{k}_file"))
+                     & (F.expr(f"{mark}.{part}") == F.col(f"{k}_part")), "left")
+    byte = f"conv(hex(substring({k}_bits, cast({mark}.row % {BIT_ROWS} div 8 AS int) + 1, 1)), 16, 10)"
+    return both.where(f"coalesce(getbit(cast({byte} AS int), cast({mark}.row % 8 AS int)), 0) = 0").select(*rows.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -53,9 +76,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     mark = _fresh(docs, "_llm_place")
     rows = exact_dedup.located(docs, mark)
-    dropped = exact_dedup.exact_dedup(rows).where("not kept").select(F.col("locator").alias(mark))
+    dropped = exact_dedup.exact_dedup(rows).where("not kept").select("locator.file", "locator.row")
     # the places of dropped rows move, not texts
-    return _semi(rows, stage(dropped, "exact-dropped"), [mark], "left_anti").select(*docs.columns)
+    return _without_places(rows, mark, dropped).select(*docs.columns)
 
 
 def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:

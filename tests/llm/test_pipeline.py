@@ -1,8 +1,10 @@
 """The pipeline against its stages done in plain Python."""
+import pytest
+
 import corpus_pipeline
 from logsleuth.llm import quality, suite
 
-from conftest import SF
+from conftest import DOC_SCHEMA, SF
 from test_brute_force import plain_overlaps, plain_simhash
 
 
@@ -74,3 +76,30 @@ def test_columns_of_the_pipelines_own_names_come_back(spark, make, tmp_path):
         for r in out.collect():
             assert r["_llm_row"] == f"_llm_row{r['doc_id']}" and r["_llm_digest"] == f"_llm_digest{r['doc_id']}", name
             assert r["_k0"] == f"_k0{r['doc_id']}" and r["_llm_predicted"] == f"_llm_predicted{r['doc_id']}"
+
+
+@pytest.mark.parametrize("most", [1 << 14, 0])
+def test_places_of_copies_are_bits(spark, tmp_path, monkeypatch, most):
+    """Files of more rows than a bitmap marks, texts that are null or empty, ids that come
+    twice: the first of each group of copies stays, known by a few rows, broadcast or not."""
+    texts = [None if i % 97 == 0 else "" if i % 89 == 0 else f"text {i - i % 3 if i % 7 < 4 else i}" for i in range(40_000)]
+    folder = str(tmp_path / "documents of many.parquet")
+    for lo, hi in ((0, 36_000), (36_000, 40_000)):
+        spark.createDataFrame([(i - i % 2, t, "en", "src0", i) for i, t in enumerate(texts[lo:hi], lo)],
+                              DOC_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    docs, sizes, plain = spark.read.parquet(folder), {}, corpus_pipeline.stage
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(corpus_pipeline, "stage", counted)
+    monkeypatch.setattr(corpus_pipeline, "BITMAPS", most, raising=False)
+    left = corpus_pipeline.exact_stage(spark, docs, str(tmp_path)).collect()
+    best = {}
+    for i, t in enumerate(texts):
+        best.setdefault((t or "").replace(" ", ""), i - i % 2)
+    assert sorted((r["text"] or "").replace(" ", "") for r in left) == sorted(best)
+    assert {(r["text"] or "").replace(" ", ""): r["doc_id"] for r in left} == best
+    assert all(texts[r["n_chars"]] == r["text"] and r["n_chars"] // 2 * 2 == r["doc_id"] for r in left)
+    assert 2 <= sizes["exact-dropped"] <= 3
